@@ -29,7 +29,9 @@ from .common import table, text_batches
 
 BLANK = "▁"
 #: Cuts a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 300_000
+#: Pairs of tokens a worker remembers.
+PAIRS = 2_000_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -93,10 +95,12 @@ class Codec:
                 self.id[name] = i
                 self.score[name] = struct.unpack("<f", entry[2])[0] if 2 in entry else 0.0
         self.automaton = ahocorasick.Automaton()
-        for name in self.id:
-            if len(name) > 1:
-                self.automaton.add_word(name, len(name))
+        for name, i in self.id.items():
+            self.automaton.add_word(name, i)
         self.automaton.make_automaton()
+        self.sizes = [len(name) for name in self.piece]
+        self.id_pairs: dict[int, bool] = {}
+        self.neighbours = {name[i : i + 2] for name in self.id for i in range(len(name) - 1)}
         if any(BLANK in name.lstrip(BLANK) for name in self.id):
             raise ValueError("a piece holds a blank inside; texts can't be cut at blanks")
         inside = {c for name in self.id if len(name) > 1 for c in name}
@@ -123,37 +127,61 @@ class Codec:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return known
 
     def tokens(self, text: str) -> list[str]:
-        """The tokens of a cut: the last token of every prefix, then backwards."""
+        """The tokens of a cut: the last token of every prefix, then backwards. For characters without a piece too."""
         n = len(text)
         ends: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.automaton.iter(text):
-            ends[end].append(size)
+        for end, i in self.automaton.iter(text):
+            ends[end].append(len(self.piece[i]))
         last: list[str] = [""] * (n + 1)
-        pairs, compatible = self.pairs, self.compatible
         for i in range(1, n + 1):
             for size in (*ends[i - 1], 1):
                 token, before = text[i - size : i], last[i - size]
-                if size == i:
-                    if size == 1 or self._whole(token):
-                        last[i] = token
-                        break
-                elif before:
-                    known = pairs.get((before, token))
-                    if known or known is None and compatible(before, token):
-                        last[i] = token
-                        break
+                if self._whole(token) if size == i else before and self.compatible(before, token):
+                    last[i] = token
+                    break
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
+    def piece_ids(self, text: str) -> list[int] | None:
+        """As tokens, by ids; None if a prefix has no last token among the pieces."""
+        n, size_of, pairs = len(text), self.sizes, self.id_pairs
+        last = [-1] * (n + 1)
+        for end, piece in self.automaton.iter(text):  # longest first at each end
+            if last[end + 1] >= 0:
+                continue
+            at = end + 1 - size_of[piece]
+            if at:
+                before = last[at]
+                if before < 0:
+                    continue
+                known = pairs.get(before << 20 | piece)
+                if known is None:
+                    if len(pairs) > PAIRS:
+                        pairs.clear()
+                    known = pairs[before << 20 | piece] = self.merge(self.piece[before] + self.piece[piece]) == [self.piece[before], self.piece[piece]]
+            else:
+                known = self._whole(self.piece[piece])
+            if known:
+                last[end + 1] = piece
+        out, at = [], n
+        while at > 0:
+            piece = last[at]
+            if piece < 0:
+                return None
+            out.append(piece)
+            at -= size_of[piece]
+        out.reverse()
+        return out
+
     def _whole(self, piece: str) -> bool:
         """Whether a piece on its own stays whole."""
         key = ("", piece)
@@ -165,7 +193,13 @@ class Codec:
     def cut_ids(self, cut: str) -> list[int]:
         # Pieces of blanks alone share one score, so for runs of blanks the order of merges matters: merge those as defined.
         head = len(cut) - len(cut.lstrip(BLANK))
-        tokens = self.merge(cut) if 1 < head < 64 and len(cut) < 512 else self._long_run(cut, head) if head > 1 else self.tokens(cut)
+        if head < 2:
+            got = self.piece_ids(cut)
+            if got is not None:
+                return got
+            tokens = self.tokens(cut)
+        else:
+            tokens = self.merge(cut) if len(cut) < 128 else self._long_run(cut)
         ids: list[int] = []
         for t in tokens:
             i = self.id.get(t)
@@ -175,7 +209,7 @@ class Codec:
                 ids.append(i)
         return ids
 
-    def _long_run(self, cut: str, head: int) -> list[str]:
+    def _long_run(self, cut: str) -> list[str]:
         """A long run of blanks, or one before a very long cut: as merge, by a queue of pairs."""
         import heapq
 
@@ -226,14 +260,29 @@ class Codec:
         if got is None:
             if len(self.cuts) >= CACHE:
                 self.cuts.clear()
-            ids = self.cut_ids(cut)
-            got = ",".join(map(str, ids)), len(ids), self.surface(ids)
-            if len(cut) < 256:
-                self.cuts[cut] = got
+            parts = self.sections(cut)
+            if len(parts) > 1:
+                each = [self.known(p) for p in parts]
+                got = ",".join([x[0] for x in each]), sum([x[1] for x in each]), "".join([x[2] for x in each])
+            else:
+                ids = self.cut_ids(cut)
+                got = ",".join(map(str, ids)), len(ids), self.surface(ids)
+                if len(cut) < 256:
+                    self.cuts[cut] = got
         return got
 
+    def sections(self, cut: str) -> list[str]:
+        """A cut, cut again between neighbours that no piece holds: no merge can cross there."""
+        near, at, out = self.neighbours, 0, []
+        for i in range(1, len(cut)):
+            if cut[i - 1 : i + 1] not in near:
+                out.append(cut[at:i])
+                at = i
+        out.append(cut[at:])
+        return out
+
     def encode(self, text: str) -> list[int]:
-        return [i for cut in self.split(text) for i in self.cut_ids(cut)]
+        return [i for cut in self.split(text) for part in self.sections(cut) for i in self.cut_ids(part)]
 
     # ------------------------------------------------------------ decoding
 
