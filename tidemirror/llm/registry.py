@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, sharding
+from . import langid, license_scan, quality_mil, sharding, sp_codec
 
 QUERIES = {
+    "op3_quality_mil": quality_mil.op3_quality_mil,
+    "op4_language_id": langid.op4_language_id,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
 }
 ORACLES: dict[str, str] = {}
