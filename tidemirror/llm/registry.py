@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, quality_mil, sharding, sp_codec
+from . import html_extract, langid, license_scan, quality_mil, sharding, sp_codec
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op3_quality_mil": quality_mil.op3_quality_mil,
     "op4_language_id": langid.op4_language_id,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_html_extract": html_extract.ORACLE_OP1}
