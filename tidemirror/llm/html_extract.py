@@ -17,7 +17,9 @@ answered alike; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,13 +132,13 @@ def parse(page: str) -> Node:
             continue
         if tag == "button":
             stack[-1].items.append(FIELD)
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack[1:]):
+        if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     del stack[i:]
                     inline.clear()
                     break
-                if stack[i].tag in ("td", "th", "li", "button", "object"):
+                if stack[i].tag not in INLINE:
                     break
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
@@ -164,8 +166,7 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def _log(x: float) -> float:
-    return float(np.log1p(x))
+_log = math.log1p
 
 
 WIDTH = 30 + len(TAGS) + TOKEN_BUCKETS
@@ -193,12 +194,16 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(1.0, sub[0, 0])
     bad, good = np.zeros(n), np.zeros(n)
     up_bad, up_good = np.zeros(n), np.zeros(n)
-    section = np.zeros(n)
+    section, place = np.zeros(n), np.zeros(n)
+    alike: dict[int, Counter] = {}
     for i, node in enumerate(nodes):
         tag, tokens = node.tag, node.tokens
         bad[i] = sum(t in FURNITURE for t in tokens) + (tag in ("nav", "footer", "header", "aside", "form", "fieldset", "ins"))
         good[i] = sum(t in CONTENT for t in tokens) + (tag in ("article", "main"))
         p = node.parent
+        if node.kids:
+            alike[i] = Counter(k.tag for k in node.kids)
+            place[[k.at for k in node.kids]] = np.arange(len(node.kids)) / len(node.kids)
         if p:
             up_bad[i], up_good[i] = up_bad[p.at] + bad[p.at], up_good[p.at] + good[p.at]
             section[i] = section[p.at]
@@ -212,7 +217,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         chars, links, elements, ps, lis, fields, marks = sub[i]
         around = sub[p.at, 0] if p else chars
         x[i, :30] = (
-            node.depth, len(node.kids), len(kids), sum(k.tag == tag for k in kids) / len(kids), (kids.index(node) if len(kids) < 200 else 0) / len(kids),
+            node.depth, len(node.kids), len(kids), alike[p.at][tag] / len(kids) if p else 1, place[i],
             _log(chars), chars / total, chars / max(1.0, around), links / max(1.0, chars), _log(elements), _log(chars / elements), _log(ps), _log(lis), _log(fields),
             marks / max(1.0, chars) * 100, _log(own[i, 0]), own[i, 0] / max(1.0, chars), _log(chars / max(1.0, ps)), len(tokens), bad[i], good[i], up_bad[i], up_good[i], section[i],
             section[p.at] if p else 0, tag in INLINE, bool(p and p.tag == "body"), bool(p and p.tag == "article"), bool(p and p.tag in ("ul", "ol")), i / n,
