@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, license_scan, quality_mil, sharding, sp_codec
+from . import html_extract, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec
 
 QUERIES = {
+    "op2_pivot_topk": pivot_search.op2_pivot_topk,
     "op1_html_extract": html_extract.op1_html_extract,
     "op3_quality_mil": quality_mil.op3_quality_mil,
     "op4_language_id": langid.op4_language_id,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
 }
-ORACLES: dict[str, str] = {"op1_html_extract": html_extract.ORACLE_OP1}
+ORACLES: dict[str, str] = {"op1_html_extract": html_extract.ORACLE_OP1, "op2_pivot_topk": pivot_search.ORACLE_OP2}
