@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec
+from . import decontaminate, html_extract, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup
 
 QUERIES = {
     "op2_pivot_topk": pivot_search.op2_pivot_topk,
     "op1_html_extract": html_extract.op1_html_extract,
     "op3_quality_mil": quality_mil.op3_quality_mil,
     "op4_language_id": langid.op4_language_id,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_spaced_seeds": decontaminate.op6_spaced_seeds,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_license_scan": license_scan.op9_license_scan,
