@@ -117,3 +117,23 @@ def words_of(texts: list[bytes], is_word: np.ndarray, sep: bytes = b" ") -> tupl
     start, end = edge[0::2], edge[1::2]
     owner = np.searchsorted(at, start, side="right") - 1
     return buf, start, end, owner
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): every node that has an edge to another, with the smallest node it reaches.
+
+    Alternating large and small stars: each step is a minimum for each node, so a node with very many edges costs no task
+    more than its share.
+    """
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        changed = not after.exceptAll(current).isEmpty() or not current.exceptAll(after).isEmpty()
+        current = after
+        if not changed:
+            return current.select(F.col("a").alias("node"), F.col("b").alias("label"))

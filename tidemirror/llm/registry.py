@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup
+from . import decontaminate, html_extract, jaccard_join, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup
 
 QUERIES = {
     "op2_pivot_topk": pivot_search.op2_pivot_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_spaced_seeds": decontaminate.op6_spaced_seeds,
+    "op7_jaccard_rtree": jaccard_join.op7_jaccard_rtree,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
