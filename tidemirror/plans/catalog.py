@@ -1,13 +1,663 @@
-"""Named queries over the given tables, with their SQL."""
+"""Named queries over the given tables, with the SQL that says the same."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from tidemirror.functions import scalars as S
+from tidemirror.operators import actions as A
+from tidemirror.operators import backfill as B
+from tidemirror.operators import contract as C
+from tidemirror.operators import dlq as D
+from tidemirror.operators import metrics as M
+from tidemirror.operators import mirror as MR
+from tidemirror.operators import route as R
+from tidemirror.operators import state as ST
+from tidemirror.operators import transactions as X
+from tidemirror.sources import snapshot as SN
+from tidemirror.sources import wal as W
+from tidemirror.sources.changelog import as_changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/mirror-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- change logs over the given tables
+
+EVENT_OP = "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END"
+EV = f"""ev AS (SELECT event_id AS lsn, event_id AS seq, event_id // 10 AS xid, (event_id // 10) * 10 + 9 AS ack_lsn,
+  epoch_us(ts) - 946684800000000 AS commit_us, CAST(user_id AS VARCHAR) AS user_id, event_type, json_extract_string(props, '$.k') AS k,
+  {EVENT_OP} AS op FROM events)"""
+LI = """li AS (SELECT l_orderkey AS lsn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
+  l_orderkey AS xid, l_orderkey AS ack_lsn, CAST(l_partkey AS VARCHAR) AS id, CAST(l_suppkey AS VARCHAR) AS suppkey, CAST(l_linenumber AS VARCHAR) AS linenumber,
+  CASE l_returnflag WHEN 'A' THEN 'insert' WHEN 'N' THEN 'update' ELSE 'delete' END AS op FROM lineitem)"""
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    xid = F.floor(F.col("event_id") / 10)
+    return as_changes(
+        e, lsn=F.col("event_id"), seq=F.col("event_id"), xid=xid, ack_lsn=xid * 10 + 9, commit_us=F.unix_micros(F.col("ts").cast("timestamp")) - S.PG_EPOCH_MICROS, relation_id=1, schema="public", table="events", op=F.expr(EVENT_OP),
+        values={"user_id": F.col("user_id"), "event_type": F.col("event_type"), "k": F.get_json_object("props", "$.k")},
+    )
+
+
+def lineitem_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    from pyspark.sql import Window
+
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    op = F.when(F.col("l_returnflag") == "A", "insert").when(F.col("l_returnflag") == "N", "update").otherwise("delete")
+    rows = li.withColumn("_seq", seq)
+    return as_changes(
+        rows, lsn=F.col("l_orderkey"), seq=F.col("_seq"), xid=F.col("l_orderkey"), ack_lsn=F.col("l_orderkey"), commit_us=F.unix_micros(F.col("l_shipdate").cast("timestamp")) - S.PG_EPOCH_MICROS, relation_id=2, schema="public", table="lineitem", op=op,
+        values={"partkey": F.col("l_partkey"), "suppkey": F.col("l_suppkey"), "linenumber": F.col("l_linenumber")},
+    )
+
+
+CONFIG_SCHEMA = "name string, namespace string, src_schema string, src_table string, id_column string, id_type string, columns array<string>, tombstone_applied_at long"
+#: (name, namespace, table, id column, id type, columns, tombstoned)
+CONFIG_ROWS = [
+    ("users", "users", "events", "user_id", "uint", None, None),
+    ("types", "event_types", "events", "event_type", "string", ["event_type", "k"], None),
+    ("keys", "event_keys", "events", "k", "int", ["k"], None),
+    ("parts", "parts", "lineitem", "partkey", "int", None, None),
+    ("suppliers", "suppliers", "lineitem", "suppkey", "uint", ["suppkey", "linenumber"], None),
+    ("old_users", "old_users", "events", "user_id", "int", None, 1),
+]
+CFG = "cfg(name, namespace, src_table, id_column, gone) AS (VALUES " + ", ".join(f"('{n}', '{ns}', '{t}', '{c}', {g is not None})" for n, ns, t, c, _, _, g in CONFIG_ROWS) + ")"
+
+
+def configs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, ns, "public", t, c, k, cols, gone) for n, ns, t, c, k, cols, gone in CONFIG_ROWS], CONFIG_SCHEMA)
+
+
+def one(spark: SparkSession, name: str) -> DataFrame:
+    return configs(spark).where(F.col("name") == name)
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT CAST(c_name AS VARCHAR) AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, CAST(c_custkey AS VARCHAR) AS c_custkey FROM customer")
+def snapshot_text(spark, sf_dir):
+    return SN.snapshot(table(spark, sf_dir, "customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, true AS has_more FROM (SELECT * FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 500) t")
+def keyset_page(spark, sf_dir):
+    return SN.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 1000, 500)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, true AS even, true AS ordered FROM orders")
+def chunked_scan(spark, sf_dir):
+    c = SN.chunks(table(spark, sf_dir, "orders"), "o_orderkey", 8)
+    per = c.groupBy("chunk").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("ids"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    nxt = per.select((F.col("chunk") - 1).alias("chunk"), F.col("lo").alias("next_lo"))
+    return per.join(nxt, "chunk", "left").agg(
+        F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"), (F.max("n") < 2 * F.min("n")).alias("even"), F.bool_and(F.col("next_lo").isNull() | (F.col("hi") < F.col("next_lo"))).alias("ordered")
+    )
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def rows_by_id(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"))
+    return SN.rows_by_id(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", ids)
+
+
+@query("SELECT count(o_orderkey) AS n FROM orders")
+def count_with_id(spark, sf_dir):
+    return SN.count_with_id(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query()
+def sample_row(spark, sf_dir):
+    return SN.sample_row(table(spark, sf_dir, "customer"))
+
+
+def _as_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as binary messages: a layout message, then begin, row and commit of every event."""
+    e = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("user_id").cast("string").alias("u"), "event_type")
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, us, u, t in zip(b["event_id"].tolist(), b["us"].tolist(), b["u"], b["event_type"], strict=True):
+                op = {"signup": "insert", "error": "delete"}.get(t, "update")
+                if i % 1000 == 0:
+                    rows.append((i * 10, W.encode_relation(1, "public", "events", [("user_id", True, 20), ("event_type", False, 25)])))
+                rows.append((i * 10 + 1, W.encode_begin(i, us - S.PG_EPOCH_MICROS, i)))
+                rows.append((i * 10 + 2, W.encode_change(op, 1, [u, t], [u, None] if op == "delete" else None)))
+                if i % 7:
+                    rows.append((i * 10 + 3, W.encode_commit(i, i + 1, us - S.PG_EPOCH_MICROS)))
+                else:
+                    rows.append((i * 10 + 4, b"I\x00"))
+            yield pd.DataFrame(rows, columns=["seq", "data"])
+
+    return e.mapInPandas(run, "seq long, data binary")
+
+
+@query(f"""SELECT event_id * 10 + 2 AS seq, {EVENT_OP} AS tag, 1::BIGINT AS relation_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS new_id,
+  CASE WHEN event_type = 'error' THEN CAST(user_id AS VARCHAR) END AS old_id, NULL::VARCHAR AS error FROM events
+  UNION ALL SELECT event_id * 10 + 4, 'error', NULL, NULL, NULL, 'need 4 bytes, 1 remaining' FROM events WHERE event_id % 7 = 0""")
+def wal_decode(spark, sf_dir):
+    m = W.decode(_as_wal(spark, sf_dir)).where("tag IN ('insert', 'update', 'delete', 'error')")
+    return m.select("seq", "tag", "relation_id", F.try_element_at("cols", F.lit(1))["text"].alias("new_id"), F.try_element_at("old_cols", F.lit(1))["text"].alias("old_id"), "error")
+
+
+@query("""SELECT event_id * 10 + 1 AS seq, 'begin' AS type, '{"type":"begin","xid":' || event_id || ',"lsn":"0/' || upper(to_hex(event_id)) || '"}' AS line FROM events
+  UNION ALL SELECT event_id * 10 + 2, 'insert', '{"type":"insert","table":"public.events","new":[{"name":"user_id","value":"' || user_id || '"},{"name":"event_type","value":"signup"}]}' FROM events WHERE event_type = 'signup'""")
+def change_feed_view(spark, sf_dir):
+    return W.inspection_view(W.decode(_as_wal(spark, sf_dir))).where("type IN ('begin', 'insert')")
+
+
+@query("SELECT event_id * 10 + 2 AS seq, event_id AS xid, event_id + 1 AS ack_lsn FROM events WHERE event_id % 7 <> 0")
+def raw_txn_assembly(spark, sf_dir):
+    # Without its commit a transaction's begin is followed by another begin, so its rows are not delivered.
+    return X.assemble_stream(W.decode(_as_wal(spark, sf_dir))).select("seq", "xid", "ack_lsn")
+
+
+# ---------------------------------------------------------------- routing and ids
+
+
+@query(f"""WITH {EV}, {LI}, {CFG}, n AS (SELECT 'events' AS t, count(*) AS n, count(k) AS nk FROM ev UNION ALL SELECT 'lineitem', count(*), 0 FROM li)
+SELECT name AS config, CASE name WHEN 'keys' THEN nk ELSE n END AS n_events FROM cfg JOIN n ON src_table = t WHERE NOT gone""")
+def route_fanout_counts(spark, sf_dir):
+    changes = event_changes(spark, sf_dir).unionByName(lineitem_changes(spark, sf_dir))
+    return R.routed_counts(R.routed(changes, R.active(configs(spark))))
+
+
+BAD_ID = "CASE event_id % 7 WHEN 0 THEN ' ' || user_id WHEN 1 THEN '+' || user_id WHEN 2 THEN '-' || user_id WHEN 3 THEN NULL WHEN 4 THEN 'x' || user_id WHEN 5 THEN '18446744073709551616' ELSE '0' || user_id END"
+
+
+@query(f"""WITH r AS (SELECT event_id, {BAD_ID} AS t FROM events)
+SELECT event_id, CASE WHEN regexp_matches(t, '^\\+?[0-9]+$') AND TRY_CAST(ltrim(t, '+') AS UBIGINT) IS NOT NULL THEN CAST(TRY_CAST(ltrim(t, '+') AS UBIGINT) AS VARCHAR) END AS as_uint,
+ CASE WHEN regexp_matches(t, '^[+-]?[0-9]+$') AND TRY_CAST(ltrim(t, '+') AS BIGINT) IS NOT NULL THEN CAST(TRY_CAST(ltrim(t, '+') AS BIGINT) AS VARCHAR) END AS as_int, t AS as_string,
+ CASE WHEN t IS NULL THEN 'id is null' WHEN NOT (regexp_matches(t, '^\\+?[0-9]+$') AND TRY_CAST(ltrim(t, '+') AS UBIGINT) IS NOT NULL) THEN 'id can''t be parsed' END AS problem FROM r""")
+def extract_id_typed(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.expr(BAD_ID))
+    log = e.select("event_id", "t", F.create_map(F.lit("id"), F.col("t")).alias("new"), F.lit(None).cast("map<string,string>").alias("old"), F.array().cast("array<string>").alias("unchanged"))
+    return log.select("event_id", S.parse_id("t", "uint").alias("as_uint"), S.parse_id("t", "int").alias("as_int"), S.parse_id(R.raw_id(F.lit("id")), "string").alias("as_string"), R.id_problem(F.lit("id"), F.lit("uint")).alias("problem"))
+
+
+@query("""SELECT event_id, '{"Uint":' || user_id || '}' AS tagged, 'uint' AS id_type, CAST(user_id AS VARCHAR) AS id, lower(md5(CAST(user_id AS VARCHAR)))[1:8] || '-' || md5(CAST(user_id AS VARCHAR))[9:12] || '-' || md5(CAST(user_id AS VARCHAR))[13:16] || '-' || md5(CAST(user_id AS VARCHAR))[17:20] || '-' || md5(CAST(user_id AS VARCHAR))[21:32] AS uuid,
+ '{"String":"' || event_type || '"}' AS name_tag FROM events""")
+def id_forms(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    tag = S.id_tag(S.parse_id(F.col("user_id").cast("string"), "uint"), "uint")
+    back = S.untag_id(tag)
+    return e.select("event_id", tag.alias("tagged"), back["id_type"].alias("id_type"), back["id"].alias("id"), S.parse_id(F.upper(F.md5(F.col("user_id").cast("string"))), "uuid").alias("uuid"), S.id_tag("event_type", "string").alias("name_tag"))
+
+
+@query(f"""SELECT event_id, CAST(value * 100 AS BIGINT) AS as_int, event_type = 'click' AS as_bool, TRY_CAST(event_type AS DOUBLE) AS as_float, json_extract_string(props, '$.k') AS k,
+ CASE WHEN event_id % 2 = 0 THEN 'int' ELSE 'string[]' END AS doc_type, event_id % 2 = 0 AS fits FROM events""")
+def type_coercion(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("src", F.when(F.col("event_id") % 2 == 0, "int4").otherwise("text[]"))
+    values = F.array(F.round(F.col("value") * 100).cast("bigint").cast("string"), F.when(F.col("event_type") == "click", "t").otherwise("false"), F.col("event_type"), F.col("props"))
+    row = S.parse_row([("i", "int"), ("b", "bool"), ("f", "float"), ("j", "json")], values)
+    return e.select("event_id", "src", row.alias("r")).select("event_id", F.col("r.i").alias("as_int"), F.col("r.b").alias("as_bool"), F.col("r.f").alias("as_float"), F.try_variant_get("r.j", "$.k", "string").alias("k"), S.doc_type("src").alias("doc_type"), S.id_type_compatible(F.lit("int"), F.col("src")).alias("fits"))
+
+
+@query("SELECT event_id, upper(to_hex(event_id)) || '/' || upper(to_hex(event_id * 7)) AS lsn, CAST(event_id::HUGEINT * 4294967296 + event_id * 7 AS DECIMAL(20,0)) AS back, CASE event_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'nothing' WHEN 2 THEN 'full' ELSE 'index' END AS identity, CASE WHEN event_id % 2 = 0 THEN 'p_ns' ELSE 'ns' END AS namespace, CASE event_id % 3 WHEN 0 THEN 'retryable' WHEN 1 THEN 'permanent' ELSE 'retryable' END AS kind, epoch_ms(ts) AS ms FROM events")
+def scalar_functions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    text = S.format_lsn(F.shiftleft(i, 32) + i * 7)
+    code = F.when(i % 4 == 1, "n").when(i % 4 == 2, "f").when(i % 4 == 3, "i").otherwise("?")
+    source = F.when(i % 3 == 2, "http").otherwise("api")
+    ms = S.epoch_millis(S.from_epoch_millis(F.unix_millis(F.col("ts").cast("timestamp"))))
+    return e.select("event_id", text.alias("lsn"), S.parse_lsn(text).alias("back"), S.replica_identity(code).alias("identity"), S.prefixed_namespace(F.when(i % 2 == 0, "p").otherwise(""), F.lit("ns")).alias("namespace"), S.error_kind(source, F.when(i % 3 == 0, 503).otherwise(404)).alias("kind"), ms.alias("ms"))
+
+
+@query(f"WITH {EV}, r AS (SELECT *, CASE WHEN lsn % 3 = 0 THEN NULL ELSE user_id END AS id FROM ev) SELECT lsn, 'id is null' AS problem FROM r WHERE id IS NULL")
+def null_id_rejects(spark, sf_dir):
+    holes = F.when(F.col("lsn") % 3 == 0, F.lit(None).cast("string"))
+    hole = lambda c: F.transform_values(c, lambda k, v: F.when((k == "user_id") & (F.col("lsn") % 3 == 0), holes).otherwise(v))
+    changes = event_changes(spark, sf_dir).withColumn("new", hole("new")).withColumn("old", hole("old"))
+    return R.rejected(changes, one(spark, "users")).select("lsn", "problem")
+
+
+# ---------------------------------------------------------------- transactions
+
+
+@query(f"WITH {EV}, last AS (SELECT max(xid) AS x FROM ev) SELECT xid, max(ack_lsn) AS ack_lsn, count(*) AS n_events FROM ev, last WHERE xid <> x GROUP BY xid UNION ALL SELECT -1, -1, 0")
+def txn_assembly(spark, sf_dir):
+    rows = event_changes(spark, sf_dir)
+    last = rows.agg(F.max("xid").alias("x"))
+    commits = rows.groupBy("xid").agg(F.max("ack_lsn").alias("ack_lsn"), F.max("commit_us").alias("commit_us")).join(F.broadcast(last), F.col("xid") != F.col("x")).drop("x")
+    empty = commits.sparkSession.createDataFrame([(-1, -1, 0)], "xid long, ack_lsn long, commit_us long")
+    return X.transactions(rows, commits.unionByName(empty)).select("xid", "ack_lsn", "n_events")
+
+
+@query("SELECT l_orderkey AS xid, count(*) AS n_events, 6::BIGINT AS most_events FROM lineitem GROUP BY 1 HAVING count(*) > 6")
+def oversized_txn(spark, sf_dir):
+    return X.split_oversized(lineitem_changes(spark, sf_dir), 6)[1]
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 6) GROUP BY 1")
+def oversized_kept(spark, sf_dir):
+    kept, _ = X.split_oversized(table(spark, sf_dir, "lineitem").withColumn("xid", F.col("l_orderkey")), 6)
+    return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LI} SELECT xid, seq, (seq - 1) // 3 AS chunk_no FROM li")
+def sub_batches(spark, sf_dir):
+    return X.sub_batches(lineitem_changes(spark, sf_dir), 3).select("xid", F.col("seq"), "chunk_no")
+
+
+@query("WITH n AS (SELECT l_orderkey AS xid, count(*) AS n FROM lineitem GROUP BY 1) SELECT xid, c AS chunk_no, CASE WHEN c < n // 3 THEN 3 ELSE n % 3 END AS n_events, c = n // 3 AS at_commit FROM n, LATERAL (SELECT unnest(range(0, n // 3 + 1)) AS c) u")
+def sub_batch_sizes(spark, sf_dir):
+    rows = lineitem_changes(spark, sf_dir)
+    return X.sub_batch_sizes(rows, rows.select("xid").distinct(), 3)
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout message before every 1000th event: columns change with each, every third adds one, every fourth retypes."""
+    marks = table(spark, sf_dir, "events").where("event_id % 1000 = 0").select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 10).alias("xid"))
+    v = F.floor(F.col("seq") / 1000)
+    col = lambda name, oid: F.struct(F.lit(name).alias("name"), oid.cast("long").alias("type_oid"))
+    base = F.array(col("user_id", F.lit(20)), col("event_type", F.when(v % 4 == 0, 25).otherwise(1043)))
+    columns = F.when(v % 3 == 0, F.concat(base, F.array(col("extra", F.lit(25))))).otherwise(base)
+    return marks.select("seq", "xid", F.lit(1).cast("long").alias("relation_id"), F.lit("public").alias("src_schema"), F.lit("events").alias("src_table"), columns.alias("columns"))
+
+
+REL = "rel AS (SELECT event_id AS seq, event_id // 10 AS xid, event_id // 1000 AS v FROM events WHERE event_id % 1000 = 0)"
+
+
+@query(f"WITH {REL} SELECT e.event_id AS seq, r.seq AS layout_seq, CASE WHEN r.v % 3 = 0 THEN 3 ELSE 2 END AS n_columns FROM events e ASOF JOIN rel r ON e.event_id >= r.seq")
+def relation_asof(spark, sf_dir):
+    rel = relations(spark, sf_dir).withColumn("layout_seq", F.col("seq")).drop("src_schema", "src_table", "xid")
+    return X.with_relation(event_changes(spark, sf_dir).select("seq", "relation_id"), rel).where("layout_seq IS NOT NULL").select("seq", "layout_seq", F.size("columns").alias("n_columns"))
+
+
+@query(f"""WITH {REL}, p AS (SELECT *, lag(v) OVER (ORDER BY seq) AS w FROM rel),
+c AS (SELECT seq, w IS NOT NULL AND ((v % 3 = 0) <> (w % 3 = 0) OR (v % 4 = 0) <> (w % 4 = 0)) AS changed, w IS NOT NULL AND ((v % 4 = 0) <> (w % 4 = 0)) AS breaking FROM p)
+SELECT seq, changed, breaking, breaking AS unsafe FROM c""")
+def schema_changes(spark, sf_dir):
+    watched = X.watched_columns(configs(spark).where("name = 'types'").withColumn("columns", F.array(F.lit("event_type"))))
+    events = event_changes(spark, sf_dir).select("xid", "relation_id", "seq")
+    return X.schema_changes(relations(spark, sf_dir), watched, events).select("seq", "changed", "breaking", "unsafe")
+
+
+@query(f"""WITH {REL}, p AS (SELECT *, lag(v) OVER (ORDER BY seq) AS w FROM rel)
+SELECT seq, w IS NOT NULL AND ((v % 3 = 0) <> (w % 3 = 0) OR (v % 4 = 0) <> (w % 4 = 0)) AS unsafe FROM p""")
+def schema_changes_in_txn(spark, sf_dir):
+    # The layout comes after the first event of its transaction.
+    late = relations(spark, sf_dir)
+    events = event_changes(spark, sf_dir).select("xid", "relation_id", (F.col("seq") - 1).alias("seq"))
+    watched = X.watched_columns(configs(spark).where("name = 'types'").withColumn("columns", F.array(F.lit("user_id"))))
+    return X.schema_changes(late, watched, events).select("seq", "unsafe")
+
+
+# ---------------------------------------------------------------- actions
+
+
+@query(f"WITH {EV} SELECT lsn, CASE op WHEN 'delete' THEN 'delete' ELSE 'upsert' END AS action, event_type AS id, CASE WHEN op <> 'delete' THEN k END AS k, CASE WHEN op <> 'delete' THEN 2 END AS n_fields FROM ev")
+def passthrough_actions(spark, sf_dir):
+    acts = A.passthrough(R.routed(event_changes(spark, sf_dir), one(spark, "types")), ["event_type", "k"])
+    return acts.select("lsn", "action", "id", F.get_json_object("document", "$.k").alias("k"), F.size(F.json_object_keys("document")).alias("n_fields"))
+
+
+@query("""SELECT event_id, CASE WHEN props IS NULL THEN '{"b":"' || event_type || '","a":null}' ELSE '{"b":"' || event_type || '","a":"' || user_id || '"}' END AS document, event_type AS second, NULL::VARCHAR AS ninth FROM events""")
+def documents_of_arrays(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    values = F.array(F.when(F.col("props").isNotNull(), F.col("user_id").cast("string")), F.col("event_type"))
+    picked = A.reindex(values, F.array(F.lit(1), F.lit(0), F.lit(8)))
+    return e.select("event_id", S.passthrough_document(F.array(F.lit("b"), F.lit("a")), picked).alias("document"), picked[0].alias("second"), picked[2].alias("ninth"))
+
+
+def _score(frame):
+    import pandas as pd
+
+    return pd.DataFrame({"action": ["delete" if op == "delete" else "skip" if c.get("event_type") == "view" else "upsert" for op, c in zip(frame["op"], frame["columns"], strict=True)], "id": frame["id"], "document": [{"kind": c.get("event_type"), "score": len(c.get("event_type") or "")} for c in frame["columns"]]})
+
+
+def _broken(frame):
+    raise ValueError("no model")
+
+
+@query(f"""WITH {EV} SELECT 'users' AS config, lsn, CASE WHEN op = 'delete' THEN 'delete' WHEN event_type = 'view' THEN 'skip' ELSE 'upsert' END AS action, CAST(length(event_type) AS VARCHAR) AS score, NULL::VARCHAR AS error FROM ev
+UNION ALL SELECT 'types', lsn, 'skip', NULL, 'ValueError: no model' FROM ev""")
+def user_transform(spark, sf_dir):
+    routed = R.routed(event_changes(spark, sf_dir), configs(spark).where("name IN ('users', 'types')"))
+    acts = A.transform(routed, {"users": _score, "types": _broken})
+    return acts.select("config", "lsn", "action", F.get_json_object("document", "$.score").alias("score"), "error")
+
+
+@query(f"""WITH {EV}, c AS (SELECT 'users' AS namespace, count(DISTINCT ack_lsn) AS calls, count(*) FILTER (op <> 'delete' AND event_type <> 'view') AS upserts, count(*) FILTER (op = 'delete') AS deletes, count(*) FILTER (event_type = 'view') AS skips FROM ev) SELECT * FROM c""")
+def sink_stats(spark, sf_dir):
+    return MR.write_statistics(A.transform(R.routed(event_changes(spark, sf_dir), one(spark, "users")), {"users": _score}))
+
+
+METRIC = "CASE WHEN vec_id % 40 = 7 THEN 'euclidean_squared' WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 'dot' ELSE 'cosine_distance' END"
+
+
+@query(f"WITH a AS (SELECT vec_id // 20 AS batch_id, {METRIC} AS m FROM embeddings) SELECT 'vectors' AS namespace, batch_id, count(DISTINCT m) FILTER (m <> 'dot') AS metrics, 'mixed distance metrics in batch' AS problem FROM a GROUP BY batch_id HAVING count(DISTINCT m) FILTER (m <> 'dot') > 1")
+def batch_uniformity(spark, sf_dir):
+    acts = table(spark, sf_dir, "embeddings").select(F.lit("vectors").alias("namespace"), F.floor(F.col("vec_id") / 20).alias("batch_id"), F.lit("upsert").alias("action"), F.expr(METRIC).alias("distance_metric"), F.lit(None).cast("string").alias("attr_schema"))
+    return A.mixed_batches(acts).select("namespace", "batch_id", "metrics", "problem")
+
+
+@query("SELECT vec_id, CASE vec_id % 4 WHEN 1 THEN 'document must be a JSON object' WHEN 2 THEN 'vector needs a distance metric' END AS problem, 64 AS kept FROM embeddings")
+def action_checks(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    document = F.when(F.col("vec_id") % 4 == 1, F.lit("[1]")).otherwise(F.to_json(F.struct("label")))
+    metric = F.when(F.col("vec_id") % 4 == 2, F.lit("dot")).otherwise(F.lit("cosine_distance"))
+    return v.select("vec_id", S.action_problem(F.lit("upsert"), document, F.col("embedding"), metric).alias("problem"), F.size(S.vector_json("embedding")).alias("kept"))
+
+
+def _embed(texts):
+    import hashlib
+
+    return [[b / 255 for b in hashlib.md5((t or "").encode()).digest()[:8]] for t in texts]
+
+
+@query("SELECT doc_id, 8 AS dims, round(CAST(('0x' || md5(coalesce(text, ''))[1:2]) AS INTEGER) / 255.0, 4) AS first FROM documents")
+def distinct_embed(spark, sf_dir):
+    d = A.embed_distinct(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _embed)
+    return d.select("doc_id", F.size("vector").alias("dims"), F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:16], ' ') AS truncated FROM documents")
+def truncate_tokens(spark, sf_dir):
+    return A.truncate_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 16).select("doc_id", "truncated")
+
+
+@query(f"""WITH {EV} SELECT lsn, CASE op WHEN 'delete' THEN 'delete' ELSE 'upsert' END AS action, CASE WHEN op <> 'delete' THEN 'cosine_distance' END AS distance_metric,
+ CASE WHEN op <> 'delete' THEN round(CAST(('0x' || md5(event_type)[1:2]) AS INTEGER) / 255.0, 4) END AS first FROM ev""")
+def embed_and_upsert(spark, sf_dir):
+    acts = A.embed_and_upsert(R.routed(event_changes(spark, sf_dir), one(spark, "users")), "event_type", _embed)
+    return acts.select("lsn", "action", "distance_metric", F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
+
+
+@query()
+def dry_run(spark, sf_dir):
+    sample = event_changes(spark, sf_dir).limit(1)
+    return C.dry_run(R.routed(sample, one(spark, "users")), lambda r: A.transform(r, {"users": _score})).select("config", "action", "error")
+
+
+# ---------------------------------------------------------------- the mirror
+
+LATEST_EV = f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC, seq DESC) AS n FROM ev)"
+
+
+def events_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MR.latest(A.passthrough(R.routed(event_changes(spark, sf_dir), one(spark, "users"))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    """Change log, three configs, passthrough documents, latest per id, the first documents of a namespace."""
+    changes = R.routed(event_changes(spark, sf_dir), configs(spark).where("name IN ('users', 'types', 'keys')"))
+    return MR.first_documents(MR.visible(MR.latest(A.passthrough(changes))), "users", 100, "uint").select("namespace", "id", "document", "lsn")
+
+
+@query(f"{LATEST_EV} SELECT 'users' AS namespace, user_id AS id, event_type, k, lsn FROM r WHERE n = 1 AND op <> 'delete'")
+def mirror_latest(spark, sf_dir):
+    return MR.visible(events_mirror(spark, sf_dir)).select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+
+
+@query(f"WITH {LI}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lsn DESC, seq DESC) AS n FROM li) SELECT 'parts' AS namespace, id, suppkey, linenumber, lsn, seq FROM r WHERE n = 1 AND op <> 'delete'")
+def mirror_latest_parts(spark, sf_dir):
+    m = MR.visible(MR.latest(A.passthrough(R.routed(lineitem_changes(spark, sf_dir), one(spark, "parts")))))
+    return m.select("namespace", "id", F.get_json_object("document", "$.suppkey").alias("suppkey"), F.get_json_object("document", "$.linenumber").alias("linenumber"), "lsn", "seq")
+
+
+@query(ORACLES["mirror_latest"])
+def mirror_store(spark, sf_dir):
+    """The same through the versioned store, in three batches, one of them twice."""
+    store = MR.MirrorStore(spark, shared_folder(spark), 16)
+    acts = A.passthrough(R.routed(event_changes(spark, sf_dir), one(spark, "users")))
+    for n, part in enumerate((F.col("lsn") % 3 == 0, F.col("lsn") % 3 == 2, F.col("lsn") % 3 == 2, F.col("lsn") % 3 == 1)):
+        store.apply(acts.where(part), n - (n > 1))
+    return store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+
+
+@query(f"""WITH {EV}, s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events), c AS (SELECT user_id AS id, op, k, lsn FROM ev WHERE lsn > 5000),
+u AS (SELECT id, 'upsert' AS op, NULL AS k, 5000 AS lsn FROM s UNION ALL SELECT id, op, k, lsn FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lsn DESC) AS n FROM u)
+SELECT id, k, lsn FROM r WHERE n = 1 AND op <> 'delete'""")
+def backfill_then_cdc(spark, sf_dir):
+    source = table(spark, sf_dir, "events").select("user_id").distinct()
+    snap = B.snapshot_actions(source, "users", "users", "user_id", "uint", 5000, "public", "events")
+    acts = A.passthrough(R.routed(event_changes(spark, sf_dir), one(spark, "users")))
+    return MR.visible(MR.latest(B.handoff(snap, acts, 5000))).select("id", F.get_json_object("document", "$.k").alias("k"), "lsn")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, 'upsert' AS action, CAST(o_custkey AS VARCHAR) AS custkey, 77::BIGINT AS lsn FROM orders WHERE o_orderkey > 9000")
+def backfill_resume(spark, sf_dir):
+    acts = B.snapshot_actions(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "orders", "orders", "o_orderkey", "int", 77, "public", "orders", after_id="9000")
+    return acts.select("id", "action", F.get_json_object("document", "$.o_custkey").alias("custkey"), "lsn")
+
+
+def checkpoints(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("users", 4009, 7, 1), ("types", 999, 5, 1), ("parts", 100, 2, 1)], ST.CHECKPOINT_SCHEMA)
+
+
+@query(f"""WITH {EV}, cp(config, lsn) AS (VALUES ('users', 4009), ('types', 999)), c(config) AS (VALUES ('users'), ('types'), ('keys'))
+SELECT c.config, count(*) AS n_events FROM ev JOIN c ON c.config <> 'keys' OR k IS NOT NULL LEFT JOIN cp ON cp.config = c.config WHERE ack_lsn > coalesce(cp.lsn, -1) GROUP BY 1""")
+def checkpoint_skip(spark, sf_dir):
+    routed = R.routed(event_changes(spark, sf_dir), configs(spark).where("name IN ('users', 'types', 'keys')"))
+    return R.routed_counts(R.skip_applied(routed, checkpoints(spark), "ack_lsn"))
+
+
+@query(f"""WITH {EV}, cp(config, lsn, n) AS (VALUES ('users', 4009, 7), ('types', 999, 5), ('parts', 100, 2)), c(config) AS (VALUES ('users'), ('types'), ('keys'), ('parts'), ('suppliers')),
+e AS (SELECT c.config, count(*) AS n FROM ev JOIN c ON c.config IN ('users', 'types') OR (c.config = 'keys' AND k IS NOT NULL) LEFT JOIN cp ON cp.config = c.config WHERE ack_lsn > coalesce(cp.lsn, -1) GROUP BY 1)
+SELECT c.config, greatest((SELECT max(ack_lsn) FROM ev), coalesce(cp.lsn, -1)) AS lsn, coalesce(cp.n, 0) + coalesce(e.n, 0) AS events_processed, 99::BIGINT AS start_lsn FROM c LEFT JOIN cp USING (config) LEFT JOIN e USING (config)""")
+def checkpoint_advance(spark, sf_dir):
+    changes, live = event_changes(spark, sf_dir), R.active(configs(spark))
+    routed = R.skip_applied(R.routed(changes, live), checkpoints(spark), "ack_lsn")
+    after = ST.advance(checkpoints(spark), live, routed, changes.select("ack_lsn"), 5)
+    progress = spark.createDataFrame([("keys", None, 10, 10, "completed", 1, 2, None, 99)], ST.PROGRESS_SCHEMA)
+    return after.select("config", "lsn", "events_processed").crossJoin(F.broadcast(ST.start_lsn(checkpoints(spark), progress)))
+
+
+@query("SELECT o_orderstatus AS namespace FROM orders WHERE o_orderstatus > 'F' GROUP BY 1 ORDER BY 1 LIMIT 2")
+def namespace_list(spark, sf_dir):
+    return MR.list_namespaces(orders_mirror(spark, sf_dir), "", "F", 2)
+
+
+def orders_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderstatus").alias("namespace"), F.col("o_orderkey").cast("string").alias("id"), F.to_json(F.struct("o_custkey", "o_orderpriority")).alias("document"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("distance_metric"), F.lit(1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("deleted"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 10) t")
+def namespace_topk(spark, sf_dir):
+    return MR.first_documents(orders_mirror(spark, sf_dir), "O", 10, "uint").select("id", F.get_json_object("document", "$.o_custkey").alias("custkey"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey DESC, CAST(o_orderkey AS VARCHAR) LIMIT 25) t")
+def rank_by_attribute(spark, sf_dir):
+    return MR.rank_by_attribute(orders_mirror(spark, sf_dir), "F", "o_custkey", 25, ["o_orderpriority", "o_custkey"], descending=True, as_type="bigint")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return v, v.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+
+
+VECTOR_SQL = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.id AS query_id, v.id, {dist} AS dist FROM v q, v WHERE q.id < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM d) SELECT query_id, rank::INTEGER AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= 10"""
+
+
+@query(VECTOR_SQL.format(dist="1 - list_inner_product(q.v, v.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(v.v, v.v))"))
+def vector_topk_cosine(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return MR.vector_top_k(v, q.where("query_id < 5"), 10, "cosine_distance").withColumn("dist", F.round("dist", 6))
+
+
+@query(VECTOR_SQL.format(dist="list_sum(list_transform(list_zip(q.v, v.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"))
+def vector_topk_l2(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return MR.vector_top_k(v, q, 10, "euclidean_squared").withColumn("dist", F.round("dist", 6))
+
+
+@query(f"{LATEST_EV} SELECT user_id AS id, op = 'delete' AS deleted FROM r WHERE n = 1 AND NOT (op = 'delete' AND lsn < 9000)")
+def drop_markers(spark, sf_dir):
+    low = spark.createDataFrame([("users", 9000, 0, 0), ("keys", 9500, 0, 0)], ST.CHECKPOINT_SCHEMA)
+    return MR.drop_markers(events_mirror(spark, sf_dir), low).select("id", "deleted")
+
+
+# ---------------------------------------------------------------- dead letters
+
+DLQ_SQL = f"""{EV}, dlq AS (SELECT 'users-' || lsn || '-' || seq AS dlq_id, CASE WHEN lsn % 11 = 0 THEN 'gone' ELSE 'users' END AS config, lsn, CASE WHEN lsn % 13 = 0 THEN NULL ELSE '{{"Uint":' || user_id || '}}' END AS doc_id, user_id AS id,
+ CASE WHEN lsn % 17 = 0 THEN NULL WHEN lsn % 2 = 0 THEN 'update' ELSE 'delete' END AS op, CASE WHEN lsn % 5 = 0 THEN 'permanent' ELSE 'retryable' END AS kind, CAST(lsn % 4 AS INTEGER) AS retry_count, lsn * 1000 AS created_ms,
+ CASE WHEN lsn % 5 = 0 THEN lsn * 100000 END AS permanent_ms FROM ev WHERE event_type = 'error')"""
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = event_changes(spark, sf_dir).where("op = 'delete'")
+    routed = R.routed(bad, one(spark, "users")).withColumn("error", F.lit("store is away"))
+    d = D.entries(routed, 0)
+    i = F.col("lsn")
+    permanent = i % 5 == 0
+    return d.withColumns({
+        "config": F.when(i % 11 == 0, "gone").otherwise(F.col("config")), "doc_id": F.when(i % 13 != 0, F.col("doc_id")), "op": F.when(i % 17 == 0, F.lit(None).cast("string")).when(i % 2 == 0, "update").otherwise("delete"),
+        "kind": F.when(permanent, "permanent").otherwise("retryable"), "retry_count": (i % 4).cast("int"), "created_ms": i * 1000, "permanent_ms": F.when(permanent, i * 100000),
+    })
+
+
+@query(f"WITH {DLQ_SQL} SELECT count(*) FILTER (kind = 'retryable') AS retryable, count(*) FILTER (kind = 'permanent') AS permanent, count(*) AS n FROM dlq")
+def dlq_counts(spark, sf_dir):
+    d = dead_letters(spark, sf_dir)
+    return D.counts_by_kind(d).crossJoin(D.counts(d))
+
+
+@query(f"WITH {DLQ_SQL} SELECT dlq_id, created_ms FROM dlq WHERE config = 'users' ORDER BY created_ms DESC, dlq_id DESC LIMIT 20")
+def dlq_list(spark, sf_dir):
+    return D.listing(dead_letters(spark, sf_dir), 20, "users").select("dlq_id", "created_ms")
+
+
+@query(f"WITH {DLQ_SQL} SELECT dlq_id, doc_id, op FROM dlq WHERE kind = 'retryable' AND config = 'users' ORDER BY created_ms, dlq_id LIMIT 50")
+def dlq_retryable(spark, sf_dir):
+    return D.retryable(dead_letters(spark, sf_dir), configs(spark), 50).select("dlq_id", "doc_id", "op")
+
+
+@query(f"WITH {DLQ_SQL} SELECT dlq_id, CASE WHEN config = 'gone' THEN 'config no longer exists' WHEN doc_id IS NULL THEN 'missing doc_id' WHEN op IS NULL THEN 'missing operation (legacy entry)' END AS reason FROM dlq")
+def dlq_orphans(spark, sf_dir):
+    return D.orphans(dead_letters(spark, sf_dir), R.active(configs(spark))).select("dlq_id", "reason")
+
+
+@query(f"""WITH {DLQ_SQL}, s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events WHERE user_id % 2 = 0)
+SELECT dlq_id, CASE WHEN op = 'delete' OR s.id IS NULL THEN 'delete' ELSE op END AS replay_op, CASE WHEN op <> 'delete' THEN s.id END AS new_id FROM dlq LEFT JOIN s ON s.id = dlq.id WHERE config = 'users' AND doc_id IS NOT NULL AND op IS NOT NULL""")
+def dlq_replay(spark, sf_dir):
+    sound = D.orphans(dead_letters(spark, sf_dir), R.active(configs(spark))).where("reason IS NULL")
+    source = table(spark, sf_dir, "events").where("user_id % 2 = 0").select("user_id").distinct()
+    return D.replay_events(sound, source, "user_id").select("dlq_id", "replay_op", F.try_element_at("new", F.lit("user_id")).alias("new_id"))
+
+
+@query(f"""WITH {DLQ_SQL}, f AS (SELECT *, lsn % 3 = 0 AS ok, lsn % 3 = 1 AS bad, lsn % 7 = 0 AS fatal FROM dlq)
+SELECT dlq_id, CASE WHEN bad AND fatal THEN 'no row' WHEN bad AND retry_count + 1 >= 3 THEN 'max retries exhausted: no row' ELSE 'store is away' END AS error, CASE WHEN bad AND (fatal OR retry_count + 1 >= 3) THEN 'permanent' ELSE kind END AS kind,
+ CASE WHEN bad AND NOT (fatal OR retry_count + 1 >= 3) THEN retry_count + 1 ELSE retry_count END AS retry_count FROM f WHERE NOT ok""")
+def dlq_retry_accounting(spark, sf_dir):
+    d = dead_letters(spark, sf_dir)
+    results = d.where("lsn % 3 < 2").select("dlq_id", (F.col("lsn") % 3 == 0).alias("ok"), F.lit("no row").alias("error"), (F.col("lsn") % 7 == 0).alias("fatal"))
+    return D.settle(d, results, 3, 9).select("dlq_id", "error", "kind", "retry_count")
+
+
+@query(f"WITH {DLQ_SQL} SELECT dlq_id FROM dlq WHERE NOT (kind = 'permanent' AND permanent_ms < 600000000 - 72 * 3600000)")
+def dlq_purge(spark, sf_dir):
+    return D.purge(dead_letters(spark, sf_dir), 600_000_000).select("dlq_id")
+
+
+# ---------------------------------------------------------------- contracts, purges, metrics
+
+
+@query("""SELECT 'orders' AS config, true AS ok, NULL::VARCHAR AS problem UNION ALL SELECT 'lines', false, 'id is not unique' UNION ALL SELECT 'names', false, 'id type ''int'' doesn''t fit column type ''text''' UNION ALL SELECT 'none', false, 'id column ''nope'' not found'
+UNION ALL SELECT 'cols', false, 'columns not found: x' UNION ALL SELECT 'stale', false, 'declared columns are stale'""")
+def source_contract(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    reports = [
+        C.check_source(t("orders"), {"name": "orders", "id_column": "o_orderkey", "id_type": "uint"}),
+        C.check_source(t("lineitem"), {"name": "lines", "id_column": "l_orderkey", "id_type": "int"}),
+        C.check_source(t("customer"), {"name": "names", "id_column": "c_name", "id_type": "int"}),
+        C.check_source(t("customer"), {"name": "none", "id_column": "nope", "id_type": "int"}),
+        C.check_source(t("customer"), {"name": "cols", "id_column": "c_custkey", "id_type": "int", "columns": ["c_name", "x"]}),
+        C.check_source(t("part"), {"name": "stale", "id_column": "p_partkey", "id_type": "int"}, declared=[("p_partkey", "int8")]),
+    ]
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return C.duplicate_ids(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("SELECT 1 AS place, 'c_title' AS declared_name, 'c_name' AS actual_name UNION ALL SELECT 5, 'c_extra', NULL")
+def column_differences(spark, sf_dir):
+    actual = C.columns_of(spark, table(spark, sf_dir, "customer"))
+    declared = actual.withColumn("name", F.when(F.col("place") == 1, "c_title").otherwise(F.col("name"))).unionByName(spark.createDataFrame([(5, "c_extra", "text")], actual.schema))
+    return C.column_differences(declared, actual).select("place", "declared_name", "actual_name")
+
+
+@query(f"WITH {DLQ_SQL} SELECT 'mirror' AS part, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS n UNION ALL SELECT 'dlq', (SELECT count(*) FROM dlq WHERE config <> 'users') UNION ALL SELECT 'namespace', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O')")
+def purge_config(spark, sf_dir):
+    gone = spark.createDataFrame([("users", "F")], "name string, namespace string")
+    mirror, states = C.purge_config(orders_mirror(spark, sf_dir), {"dlq": dead_letters(spark, sf_dir)}, gone)
+    count = lambda df, part: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return count(mirror, "mirror").unionByName(count(states["dlq"], "dlq")).unionByName(count(MR.delete_namespace(orders_mirror(spark, sf_dir), "O"), "namespace"))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(n) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = round(0.5 * (n - 1))) AS p50, max(value) FILTER (i = round(0.95 * (n - 1))) AS p95, max(value) FILTER (i = round(0.99 * (n - 1))) AS p99, max(value) FILTER (i = round(0.999 * (n - 1))) AS p99_9 FROM r GROUP BY 1""")
+def latency_summary(spark, sf_dir):
+    return M.latency_summary(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {EV} SELECT xid, (1800000000000000 - (max(commit_us) + 946684800000000)) / 1000.0::DOUBLE AS lag_ms FROM ev GROUP BY xid")
+def replication_lag(spark, sf_dir):
+    txns = event_changes(spark, sf_dir).groupBy("xid").agg(F.max("commit_us").alias("commit_us"))
+    return M.replication_lag(txns, F.lit(1_800_000_000_000_000)).select("xid", "lag_ms")
+
+
+@query(f"WITH {EV}, {DLQ_SQL.split(', dlq AS', 1)[0].replace(EV, 'x1 AS (SELECT 1)')} SELECT count(*) AS processed, 0::BIGINT AS failed, count(DISTINCT ack_lsn) AS requests, count(DISTINCT xid) AS acks, count(*) FILTER (event_type = 'error') AS dlq_size FROM ev")
+def pipeline_metrics(spark, sf_dir):
+    changes = event_changes(spark, sf_dir)
+    acts = A.passthrough(R.routed(changes, one(spark, "users")))
+    return M.pipeline_metrics(acts, dead_letters(spark, sf_dir), changes.select("xid").distinct())
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query(ORACLES["mirror_latest"])
+def stream_mirror(spark, sf_dir):
+    """Events as files, read by a stream in micro-batches into the versioned mirror."""
+    from tidemirror.sources.changelog import stream_changes
+    from tidemirror.streaming.mirror_stream import Mirror
+
+    folder = shared_folder(spark)
+    event_changes(spark, sf_dir).repartitionByRange(5, "lsn").write.parquet(f"{folder}/log")
+    mirror = Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
+    mirror.run(stream_changes(spark, f"{folder}/log", files_per_trigger=2), f"{folder}/q")
+    return mirror.store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+
+
