@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts are long, so far fewer than Spark's 10,000.
@@ -24,17 +26,36 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder: later steps reread it, lost executors cost nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+@dataclass
+class Stored:
+    """A table written as Parquet into the shared folder, to be dropped when it has served."""
+
+    df: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def stored(df: DataFrame) -> Stored:
+    """Write a table into the cluster's shared folder and read it back from there.
 
-def row_key(text: Column, doc_id: Column) -> list[Column]:
-    """(doc_id, text hash): tells rows apart also where an id is null or given twice."""
-    return [doc_id.cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("_rk")]
+    Unlike checkpoint() this computes the last stage once, and Parquet is small. The shuffles behind it have served then;
+    Spark is asked to remove their files with the job that made them.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage: later steps reread them, lost executors cost nothing."""
+    return stored(df).df
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:

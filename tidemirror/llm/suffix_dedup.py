@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, as_bytes, blocks, cut, mix, span_hashes, table, text_batches
+from .common import _BYTE, _powers, as_bytes, blocks, cut, mix, span_hashes, stored, table, text_batches
 
 WINDOW, GRAM = 400, 64
 #: Different runs of one anchor, and about as many of all anchors, that one task puts into suffix order.
@@ -111,20 +111,20 @@ def all_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, _ROW)
 
 
-def sub_rows(text: bytes, h: int, start: int, n: int, size: int) -> list[tuple[int, int, int, int]]:
-    """The runs that a run is split into: (h, c1, c2, at). Borders are where (place - anchor) is a multiple of size."""
-    piece = text[start : start + n - 1 + WINDOW]
-    anchor = start + anchor_of(piece)
+def sub_rows(piece: bytes, h: int, start: int, n: int, size: int) -> list[tuple[int, int, int, int, bytes]]:
+    """The runs that a run is split into: (h, c1, c2, at, bytes). Borders are where (place - anchor) is a multiple of size."""
+    anchor = anchor_of(piece)
     out = []
-    s = start
-    while s < start + n:
-        stop = min(start + n, s + size - (s - anchor) % size)
+    s = 0
+    while s < n:
         border = s - (s - anchor) % size  # where the full block would start
+        stop = min(n, border + size)
         # All windows of a full block share these bytes; the key must be the same for cut-off blocks at a run's ends.
-        core = text[border + size - 1 : border + WINDOW]
+        core = piece[border + size - 1 : border + WINDOW]
         key = hashlib.blake2b(core + struct.pack("<qq", h, border - anchor), digest_size=8).digest()
-        c1, c2 = _context(text[s : stop - 1 + WINDOW] + struct.pack("<q", s - border))
-        out.append((struct.unpack("<q", key)[0], c1, c2, s * 1024 + stop - s))
+        own = piece[s : stop - 1 + WINDOW]
+        c1, c2 = _context(own + struct.pack("<q", s - border))
+        out.append((struct.unpack("<q", key)[0], c1, c2, (start + s) * 1024 + stop - s, own))
         s = stop
     return out
 
@@ -204,60 +204,88 @@ def _same(a: str, b: str):
 
 def repeated_spans(docs: DataFrame, keep: str = "first") -> DataFrame:
     """doc_id, _rk, start, end of repeated bytes, for texts with the columns doc_id, _rk and text. Spans may overlap."""
-    spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(docs.sparkSession)
     first_only = keep == "first"
-    level = cut(all_runs(docs))
-    found: list[DataFrame] = []
-    for size in (*SPLITS, None):
+    level, found = stored(all_runs(docs)), []
+    for depth in range(len(SPLITS) + 1):
+        rows = level.df
         # Partial aggregation makes one row for each key and task, however hot a key is.
-        place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "_rk", "at", "doc_id")
-        kinds = cut(level.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first")))
-        anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        same = kinds.where("n > 1").select("h", "c1", "c2", "first").alias("k")
-        copies = level.alias("r").join(same, ["h", "c1", "c2"]).select("r.doc_id", "r._rk", "r.at", "first")
-        if first_only:
-            copies = copies.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first._rk") == F.col("_rk")) & (F.col("first.at") == F.col("at"))))
-        start = F.floor(F.col("at") / 1024).cast("long")
-        found.append(copies.select("doc_id", "_rk", start.alias("start"), (start + F.col("at") % 1024 + (WINDOW - 1)).alias("end")))
-        differing = kinds.join(anchors, "h").select("h", "kinds", "first.doc_id", "first._rk", "first.at", "first.order")
-        differing = cut(differing)
-        if differing.isEmpty():
+        place = [F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "_rk", "at", "doc_id"] + (["piece"] if depth else [])
+        kinds = stored(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")))
+        found.append(cut(_copies(rows, kinds.df, first_only)))
+        differing = stored(_differing(kinds.df))
+        level.drop()
+        kinds.drop()
+        size = SPLITS[depth] if depth < len(SPLITS) else None
+        if differing.df.isEmpty():
             break
-        fetched = _with_text(docs, differing, size)
-        fetched = cut(fetched)
-        groups = fetched.where("piece IS NOT NULL")
-        found.append(_in_suffix_order(groups, first_only))
-        if size is None or differing.where(F.col("kinds") > GROUP_RUNS).isEmpty():
+        fetched = stored(_pieces_of_texts(docs, differing.df, size) if not depth else _pieces_of_runs(differing.df, size))
+        differing.drop()
+        found.append(cut(_in_suffix_order(fetched.df.where("bin IS NOT NULL"), first_only)))
+        level = fetched
+        level.df = fetched.df.where("bin IS NULL").select("h", "c1", "c2", "doc_id", "_rk", "at", "piece")
+        if level.df.isEmpty():
             break
-        level = fetched.where("piece IS NULL").select("h", "c1", "c2", "doc_id", "_rk", "at")
+    level.drop()
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
     return out
 
 
-def _with_text(docs: DataFrame, runs_: DataFrame, size: int | None) -> DataFrame:
-    """The bytes of runs in groups that fit a task; runs of larger groups split into shorter ones."""
-    bins = max(1, runs_.count() // GROUP_RUNS)
+def _copies(rows: DataFrame, kinds: DataFrame, first_only: bool) -> DataFrame:
+    """Spans of runs that are equal as a whole to another run (to an earlier one)."""
+    same = kinds.where("n > 1").select("h", "c1", "c2", "first.doc_id", "first._rk", "first.at").alias("k")
+    copies = rows.select("h", "c1", "c2", "doc_id", "_rk", "at").alias("r").join(same, ["h", "c1", "c2"])
+    if first_only:
+        copies = copies.where(~(F.col("k.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k._rk") == F.col("r._rk")) & (F.col("k.at") == F.col("r.at"))))
+    start = F.floor(F.col("r.at") / 1024).cast("long")
+    return copies.select("r.doc_id", "r._rk", start.alias("start"), (start + F.col("r.at") % 1024 + (WINDOW - 1)).alias("end"))
+
+
+def _differing(kinds: DataFrame) -> DataFrame:
+    """The first run of each kind, where an anchor has several kinds."""
+    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return kinds.join(anchors, "h").select("h", "kinds", "first.*")
+
+
+_FETCHED = "bin long, h long, c1 long, c2 long, doc_id long, _rk long, at long, order long, piece binary"
+
+
+def _placed(rows: list[tuple], bins: int, size: int | None, most: int) -> pd.DataFrame:
+    """Runs (h, kinds, doc_id, _rk, at, order, bytes) as rows of their bin, or, of groups too large, split."""
+    out = []
+    for h, kinds, doc, rk, at, order, piece in rows:
+        if size is None or kinds <= most:
+            out.append((h % bins, h, None, None, doc, rk, at, order, piece))
+        else:
+            out.extend((None, h_, c1, c2, doc, rk, at_, None, own) for h_, c1, c2, at_, own in sub_rows(piece, h, at // 1024, at % 1024, size))
+    return pd.DataFrame(out, columns=["bin", "h", "c1", "c2", "doc_id", "_rk", "at", "order", "piece"]).astype({c: "Int64" for c in ("bin", "c1", "c2", "doc_id", "order")})
+
+
+def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None) -> DataFrame:
+    bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
     listed = runs_.groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("h", "kinds", "at", "order")).alias("runs"))
-    both = docs.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc_id", "d._rk", "text", "runs")
-    limit = GROUP_RUNS if size is not None else 1 << 62
+    both = docs.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc_id", "d._rk", "text", "runs").dropDuplicates(["doc_id", "_rk"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            rows = []
             for doc, rk, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rk"], as_bytes(batch["text"]), batch["runs"], strict=True):
-                for r in own:
-                    start, n = divmod(r["at"], 1024)
-                    if r["kinds"] <= limit:
-                        out.append((r["h"] % bins, r["h"], None, None, doc, rk, r["at"], r["order"], text[start : start + n - 1 + WINDOW]))
-                    else:
-                        out.extend((None, h, c1, c2, doc, rk, at, None, None) for h, c1, c2, at in sub_rows(text, r["h"], start, n, size))
-            yield pd.DataFrame(out, columns=["bin", "h", "c1", "c2", "doc_id", "_rk", "at", "order", "piece"]).astype({c: "Int64" for c in ("bin", "c1", "c2", "doc_id", "order")})
-
-    distinct = both.dropDuplicates(["doc_id", "_rk"])
-    return distinct.mapInPandas(run, "bin long, h long, c1 long, c2 long, doc_id long, _rk long, at long, order long, piece binary")
+                rows.extend((r["h"], r["kinds"], doc, rk, r["at"], r["order"], text[r["at"] // 1024 : r["at"] // 1024 + r["at"] % 1024 - 1 + WINDOW]) for r in own)
+            yield _placed(rows, bins, size, most)
+
+    return both.mapInPandas(run, _FETCHED)
+
+
+def _pieces_of_runs(runs_: DataFrame, size: int | None) -> DataFrame:
+    bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _placed(list(zip(batch["h"], batch["kinds"], batch["doc_id"].astype("Int64"), batch["_rk"], batch["at"], batch["order"], batch["piece"], strict=True)), bins, size, most)
+
+    return runs_.select("h", "kinds", "doc_id", "_rk", "at", "order", "piece").mapInPandas(run, _FETCHED)
 
 
 def _in_suffix_order(groups: DataFrame, first_only: bool) -> DataFrame:
