@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, components, cut, mix, span_hashes, table, text_batches, word_table, words_of
+from .common import as_bytes, blocks, components, cut, mix, span_hashes, stored, table, text_batches, word_table, words_of
 
 SHINGLE, PERCENT = 4, 85
 GROUPS = 32
@@ -91,40 +91,43 @@ def needed(a, b, percent: int):
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each text (n, c1, c2), and each task's part of the count sketch (part, counts)."""
+    """A row for each text (n, c1, c2, point p), and each task's part of the count sketch (part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "_rk", "n", "c1", "c2", "part", "counts"]
+        names = ["doc_id", "_rk", "n", "c1", "c2", "p", "part", "counts"]
         for batch in batches:
             rows = []
             ids, keys = batch["doc_id"].astype("Int64").tolist(), batch["_rk"].tolist()
             for first, sets in shingle_sets(list(batch["text"]), k):
                 sketch += np.bincount(slots(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
-                rows.extend((ids[first + i], keys[first + i], len(s), *set_hash(s), None, None) for i, s in enumerate(sets))
+                rows.extend((ids[first + i], keys[first + i], len(s), *set_hash(s), point(s), None, None) for i, s in enumerate(sets))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "part": "Int64"})
         size = (1 << SKETCH_BITS) // SKETCH_PARTS
-        parts = [(None, None, None, None, None, i, sketch[i * size : (i + 1) * size].tobytes()) for i in range(SKETCH_PARTS)]
-        yield pd.DataFrame(parts, columns=names).astype({c: "Int64" for c in names[:6]})
+        parts = [(None, None, None, None, None, None, i, sketch[i * size : (i + 1) * size].astype(np.int32).tobytes()) for i in range(SKETCH_PARTS)]
+        yield pd.DataFrame(parts, columns=names).astype({c: "Int64" for c in (*names[:5], "part")})
 
-    return docs.mapInPandas(run, "doc_id long, _rk long, n long, c1 long, c2 long, part long, counts binary")
+    return docs.mapInPandas(run, "doc_id long, _rk long, n long, c1 long, c2 long, p array<int>, part long, counts binary")
 
 
 def sketch_of(profile: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches. Of fixed size."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
+    def add(kind: type):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x, kind).astype(np.int64) for x in pdf["counts"])
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.tobytes()]})
+
+        return run
 
     parts = profile.where("part IS NOT NULL").select("part", "counts", (F.rand(3) * 64).cast("int").alias("salt"))
-    some = parts.groupBy("part", "salt").applyInPandas(add, "part long, counts binary")
-    rows = some.groupBy("part").applyInPandas(add, "part long, counts binary").collect()
+    some = parts.groupBy("part", "salt").applyInPandas(add(np.int32), "part long, counts binary")
+    rows = some.groupBy("part").applyInPandas(add(np.int64), "part long, counts binary").collect()
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
 def block_keys(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, node, n, point) for the rarest shingles of every text."""
+    """(key, node) for the rarest shingles of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,18 +210,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
+        return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
 
     shared = F.pandas_udf(overlap, "long")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").withColumn("_i", shared("sa", "sb"))
-    return both.where(F.col("_i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("_i"))).select("a", "b")
+    return both.where(F.col("_i") * 100 >= percent * ((F.length("sa") + F.length("sb")) / 8 - F.col("_i"))).select("a", "b")
 
 
-def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int, schema: str) -> DataFrame:
-    """(node, n, p) or (node, s) of nodes, from the text of one of their rows."""
-    with_sets = schema.startswith("node long, s")
-    wanted = nodes.join(reps, "node")
+def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, s): the sets of nodes, from the text of one of their rows each."""
+    wanted = nodes.join(reps.select("node", "doc_id", "_rk"), "node")
     few = wanted.count() <= FETCH_BOUND
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,13 +229,13 @@ def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int, schema: st
             nodes_ = batch["node"].tolist()
             out = []
             for first, sets in shingle_sets(list(batch["text"]), k):
-                out.extend((nodes_[first + i], s.view(np.int64)) if with_sets else (nodes_[first + i], len(s), point(s)) for i, s in enumerate(sets))
-            yield pd.DataFrame(out, columns=["node", "s"] if with_sets else ["node", "n", "p"])
+                out.extend((nodes_[first + i], s.tobytes()) for i, s in enumerate(sets))
+            yield pd.DataFrame(out, columns=["node", "s"])
 
     right = wanted.alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._rk") == F.col("w._rk"))
     texts = docs.alias("d").join(F.broadcast(right) if few else right, same).select("node", "text")
-    return texts.mapInPandas(run, schema).dropDuplicates(["node"])
+    return texts.mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
 def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +250,7 @@ def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent:
     # Each node is at home in one piece; guests visit every piece; the piece is repeated for every lot of guests.
     home = own.select("key", "node", "label", "n", "p", F.pmod(h, pieces).alias("piece"), F.explode(F.sequence(F.lit(0), rounds - 1)).alias("lot"), F.lit(False).alias("visits"))
     visit = own.where("guest").select("key", "node", "label", "n", "p", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.pmod(h, rounds).alias("lot"), F.lit(True).alias("visits"))
-    bins = max(1, keys.count() // 4_000)
+    bins = max(1, keys.count() // 20_000)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -272,14 +275,13 @@ def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     text_batches(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_rk", F.xxhash64("doc_id", "text"))
     profile = cut(profiles(docs, k))
-    rows = profile.where("part IS NULL").select("doc_id", "_rk", "n", "c1", "c2")
-    reps = cut(rows.where("n > 0").groupBy(F.col("c1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk")).alias("r")).select("node", "r.doc_id", "r._rk"))
-    # Distinct by partial aggregation first: a large group of equal texts sends each key once from each task.
-    keys = cut(block_keys(docs, sketch_of(profile), k, percent).distinct())
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = cut(keys.join(ends, "key"))
-    blocks_ = shared.select("key", "node")
-    points = cut(fetch(docs, reps, blocks_.select("node").distinct(), k, "node long, n long, p array<int>"))
+    rows = profile.where("part IS NULL")
+    reps = cut(rows.where("n > 0").groupBy(F.col("c1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n", "p")).alias("r")).select("node", "r.doc_id", "r._rk", "r.n", "r.p"))
+    keys = stored(block_keys(docs, sketch_of(profile), k, percent))
+    ends = keys.df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = cut(keys.df.join(ends, "key").distinct())
+    keys.drop()
+    blocks_, points = shared.select("key", "node"), reps.select("node", "n", "p")
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
     stars = stars.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
@@ -292,7 +294,7 @@ def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     for last in (False, True):
         pairs = cut(pairs)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(fetch(docs, reps, nodes, k, "node long, s array<bigint>"))
+        sets = cut(fetch(docs, reps, nodes, k))
         new = cut(verified(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
         labels = components(links)
