@@ -224,7 +224,7 @@ def type_coercion(spark, sf_dir):
     return e.select("event_id", "src", row.alias("r")).select("event_id", F.col("r.i").alias("as_int"), F.col("r.b").alias("as_bool"), F.col("r.f").alias("as_float"), F.try_variant_get("r.j", "$.k", "string").alias("k"), S.doc_type("src").alias("doc_type"), S.id_type_compatible(F.lit("int"), F.col("src")).alias("fits"))
 
 
-@query("SELECT event_id, upper(to_hex(event_id)) || '/' || upper(to_hex(event_id * 7)) AS lsn, CAST(event_id::HUGEINT * 4294967296 + event_id * 7 AS DECIMAL(20,0)) AS back, CASE event_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'nothing' WHEN 2 THEN 'full' ELSE 'index' END AS identity, CASE WHEN event_id % 2 = 0 THEN 'p_ns' ELSE 'ns' END AS namespace, CASE event_id % 3 WHEN 0 THEN 'retryable' WHEN 1 THEN 'permanent' ELSE 'retryable' END AS kind, epoch_ms(ts) AS ms FROM events")
+@query("SELECT event_id, upper(to_hex(event_id)) || '/' || upper(to_hex(event_id * 7)) AS lsn, CAST(event_id::HUGEINT * 4294967296 + event_id * 7 AS DECIMAL(20,0)) AS back, CASE event_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'nothing' WHEN 2 THEN 'full' ELSE 'index' END AS identity, CASE WHEN event_id % 2 = 0 THEN 'p_ns' ELSE 'ns' END AS namespace, CASE event_id % 3 WHEN 0 THEN 'retryable' WHEN 1 THEN 'permanent' ELSE 'retryable' END AS kind, epoch_us(ts) // 1000 AS ms FROM events")
 def scalar_functions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
