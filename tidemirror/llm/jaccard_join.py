@@ -253,17 +253,33 @@ def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent:
     bins = max(1, keys.count() // 20_000)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, block in pdf.groupby(["key", "piece", "lot"], sort=False):
-            q, e = block[block["visits"]], block[~block["visits"]]
-            if len(q) and len(e):
-                tree = CountTree(np.stack(e["p"].to_numpy()).astype(np.int64), e["n"].to_numpy())
-                i, j = tree.search(np.stack(q["p"].to_numpy()).astype(np.int64), q["n"].to_numpy(), percent)
-                other = q["label"].to_numpy()[i] != e["label"].to_numpy()[j]
-                a.append(q["node"].to_numpy()[i[other]])
-                b.append(e["node"].to_numpy()[j[other]])
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
+        pdf = pdf.sort_values(["key", "piece", "lot", "visits"], kind="stable")
+        points = np.stack(pdf["p"].to_numpy()).astype(np.int32)
+        n, label, node, visits = (pdf[c].to_numpy() for c in ("n", "label", "node", "visits"))
+        place = pdf[["key", "piece", "lot"]].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(axis=1))))
+        size = np.diff(np.concatenate((begin, [len(pdf)])))
+        guests_ = np.add.reduceat(visits.astype(np.int64), begin)
+        homes = size - guests_
+        # Blocks of one leaf need no tree: all their pairs at once.
+        small = homes <= LEAF
+        times = np.where(small, guests_, 0)
+        q = np.repeat(begin + homes, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        per = np.repeat(homes, times)
+        e = np.repeat(np.repeat(begin, times), per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        q = np.repeat(q, per)
+        found = []
+        for i in range(0, len(q), 1 << 16):
+            x, y = q[i : i + (1 << 16)], e[i : i + (1 << 16)]
+            ok = np.minimum(points[x], points[y]).sum(axis=1) >= needed(n[x], n[y], percent)
+            found.append((x[ok], y[ok]))
+        for at, h, g in zip(begin[~small], homes[~small], guests_[~small], strict=True):
+            if g:
+                i, j = CountTree(points[at : at + h], n[at : at + h]).search(points[at + h : at + h + g], n[at + h : at + h + g], percent)
+                found.append((at + h + i, at + j))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        other = label[x] != label[y]
+        a, b = node[x[other]], node[y[other]]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
     together = home.unionByName(visit).withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins)))
@@ -281,7 +297,8 @@ def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     ends = keys.df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = cut(keys.df.join(ends, "key").distinct())
     keys.drop()
-    blocks_, points = shared.select("key", "node"), reps.select("node", "n", "p")
+    # Every node of a block is compared with its two ends, so only the others can still hold an untried pair.
+    blocks_, points = shared.where("node <> lo AND node <> hi").select("key", "node"), reps.select("node", "n", "p")
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
     stars = stars.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
@@ -311,8 +328,9 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = join_components(df, k, percent)
     stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_rk").distinct().alias("s")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    once = df.withColumn("_rk", key).dropDuplicates(["doc_id", "_rk"]).alias("d")
-    return once.join(stay, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._rk") == F.col("s._rk")), "left_semi").drop("_rk")
+    # All columns travel in one struct, so none can clash with the operator's own.
+    once = df.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_rk"), F.struct(*df.columns).alias("_row")).dropDuplicates(["doc_id", "_rk"]).alias("d")
+    return once.join(stay, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._rk") == F.col("s._rk")), "left_semi").select("_row.*")
 
 
 def op7_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:

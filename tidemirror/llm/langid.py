@@ -153,7 +153,8 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             score[lettered] = p.max(axis=1)
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": (lang == UNKNOWN) | (score < m.threshold)})
 
-    return df.withColumn("_lid", predict(F.col(text))).select(*df.columns, "_lid.lang_pred", "_lid.score", "_lid.rejected")
+    own = ("lang_pred", "score", "rejected")  # columns of these names are replaced
+    return df.withColumn("_lid", predict(F.col(text))).select(*[c for c in df.columns if c not in own], *[f"_lid.{c}" for c in own])
 
 
 def held_out(doc_id: str = "doc_id"):

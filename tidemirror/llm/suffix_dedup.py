@@ -324,7 +324,8 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def dedup_texts(df: DataFrame, keep: str = "first") -> DataFrame:
     """The same rows with repeated passages cut out of text, at whole characters."""
-    both = with_spans(keyed(df), keep)
+    # All columns travel in one struct, so none can clash with the operator's own.
+    both = with_spans(keyed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*df.columns).alias("_row"))), keep)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -346,7 +347,8 @@ def dedup_texts(df: DataFrame, keep: str = "first") -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text_batches(df.sparkSession)
-    return both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans"))).select(*df.columns)
+    cut_text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans"))
+    return both.select(*[cut_text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
