@@ -75,7 +75,8 @@ def transform(changes: DataFrame, functions: dict[str, Transform]) -> DataFrame:
                     if len(got) != len(part):
                         raise ValueError(f"{len(got)} actions for {len(part)} events")
                     for c in ("action", "id", "document", "vector", "distance_metric", "attr_schema"):
-                        out[c] = got[c] if c in got else None
+                        values = got[c] if c in got else [None] * len(got)
+                        out[c] = pd.Series([None if isinstance(x, float) and x != x else x for x in values], dtype=object)
                     for c in ("document", "attr_schema"):
                         out[c] = [json.dumps(x) if isinstance(x, dict | list) else x for x in out[c]]
                     out["error"] = None

@@ -100,13 +100,14 @@ class Mirror:
 OUT = "xid long, seq long, payload string, ack_lsn long, commit_us long"
 
 
-def buffer_transactions(messages: DataFrame, timeout: str = "1 hour") -> DataFrame:
+def buffer_transactions(messages: DataFrame, timeout: str | None = None) -> DataFrame:
     """Rows (xid, seq, payload, is_commit, ack_lsn, commit_us) of a stream held back until their transaction commits.
 
     Rows and commits may come in any order and in any micro-batch; late rows of a committed transaction pass at once. The
-    state of a transaction that never commits goes when it times out.
+    state of a transaction that never commits goes when it times out (only under a continuous trigger: with a timeout, Spark
+    goes on making batches).
     """
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -127,9 +128,10 @@ def buffer_transactions(messages: DataFrame, timeout: str = "1 hour") -> DataFra
             yield out.assign(ack_lsn=ack, commit_us=commit)
             seqs, payloads = [], []
         state.update((seqs, payloads, ack, commit))
-        state.setTimeoutDuration(wait)
+        if wait is not None:
+            state.setTimeoutDuration(wait)
 
-    return messages.groupBy("xid").applyInPandasWithState(run, OUT, "seqs array<long>, payloads array<string>, ack long, commit long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("xid").applyInPandasWithState(run, OUT, "seqs array<long>, payloads array<string>, ack long, commit long", "append", GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def eager_sub_batches(changes: DataFrame, size: int) -> DataFrame:
