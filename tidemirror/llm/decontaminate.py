@@ -30,7 +30,7 @@ MIN_WORDS = 8
 #: A stretch must hold so many equal words (or ITEM_SHARE of a shorter item), and so large a share of them.
 MIN_MATCH, ITEM_SHARE, MIN_SIMILARITY = 12, 0.8, 0.8
 PENALTY = 2
-SEED_BOUND = 4_000_000
+SEED_BOUND = 500_000
 
 _WORD = word_table(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)))
 _ODD = np.random.default_rng(424242).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
