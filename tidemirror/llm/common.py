@@ -140,6 +140,12 @@ def words_of(texts: list[bytes], is_word: np.ndarray, sep: bytes = b" ") -> tupl
     return buf, start, end, owner
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number and hash sums of a set of edges: two sets that agree in all are the same."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h, "a").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): every node that has an edge to another, with the smallest node it reaches.
 
@@ -154,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        changed = not after.exceptAll(current).isEmpty() or not current.exceptAll(after).isEmpty()
+        same = _digest(after) == _digest(current)
         current = after
-        if not changed:
+        if same:
             return current.select(F.col("a").alias("node"), F.col("b").alias("label"))

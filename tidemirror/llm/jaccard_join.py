@@ -7,11 +7,12 @@ Nodes meet in blocks: a pair that reaches the threshold shares one of the rarest
 as may differ and one more; rarity comes from a count sketch of fixed size over all texts, which is the same order
 everywhere). A block is a shingle. Its nodes are compared
 
-1. with two of the block's own nodes (its smallest and its largest id), so a large group of near copies is linked by as
-   many comparisons as it has members, not by all its pairs;
-2. where a block then still holds nodes of several components, with all nodes of other components in it, by an R-tree over
-   the points: a branch is left when the minima of its upper corner can't reach the overlap that is needed. Large blocks
-   are cut into pieces that meet each other, so none is capped.
+1. with two of the block's own nodes, the smallest id and the one that shares most blocks (in a group of near copies the
+   one nearest to all), so a large group is linked by as many comparisons as it has members, not by all its pairs;
+2. where a block then still holds nodes of several components, with the nodes of other components in it, by an R-tree over
+   the points: a branch is left when the minima of its upper corner can't reach the overlap that is needed. At first each
+   node tries, for every other component, only the entry with the best bound; when those links have joined components,
+   all pairs that are still apart are tried. Large blocks are cut into pieces that meet each other, so none is capped.
 
 Pairs that survive the bound are verified on their sets. Links join components; every text gets its component's smallest
 doc_id.
@@ -238,8 +239,9 @@ def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFra
     return texts.mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in one block that survive the bound, through R-trees."""
+def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of nodes of different components in one block that survive the bound, through R-trees. With best, each node
+    gives only its best-bounded pair with every other component of a block."""
     named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "label"))["label"].alias("main")).where("lo <> hi")
     own = named.join(mixed.select("key", "m", "main"), "key").withColumn("guest", F.col("label") != F.col("main"))
@@ -279,7 +281,14 @@ def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent:
                 found.append((at + h + i, at + j))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         other = label[x] != label[y]
-        a, b = node[x[other]], node[y[other]]
+        x, y = x[other], y[other]
+        if best and len(x):
+            near = np.concatenate([np.minimum(points[x[i : i + (1 << 16)]], points[y[i : i + (1 << 16)]]).sum(axis=1) for i in range(0, len(x), 1 << 16)]) / (n[x] + n[y])
+            order = np.lexsort((node[y], -near, label[y], x))
+            x, y = x[order], y[order]
+            top = np.concatenate(([True], (x[1:] != x[:-1]) | (label[y[1:]] != label[y[:-1]])))
+            x, y = x[top], y[top]
+        a, b = node[x], node[y]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
     together = home.unionByName(visit).withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins)))
@@ -295,11 +304,15 @@ def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     reps = cut(rows.where("n > 0").groupBy(F.col("c1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n", "p")).alias("r")).select("node", "r.doc_id", "r._rk", "r.n", "r.p"))
     keys = stored(block_keys(docs, sketch_of(profile), k, percent))
     ends = keys.df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = cut(keys.df.join(ends, "key").distinct())
+    shared = cut(keys.df.join(ends.select("key"), "key").distinct())
     keys.drop()
-    # Every node of a block is compared with its two ends, so only the others can still hold an untried pair.
-    blocks_, points = shared.where("node <> lo AND node <> hi").select("key", "node"), reps.select("node", "n", "p")
-    stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
+    weight = F.struct(F.col("blocks"), F.col("node"))
+    busy = shared.groupBy("node").agg(F.count("*").alias("blocks"))
+    ends = shared.join(busy, "node").groupBy("key").agg(F.min("node").alias("lo"), F.max_by("node", weight).alias("hub"))
+    shared = cut(shared.join(ends, "key"))
+    # Every node of a block is compared with both of these, so only the others can still hold an untried pair.
+    blocks_, points = shared.where("node <> lo AND node <> hub").select("key", "node"), reps.select("node", "n", "p")
+    stars = shared.select("node", F.explode(F.array("lo", "hub")).alias("other")).where("node <> other")
     stars = stars.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
     def of(c: str) -> DataFrame:
@@ -307,16 +320,18 @@ def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
 
     enough = overlap_bound(F.col("pa"), F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     links = None
-    pairs = stars.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b")
-    for last in (False, True):
-        pairs = cut(pairs)
+    pairs = cut(stars.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b"))
+    for step in ("ends", "best", "all"):
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = cut(fetch(docs, reps, nodes, k))
         new = cut(verified(pairs, sets, percent))
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-        if not last:
-            pairs = cross_pairs(blocks_, labels, points, percent)
+        if step == "all":
+            break
+        pairs = cut(cross_pairs(blocks_, labels, points, percent, step == "ends"))
+        if pairs.isEmpty():
+            break
     named = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
     ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(ids, "label").select(F.col("node").alias("c1"), "component_id")
