@@ -173,8 +173,10 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that overlap no test item."""
     bad = overlaps(docs, items, doc_id, text).select("doc_id", "_rk").distinct().alias("b")
-    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
-    return docs.join(bad, F.col(f"b.doc_id").eqNullSafe(docs[doc_id]) & (F.col("b._rk") == key), "left_anti")
+    key = F.col(doc_id).cast("long")
+    # All columns travel in one struct, so none can clash with the operator's own.
+    rows = docs.select(key.alias("doc_id"), F.xxhash64(key, F.col(text)).alias("_rk"), F.struct(*docs.columns).alias("_row")).alias("d")
+    return rows.join(bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d._rk") == F.col("b._rk")), "left_anti").select("_row.*")
 
 
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
