@@ -64,16 +64,15 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K)
     votes = hits.groupBy("doc_id", "_rk", "template", "label", "exact", "size", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.count_distinct("tpos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("held")
     )
-    exact = votes.where("exact and votes = size").select("doc_id", "_rk", "template", "label", "exact", "first", "last", F.col("votes").cast("long").alias("votes"), F.lit(1.0).alias("cover"))
     by = ["doc_id", "_rk", "template"]
     order = Window.partitionBy(*by).orderBy("diagonal")
-    near = votes.where("not exact").withColumn("_new", (F.col("diagonal") - F.lag("diagonal").over(order) > DIAGONAL_GAP).cast("int"))
-    runs = near.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order))
+    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > DIAGONAL_GAP)  # a phrase has no neighbours
+    runs = votes.withColumn("_run", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(order))
     merged = runs.groupBy(*by, "label", "exact", "size", "_run").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).cast("long").alias("votes")
     )
-    merged = merged.withColumn("cover", F.col("votes") / F.col("size")).where(F.col("cover") >= MIN_COVER)
-    return exact.unionByName(merged.select(*exact.columns))
+    merged = merged.withColumn("cover", F.col("votes") / F.col("size"))
+    return merged.where(F.when(F.col("exact"), F.col("votes") == F.col("size")).otherwise(F.col("cover") >= MIN_COVER)).drop("size", "_run")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
