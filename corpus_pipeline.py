@@ -6,7 +6,8 @@ folder and reads them again for the next one. All stages but the last return the
 1. language_id: documents whose language is rejected (no letter, or a calibrated score below the threshold) go.
 2. near_duplicates: of each component of near-equal five-word shingle sets (similarity 0.8 or more) the document with the
    smallest doc_id stays.
-3. suffix_dedup: later copies of passages of 400 bytes or more are cut out of the texts; the first copy stays.
+3. suffix_dedup: later copies of passages of over 50 words, or of 400 bytes or more, are cut out of the texts; the first
+   copy stays.
 4. decontamination: documents that overlap a benchmark item go.
 5. tokenize: texts are encoded and decoded; one row per document with its number of ids and digests.
 """
@@ -24,6 +25,8 @@ from tidemirror.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: The fewest words of a repeated passage.
+PASSAGE_WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.dedup_texts(docs.select(*COLUMNS), keep="first")
+    kept = suffix_dedup.dedup_texts(docs.select(*COLUMNS), keep="first", words=PASSAGE_WORDS)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(*COLUMNS)
 
 

@@ -103,6 +103,44 @@ def test_first_copies_stay(spark, passages):
     assert got[200] is None and "�" not in "".join(t or "" for t in got.values())
 
 
+def _word_cover(docs, words):
+    """Words of later copies of runs of so many words."""
+    first, out = {}, {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        w = re.split("[ \t\n\v\f\r]+", (t or "").strip(" \t\n\v\f\r"))
+        out[d] = w, bytearray(len(w))
+        for s in range(len(w) - words + 1):
+            if first.setdefault(tuple(w[s : s + words]), (d, s)) != (d, s):
+                out[d][1][s : s + words] = b"\1" * words
+    return out
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_passages_of_short_words(spark, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_RUNS", most)
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("abcdefghé") + rng.choice("xyz") for _ in range(n))
+    shared, short, long_ = text(51), text(50), text(90)
+    docs = [(1, f"{text(30)} {shared} {text(20)}"), (2, f"{text(7)}\n\n{shared.replace(' ', '  ')} {text(40)}"), (3, f"{text(9)} {short} {text(9)}"), (4, f"{text(5)} {short} {text(8)}"), (5, shared), (6, None), (7, ""), (8, "a b " * 90)]
+    docs += [(10 + i, f"{text(i)} {' '.join(long_.split()[i % 30 :][: 50 + i])} {text(i)}") for i in range(30)]
+    got = {r.doc_id: r.text for r in suffix_dedup.dedup_texts(spark.createDataFrame(docs, "doc_id long, text string"), "first", words=51).collect()}
+    for d, (w, covered) in _word_cover(docs, 51).items():
+        assert (got[d] or "").split() == [x for x, c in zip(w, covered, strict=True) if not c and x], d
+    assert shared in got[1] and len(got[2].split()) == 47 and got[3] == docs[2][1] and got[4] == docs[3][1] and got[5] == "" and got[6] is None
+
+
+def test_pipeline_cuts_passages_of_51_short_words(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(22)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    shared = text(51)
+    assert len(shared) < 400
+    docs = spark.createDataFrame([(1, f"{text(60)} {shared}", "en", "s", 0), (2, f"{shared} {text(60)}", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in P.suffix_dedup_stage(spark, docs, "").collect()}
+    assert shared in got[1].text and len(got[2].text.split()) == 60 and got[2].n_chars == len(got[2].text)
+
+
 def test_factors_against_definition():
     rng = random.Random(2)
     for _ in range(60):

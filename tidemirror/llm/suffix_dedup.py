@@ -13,6 +13,10 @@ A passage is a window of ``WINDOW`` bytes. Its suffixes are compared where they
    shorter runs, keyed by all the bytes their windows share, and these go through steps 2 and 3 anew, down to runs of one
    window, which have nothing left to differ in. So no group is ever larger than a task can hold, and none is capped.
 
+Passages can also be counted in words (``words`` of ``dedup_texts``): each text is then written as one 8-byte hash a word, a
+window is so many words whatever their lengths, and the same steps run with places counted in words. Blanks between words
+don't matter there; a word is what blanks enclose, with its case and punctuation.
+
 ``keep="first"`` removes later copies and keeps the first (in order of doc_id, then place); ``keep="none"`` removes all.
 
 Defined results: a null text is empty; texts shorter than a window are kept; matches never cross texts; repeated rows are
@@ -25,13 +29,14 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, as_bytes, blocks, cut, mix, span_hashes, stored, table, text_batches
+from .common import _BYTE, _powers, as_bytes, blocks, cut, mix, span_hashes, stored, table, text_batches, word_table, words_of
 
 WINDOW, GRAM = 400, 64
 #: Different runs of one anchor, and about as many of all anchors, that one task puts into suffix order.
@@ -43,19 +48,67 @@ _POSITION = np.uint64((1 << 28) - 1)
 _ROW = "h long, c1 long, c2 long, doc_id long, _rk long, at long"  # at: start * 1024 + windows
 
 
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
+_BLANKS = word_table(b" \t\n\v\f\r")
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What windows are made of: bytes of a window and of the grams that anchor it; places are every ``step`` bytes."""
+
+    window: int = WINDOW
+    gram: int = GRAM
+    step: int = 1
+
+    @property
+    def places(self) -> int:
+        return self.window // self.step
+
+    def read(self, values) -> list[bytes]:
+        """Texts as the bytes that are compared: their own, or the hashes of their words."""
+        texts = [v if isinstance(v, bytes) else b"" if v is None or v != v else v.encode("utf-8", "surrogatepass") for v in values]
+        return texts if self.step == 1 else [h for h, _, _ in spelled(texts)]
+
+
+def bytes_shape(window: int = WINDOW) -> Shape:
+    # A run has at most window - gram + 1 windows, and fewer than 1,024 fit beside its place.
+    if not 2 * 24 <= window < 1024:
+        raise ValueError(f"a window of {window} bytes is not supported")
+    return Shape(window, max(8, min(GRAM, window // 4)), 1)
+
+
+def words_shape(words: int) -> Shape:
+    if not 2 * 24 <= words < 1024:
+        raise ValueError(f"a window of {words} words is not supported")
+    return Shape(8 * words, 64, 8)
+
+
+def spelled(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Of each text: its words' hashes as bytes, and where each word starts and ends."""
+    for _, group in blocks(texts):
+        buf, start, end, owner = words_of(group, _BLANKS)
+        h = span_hashes(buf, start, end)
+        at = np.searchsorted(owner, np.arange(len(group) + 1))
+        begin = 0
+        for i, text in enumerate(group):
+            a, b = at[i], at[i + 1]
+            yield h[a:b].tobytes(), start[a:b] - begin, end[a:b] - begin
+            begin += len(text) + 1
+
+
+def gram_hashes(buf: np.ndarray, shape: Shape = Shape()) -> np.ndarray:
     n = len(buf)
     up, down = _powers(n + 1)
     pre = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[:n], out=pre[1:])
-    return mix((pre[GRAM:] - pre[:-GRAM]) * down[: n - GRAM + 1])
+    last = n - shape.gram + 1
+    return mix((pre[shape.gram :: shape.step] - pre[: last : shape.step]) * down[: last : shape.step])
 
 
-def runs(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor, anchor hash) of each run; ends: where each text of the buffer ends."""
-    h = gram_hashes(buf)
+def runs(buf: np.ndarray, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor, anchor hash) of each run, in places; ends: the place where each text of the buffer ends."""
+    h = gram_hashes(buf, shape)
     key = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
-    width, need = 1, WINDOW - GRAM + 1
+    width, need = 1, (shape.window - shape.gram) // shape.step + 1
     while width * 2 <= need:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
@@ -64,9 +117,9 @@ def runs(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     anchor = (key & _POSITION).astype(np.int64)  # of the window that starts here
     begins = np.concatenate(([0], ends[:-1]))
     inside = np.zeros(len(anchor) + 1, np.int64)
-    has = ends - begins >= WINDOW
+    has = ends - begins >= shape.places
     np.add.at(inside, begins[has], 1)
-    np.add.at(inside, np.minimum(ends[has] - WINDOW + 1, len(anchor)), -1)
+    np.add.at(inside, np.minimum(ends[has] - shape.places + 1, len(anchor)), -1)
     ok = np.cumsum(inside[:-1]) > 0
     new = ok.copy()
     new[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
@@ -79,30 +132,31 @@ def _context(data: bytes) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(data, digest_size=16).digest())
 
 
-def all_runs(docs: DataFrame) -> DataFrame:
+def all_runs(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """The runs of all texts, by anchor hash (h) and by all their bytes (c1, c2)."""
+    step, places = shape.step, shape.places
 
     def rows(text: list[bytes], ids: pd.DataFrame, base: int) -> Iterator[tuple]:
         joined = b"".join(text)
-        if len(joined) < WINDOW:
+        if len(joined) < shape.window:
             return
-        ends = np.cumsum([len(t) for t in text])
-        first, count, anchor, h = runs(np.frombuffer(joined, np.uint8), ends)
+        ends = np.cumsum([len(t) // step for t in text])
+        first, count, anchor, h = runs(np.frombuffer(joined, np.uint8), ends, shape)
         owner = np.searchsorted(ends, first, side="right")
         begin = np.concatenate(([0], ends[:-1]))
         doc, rk = ids["doc_id"].tolist(), ids["_rk"].tolist()
         for s, n, a, x, o, b in zip(first.tolist(), count.tolist(), anchor.tolist(), h.view(np.int64).tolist(), owner.tolist(), begin[owner].tolist(), strict=True):
-            c1, c2 = _context(joined[s : s + n - 1 + WINDOW] + struct.pack("<q", a - s))
+            c1, c2 = _context(joined[s * step : (s + n - 1 + places) * step] + struct.pack("<q", a - s))
             yield x, c1, c2, doc[o], rk[o], (s - b + base) * 1024 + n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _ROW.split(", ")]
         for batch in batches:
-            texts = as_bytes(batch["text"])
+            texts = shape.read(batch["text"])
             ids = batch[["doc_id", "_rk"]].astype({"doc_id": "Int64"})
             for first, group in blocks(texts, PIECE):
                 own = ids.iloc[first : first + len(group)]
-                pieces = [(group, 0)] if len(group) > 1 else [([group[0][at : at + PIECE + WINDOW - 1]], at) for at in range(0, max(1, len(group[0])), PIECE)]
+                pieces = [(group, 0)] if len(group) > 1 else [([group[0][at : at + PIECE + shape.window - step]], at // step) for at in range(0, max(1, len(group[0])), PIECE)]
                 for part, base in pieces:
                     found = list(rows(part, own, base))
                     if found:
@@ -111,27 +165,27 @@ def all_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, _ROW)
 
 
-def sub_rows(piece: bytes, h: int, start: int, n: int, size: int) -> list[tuple[int, int, int, int, bytes]]:
+def sub_rows(piece: bytes, h: int, start: int, n: int, size: int, shape: Shape = Shape()) -> list[tuple[int, int, int, int, bytes]]:
     """The runs that a run is split into: (h, c1, c2, at, bytes). Borders are where (place - anchor) is a multiple of size."""
-    anchor = anchor_of(piece)
+    anchor, step = anchor_of(piece, shape), shape.step
     out = []
     s = 0
     while s < n:
         border = s - (s - anchor) % size  # where the full block would start
         stop = min(n, border + size)
         # All windows of a full block share these bytes; the key must be the same for cut-off blocks at a run's ends.
-        core = piece[border + size - 1 : border + WINDOW]
+        core = piece[(border + size - 1) * step : (border + shape.places) * step]
         key = hashlib.blake2b(core + struct.pack("<qq", h, border - anchor), digest_size=8).digest()
-        own = piece[s : stop - 1 + WINDOW]
+        own = piece[s * step : (stop - 1 + shape.places) * step]
         c1, c2 = _context(own + struct.pack("<q", s - border))
         out.append((struct.unpack("<q", key)[0], c1, c2, (start + s) * 1024 + stop - s, own))
         s = stop
     return out
 
 
-def anchor_of(piece: bytes) -> int:
+def anchor_of(piece: bytes, shape: Shape = Shape()) -> int:
     """The anchor of a run's windows (they share it), from the run's bytes."""
-    h = gram_hashes(np.frombuffer(piece[:WINDOW], np.uint8))
+    h = gram_hashes(np.frombuffer(piece[: shape.window], np.uint8), shape)
     key = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     return int(key.min() & _POSITION)
 
@@ -163,7 +217,7 @@ def factors(position: list[int], lcp: list[int]) -> tuple[list[int], list[int]]:
     return before, after
 
 
-def repeated_windows(pieces: list[bytes], counts: list[int], order: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def repeated_windows(pieces: list[bytes], counts: list[int], order: list[int], shape: Shape = Shape()) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each run (its bytes, windows, and rank among the texts' places): flags of windows with an earlier, a later equal."""
     joined = b"".join(pieces)
     buf = np.frombuffer(joined, np.uint8)
@@ -171,28 +225,29 @@ def repeated_windows(pieces: list[bytes], counts: list[int], order: list[int]) -
     base = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1]))
     run = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    start = base[run] + offset
-    h = span_hashes(buf, start, start + WINDOW)
+    window = shape.window
+    start = base[run] + offset * shape.step
+    h = span_hashes(buf, start, start + window)
     _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
     may = np.flatnonzero(times[inverse] > 1)  # windows of a hash of their own are unique
     earlier, later = np.zeros(len(run), bool), np.zeros(len(run), bool)
     if len(may):
         place = np.array(order)[run[may]] * 1024 + offset[may]
-        keys = [joined[s : s + WINDOW] for s in start[may].tolist()]
+        keys = [joined[s : s + window] for s in start[may].tolist()]
         suffix = sorted(range(len(may)), key=keys.__getitem__)
-        lcp = [0] + [WINDOW if keys[a] == keys[b] else 0 for a, b in zip(suffix, suffix[1:], strict=False)]
+        lcp = [0] + [window if keys[a] == keys[b] else 0 for a, b in zip(suffix, suffix[1:], strict=False)]
         before, after = factors([int(place[i]) for i in suffix], lcp)
         suffix_ = np.array(suffix)
-        earlier[may[suffix_[np.array(before) >= WINDOW]]] = True
-        later[may[suffix_[np.array(after) >= WINDOW]]] = True
+        earlier[may[suffix_[np.array(before) >= window]]] = True
+        later[may[suffix_[np.array(after) >= window]]] = True
     at = np.cumsum(n)[:-1]
     return np.split(earlier, at), np.split(later, at)
 
 
-def spans_of(flags: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """The bytes that flagged windows cover."""
+def spans_of(flags: np.ndarray, start: int, shape: Shape = Shape()) -> list[tuple[int, int]]:
+    """The places that flagged windows cover."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
-    return [(start + int(a), start + int(b) - 1 + WINDOW) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
+    return [(start + int(a), start + int(b) - 1 + shape.places) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
 
 
 # ---------------------------------------------------------------- the jobs
@@ -202,26 +257,27 @@ def _same(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._rk") == F.col(f"{b}._rk"))
 
 
-def repeated_spans(docs: DataFrame, keep: str = "first") -> DataFrame:
-    """doc_id, _rk, start, end of repeated bytes, for texts with the columns doc_id, _rk and text. Spans may overlap."""
+def repeated_spans(docs: DataFrame, keep: str = "first", shape: Shape = Shape()) -> DataFrame:
+    """doc_id, _rk, start, end of repeated bytes (of words, if the shape is of words), for texts with the columns doc_id, _rk
+    and text. Spans may overlap."""
     text_batches(docs.sparkSession)
     first_only = keep == "first"
-    level, found = stored(all_runs(docs)), []
+    level, found = stored(all_runs(docs, shape)), []
     for depth in range(len(SPLITS) + 1):
         rows = level.df
         # Partial aggregation makes one row for each key and task, however hot a key is.
         place = [F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "_rk", "at", "doc_id"] + (["piece"] if depth else [])
         kinds = stored(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")))
-        found.append(cut(_copies(rows, kinds.df, first_only)))
+        found.append(cut(_copies(rows, kinds.df, first_only, shape)))
         differing = stored(_differing(kinds.df))
         level.drop()
         kinds.drop()
         size = SPLITS[depth] if depth < len(SPLITS) else None
         if differing.df.isEmpty():
             break
-        fetched = stored(_pieces_of_texts(docs, differing.df, size) if not depth else _pieces_of_runs(differing.df, size))
+        fetched = stored(_pieces_of_texts(docs, differing.df, size, shape) if not depth else _pieces_of_runs(differing.df, size, shape))
         differing.drop()
-        found.append(cut(_in_suffix_order(fetched.df.where("bin IS NOT NULL"), first_only)))
+        found.append(cut(_in_suffix_order(fetched.df.where("bin IS NOT NULL"), first_only, shape)))
         level = fetched
         level.df = fetched.df.where("bin IS NULL").select("h", "c1", "c2", "doc_id", "_rk", "at", "piece")
         if level.df.isEmpty():
@@ -233,14 +289,14 @@ def repeated_spans(docs: DataFrame, keep: str = "first") -> DataFrame:
     return out
 
 
-def _copies(rows: DataFrame, kinds: DataFrame, first_only: bool) -> DataFrame:
+def _copies(rows: DataFrame, kinds: DataFrame, first_only: bool, shape: Shape) -> DataFrame:
     """Spans of runs that are equal as a whole to another run (to an earlier one)."""
     same = kinds.where("n > 1").select("h", "c1", "c2", "first.doc_id", "first._rk", "first.at").alias("k")
     copies = rows.select("h", "c1", "c2", "doc_id", "_rk", "at").alias("r").join(same, ["h", "c1", "c2"])
     if first_only:
         copies = copies.where(~(F.col("k.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k._rk") == F.col("r._rk")) & (F.col("k.at") == F.col("r.at"))))
     start = F.floor(F.col("r.at") / 1024).cast("long")
-    return copies.select("r.doc_id", "r._rk", start.alias("start"), (start + F.col("r.at") % 1024 + (WINDOW - 1)).alias("end"))
+    return copies.select("r.doc_id", "r._rk", start.alias("start"), (start + F.col("r.at") % 1024 + (shape.places - 1)).alias("end"))
 
 
 def _differing(kinds: DataFrame) -> DataFrame:
@@ -252,18 +308,18 @@ def _differing(kinds: DataFrame) -> DataFrame:
 _FETCHED = "bin long, h long, c1 long, c2 long, doc_id long, _rk long, at long, order long, piece binary"
 
 
-def _placed(rows: list[tuple], bins: int, size: int | None, most: int) -> pd.DataFrame:
+def _placed(rows: list[tuple], bins: int, size: int | None, most: int, shape: Shape) -> pd.DataFrame:
     """Runs (h, kinds, doc_id, _rk, at, order, bytes) as rows of their bin, or, of groups too large, split."""
     out = []
     for h, kinds, doc, rk, at, order, piece in rows:
         if size is None or kinds <= most:
             out.append((h % bins, h, None, None, doc, rk, at, order, piece))
         else:
-            out.extend((None, h_, c1, c2, doc, rk, at_, None, own) for h_, c1, c2, at_, own in sub_rows(piece, h, at // 1024, at % 1024, size))
+            out.extend((None, h_, c1, c2, doc, rk, at_, None, own) for h_, c1, c2, at_, own in sub_rows(piece, h, at // 1024, at % 1024, size, shape))
     return pd.DataFrame(out, columns=["bin", "h", "c1", "c2", "doc_id", "_rk", "at", "order", "piece"]).astype({c: "Int64" for c in ("bin", "c1", "c2", "doc_id", "order")})
 
 
-def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None) -> DataFrame:
+def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None, shape: Shape) -> DataFrame:
     bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
     listed = runs_.groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("h", "kinds", "at", "order")).alias("runs"))
     both = docs.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc_id", "d._rk", "text", "runs").dropDuplicates(["doc_id", "_rk"])
@@ -271,30 +327,30 @@ def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, rk, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rk"], as_bytes(batch["text"]), batch["runs"], strict=True):
-                rows.extend((r["h"], r["kinds"], doc, rk, r["at"], r["order"], text[r["at"] // 1024 : r["at"] // 1024 + r["at"] % 1024 - 1 + WINDOW]) for r in own)
-            yield _placed(rows, bins, size, most)
+            for doc, rk, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rk"], shape.read(batch["text"]), batch["runs"], strict=True):
+                rows.extend((r["h"], r["kinds"], doc, rk, r["at"], r["order"], text[r["at"] // 1024 * shape.step : (r["at"] // 1024 + r["at"] % 1024 - 1 + shape.places) * shape.step]) for r in own)
+            yield _placed(rows, bins, size, most, shape)
 
     return both.mapInPandas(run, _FETCHED)
 
 
-def _pieces_of_runs(runs_: DataFrame, size: int | None) -> DataFrame:
+def _pieces_of_runs(runs_: DataFrame, size: int | None, shape: Shape) -> DataFrame:
     bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _placed(list(zip(batch["h"], batch["kinds"], batch["doc_id"].astype("Int64"), batch["_rk"], batch["at"], batch["order"], batch["piece"], strict=True)), bins, size, most)
+            yield _placed(list(zip(batch["h"], batch["kinds"], batch["doc_id"].astype("Int64"), batch["_rk"], batch["at"], batch["order"], batch["piece"], strict=True)), bins, size, most, shape)
 
     return runs_.select("h", "kinds", "doc_id", "_rk", "at", "order", "piece").mapInPandas(run, _FETCHED)
 
 
-def _in_suffix_order(groups: DataFrame, first_only: bool) -> DataFrame:
+def _in_suffix_order(groups: DataFrame, first_only: bool, shape: Shape) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "_rk", "at"], kind="stable")
-        earlier, later = repeated_windows(list(pdf["piece"]), (pdf["at"] % 1024).tolist(), list(range(len(pdf))))
+        earlier, later = repeated_windows(list(pdf["piece"]), (pdf["at"] % 1024).tolist(), list(range(len(pdf))), shape)
         out = []
         for doc, rk, at, e, x in zip(pdf["doc_id"].astype("Int64"), pdf["_rk"], pdf["at"], earlier, later, strict=True):
-            out.extend((doc, rk, a, b) for a, b in spans_of(e if first_only else e | x, at // 1024))
+            out.extend((doc, rk, a, b) for a, b in spans_of(e if first_only else e | x, at // 1024, shape))
         return pd.DataFrame(out, columns=["doc_id", "_rk", "start", "end"]).astype({"doc_id": "Int64"})
 
     return groups.groupBy("bin").applyInPandas(run, "doc_id long, _rk long, start long, end long")
@@ -311,10 +367,13 @@ def merged(spans: list, length: int) -> list[tuple[int, int]]:
     return [(a, min(b, length)) for a, b in out]
 
 
-def with_spans(docs: DataFrame, keep: str) -> DataFrame:
-    """Every row of docs (doc_id, _rk, text and others) with the list of its repeated spans."""
-    found = repeated_spans(docs.select("doc_id", "_rk", "text"), keep)
-    listed = found.distinct().groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def with_spans(docs: DataFrame, keep: str, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """Every row of docs (doc_id, _rk, text and others) with the list of its repeated spans: of bytes, and of words (worded)."""
+    texts = docs.select("doc_id", "_rk", "text")
+    found = repeated_spans(texts, keep, bytes_shape(window)).withColumn("worded", F.lit(False))
+    if words is not None:
+        found = found.unionByName(repeated_spans(texts, keep, words_shape(words)).withColumn("worded", F.lit(True)))
+    listed = found.distinct().groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
     return docs.alias("d").join(listed.alias("s"), _same("d", "s"), "left").select("d.*", "spans")
 
 
@@ -322,10 +381,19 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_rk", F.xxhash64("doc_id", "text"))
 
 
-def dedup_texts(df: DataFrame, keep: str = "first") -> DataFrame:
-    """The same rows with repeated passages cut out of text, at whole characters."""
+def in_bytes(spans: list, text: bytes) -> list[dict]:
+    """Spans of one text, those of words as the bytes from their first word to the end of their last."""
+    if not any(s["worded"] for s in spans):
+        return spans
+    _, start, end = next(spelled([text]))
+    return [{"start": int(start[s["start"]]), "end": int(end[s["end"] - 1])} if s["worded"] else s for s in spans]
+
+
+def dedup_texts(df: DataFrame, keep: str = "first", window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """The same rows with repeated passages of ``window`` bytes or more, and of ``words`` words or more, cut out of text, at
+    whole characters."""
     # All columns travel in one struct, so none can clash with the operator's own.
-    both = with_spans(keyed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*df.columns).alias("_row"))), keep)
+    both = with_spans(keyed(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*df.columns).alias("_row"))), keep, window, words)
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -335,7 +403,7 @@ def dedup_texts(df: DataFrame, keep: str = "first") -> DataFrame:
                 out.append(value)
                 continue
             parts, at = [], 0
-            for a, b in merged(own, len(text)):
+            for a, b in merged(in_bytes(own, text), len(text)):
                 while a < b and a < len(text) and text[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
