@@ -188,6 +188,34 @@ def test_decontamination(spark, sf_dir):
     assert decontaminate.overlaps(d.limit(0), items).count() == 0
 
 
+def test_best_similar_stretch_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 2, 46] + [int(x) for x in rng.integers(1, 40, 400)]:
+        equal = rng.random(n) < rng.choice([0.3, 0.6, 0.75, 0.85, 0.95])
+        every = [(int(equal[a:b].sum()), a - b, -a) for a in range(n) for b in range(a + 1, n + 1) if equal[a:b].sum() * 5 >= (b - a) * 4]
+        m, length, a = max(every, default=(0, 0, 0))
+        assert decontaminate.stretch(equal) == ((-a, -a - length, m) if m else (0, 0, 0))
+
+
+def test_failing_stretches_hide_no_passing_ones(spark):
+    item = [f"w{i}" for i in range(46)]
+    runs = [w if i % 17 < 12 else f"x{i}" for i, w in enumerate(item)]  # three runs of 12 equal words, 5 changed between
+    sparse = [w if i % 9 not in (0, 4) else f"y{i}" for i, w in enumerate(item)]  # more matches, but under 0.8
+    docs = [(1, runs), (2, runs[:12]), (3, sparse + ["z"] * 3 + item[5:25]), (4, [w if i % 3 else f"v{i}" for i, w in enumerate(item)])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.stop, r.matches) for r in decontaminate.overlaps(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    want = {}
+    for i, w in docs:
+        every = []
+        for d in range(-len(item) + 1, len(w)):
+            lo, hi = max(0, d), min(len(w), d + len(item))
+            same = [0, *itertools.accumulate(int(w[x].lower() == item[x - d]) for x in range(lo, hi))]
+            every += [(m, a - b, -d, a + lo, b + lo) for a in range(hi - lo) for b in range(a + 1, hi - lo + 1) if (m := same[b] - same[a]) >= 12 and 5 * m >= 4 * (b - a)]
+        if every:
+            want[i] = max(every)[0]
+    assert {i: m for i, (_, _, m) in got.items()} == want and {1, 2, 3} <= set(want) and 4 not in want
+
+
 # ---------------------------------------------------------------- op7
 
 

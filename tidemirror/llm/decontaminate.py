@@ -2,8 +2,8 @@
 
 A seed hashes some of the words in a window and ignores the others, by a few fixed masks, so a changed word between its
 chosen places doesn't hurt it. Seeds of all training texts are joined to the seeds of the test items; each shared seed
-proposes an alignment (text, item, diagonal), and each alignment is verified word by word: the best stretch on that
-diagonal counts, where a match is worth 1 and a substitution costs 2.
+proposes an alignment (text, item, diagonal), and each alignment is verified word by word: of the stretches on that diagonal
+that are similar enough, the one of most matches counts, and of all diagonals the best.
 
 A text that holds no seed of any item drops out where it is read: a table of the items' seed hashes, broadcast if there are
 no more than ``SEED_BOUND`` of them, tells. Beyond that bound every text's seeds are joined by a shuffle instead.
@@ -29,7 +29,8 @@ MASKS = ("1110110111", "11011010111", "1101101011011", "11111111")
 MIN_WORDS = 8
 #: A stretch must hold so many equal words (or ITEM_SHARE of a shorter item), and so large a share of them.
 MIN_MATCH, ITEM_SHARE, MIN_SIMILARITY = 12, 0.8, 0.8
-PENALTY = 2
+#: A stretch is similar enough where its matches, worth 1 each, pay for its substitutions at 4 each (0.2 and 0.8 in fifths).
+MATCH, SUBSTITUTION = 1, -4
 SEED_BOUND = 500_000
 
 _WORD = word_table(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)))
@@ -121,13 +122,21 @@ def hit_texts(docs: DataFrame, known: np.ndarray | None) -> DataFrame:
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the best stretch: a match is worth 1, a substitution costs PENALTY."""
-    gain = np.where(equal, 1, -PENALTY)
-    total = np.concatenate(([0], np.cumsum(gain)))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(total[: end + 1].argmin())
-    return start, end, int(equal[start:end].sum())
+    """(start, end, matches) of the stretch of most matches among those of MIN_SIMILARITY; of several the shortest, then first."""
+    n = len(equal)
+    total = np.concatenate(([0], np.cumsum(np.where(equal, MATCH, SUBSTITUTION))))
+    matches = np.concatenate(([0], np.cumsum(equal)))
+    # For each end the first start from which the sum isn't negative: where the least sum so far falls to the end's sum.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    found = matches - matches[start]
+    if not found.any():
+        return 0, 0, 0
+    end = np.flatnonzero(found == found.max())
+    # Substitutions at a stretch's ends are left out.
+    places = np.flatnonzero(equal)
+    first, last = places[matches[start[end]]], places[matches[end] - 1] + 1
+    best = int((last - first).argmin())
+    return int(first[best]), int(last[best]), int(found.max())
 
 
 def verify(words: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.DataFrame:
@@ -135,11 +144,11 @@ def verify(words: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.DataFr
     for w, i, ds in zip(words, item, diagonals, strict=True):
         w, i = np.frombuffer(w, np.uint64), np.frombuffer(i, np.uint64)
         best = (0, 0, 0, len(i), 0.0)
-        for d in set(ds):
+        for d in sorted(set(ds)):
             lo, hi = max(0, d), min(len(w), d + len(i))
             if hi > lo:
                 a, b, m = stretch(w[lo:hi] == i[lo - d : hi - d])
-                if m > best[2]:
+                if m and (m, m / (b - a)) > (best[2], best[4]):
                     best = (lo + a, lo + b, m, len(i), m / (b - a))
         out.append(best)
     return pd.DataFrame(out, columns=["start", "stop", "matches", "item_words", "similarity"])
