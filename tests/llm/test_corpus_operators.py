@@ -216,6 +216,47 @@ def test_failing_stretches_hide_no_passing_ones(spark):
     assert {i: m for i, (_, _, m) in got.items()} == want and {1, 2, 3} <= set(want) and 4 not in want
 
 
+def test_every_passing_overlap_holds_a_seed():
+    masks, bits = [int(m, 2) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS)) - 1
+    # Most matches of a row of n words without a seed, by its last words.
+    most, top = {0: 0}, [0]
+    for _ in range(45):
+        after = {}
+        for last, m in most.items():
+            for equal in (0, 1):
+                row = last << 1 | equal
+                if not any(row & mask == mask for mask in masks):
+                    key = row & ((1 << bits) - 1)
+                    after[key] = max(after.get(key, 0), m + equal)
+        most = after
+        top.append(max(most.values()))
+    for n in range(1, 46):
+        for words in range(max(n, decontaminate.MIN_WORDS), 60):
+            assert 5 * top[n] < 4 * n or top[n] < min(12, -(-4 * words // 5)), (n, words)
+    # Longer rows are made of rows of 22 to 43 words, none of which is similar enough, so they aren't either.
+    assert all(5 * top[n] < 4 * n for n in range(22, 44))
+
+
+def test_short_and_changed_overlaps(spark):
+    rng = random.Random(31)
+    items = [[f"i{n}x{i}" for i in range(n)] for n in range(8, 21)]
+    docs = []
+    for item in items:
+        n = len(item)
+        for _ in range(12):
+            # At most a fifth of the words of a passage that just passes is changed.
+            need = min(12, -(-4 * n // 5))
+            length = rng.randint(need, min(n, need * 5 // 4))
+            at = rng.randint(0, n - length)
+            passage = item[at : at + length]
+            for place in rng.sample(range(length), length - need):
+                passage[place] = f"z{len(docs)}"
+            docs.append((len(docs), n, f"{rng.random()} q {' '.join(passage)} r"))
+    frame = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(len(i), " ".join(i)) for i in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame, tests).collect()} == {(d, n) for d, n, _ in docs}
+
+
 # ---------------------------------------------------------------- op7
 
 

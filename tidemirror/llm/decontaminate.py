@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, cut, mix, span_hashes, table, text_batches, word_table, words_of
 
-#: Places that count in a window; the last serves items shorter than the others.
-MASKS = ("1110110111", "11011010111", "1101101011011", "11111111")
+#: Places that count in a window. Every overlap that passes (of any length, for items of MIN_WORDS words or more) holds a seed
+#: of one of them: no row of words without one has 7 equal words or more and is similar enough. A test goes through all rows.
+MASKS = ("111011", "11111", "11010011")
 MIN_WORDS = 8
 #: A stretch must hold so many equal words (or ITEM_SHARE of a shorter item), and so large a share of them.
 MIN_MATCH, ITEM_SHARE, MIN_SIMILARITY = 12, 0.8, 0.8
