@@ -2,6 +2,7 @@ import json
 import random
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -298,3 +299,30 @@ def test_state_table(spark, tmp_path):
     t.write(spark.createDataFrame([("c", 1, 1, 1)], ST.CHECKPOINT_SCHEMA))
     t.write(t.read().withColumn("lsn", F.col("lsn") + 1))
     assert t.read().first().lsn == 2
+
+
+@pytest.mark.parametrize("metric", ["cosine_distance", "euclidean_squared"])
+def test_vector_top_k_of_many_queries(spark, metric, monkeypatch):
+    monkeypatch.setattr(MR, "VECTOR_BLOCK", 60)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    q = v.where("id % 2 = 0").selectExpr("id AS query_id", "vector AS query")
+    got = MR.vector_top_k(v, q, 3, metric, broadcast_bound=30).collect()
+    if metric == "cosine_distance":
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        far = 1 - unit @ unit.T
+    else:
+        far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {(i, n + 1, int(j)) for i in range(0, 400, 2) for n, j in enumerate(np.argsort(far[i], kind="stable")[:3])}
+    assert len(got) == 600 and {(r.query_id, r["rank"], r.id) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["vector_topk_cosine_many", "vector_topk_l2_many"])
+def test_queries_grow_with_the_vectors(spark, tmp_path, name):
+    from tidemirror.plans import catalog
+
+    rows = [(i, [float(i % 97 + 1), float(i % 89), 1.0]) for i in range(320)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == 70 and {r.query_id for r in got} == set(range(0, 320, 50))

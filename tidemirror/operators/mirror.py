@@ -146,12 +146,25 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
+#: Vectors that meet a block of queries in one piece.
+VECTOR_BLOCK = 10_000
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_bound: int = 1_000) -> DataFrame:
-    """Exact top k of each query (query_id, query) among vectors (id, vector). Queries are a stated small set: their number
-    is checked before they are broadcast; every row meets each query once and only k rows of a query leave a task."""
-    n = queries.limit(broadcast_bound + 1).count()
-    if n > broadcast_bound:
-        raise ValueError(f"more than {broadcast_bound} queries; ask in blocks")
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("dist", distance(metric, F.col("vector"), F.col("query")))
+    """Exact top k of each query (query_id, query) among vectors (id, vector). Up to ``broadcast_bound`` queries are broadcast;
+    more are dealt by hash into blocks of about so many, which are joined to blocks of vectors. Every row meets each query
+    once and only k rows of a query leave a task."""
+    vectors, queries = vectors.select("id", "vector"), queries.select("query_id", "query")
+    n = queries.count()
+    if n <= broadcast_bound:
+        pairs = vectors.crossJoin(F.broadcast(queries))
+    else:
+        query_blocks, vector_blocks = -(-n // broadcast_bound), -(-max(1, vectors.count()) // VECTOR_BLOCK)
+        dealt = lambda by, blocks: F.pmod(F.xxhash64(*by), F.lit(blocks))
+        every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        q = queries.withColumn("_q", dealt(["query_id", "query"], query_blocks)).withColumn("_v", every(vector_blocks))
+        v = vectors.withColumn("_v", dealt(["id", "vector"], vector_blocks)).withColumn("_q", every(query_blocks))
+        pairs = v.join(q, ["_q", "_v"])
+    scored = pairs.withColumn("dist", distance(metric, F.col("vector"), F.col("query")))
     order = Window.partitionBy("query_id").orderBy("dist", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")

@@ -517,6 +517,27 @@ def vector_topk_l2(spark, sf_dir):
     return MR.vector_top_k(v, q, 10, "euclidean_squared").withColumn("dist", F.round("dist", 6))
 
 
+def _many_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries every 50th id, so that their number grows with the table."""
+    v, _ = _vectors(spark, sf_dir)
+    return v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+
+
+MANY_VECTOR_SQL = VECTOR_SQL.replace("q.id < 5", "q.id % 50 = 0")
+
+
+@query(MANY_VECTOR_SQL.format(dist="1 - list_inner_product(q.v, v.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(v.v, v.v))"))
+def vector_topk_cosine_many(spark, sf_dir):
+    v, q = _many_vectors(spark, sf_dir)
+    return MR.vector_top_k(v, q, 10, "cosine_distance").withColumn("dist", F.round("dist", 6))
+
+
+@query(MANY_VECTOR_SQL.format(dist="list_sum(list_transform(list_zip(q.v, v.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"))
+def vector_topk_l2_many(spark, sf_dir):
+    v, q = _many_vectors(spark, sf_dir)
+    return MR.vector_top_k(v, q, 10, "euclidean_squared").withColumn("dist", F.round("dist", 6))
+
+
 @query(f"{LATEST_EV} SELECT user_id AS id, op = 'delete' AS deleted FROM r WHERE n = 1 AND NOT (op = 'delete' AND lsn < 9000)")
 def drop_markers(spark, sf_dir):
     low = spark.createDataFrame([("users", 9000, 0, 0), ("keys", 9500, 0, 0)], ST.CHECKPOINT_SCHEMA)
