@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts are long, so far fewer than Spark's 10,000.
@@ -26,6 +26,17 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Without it, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 @dataclass
 class Stored:
     """A table written as Parquet into the shared folder, to be dropped when it has served."""
@@ -34,9 +45,12 @@ class Stored:
     path: str
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.df.sparkSession, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame) -> Stored:
@@ -47,15 +61,81 @@ def stored(df: DataFrame) -> Stored:
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
+    path, seen = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return Stored(_counted(spark.read.schema(df.schema).parquet(path), seen.get.get("n", 0)), path)
+
+
+def _counted(df: DataFrame, rows: int) -> DataFrame:
+    df.n_rows = rows
+    return df
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows; stored tables were counted as they were written."""
+    known = getattr(df, "n_rows", None)
+    return df.count() if known is None else known
+
+
+class Scratch:
+    """The intermediate tables of one operator: ``with Scratch() as s: t = s.keep(df)``. All go at the end of the block, some
+    before (``s.drop(t)``); what an operator returns is ``stored`` on its own."""
+
+    def __init__(self) -> None:
+        self.tables: dict[int, Stored] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self.tables.values():
+            t.drop()
+        self.tables.clear()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows without their lineage: later steps reread them, lost executors cost nothing."""
+        t = stored(df)
+        self.tables[id(t.df)] = t
+        return t.df
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self.tables.pop(id(df)).drop()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage: later steps reread them, lost executors cost nothing."""
-    return stored(df).df
+#: Rows of ids that may be broadcast (some 50 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if its counted rows allow; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if rows_of(df) <= rows else df
+
+
+#: Rows of one key that one task joins.
+HOT_ROWS = 20_000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, rows: int = HOT_ROWS) -> DataFrame:
+    """(key, _parts) of the keys that hold more than ``rows`` of ``total`` rows, from their counts (key, _n). At most
+    BROADCAST_ROWS keys: in a table so large that there could be more, the bound on rows rises with the table."""
+    most = max(rows, total // BROADCAST_ROWS)
+    return F.broadcast(counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = HOT_ROWS, like: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """left.join(right, key, how) for a right side with one row for each key: the left rows of a hot key are dealt over several
+    tasks, each of which gets that key's right row. Keys are counted in ``like``, a stored table that has as many rows of each
+    key as left, or come counted (key, _n)."""
+    like = left if like is None else like
+    total = rows_of(like)
+    if total <= rows:
+        return left.join(right, key, how)
+    hot = hot_keys(like.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts, key, total, rows)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    each = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each, [key, "_salt"], how).drop("_salt")
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
@@ -140,27 +220,33 @@ def words_of(texts: list[bytes], is_word: np.ndarray, sep: bytes = b" ") -> tupl
     return buf, start, end, owner
 
 
-def _digest(edges: DataFrame) -> tuple:
-    """Number and hash sums of a set of edges: two sets that agree in all are the same."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.sum(F.xxhash64(h, "a").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): every node that has an edge to another, with the smallest node it reaches.
 
     Alternating large and small stars: each step is a minimum for each node, so a node with very many edges costs no task
-    more than its share.
+    more than its share. The result is a stored table of its own.
     """
-    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return stored_components(edges).df
+
+
+def stored_components(edges: DataFrame) -> Stored:
+    def written(df: DataFrame) -> tuple[Stored, dict]:
+        # Number and hash sums: two sets of edges that agree in all are the same.
+        h, seen = F.xxhash64("a", "b"), Observation()
+        t = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(h, "a").cast("decimal(38,0)")).alias("y")))
+        return t, seen.get
+
+    current, digest = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Neighbours on both sides: low is the least that a node sees, itself included.
+        both = current.df.unionByName(current.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        same = _digest(after) == _digest(current)
-        current = after
+        small_ = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after, digest_after = written(small_.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        current.drop()
+        same, digest, current = digest == digest_after, digest_after, after
         if same:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            current.df = _counted(current.df.select(F.col("a").alias("node"), F.col("b").alias("label")), rows_of(current.df))
+            return current

@@ -1,21 +1,24 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A text's set holds its distinct word shingles as 64-bit hashes; equal sets are one node. The hashes are put into ``GROUPS``
-groups, and the group counts of a node are a point: two sets share at most the sum of their points' coordinate minima.
+A text's set holds its distinct word shingles as 64-bit hashes; equal sets are one node. The hashes are put into groups, and
+the group counts of a node are a point: two sets share at most the sum of their points' coordinate minima. A coarse point
+(``COARSE`` groups) and a fine one (``FINE`` groups) are kept as one byte a group, with what exceeds a byte summed apart.
 
 Nodes meet in blocks: a pair that reaches the threshold shares one of the rarest shingles of both (rarest first, as many
 as may differ and one more; rarity comes from a count sketch of fixed size over all texts, which is the same order
-everywhere). A block is a shingle. Its nodes are compared
+everywhere). A block is a shingle. Then
 
-1. with two of the block's own nodes, the smallest id and the one that shares most blocks (in a group of near copies the
-   one nearest to all), so a large group is linked by as many comparisons as it has members, not by all its pairs;
-2. where a block then still holds nodes of several components, with the nodes of other components in it, by an R-tree over
-   the points: a branch is left when the minima of its upper corner can't reach the overlap that is needed. At first each
-   node tries, for every other component, only the entry with the best bound; when those links have joined components,
-   all pairs that are still apart are tried. Large blocks are cut into pieces that meet each other, so none is capped.
+1. to start with, each node is held against one other node: every block names its node of most blocks, and a node takes the
+   one that most of its blocks name. So a group of near copies, however large, is linked by one comparison a member;
+2. blocks whose nodes are one component by then are done. The nodes of all others go into R-trees over the coarse points, and
+   each is searched for among the nodes of other components; a branch is left when the minima of its upper corner can't reach
+   the overlap that is needed. Nodes that find no partner drop out, the others go into R-trees over the fine points, which
+   give the candidate pairs: at first only the best-bounded one for each node and other component, and when those links have
+   joined components, all that are still apart and untried. Large blocks are cut into pieces that meet each other, so none
+   is capped, and no block's pairs inside a component are ever made.
 
-Pairs that survive the bound are verified on their sets. Links join components; every text gets its component's smallest
-doc_id.
+Candidate pairs are verified on their sets; a node that many pairs name sends its set once for each lot of pairs. Links
+join components; every text gets its component's smallest doc_id.
 
 Defined results: a text that is null, empty or without a word has the empty set and is linked with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows with equal sets are one node, repeated rows therefore in
@@ -29,19 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, components, cut, mix, span_hashes, stored, table, text_batches, word_table, words_of
+from .common import Scratch, Stored, as_bytes, blocks, join_hot, mix, rows_of, small, span_hashes, stored, stored_components, table, text_batches, word_table, words_of
 
 SHINGLE, PERCENT = 4, 85
-GROUPS = 32
+COARSE, FINE = 32, 256
 SKETCH_BITS, SKETCH_PARTS = 18, 16
 #: Nodes of a block that are compared in one task; nodes of other components among them.
 BLOCK_NODES, GUESTS = 512, 2_048
 LEAF = 16
-#: Up to so many node ids are broadcast to fetch their texts.
-FETCH_BOUND = 150_000
+#: Rows of tree nodes, and pairs to verify, that one group of a task holds.
+BIN_ROWS, BIN_PAIRS = 20_000, 1_000
+#: Nodes whose repeated rows a task leaves out, remembered at once.
+SEEN = 200_000
+#: Pairs of points compared at once.
+CHUNK = 1 << 13
 _WORD = word_table(b" \t\n\x0b\x0c\r")
 _ODD = np.random.default_rng(9090).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,16 +77,27 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[tuple[int, list[np
         yield first, out
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
+def set_hash(s: np.ndarray) -> int:
     if not len(s):
-        return 0, 0
-    a = mix(mix(s * _ODD[20]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
-    b = mix(np.bitwise_xor.reduce(mix(s + _ODD[21]), keepdims=True) * _ODD[22])
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+        return 0
+    return int(mix(mix(s * _ODD[20]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def point(s: np.ndarray) -> list[int]:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).tolist()
+def point(s: np.ndarray, groups: int) -> bytes:
+    """Group counts, a byte each, and the sum of what exceeds a byte (8 bytes). Groups of fewer are sums of these."""
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + int(np.maximum(counts - 255, 0).sum()).to_bytes(8, "little")
+
+
+def matrix(points) -> np.ndarray:
+    """Points as rows of int32: the minima of two rows sum up to a bound on the overlap."""
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    over = np.ascontiguousarray(raw[:, -8:]).view(np.int64)
+    return np.concatenate([raw[:, :-8].astype(np.int32), over.astype(np.int32)], axis=1)
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(axis=1)
 
 
 def slots(s: np.ndarray) -> np.ndarray:
@@ -92,23 +110,23 @@ def needed(a, b, percent: int):
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each text (n, c1, c2, point p), and each task's part of the count sketch (part, counts)."""
+    """A row for each text (n, node, coarse and fine point), and each task's part of the count sketch (part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "_rk", "n", "c1", "c2", "p", "part", "counts"]
+        names = ["doc_id", "_rk", "n", "node", "coarse", "fine", "part", "counts"]
         for batch in batches:
             rows = []
             ids, keys = batch["doc_id"].astype("Int64").tolist(), batch["_rk"].tolist()
             for first, sets in shingle_sets(list(batch["text"]), k):
                 sketch += np.bincount(slots(np.concatenate(sets)), minlength=1 << SKETCH_BITS)
-                rows.extend((ids[first + i], keys[first + i], len(s), *set_hash(s), point(s), None, None) for i, s in enumerate(sets))
+                rows.extend((ids[first + i], keys[first + i], len(s), set_hash(s), point(s, COARSE), point(s, FINE), None, None) for i, s in enumerate(sets))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "part": "Int64"})
         size = (1 << SKETCH_BITS) // SKETCH_PARTS
         parts = [(None, None, None, None, None, None, i, sketch[i * size : (i + 1) * size].astype(np.int32).tobytes()) for i in range(SKETCH_PARTS)]
-        yield pd.DataFrame(parts, columns=names).astype({c: "Int64" for c in (*names[:5], "part")})
+        yield pd.DataFrame(parts, columns=names).astype({c: "Int64" for c in (*names[:4], "part")})
 
-    return docs.mapInPandas(run, "doc_id long, _rk long, n long, c1 long, c2 long, p array<int>, part long, counts binary")
+    return docs.mapInPandas(run, "doc_id long, _rk long, n long, node long, coarse binary, fine binary, part long, counts binary")
 
 
 def sketch_of(profile: DataFrame) -> np.ndarray:
@@ -128,21 +146,25 @@ def sketch_of(profile: DataFrame) -> np.ndarray:
 
 
 def block_keys(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(key, node) for the rarest shingles of every text."""
+    """(key, node) for the rarest shingles of every text. Repeated rows may be left out."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
+        counts, seen = shared.value, set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for _, sets in shingle_sets(list(batch["text"]), k):
                 for s in sets:
-                    if len(s):
+                    node = set_hash(s)
+                    if len(s) and node not in seen:  # copies in one task give their keys once
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(node)
                         # A partner shares at least this many, so one of the others and one more.
                         prefix = len(s) - -(-percent * len(s) // 100) + 1
                         rare = s[np.lexsort((s, counts[slots(s)]))[:prefix]] if prefix < len(s) else s
                         keys.append(rare.view(np.int64))
-                        nodes.append(set_hash(s)[0])
+                        nodes.append(node)
                         sizes.append(len(rare))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "node": np.repeat(np.array(nodes, np.int64), sizes)})
@@ -189,9 +211,9 @@ class CountTree:
                 node_ok = node < len(upper)
                 q, node = q[node_ok], node[node_ok]
                 keep = np.zeros(len(q), bool)
-                for i in range(0, len(q), 1 << 15):
-                    a, b = q[i : i + (1 << 15)], node[i : i + (1 << 15)]
-                    keep[i : i + (1 << 15)] = np.minimum(points[a], upper[b]).sum(axis=1) >= needed(sizes[a], np.maximum(least[b], -(-percent * sizes[a] // 100)), percent)
+                for i in range(0, len(q), CHUNK):
+                    a, b = q[i : i + CHUNK], node[i : i + CHUNK]
+                    keep[i : i + CHUNK] = shared_at_most(points[a], upper[b]) >= needed(sizes[a], np.maximum(least[b], -(-percent * sizes[a] // 100)), percent)
                 q, node = q[keep], node[keep]
             if upper is self.points:
                 return q, self.order[node]
@@ -203,27 +225,43 @@ class CountTree:
 # ---------------------------------------------------------------- comparisons
 
 
-def overlap_bound(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose fine points leave room for the overlap they need."""
+
+    def room(pa: pd.Series, na: pd.Series, pb: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series(shared_at_most(matrix(pa), matrix(pb)) >= needed(na.to_numpy(), nb.to_numpy(), percent) if len(pa) else np.zeros(0, bool))
+
+    def of(c: str) -> DataFrame:
+        return points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"p{c}"))
+
+    both = join_hot(pairs.join(of("a"), "a"), of("b"), "b", like=pairs)
+    sizes = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
+    return both.where(sizes).where(F.pandas_udf(room, "boolean")("pa", "na", "pb", "nb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold. Pairs of one b share its set, in lots of about BIN_PAIRS pairs."""
+    lots = max(1, rows_of(pairs) // BIN_PAIRS)
+    dealt = pairs.withColumn("lot", F.pmod(F.xxhash64("a"), F.lit(lots)))
+    left = dealt.join(sets.select(F.col("node").alias("a"), "s"), "a").withColumn("hub", F.lit(False))
+    right = join_hot(dealt.select("b", "lot").distinct(), sets.select(F.col("node").alias("b"), "s"), "b").withColumn("a", F.col("b")).withColumn("hub", F.lit(True))
+    together = left.unionByName(right).withColumn("bin", F.pmod(F.xxhash64("b", "lot"), F.lit(lots)))
 
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
-        return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hub = pdf["hub"]
+        held = {b: np.frombuffer(s, np.uint64) for b, s in zip(pdf["b"][hub], pdf["s"][hub], strict=True)}
+        out = []
+        for a, b, s in zip(pdf["a"][~hub], pdf["b"][~hub], pdf["s"][~hub], strict=True):
+            x, y = np.frombuffer(s, np.uint64), held[b]
+            if len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y), percent):
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    shared = F.pandas_udf(overlap, "long")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").withColumn("_i", shared("sa", "sb"))
-    return both.where(F.col("_i") * 100 >= percent * ((F.length("sa") + F.length("sb")) / 8 - F.col("_i"))).select("a", "b")
+    return together.groupBy("bin").applyInPandas(run, "a long, b long")
 
 
 def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, s): the sets of nodes, from the text of one of their rows each."""
-    wanted = nodes.join(reps.select("node", "doc_id", "_rk"), "node")
-    few = wanted.count() <= FETCH_BOUND
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -233,119 +271,161 @@ def fetch(docs: DataFrame, reps: DataFrame, nodes: DataFrame, k: int) -> DataFra
                 out.extend((nodes_[first + i], s.tobytes()) for i, s in enumerate(sets))
             yield pd.DataFrame(out, columns=["node", "s"])
 
-    right = wanted.alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._rk") == F.col("w._rk"))
-    texts = docs.alias("d").join(F.broadcast(right) if few else right, same).select("node", "text")
+    texts = docs.alias("d").join(small(nodes.join(reps.select("node", "doc_id", "_rk"), "node")).alias("w"), same).select("node", "text")
     return texts.mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of nodes of different components in one block that survive the bound, through R-trees. With best, each node
-    gives only its best-bounded pair with every other component of a block."""
+def mixed_blocks(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, and the block's numbers (m: nodes, main: largest component, g: nodes of others) in blocks that hold
+    nodes of several components."""
     named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("node", "label"))["label"].alias("main")).where("lo <> hi")
-    own = named.join(mixed.select("key", "m", "main"), "key").withColumn("guest", F.col("label") != F.col("main"))
-    guests = own.groupBy("key").agg(F.count_if("guest").alias("g"))
-    own = own.join(guests, "key").join(points, "node")
-    pieces, rounds = F.ceil(F.col("m") / BLOCK_NODES).cast("int"), F.ceil(F.col("g") / GUESTS).cast("int")
-    h = F.xxhash64("node")
-    # Each node is at home in one piece; guests visit every piece; the piece is repeated for every lot of guests.
-    home = own.select("key", "node", "label", "n", "p", F.pmod(h, pieces).alias("piece"), F.explode(F.sequence(F.lit(0), rounds - 1)).alias("lot"), F.lit(False).alias("visits"))
-    visit = own.where("guest").select("key", "node", "label", "n", "p", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.pmod(h, rounds).alias("lot"), F.lit(True).alias("visits"))
-    bins = max(1, keys.count() // 20_000)
+    kinds = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    blocks_ = kinds.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("kinds"), F.max(F.struct("c", "label")).alias("top")).where("kinds > 1")
+    return join_hot(named, blocks_.select("key", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.c")).alias("g")), "key", like=keys)
+
+
+def searched(mixed: DataFrame, points: DataFrame, percent: int, rows: int, pick: str) -> DataFrame:
+    """R-trees over the points (node, n, p) of mixed blocks, each node searched for among nodes of other components. ``nodes``
+    gives (key, node) with a partner; ``pairs`` gives (a, b), ``best`` only each node's best-bounded one in every other
+    component."""
+    pieces, lots = F.ceil(F.col("m") / BLOCK_NODES).cast("int"), F.ceil(F.col("g") / GUESTS).cast("int")
+    h, guest = F.xxhash64("node"), F.col("label") != F.col("main")
+    # Each node is at home in one piece, which is repeated for every lot of guests; guests visit every piece.
+    home = F.transform(F.sequence(F.lit(0), lots - 1), lambda i: F.struct(F.pmod(h, pieces).cast("int").alias("piece"), i.alias("lot"), F.lit(False).alias("visits")))
+    visit = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(i.alias("piece"), F.pmod(h, lots).cast("int").alias("lot"), F.lit(True).alias("visits")))
+    placed = mixed.join(points, "node").select("key", "node", "label", "n", "p", F.explode(F.when(guest, F.concat(home, visit)).otherwise(home)).alias("at")).select("key", "node", "label", "n", "p", "at.*")
+    bins = max(1, rows // BIN_ROWS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "piece", "lot", "visits"], kind="stable")
-        points = np.stack(pdf["p"].to_numpy()).astype(np.int32)
-        n, label, node, visits = (pdf[c].to_numpy() for c in ("n", "label", "node", "visits"))
+        points_ = matrix(pdf["p"])
+        n, label, node, visits, key = (pdf[c].to_numpy() for c in ("n", "label", "node", "visits", "key"))
         place = pdf[["key", "piece", "lot"]].to_numpy()
         begin = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(axis=1))))
         size = np.diff(np.concatenate((begin, [len(pdf)])))
-        guests_ = np.add.reduceat(visits.astype(np.int64), begin)
-        homes = size - guests_
-        # Blocks of one leaf need no tree: all their pairs at once.
-        small = homes <= LEAF
-        times = np.where(small, guests_, 0)
+        guests = np.add.reduceat(visits.astype(np.int64), begin)
+        homes = size - guests
+        # Trees of one leaf have no branch to leave: all their entries at once.
+        leaf = homes <= LEAF
+        times = np.where(leaf, guests, 0)
         q = np.repeat(begin + homes, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         per = np.repeat(homes, times)
         e = np.repeat(np.repeat(begin, times), per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
         q = np.repeat(q, per)
         found = []
-        for i in range(0, len(q), 1 << 16):
-            x, y = q[i : i + (1 << 16)], e[i : i + (1 << 16)]
-            ok = np.minimum(points[x], points[y]).sum(axis=1) >= needed(n[x], n[y], percent)
+        for i in range(0, len(q), CHUNK):
+            x, y = q[i : i + CHUNK], e[i : i + CHUNK]
+            ok = shared_at_most(points_[x], points_[y]) >= needed(n[x], n[y], percent)
             found.append((x[ok], y[ok]))
-        for at, h, g in zip(begin[~small], homes[~small], guests_[~small], strict=True):
+        for at, h_, g in zip(begin[~leaf], homes[~leaf], guests[~leaf], strict=True):
             if g:
-                i, j = CountTree(points[at : at + h], n[at : at + h]).search(points[at + h : at + h + g], n[at + h : at + h + g], percent)
-                found.append((at + h + i, at + j))
+                i, j = CountTree(points_[at : at + h_], n[at : at + h_]).search(points_[at + h_ : at + h_ + g], n[at + h_ : at + h_ + g], percent)
+                found.append((at + h_ + i, at + j))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         other = label[x] != label[y]
         x, y = x[other], y[other]
-        if best and len(x):
-            near = np.concatenate([np.minimum(points[x[i : i + (1 << 16)]], points[y[i : i + (1 << 16)]]).sum(axis=1) for i in range(0, len(x), 1 << 16)]) / (n[x] + n[y])
+        if pick == "nodes":
+            at = np.unique(np.concatenate([x, y]))
+            return pd.DataFrame({"key": key[at], "node": node[at]}).drop_duplicates()
+        if pick == "best" and len(x):
+            near = np.concatenate([shared_at_most(points_[x[i : i + CHUNK]], points_[y[i : i + CHUNK]]) for i in range(0, len(x), CHUNK)]) / (n[x] + n[y])
             order = np.lexsort((node[y], -near, label[y], x))
             x, y = x[order], y[order]
             top = np.concatenate(([True], (x[1:] != x[:-1]) | (label[y[1:]] != label[y[:-1]])))
             x, y = x[top], y[top]
-        a, b = node[x], node[y]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+        return pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])}).drop_duplicates()
 
-    together = home.unionByName(visit).withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins)))
-    return together.groupBy("bin").applyInPandas(run, "a long, b long").distinct()
+    out = "key long, node long" if pick == "nodes" else "a long, b long"
+    return placed.withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins))).groupBy("bin").applyInPandas(run, out).distinct()
 
 
-def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _rk, n_shingles, component_id of every row of df (doc_id, text)."""
+def shared_keys(keys: DataFrame, work: Scratch) -> DataFrame:
+    """(key, node), once each, of the keys that two different nodes have."""
+    ends = work.keep(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("_n")).where("lo <> hi").select("key", "_n"))
+    return work.keep(join_hot(keys, ends.select("key"), "key", counts=ends).distinct())
+
+
+def first_pairs(shared: DataFrame, work: Scratch) -> DataFrame:
+    """(a, b): of every node, the node that most of its blocks name; a block names its node of most blocks."""
+    busy = shared.groupBy("node").agg(F.count("*").alias("blocks"))
+    weighed = shared.join(busy, "node")
+    hubs = work.keep(weighed.groupBy("key").agg(F.max(F.struct("blocks", "node"))["node"].alias("hub")))
+    votes = join_hot(shared, hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("v"))
+    return votes.groupBy("node").agg(F.max(F.struct("v", "hub"))["hub"].alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def labelled(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Stored:
+    """doc_id, _rk, n_shingles, label (a node of the component) and component_id of every row of df (doc_id, text)."""
     text_batches(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_rk", F.xxhash64("doc_id", "text"))
-    profile = cut(profiles(docs, k))
-    rows = profile.where("part IS NULL")
-    reps = cut(rows.where("n > 0").groupBy(F.col("c1").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n", "p")).alias("r")).select("node", "r.doc_id", "r._rk", "r.n", "r.p"))
-    keys = stored(block_keys(docs, sketch_of(profile), k, percent))
-    ends = keys.df.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = cut(keys.df.join(ends.select("key"), "key").distinct())
-    keys.drop()
-    weight = F.struct(F.col("blocks"), F.col("node"))
-    busy = shared.groupBy("node").agg(F.count("*").alias("blocks"))
-    ends = shared.join(busy, "node").groupBy("key").agg(F.min("node").alias("lo"), F.max_by("node", weight).alias("hub"))
-    shared = cut(shared.join(ends, "key"))
-    # Every node of a block is compared with both of these, so only the others can still hold an untried pair.
-    blocks_, points = shared.where("node <> lo AND node <> hub").select("key", "node"), reps.select("node", "n", "p")
-    stars = shared.select("node", F.explode(F.array("lo", "hub")).alias("other")).where("node <> other")
-    stars = stars.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    with Scratch() as work:
+        profile = work.keep(profiles(docs, k))
+        rows = profile.where("part IS NULL").select("doc_id", "_rk", "n", "node")
+        one = F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n", "coarse", "fine")
+        reps = work.keep(profile.where("n > 0").groupBy("node").agg(F.min(one).alias("r")).select("node", "r.*").drop("_"))
+        keys = work.keep(block_keys(docs, sketch_of(profile), k, percent))
+        shared = shared_keys(keys, work)
+        work.drop(keys)
+        links, tried, labels = [], [], None
+
+        def test(pairs: DataFrame) -> None:
+            nonlocal labels
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            sets = work.keep(fetch(docs, reps, nodes, k))
+            links.append(work.keep(verified(pairs, sets, percent)))
+            work.drop(sets)
+            tried.append(pairs)
+            known = links[0]
+            for more in links[1:]:
+                known = known.unionByName(more)
+            after = stored_components(known)
+            work.tables[id(after.df)] = after
+            labels = after.df
+
+        test(work.keep(bounded(first_pairs(shared, work), reps, percent)))
+        coarse, fine = (reps.select("node", "n", F.col(c).alias("p")) for c in ("coarse", "fine"))
+        mixed = work.keep(mixed_blocks(shared, labels))
+        left = work.keep(searched(mixed, coarse, percent, rows_of(mixed), "nodes"))
+        work.drop(mixed)
+        for pick in ("best", "pairs"):
+            pairs = searched(mixed_blocks(left, labels), fine, percent, rows_of(left), pick)
+            for known in tried:
+                pairs = pairs.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+            pairs = work.keep(pairs)
+            if rows_of(pairs):  # best ones may all be tried, others not
+                test(pairs)
+        named = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
+        ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        by_node = named.join(ids, "label").select("node", "label", "component_id")
+        out = join_hot(rows, by_node, "node", "left")
+        return stored(out.select("doc_id", "_rk", F.col("n").alias("n_shingles"), "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
-    def of(c: str) -> DataFrame:
-        return points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
-
-    enough = overlap_bound(F.col("pa"), F.col("pb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    links = None
-    pairs = cut(stars.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b"))
-    for step in ("ends", "best", "all"):
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(fetch(docs, reps, nodes, k))
-        new = cut(verified(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        if step == "all":
-            break
-        pairs = cut(cross_pairs(blocks_, labels, points, percent, step == "ends"))
-        if pairs.isEmpty():
-            break
-    named = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(ids, "label").select(F.col("node").alias("c1"), "component_id")
-    return rows.join(by_node, "c1", "left").select("doc_id", "_rk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, _rk, n_shingles, component_id of every row of df (doc_id, text)."""
+    return labelled(df, k, percent).df.drop("label")
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: that of the smallest doc_id; repeated rows of it once. Texts without a word all stay."""
-    found = join_components(df, k, percent)
-    stay = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_rk").distinct().alias("s")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    """One row of each component: that of the smallest doc_id (no id comes last; of equal ids the smaller text hash); repeated
+    rows of it once. Texts without a word all stay, repeated rows of them once. Only ids are shuffled, not texts."""
+    found = labelled(df, k, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk")
+    ids = found.df.groupBy("doc_id", "_rk").agg(F.first("n_shingles").alias("n"), F.first("label").alias("label"), F.count("*").alias("times"))
+    stay = ids.where("n > 0").groupBy("label").agg(F.min(order).alias("r")).select("label", F.col("r._rk").alias("_best"), F.col("r.doc_id").alias("_id"))
+    # A component is a hot key where a third of all rows are copies, but what it is joined to is one row.
+    judged = join_hot(ids.where("n > 0"), stay, "label", like=found.df.where("n_shingles > 0"))
+    gone = judged.where(~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_best")))).select("doc_id", "_rk").withColumn("times", F.lit(0))
+    kept = judged.where("times > 1").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_best"))).select("doc_id", "_rk").unionByName(ids.where("n = 0 AND times > 1").select("doc_id", "_rk")).withColumn("times", F.lit(2))
+    marks = stored(gone.unionByName(kept)).df
+    found.drop()
     # All columns travel in one struct, so none can clash with the operator's own.
-    once = df.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_rk"), F.struct(*df.columns).alias("_row")).dropDuplicates(["doc_id", "_rk"]).alias("d")
-    return once.join(stay, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._rk") == F.col("s._rk")), "left_semi").select("_row.*")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("_rk"), F.struct(*df.columns).alias("_row")).alias("d")
+    marked = rows.join(small(marks).alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._rk") == F.col("m._rk")), "left").select("d.*", "times")
+    once = marked.where("times = 2").dropDuplicates(["doc_id", "_rk"])
+    return marked.where("times IS NULL").unionByName(once).select("_row.*")
 
 
 def op7_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
