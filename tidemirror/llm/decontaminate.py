@@ -6,11 +6,13 @@ proposes an alignment (text, item, diagonal), and each alignment is verified wor
 that are similar enough, the one of most matches counts, and of all diagonals the best.
 
 A text that holds no seed of any item drops out where it is read: a table of the items' seed hashes, broadcast if there are
-no more than ``SEED_BOUND`` of them, tells. Beyond that bound every text's seeds are joined by a shuffle instead.
+no more than ``SEED_BOUND`` of them, tells. Beyond that bound every text's seeds are joined by a shuffle instead. The rows of
+the items' seeds and the bytes of their words are held against bounds of their own before they are broadcast.
 
 Defined results: null and empty texts and items share nothing; an item of fewer than ``MIN_WORDS`` words is too short to
-tell and takes no part; equal items are all reported; rows that share doc_id and text are one; null ids are kept; an empty
-table gives no rows; other columns are ignored.
+tell and takes no part; items of equal texts are all reported, rows that share item_id and text are one item, as rows that
+share doc_id and text are one document; null ids of either are kept and reported as null; an empty table gives no rows; other
+columns are ignored. ``clean`` keeps repeated rows of clean documents.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, mix, span_hashes, table, text_batches, word_table, words_of
+from .common import BROADCAST_ROWS, Scratch, as_bytes, blocks, mix, small, span_hashes, stored, table, text_batches, word_table, words_of
 
 #: Places that count in a window. Every overlap that passes (of any length, for items of MIN_WORDS words or more) holds a seed
 #: of one of them: no row of words without one has 7 equal words or more and is similar enough. A test goes through all rows.
@@ -33,6 +35,10 @@ MIN_MATCH, ITEM_SHARE, MIN_SIMILARITY = 12, 0.8, 0.8
 #: A stretch is similar enough where its matches, worth 1 each, pay for its substitutions at 4 each (0.2 and 0.8 in fifths).
 MATCH, SUBSTITUTION = 1, -4
 SEED_BOUND = 500_000
+#: Bytes of the items' word hashes that may be broadcast.
+BODY_BOUND = 1 << 26
+
+OVERLAPS = "doc_id long, _rk long, item_id long, start int, stop int, matches int, item_words int, similarity double"
 
 _WORD = word_table(bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80)))
 _ODD = np.random.default_rng(424242).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +68,7 @@ def tokenized(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Items with their word hashes (as bytes) and seeds."""
+    """Items with a key (_ik), their word hashes (as bytes) and seeds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,10 +78,11 @@ def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text") -
                 for places, hashes in seeds(words, owner):
                     for place, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         found[owner[place]].append((place - int(at[owner[place]]), h))
-                yield pd.DataFrame({"item_id": batch["item_id"].iloc[first : first + n].array, "item": [words[at[i] : at[i + 1]].tobytes() for i in range(n)], "seeds": [[{"ipos": p, "seed": h} for p, h in f] for f in found]})
+                yield pd.DataFrame({"item_id": batch["item_id"].iloc[first : first + n].astype("Int64").array, "_ik": batch["_ik"].iloc[first : first + n].array, "item": [words[at[i] : at[i + 1]].tobytes() for i in range(n)], "seeds": [[{"ipos": p, "seed": h} for p, h in f] for f in found]})
 
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("_t"))
-    return rows.mapInPandas(run, "item_id long, item binary, seeds array<struct<ipos:int,seed:bigint>>").where(F.length("item") >= 8 * MIN_WORDS)
+    key = F.col(item_id).cast("long")
+    rows = items.select(key.alias("item_id"), F.xxhash64(key, F.col(text)).alias("_ik"), F.col(text).alias("_t")).dropDuplicates(["item_id", "_ik"])
+    return rows.mapInPandas(run, "item_id long, _ik long, item binary, seeds array<struct<ipos:int,seed:bigint>>").where(F.length("item") >= 8 * MIN_WORDS)
 
 
 def hit_texts(docs: DataFrame, known: np.ndarray | None) -> DataFrame:
@@ -158,31 +165,32 @@ def verify(words: pd.Series, item: pd.Series, diagonals: pd.Series) -> pd.DataFr
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", bound: int = SEED_BOUND) -> DataFrame:
     """doc_id, _rk, item_id, start, stop (words), matches, item_words, similarity of each verified overlap."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("_rk"), F.col(text).alias("text"))
-    tests = cut(item_seeds(items))
-    test_seeds = tests.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.ipos", "s.seed")
-    distinct = test_seeds.select("seed").distinct()
-    small = distinct.count() <= bound
-    known = None
-    if small:
-        known = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)
-        if not len(known):
-            return docs.sparkSession.createDataFrame([], "doc_id long, _rk long, item_id long, start int, stop int, matches int, item_words int, similarity double")
-    texts = cut(hit_texts(keyed, known).dropDuplicates(["doc_id", "_rk"]))
-    hits = texts.select("doc_id", "_rk", F.explode("hits").alias("h")).select("doc_id", "_rk", "h.pos", "h.seed")
-    pairs = hits.join(F.broadcast(test_seeds) if small else test_seeds, "seed")
-    aligned = pairs.groupBy("doc_id", "_rk", "item_id").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals"))
-    bodies = tests.select("item_id", "item")
-    same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a._rk") == F.col("t._rk"))
-    both = aligned.alias("a").join(texts.select("doc_id", "_rk", "words").alias("t"), same).select("a.doc_id", "a._rk", "item_id", "diagonals", "words")
-    check = F.pandas_udf(verify, "start int, stop int, matches int, item_words int, similarity double")
-    checked = both.join(F.broadcast(bodies) if small else bodies, "item_id").withColumn("_v", check("words", "item", "diagonals"))
-    enough: Column = F.col("matches") >= F.least(F.lit(MIN_MATCH), F.ceil(F.lit(ITEM_SHARE) * F.col("item_words")))
-    return checked.select("doc_id", "_rk", "item_id", "_v.*").where(enough & (F.col("similarity") >= MIN_SIMILARITY))
+    with Scratch() as work:
+        tests = work.keep(item_seeds(items))
+        test_seeds = tests.select("_ik", F.explode("seeds").alias("s")).select("_ik", "s.ipos", "s.seed")
+        distinct = test_seeds.select("seed").distinct()
+        known = None
+        if distinct.count() <= bound:
+            known = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)  # at most ``bound``
+            if not len(known):
+                return docs.sparkSession.createDataFrame([], OVERLAPS)
+        texts = work.keep(hit_texts(keyed, known).dropDuplicates(["doc_id", "_rk"]))
+        hits = texts.select("doc_id", "_rk", F.explode("hits").alias("h")).select("doc_id", "_rk", "h.pos", "h.seed")
+        pairs = hits.join(small(test_seeds, min(bound, BROADCAST_ROWS)), "seed")
+        aligned = pairs.groupBy("doc_id", "_rk", "_ik").agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("diagonals"))
+        bodies = tests.select("_ik", "item_id", "item")
+        weight = tests.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
+        same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a._rk") == F.col("t._rk"))
+        both = aligned.alias("a").join(texts.select("doc_id", "_rk", "words").alias("t"), same).select("a.doc_id", "a._rk", "_ik", "diagonals", "words")
+        check = F.pandas_udf(verify, "start int, stop int, matches int, item_words int, similarity double")
+        checked = both.join(small(bodies, bound) if weight <= BODY_BOUND else bodies, "_ik").withColumn("_v", check("words", "item", "diagonals"))
+        enough: Column = F.col("matches") >= F.least(F.lit(MIN_MATCH), F.ceil(F.lit(ITEM_SHARE) * F.col("item_words")))
+        return stored(checked.select("doc_id", "_rk", "item_id", "_v.*").where(enough & (F.col("similarity") >= MIN_SIMILARITY))).df
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that overlap no test item."""
-    bad = overlaps(docs, items, doc_id, text).select("doc_id", "_rk").distinct().alias("b")
+    """The documents that overlap no test item. Their texts are not shuffled unless very many documents go."""
+    bad = small(stored(overlaps(docs, items, doc_id, text).select("doc_id", "_rk").distinct()).df).alias("b")
     key = F.col(doc_id).cast("long")
     # All columns travel in one struct, so none can clash with the operator's own.
     rows = docs.select(key.alias("doc_id"), F.xxhash64(key, F.col(text)).alias("_rk"), F.struct(*docs.columns).alias("_row")).alias("d")
