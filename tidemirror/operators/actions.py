@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import subprocess
+import tempfile
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -88,15 +91,86 @@ def transform(changes: DataFrame, functions: dict[str, Transform]) -> DataFrame:
     return cols.mapInPandas(run, ACTION_SCHEMA)
 
 
+class _Process:
+    """A running process that answers each line with a line."""
+
+    def __init__(self, argv: list[str]):
+        self.errors = tempfile.TemporaryFile()
+        self.running = subprocess.Popen(argv, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=self.errors)
+
+    def ask(self, line: bytes, timeout_s: float) -> bytes:
+        """The answer; EOFError if the process has ended, TimeoutError (and it is killed) if it takes too long."""
+        done: list[bytes] = []
+
+        def talk() -> None:
+            try:
+                self.running.stdin.write(line)
+                self.running.stdin.flush()
+                done.append(self.running.stdout.readline())
+            except (BrokenPipeError, ValueError):
+                done.append(b"")
+
+        thread = threading.Thread(target=talk, daemon=True)
+        thread.start()
+        thread.join(timeout_s)
+        if thread.is_alive():
+            self.close()
+            raise TimeoutError(f"no answer in {timeout_s} s")
+        if not done[0]:
+            raise EOFError
+        return done[0]
+
+    def close(self) -> str:
+        self.running.kill()
+        code = self.running.wait()
+        self.errors.seek(0)
+        told = self.errors.read()[-300:].decode("utf-8", "replace")
+        self.errors.close()
+        return f"exit {code}: {told}"
+
+    def ended(self) -> str:
+        """How it ended; it has closed its output, so it ends or is made to."""
+        try:
+            self.running.wait(1)
+        except subprocess.TimeoutExpired:
+            pass
+        return self.close()
+
+
+#: One process for each command in a Python worker; it lives as long as the worker.
+_processes: dict[tuple[str, ...], _Process] = {}
+
+
+def _stop_all() -> None:
+    for p in _processes.values():
+        p.running.kill()
+
+
 def command(argv: list[str], timeout_s: float = 30) -> Transform:
-    """A transform that runs an external process: a JSON line of events in, a JSON line of actions out, for each batch."""
+    """A transform by an external process: a JSON line of events in, a JSON line of actions out, for each batch. A worker keeps
+    its process; one that has ended is started anew, and the batch tried once more; one that doesn't answer in time is killed
+    and the batch fails."""
+    key = tuple(argv)
+
+    def ask(line: bytes) -> bytes:
+        why = ""
+        for _ in range(2):
+            if key not in _processes:
+                if not _processes:
+                    atexit.register(_stop_all)
+                _processes[key] = _Process(argv)
+            try:
+                return _processes[key].ask(line, timeout_s)
+            except TimeoutError:
+                del _processes[key]
+                raise
+            except EOFError:
+                why = _processes.pop(key).ended()
+        raise RuntimeError(why)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         events = [{"operation": op, "id": i, "columns": c} for op, i, c in zip(frame["op"], frame["id"], frame["columns"], strict=True)]
-        done = subprocess.run(argv, input=json.dumps(events) + "\n", capture_output=True, text=True, timeout=timeout_s, check=False)
-        if done.returncode:
-            raise RuntimeError(f"exit {done.returncode}: {done.stderr[-300:]}")
-        return pd.DataFrame(json.loads(done.stdout), columns=["action", "id", "document", "vector", "distance_metric", "attr_schema"])
+        return pd.DataFrame(json.loads(ask((json.dumps(events) + "\n").encode())), columns=["action", "id", "document", "vector", "distance_metric", "attr_schema"])
 
     return run
 
@@ -130,6 +204,12 @@ def uniform(actions: DataFrame) -> DataFrame:
     return actions.join(mixed_batches(actions).select("namespace", "batch_id"), ["namespace", "batch_id"], "left_anti")
 
 
+def refuse_mixed(actions: DataFrame) -> DataFrame:
+    """All actions; those of mixed batches with the problem as their error."""
+    mixed = mixed_batches(fine(actions)).select("namespace", "batch_id", "problem")
+    return actions.join(mixed, ["namespace", "batch_id"], "left").withColumn("error", F.coalesce("error", "problem")).select(*ACTION_COLUMNS)
+
+
 def by_distinct_text(df: DataFrame, text: str, out: str, out_type: str, function: Callable[[list[str]], list]) -> DataFrame:
     """Apply a batch function once to each distinct text and hand the results back to all rows. Null texts count as ''."""
     keyed = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemirror.operators.actions import passthrough, row_to_event
-from tidemirror.sources.snapshot import count_with_id, snapshot
+from tidemirror.sources.snapshot import snapshot
 
 PENDING, RUNNING, DONE, FAILED = "pending", "in_progress", "completed", "failed"
 
@@ -47,7 +47,3 @@ def snapshot_actions(source: DataFrame, config: str, namespace: str, id_column:
 def handoff(snapshot_rows: DataFrame, change_actions: DataFrame, watermark_lsn: int) -> DataFrame:
     """Snapshot and later changes as one stream of actions. The watermark is taken before the scan, so nothing is lost."""
     return snapshot_rows.unionByName(change_actions.where(F.col("lsn") > watermark_lsn))
-
-
-def totals(source: DataFrame, id_column: str) -> DataFrame:
-    return count_with_id(source, id_column)

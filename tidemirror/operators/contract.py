@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemirror.functions.scalars import action_problem, id_type_compatible, parse_id
+from tidemirror.operators.actions import row_to_event
+from tidemirror.sources.snapshot import sample_row
 
 SPARK_TO_SOURCE = {"tinyint": "int2", "smallint": "int2", "int": "int4", "bigint": "int8", "float": "float4", "double": "float8", "boolean": "bool", "string": "text"}
 
@@ -34,8 +36,9 @@ def columns_of(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(i, name, source_type(kind)) for i, (name, kind) in enumerate(df.dtypes)], "place int, name string, type string")
 
 
-def check_source(df: DataFrame, config: dict, declared: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row (config, ok, problem): the first failure of a source table. Ids are checked over the whole table, in one job."""
+def check_source(df: DataFrame, config: dict, declared: list[tuple[str, str]] | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row (config, ok, problem): the first failure of a source table. Ids are checked over the whole table, in one job;
+    then the transform, if one is given, is tried on one row of a table that isn't empty."""
     spark, name = df.sparkSession, config["name"]
     id_column, kinds = config["id_column"], dict(df.dtypes)
 
@@ -56,7 +59,13 @@ def check_source(df: DataFrame, config: dict, declared: list[tuple[str, str]] |
     per_id = df.groupBy(id_column).agg(F.count("*").alias("n"), F.max((F.col(id_column).isNotNull() & parsed.isNull()).cast("int")).alias("bad"))
     facts = per_id.agg(F.count_if(F.col(id_column).isNull()).alias("nulls"), F.count_if((F.col("n") > 1) & F.col(id_column).isNotNull()).alias("twice"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     problem = F.when(F.col("nulls") > 0, "id is null in some rows").when(F.col("twice") > 0, "id is not unique").when(F.col("bad") > 0, "id can't be parsed in some rows")
-    return facts.select(F.lit(name).alias("config"), problem.isNull().alias("ok"), problem.alias("problem"))
+    found = facts.select(F.lit(name).alias("config"), problem.isNull().alias("ok"), problem.alias("problem"))
+    if transform is None or not found.first()["ok"]:
+        return found
+    sample = row_to_event(sample_row(df, id_column), id_column, config["id_type"], config.get("src_schema", "public"), config.get("src_table", name))
+    placed = sample.withColumns({"config": F.lit(name), "namespace": F.lit(config.get("namespace", name)), **{c: F.lit(0).cast("long") for c in ("lsn", "seq", "ack_lsn")}})
+    failed = dry_run(placed, transform).where(F.col("error").isNotNull()).first()
+    return report(None if failed is None else f"transform failed: {failed['error']}")
 
 
 def dry_run(sample: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:

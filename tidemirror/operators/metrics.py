@@ -16,10 +16,16 @@ def observed(routed: DataFrame, name: str = "pipeline") -> tuple[DataFrame, Obse
     return routed.observe(seen, F.count("*").alias("events"), F.max("lsn").alias("max_lsn"), F.count_if(F.col("op") == "delete").alias("deletes")), seen
 
 
-def pipeline_metrics(actions: DataFrame, dlq: DataFrame, transactions: DataFrame) -> DataFrame:
-    """One row: processed, failed, requests, acks, dlq size."""
+def pipeline_metrics(actions: DataFrame, dlq: DataFrame, transactions: DataFrame, replays: DataFrame | None = None, progress: DataFrame | None = None) -> DataFrame:
+    """One row: processed, failed, requests, acks, dlq_size; with the results of replays (ok) also replayed and replay_failed,
+    with backfill progress also backfill_rows."""
     a = actions.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_distinct("namespace", "batch_id").alias("requests"))
-    return a.crossJoin(transactions.agg(F.count("*").alias("acks"))).crossJoin(dlq.agg(F.count("*").alias("dlq_size")))
+    out = a.crossJoin(transactions.agg(F.count("*").alias("acks"))).crossJoin(dlq.agg(F.count("*").alias("dlq_size")))  # one row each
+    if replays is not None:
+        out = out.crossJoin(replays.agg(F.count_if("ok").alias("replayed"), F.count_if(~F.col("ok")).alias("replay_failed")))
+    if progress is not None:
+        out = out.crossJoin(progress.agg(F.coalesce(F.sum("processed_rows"), F.lit(0)).alias("backfill_rows")))
+    return out
 
 
 def replication_lag(transactions: DataFrame, now_micros) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 MIRROR_SCHEMA = "namespace string, id string, document string, vector array<float>, distance_metric string, lsn long, seq long, deleted boolean"
 MIRROR_COLUMNS = [c.split()[0] for c in MIRROR_SCHEMA.split(", ")]
+#: Manifests (and what they use) that readers may still hold.
+KEPT_VERSIONS = 10
 
 
 def latest(actions: DataFrame) -> DataFrame:
@@ -58,7 +60,8 @@ def write_statistics(actions: DataFrame) -> DataFrame:
 
 class MirrorStore:
     """Versioned Parquet. A version rewrites only the touched buckets of (namespace, id); a manifest, put in place by one
-    rename, lists each bucket's version. Applying a batch id a second time does nothing."""
+    rename, lists each bucket's version. Applying a batch id a second time does nothing. Replays are numbered apart from
+    batches (replay_id), so they never take a batch's id. Versions older than the last KEPT_VERSIONS manifests go."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -75,8 +78,11 @@ class MirrorStore:
             if name.startswith("manifest-") and name.endswith(".json"):
                 best = max(best, int(name[9:-5]))
         if best < 0:
-            return {"version": 0, "batch_id": -1, "buckets": {}}
-        stream = self._fs.open(self._path(f"{self.path}/manifest-{best}.json"))
+            return {"version": 0, "batch_id": -1, "replay_id": 0, "buckets": {}}
+        return self._load(best)
+
+    def _load(self, version: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifest-{version}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -89,6 +95,18 @@ class MirrorStore:
         out.close()
         if not self._fs.rename(temporary, self._path(f"{self.path}/manifest-{manifest['version']}.json")):
             raise RuntimeError("another writer committed this version")
+        self._forget(manifest["version"] - KEPT_VERSIONS)
+
+    def _forget(self, version: int) -> None:
+        """Drop a manifest and those of its buckets that the next manifest doesn't use."""
+        at = self._path(f"{self.path}/manifest-{version}.json")
+        if version < 1 or not self._fs.exists(at):
+            return
+        old, after = self._load(version)["buckets"], self._load(version + 1)["buckets"]
+        for bucket, v in old.items():
+            if after.get(bucket) != v:
+                self._fs.delete(self._path(f"{self.path}/v={v}/bucket={bucket}"), True)
+        self._fs.delete(at, False)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("namespace", "id"), F.lit(self.buckets)).cast("int")
@@ -106,6 +124,15 @@ class MirrorStore:
         now = self.manifest()
         if batch_id <= now["batch_id"]:
             return False
+        self._merge(actions, now, batch_id=batch_id)
+        return True
+
+    def apply_replay(self, actions: DataFrame) -> None:
+        """Merge replayed actions. Doing it again changes nothing, as documents only give way to later positions."""
+        now = self.manifest()
+        self._merge(actions, now, replay_id=now["replay_id"] + 1)
+
+    def _merge(self, actions: DataFrame, now: dict, **ids: int) -> None:
         fresh = latest(actions).withColumn("bucket", self._bucket())
         touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
         version = now["version"] + 1
@@ -115,8 +142,7 @@ class MirrorStore:
             merged = newest(old.unionByName(fresh.drop("bucket"))).withColumn("bucket", self._bucket())
             merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
             held |= {str(b): version for b in touched}
-        self._commit({"version": version, "batch_id": batch_id, "buckets": held})
-        return True
+        self._commit(now | {"version": version, "buckets": held} | ids)
 
 
 # ---------------------------------------------------------------- queries over a namespace

@@ -23,24 +23,30 @@ def raw_id(id_column: Column) -> Column:
 
 def id_problem(id_column: Column, id_type: Column) -> Column:
     """Why a change has no usable id; null if it has one."""
+    return _problem(id_column, raw_id(id_column), parse_id(raw_id(id_column), id_type))
+
+
+def _problem(id_column: Column, raw: Column, parsed: Column) -> Column:
     image = F.coalesce("new", "old")
     return (
-        F.when(image.isNull(), "no tuple")
+        F.when(parsed.isNotNull() & ~F.array_contains("unchanged", id_column), None)
+        .when(image.isNull(), "no tuple")
         .when(F.array_contains("unchanged", id_column), "id is unchanged")
         .when(~F.map_contains_key(image, id_column), "id column missing")
-        .when(raw_id(id_column).isNull(), "id is null")
-        .when(parse_id(raw_id(id_column), id_type).isNull(), "id can't be parsed")
+        .when(raw.isNull(), "id is null")
+        .when(parsed.isNull(), "id can't be parsed")
     )
 
 
 def route(changes: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every change once for each config of its table, with config, namespace, id_type, id and problem.
+    """Every change once for each config of its table, with config, namespace, id_type, id and problem. Each id is read and
+    parsed once.
 
     Configs are a small table kept by hand; Spark broadcasts it as long as it is under its size threshold."""
     c = configs.select(F.col("name").alias("config"), "namespace", "src_schema", "src_table", "id_column", "id_type")
-    joined = changes.join(c, ["src_schema", "src_table"])
-    out = joined.withColumn("problem", id_problem(F.col("id_column"), F.col("id_type")))
-    return out.withColumn("id", F.when(F.col("problem").isNull(), parse_id(raw_id(F.col("id_column")), F.col("id_type")))).drop("id_column")
+    joined = changes.join(c, ["src_schema", "src_table"]).withColumn("_raw", raw_id(F.col("id_column"))).withColumn("_id", parse_id("_raw", F.col("id_type")))
+    out = joined.withColumn("problem", _problem(F.col("id_column"), F.col("_raw"), F.col("_id")))
+    return out.withColumn("id", F.when(F.col("problem").isNull(), F.col("_id"))).drop("id_column", "_raw", "_id")
 
 
 def routed(changes: DataFrame, configs: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def schema_changes(relations: DataFrame, watched: DataFrame | None = None, row_e
     before = F.lag("columns").over(Window.partitionBy("relation_id").orderBy("seq"))
     out = relations.withColumn("before", before).withColumn("changed", F.col("before").isNotNull() & (F.col("before") != F.col("columns")))
     if watched is not None:
-        out = out.join(F.broadcast(watched.select("src_schema", "src_table", F.col("columns").alias("watched"))), ["src_schema", "src_table"], "left")
+        out = out.join(watched.select("src_schema", "src_table", F.col("columns").alias("watched")), ["src_schema", "src_table"], "left")
     else:
         out = out.withColumn("watched", F.lit(None).cast("array<string>"))
 

@@ -21,7 +21,8 @@ from tidemirror.operators import state as ST
 from tidemirror.operators import transactions as X
 from tidemirror.sources import snapshot as SN
 from tidemirror.sources import wal as W
-from tidemirror.sources.changelog import as_changes
+from tidemirror.sources.changelog import as_changes, with_commits
+from tidemirror.streaming.mirror_stream import OUT, Mirror, StateTable, buffer_transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/mirror-{uuid.uuid4().hex}"
 
 
@@ -134,9 +139,9 @@ def count_with_id(spark, sf_dir):
     return SN.count_with_id(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query()
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 1")
 def sample_row(spark, sf_dir):
-    return SN.sample_row(table(spark, sf_dir, "customer"))
+    return SN.sample_row(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")
 
 
 def _as_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,9 +401,9 @@ def embed_and_upsert(spark, sf_dir):
     return acts.select("lsn", "action", "distance_metric", F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
 
 
-@query()
+@query(f"WITH {EV} SELECT 'users' AS config, CASE WHEN op = 'delete' THEN 'delete' ELSE 'upsert' END AS action, NULL::VARCHAR AS error FROM ev ORDER BY lsn LIMIT 1")
 def dry_run(spark, sf_dir):
-    sample = event_changes(spark, sf_dir).limit(1)
+    sample = event_changes(spark, sf_dir).orderBy("lsn").limit(1)
     return C.dry_run(R.routed(sample, one(spark, "users")), lambda r: A.transform(r, {"users": _score})).select("config", "action", "error")
 
 
@@ -669,16 +674,101 @@ def pipeline_metrics(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
+def _mirrored(spark: SparkSession, log: DataFrame, **options) -> Mirror:
+    """A mirror of the users config, fed by a log that is written as files and read in micro-batches. The files' borders fall
+    where they like, so transactions are cut by them."""
+    folder = shared_folder(spark)
+    log.repartitionByRange(5, "lsn", "seq").sortWithinPartitions("lsn", "seq").write.parquet(f"{folder}/log")
+    mirror = Mirror(spark, f"{folder}/m", options.pop("configs", one(spark, "users")), buckets=8, **options)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    mirror.run(stream, f"{folder}/q")
+    return mirror
+
+
+def _shown(mirror: Mirror) -> DataFrame:
+    return mirror.store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+
+
 @query(ORACLES["mirror_latest"])
 def stream_mirror(spark, sf_dir):
     """Events as files, read by a stream in micro-batches into the versioned mirror."""
-    from tidemirror.sources.changelog import stream_changes
-    from tidemirror.streaming.mirror_stream import Mirror
+    return _shown(_mirrored(spark, with_commits(event_changes(spark, sf_dir))))
 
-    folder = shared_folder(spark)
-    event_changes(spark, sf_dir).repartitionByRange(5, "lsn").write.parquet(f"{folder}/log")
-    mirror = Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
-    mirror.run(stream_changes(spark, f"{folder}/log", files_per_trigger=2), f"{folder}/q")
-    return mirror.store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
 
+@query(ORACLES["mirror_latest"])
+def stream_mirror_cuts(spark, sf_dir):
+    """Transactions of 70 events, so that all borders of micro-batches fall inside one; the log's last is closed by its commit."""
+    log = event_changes(spark, sf_dir).withColumn("xid", F.floor(F.col("lsn") / 70)).withColumn("ack_lsn", F.col("xid") * 70 + 69)
+    return _shown(_mirrored(spark, with_commits(log)))
+
+
+@query(ORACLES["mirror_latest"])
+def stream_mirror_eager(spark, sf_dir):
+    """One transaction of all events, applied before its commit in parts."""
+    log = event_changes(spark, sf_dir)
+    top = log.agg(F.max("lsn").alias("_top"))
+    whole = log.crossJoin(F.broadcast(top)).withColumns({"xid": F.lit(1).cast("long"), "ack_lsn": F.col("_top")}).drop("_top")
+    return _shown(_mirrored(spark, with_commits(whole), eager=True))
 
+
+@query(f"WITH {EV} SELECT 'users' AS config, max(ack_lsn) AS lsn, count(*) FILTER (xid % 100 <> 7) AS events_processed, 0::BIGINT AS dead_letters FROM ev")
+def stream_oversized(spark, sf_dir):
+    """Every hundredth transaction has one event too many, spread over micro-batches or not: it is dropped and acknowledged."""
+    log = event_changes(spark, sf_dir)
+    more = log.where(F.col("xid") % 100 == 7).withColumn("seq", F.col("seq") + F.lit(2**40))
+    mirror = _mirrored(spark, with_commits(log.unionByName(more)), most_events=10)
+    return mirror.checkpoints.read().select("config", "lsn", "events_processed").crossJoin(mirror.dlq.read().agg(F.count("*").alias("dead_letters")))
+
+
+@query(ORACLES["mirror_latest"])
+def stream_layouts(spark, sf_dir):
+    """Rows by place: a layout row before every 1000th event turns the columns round, and is remembered across micro-batches."""
+    log = event_changes(spark, sf_dir)
+    turned = F.floor(F.col("lsn") / 1000) % 2 == 1
+    names, values = [F.lit(c) for c in ("user_id", "event_type", "k")], F.coalesce("new", "old")
+    placed = F.when(turned, F.array(*[F.try_element_at(values, c) for c in names[::-1]])).otherwise(F.array(*[F.try_element_at(values, c) for c in names]))
+    gone, none = F.col("op") == "delete", F.lit(None).cast("array<string>")
+    base = ["lsn", "seq", "xid", "ack_lsn", "commit_us", "relation_id", "src_schema", "src_table"]
+    rows = log.select(*base, "op", F.when(~gone, placed).alias("cols"), F.when(gone, placed).otherwise(none).alias("old_cols"), "unchanged").withColumn("seq", F.col("seq") * 2)
+    layouts = log.where("lsn % 1000 = 0").select(*base, F.lit("relation").alias("op"), F.when(turned, F.array(*names[::-1])).otherwise(F.array(*names)).alias("cols"), F.array(*[F.lit("text")] * 3).alias("old_cols"), "unchanged").withColumn("seq", F.col("seq") * 2 - 1)
+    commits = with_commits(log).where("op = 'commit'").select(*base, "op", none.alias("cols"), none.alias("old_cols"), "unchanged")
+    return _shown(_mirrored(spark, rows.unionByName(layouts).unionByName(commits)))
+
+
+@query("SELECT event_id AS seq, event_id // 10 AS xid, event_type AS payload, (event_id // 10) * 10 + 9 AS ack_lsn FROM events WHERE event_id // 10 % 5 <> 3")
+def buffered_transactions(spark, sf_dir):
+    """Rows and commits of a stream, mixed over micro-batches; every fifth transaction never commits."""
+    e, folder = table(spark, sf_dir, "events"), shared_folder(spark)
+    xid, none = F.floor(F.col("event_id") / 10), F.lit(None).cast("long")
+    rows = e.select(xid.alias("xid"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"), F.lit(False).alias("is_commit"), none.alias("ack_lsn"), none.alias("commit_us"))
+    commits = rows.where("xid % 5 <> 3").groupBy("xid").agg(F.max("seq").alias("seq")).select("xid", "seq", F.lit(None).cast("string").alias("payload"), F.lit(True).alias("is_commit"), (F.col("xid") * 10 + 9).alias("ack_lsn"), F.lit(0).cast("long").alias("commit_us"))
+    rows.unionByName(commits).repartitionByRange(3, "seq", "is_commit").write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema("xid long, seq long, payload string, is_commit boolean, ack_lsn long, commit_us long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    query_ = buffer_transactions(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/q").trigger(availableNow=True).start(f"{folder}/out")
+    query_.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out").select("seq", "xid", "payload", "ack_lsn")
+
+
+@query(f"""WITH {EV}, c AS (SELECT 'types' AS config, 999::BIGINT AS lsn, 5::BIGINT AS events_processed, 0::BIGINT AS updated_ms UNION ALL SELECT event_type, max(lsn), count(*), 7 FROM ev GROUP BY 1) SELECT * FROM c""")
+def state_upsert(spark, sf_dir):
+    """Checkpoints of event types, written over older ones of the same configs in a state table."""
+    new = event_changes(spark, sf_dir).groupBy(F.try_element_at(F.coalesce("new", "old"), F.lit("event_type")).alias("config")).agg(F.max("lsn").alias("lsn"), F.count("*").alias("events_processed")).withColumn("updated_ms", F.lit(7).cast("long"))
+    state = StateTable(spark, f"{shared_folder(spark)}/state", ST.CHECKPOINT_SCHEMA)
+    state.write(new.withColumn("lsn", F.lit(1).cast("long")).unionByName(spark.createDataFrame([("types", 999, 5, 0)], ST.CHECKPOINT_SCHEMA)))
+    state.write(ST.upsert(state.read(), new, ["config"]))
+    return state.read()
+
+
+@query("SELECT event_type AS id, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+def kept_actions(spark, sf_dir):
+    acts = A.passthrough(R.routed(event_changes(spark, sf_dir), one(spark, "types"))).withColumn("action", F.when(F.col("lsn") % 3 == 0, "skip").otherwise(F.col("action")))
+    return A.not_skipped(acts).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) END AS as_uint,
+ CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN '-5' END AS as_int,
+ CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN '-5' END AS as_string FROM events""")
+def id_of_json(spark, sf_dir):
+    e, i = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    value = F.when(i == 0, F.col("event_id").cast("string")).when(i == 1, F.concat(F.lit('"'), F.col("user_id").cast("string"), F.lit('"'))).when(i == 2, F.lit("-5")).otherwise(F.lit("[1]"))
+    return e.select("event_id", value.alias("v")).select("event_id", *[S.parse_id_json("v", kind).alias(f"as_{kind}") for kind in ("uint", "int", "string")])

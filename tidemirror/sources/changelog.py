@@ -1,4 +1,7 @@
-"""Change logs: ordered row changes with a log position (lsn, seq), a transaction and the table they belong to."""
+"""Change logs: ordered row changes with a log position (lsn, seq), a transaction and the table they belong to.
+
+A row with op ``commit`` ends its transaction; a log without such rows is read as one whose transactions end where the next
+begins."""
 
 from __future__ import annotations
 
@@ -27,6 +30,13 @@ def stream_changes(spark: SparkSession, path: str, start_lsn: int | None = None,
     return rows if start_lsn is None else rows.where(F.col("lsn") >= start_lsn)
 
 
+def with_commits(changes: DataFrame) -> DataFrame:
+    """The changes with a commit row behind each transaction, at its ack position."""
+    last = changes.groupBy("xid").agg(F.max("ack_lsn").alias("ack_lsn"), F.max("commit_us").alias("commit_us"))
+    values = {"lsn": F.col("ack_lsn"), "seq": F.lit(2**62).cast("long"), "op": F.lit("commit"), "unchanged": F.array().cast("array<string>")}
+    return changes.unionByName(last.withColumns(values), allowMissingColumns=True)
+
+
 def as_changes(df: DataFrame, *, lsn: Column, seq: Column, xid: Column, ack_lsn: Column, commit_us: Column, relation_id: int, schema: str, table: str, op: Column, values: dict[str, Column]) -> DataFrame:
     """A table whose rows are changes, as a change log: inserts and updates carry new values, deletes old ones."""
     image = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("string") for v in values.values()]))

@@ -67,6 +67,7 @@ def count_with_id(df: DataFrame, id_column: str) -> DataFrame:
     return df.agg(F.count(id_column).alias("n"))
 
 
-def sample_row(df: DataFrame) -> DataFrame:
-    """One row as text; none for an empty table."""
-    return df.select(*[text_of(df, c).alias(c) for c in df.columns]).limit(1)
+def sample_row(df: DataFrame, key: str | None = None) -> DataFrame:
+    """One row as text (that of the smallest key, if one is named); none for an empty table."""
+    ordered = df if key is None else df.orderBy(key)
+    return ordered.select(*[text_of(df, c).alias(c) for c in df.columns]).limit(1)

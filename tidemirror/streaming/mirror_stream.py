@@ -1,18 +1,23 @@
 """The continuous mirror: changes in micro-batches, routed, transformed, merged, then checkpointed.
 
-Order of a micro-batch: mirror version, dead letters, checkpoints; Spark writes its own commit last. A batch that is run
-again finds its id in the mirror's manifest, and rows at or below a config's checkpoint are skipped, so a crash at any
-point repeats work but changes nothing.
+Order of a micro-batch: layouts, open transactions, mirror version, dead letters, checkpoints; Spark writes its own commit
+last. Every step can be done again with the same effect: a batch that is run again finds its id in the mirror's manifest,
+rows of transactions at or below a config's checkpoint are skipped, dead letters keep their ids, and what a batch leaves open
+is kept under its own id. So a crash at any point repeats work but changes nothing.
+
+The log holds transactions in the order of their commits (ack_lsn); rows with op ``commit`` end one, rows with op ``relation``
+bring the layout of a table. A transaction is whole when its commit has been read or a later transaction has begun. Rows of
+the last one, if it isn't whole, wait under ``open/`` for a later micro-batch; with ``eager`` they are applied at once, but
+the checkpoints wait for the commit, so that a restart repeats the transaction.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,6 +27,15 @@ from tidemirror.operators import route as R
 from tidemirror.operators import state as S
 from tidemirror.operators import transactions as X
 from tidemirror.operators.mirror import MirrorStore
+from tidemirror.sources.changelog import COLUMNS
+
+#: Rows by place: values in the order of the table's layout; a layout row holds the columns' names and their types.
+PLACED_SCHEMA = "lsn long, seq long, xid long, ack_lsn long, commit_us long, relation_id long, src_schema string, src_table string, op string, cols array<string>, old_cols array<string>, unchanged array<string>"
+RELATION_SCHEMA = "seq long, relation_id long, src_schema string, src_table string, columns array<struct<name: string, type: string>>"
+BORDER_SCHEMA = "batch_id long, done long, open_ack long, first long"
+SIGNAL_SCHEMA = "seq long, relation_id long, src_schema string, src_table string, breaking boolean"
+#: Versions of a small table that readers may still hold.
+KEPT_VERSIONS = 3
 
 
 class StateTable:
@@ -33,79 +47,187 @@ class StateTable:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
-    def version(self) -> int:
+    def versions(self) -> list[int]:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return max([int(n[2:]) for n in found if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))], default=0)
+        return sorted(int(n[2:]) for n in found if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}") if v else self.spark.createDataFrame([], self.schema)
+        v = self.versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v[-1]}") if v else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={self.version() + 1}")
+        v = self.versions()
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={(v[-1] if v else 0) + 1}")
+        for old in v[: -KEPT_VERSIONS + 1]:
+            self._fs.delete(self._path(f"{self.path}/v={old}"), True)
 
 
 class Mirror:
-    """A mirror with its checkpoints and dead letters under one folder."""
+    """A mirror with its checkpoints, dead letters, layouts and schema-change signals under one folder.
+
+    transform: routed changes to actions; most_events: transactions of more events are dropped whole and acknowledged; eager:
+    rows of an open transaction are applied before its commit; source, id_column: where dead letters are replayed from, every
+    ``replay_every`` micro-batches and at the start of ``run``.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, configs: DataFrame, transform: Callable[[DataFrame], DataFrame] = A.passthrough, most_events: int | None = None, buckets: int = 64, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
-        self.spark, self.configs, self.transform, self.most_events, self.clock = spark, configs, transform, most_events, clock
+    def __init__(
+        self, spark: SparkSession, path: str, configs: DataFrame, transform: Callable[[DataFrame], DataFrame] = A.passthrough, most_events: int | None = None, buckets: int = 64,
+        clock: Callable[[], int] = lambda: int(time.time() * 1000), eager: bool = False, source: Callable[[], DataFrame] | None = None, id_column: str = "id", replay_every: int = 0, most_retries: int = 5,
+    ):
+        self.spark, self.path, self.configs, self.transform, self.most_events, self.clock = spark, path.rstrip("/"), configs, transform, most_events, clock
+        self.eager, self.source, self.id_column, self.replay_every, self.most_retries = eager, source, id_column, replay_every, most_retries
         self.store = MirrorStore(spark, f"{path}/mirror", buckets)
         self.checkpoints = StateTable(spark, f"{path}/checkpoints", S.CHECKPOINT_SCHEMA)
         self.dlq = StateTable(spark, f"{path}/dlq", D.DLQ_SCHEMA)
-        self.passes = 0
+        self.borders = StateTable(spark, f"{path}/borders", BORDER_SCHEMA)
+        self.relations = StateTable(spark, f"{path}/relations", RELATION_SCHEMA)
+        self.signals = StateTable(spark, f"{path}/signals", SIGNAL_SCHEMA)
+        self.passes = self.replayed = self.replay_failed = 0
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    # ------------------------------------------------------------ layouts
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Rows by place as changes by name, by the latest layout of their table, be it of this micro-batch or of one before.
+        New layouts are kept; those that change watched columns are signalled."""
+        fresh = rows.where("op = 'relation'").select("seq", "relation_id", "src_schema", "src_table", F.arrays_zip(F.col("cols").alias("name"), F.col("old_cols").alias("type")).alias("columns"))
+        fresh = fresh.join(self.relations.read().select("relation_id", "seq"), ["relation_id", "seq"], "left_anti").select("seq", "relation_id", "src_schema", "src_table", "columns")
+        if not fresh.isEmpty():
+            self.relations.write(self.relations.read().unionByName(fresh.dropDuplicates(["relation_id", "seq"])))
+            told = X.schema_changes(self.relations.read(), X.watched_columns(R.active(self.configs))).where("changed")
+            self.signals.write(told.select("seq", "relation_id", "src_schema", "src_table", "breaking"))
+        events = rows.where("op <> 'relation'").drop("src_schema", "src_table")
+        known = X.with_relation(events, self.relations.read())
+        image = lambda c: F.when(F.col(c).isNotNull() & F.col("columns").isNotNull(), F.map_from_arrays(F.col("columns.name"), F.transform(F.col("columns"), lambda _, i: F.try_element_at(c, i.cast("int") + 1))))
+        return known.withColumns({"new": image("cols"), "old": image("old_cols")}).select(*COLUMNS)
+
+    # ------------------------------------------------------------ transactions across micro-batches
+
+    def _border(self, batch_id: int) -> dict:
+        rows = self.borders.read().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).collect()
+        return rows[0].asDict() if rows else {"batch_id": -1, "done": None, "open_ack": None, "first": batch_id}
+
+    def whole(self, changes: DataFrame, batch_id: int) -> tuple[DataFrame, int | None]:
+        """The rows to apply now, and the position up to which transactions are whole. What stays open is kept."""
+        before = self._border(batch_id)
+        tops = changes.groupBy("ack_lsn").agg(F.max(F.col("op") == "commit").alias("closed")).orderBy(F.desc("ack_lsn")).limit(2).collect()
+        top = tops[0].ack_lsn if tops else before["open_ack"]
+        closed = bool(tops and tops[0].closed)
+        below = [x for x in (before["done"], tops[1].ack_lsn if len(tops) > 1 else None, before["open_ack"] if before["open_ack"] != top else None) if x is not None]
+        done = top if closed else max(below, default=None)
+        open_ack = None if closed else top
+        goes_on = open_ack is not None and open_ack == before["open_ack"]
+        first = before["first"] if goes_on else batch_id
+        rows = changes.where("op <> 'commit'")
+        if not self.eager:
+            waiting = rows.where(F.col("ack_lsn") == open_ack) if open_ack is not None else rows.limit(0)
+            waiting.write.mode("overwrite").parquet(f"{self.path}/open/{batch_id}")
+            held = [f"{self.path}/open/{b}" for b in self._kept_open() if before["first"] <= b < batch_id]
+            if held:
+                rows = rows.unionByName(self.spark.read.schema(changes.schema).parquet(*held))
+            if open_ack is not None:
+                rows = rows.where(F.col("ack_lsn") != open_ack)
+        now = self.spark.createDataFrame([(batch_id, done, open_ack, first)], BORDER_SCHEMA)
+        self.borders.write(self.borders.read().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).unionByName(now))
+        for b in self._kept_open():
+            if b < before["first"]:  # Spark has committed the batches that used it
+                self._fs.delete(self._path(f"{self.path}/open/{b}"), True)
+        return rows, done
+
+    def _kept_open(self) -> list[int]:
+        folder = self._path(f"{self.path}/open")
+        return [int(s.getPath().getName()) for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+
+    # ------------------------------------------------------------ a micro-batch
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """One micro-batch (the body of foreachBatch)."""
-        live = R.active(self.configs)
-        before = self.checkpoints.read()
-        kept = changes
+        """One micro-batch (the body of foreachBatch): changes by name, or rows by place with layouts."""
+        if "cols" in changes.columns:
+            changes = self.named(changes)
+        kept, done = self.whole(changes.select(*COLUMNS), batch_id)
+        live, before = R.active(self.configs), self.checkpoints.read()
         if self.most_events is not None:
-            kept, _ = X.split_oversized(changes, self.most_events)
-        routed = R.skip_applied(R.routed(kept, live), before, "ack_lsn")
-        acts = A.checked(self.transform(routed))
+            kept, _ = X.split_oversized(kept, self.most_events)
+        seen = Observation()
+        routes = R.skip_applied(R.route(kept, live), before, "ack_lsn").observe(seen, F.count_if(F.col("problem").isNotNull()).alias("bad"))
+        # User code runs once: its actions are written, and all that follows reads them.
+        folder = f"{self.path}/actions/{batch_id}"
+        A.checked(self.transform(routes.where(F.col("problem").isNull()).drop("problem"))).write.mode("overwrite").parquet(folder)
+        acts = A.refuse_mixed(self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder))
         self.store.apply(A.fine(acts), batch_id)
-        bad = A.failed(acts).join(routed.select("config", "lsn", "seq", "id_type", "op"), ["config", "lsn", "seq"])
-        if not bad.isEmpty():
-            self.dlq.write(D.append(self.dlq.read(), D.entries(bad, self.clock())))
+        letters = []
+        if not A.failed(acts).isEmpty():
+            routed = routes.where(F.col("problem").isNull()).select("config", "lsn", "seq", "id_type", "op")
+            letters.append(D.entries(A.failed(acts).join(routed, ["config", "lsn", "seq"]), self.clock()))
+        if seen.get["bad"]:
+            wrong = routes.where(F.col("problem").isNotNull()).withColumn("error", F.col("problem"))
+            letters.append(D.entries(wrong, self.clock()).withColumns({"kind": F.lit(D.PERMANENT), "permanent_ms": F.lit(self.clock()).cast("long")}))
+        for new in letters:
+            self.dlq.write(D.append(self.dlq.read(), new))
         # Dropped transactions are acknowledged too.
-        self.checkpoints.write(S.advance(before, live, A.fine(acts), changes.select("ack_lsn"), self.clock()))
+        position = self.spark.createDataFrame([(done,)], "ack_lsn long")
+        self.checkpoints.write(S.advance(before, live, A.fine(acts), position, self.clock()))
+        self._fs.delete(self._path(folder), True)
         self.passes += 1
+        if self.source is not None and self.replay_every and self.passes % self.replay_every == 0:
+            self.replay(self.source(), self.id_column, self.most_retries)
 
     def run(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
-        """Start the continuous mirror; with available_now it ends when all that is there has been read."""
+        """Start the continuous mirror; with available_now it ends when all that is there has been read. Dead letters are
+        drained first, if there is a source."""
+        if self.source is not None:
+            self.drain()
         writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         query = (writer.trigger(availableNow=True) if available_now else writer).start()
         if available_now:
             query.awaitTermination()
         return query
 
-    def replay(self, source: DataFrame, id_column: str, most_retries: int = 5, limit: int = 10_000) -> None:
-        """Replay dead letters against the current rows of their source."""
+    # ------------------------------------------------------------ dead letters
+
+    def replay(self, source: DataFrame, id_column: str, most_retries: int = 5, limit: int = 10_000) -> int:
+        """Replay dead letters against the current rows of their source; the number of successes. Replays have versions of the
+        mirror of their own and leave the micro-batches' ids alone."""
         entries = D.orphans(D.retryable(self.dlq.read(), self.configs, limit), R.active(self.configs))
         sound = D.replay_events(entries.where("reason IS NULL"), source, id_column)
-        batch = self.store.manifest()["batch_id"]
-        events = sound.select("dlq_id", "config", "namespace", "lsn", F.lit(-1).cast("long").alias("seq"), F.lit(batch).cast("long").alias("ack_lsn"), F.col("replay_op").alias("op"), "id", "id_type", "new", "old", F.array().cast("array<string>").alias("unchanged"))
-        acts = A.checked(self.transform(events))
+        events = sound.select("dlq_id", "config", "namespace", "lsn", F.lit(-1).cast("long").alias("seq"), F.col("lsn").alias("ack_lsn"), F.col("replay_op").alias("op"), "id", "id_type", "new", "old", F.array().cast("array<string>").alias("unchanged"))
+        folder = f"{self.path}/actions/replay-{self.store.manifest()['replay_id'] + 1}"
+        A.checked(self.transform(events)).write.mode("overwrite").parquet(folder)
+        acts = self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder)
         done = acts.join(sound.select("config", "lsn", "id", "dlq_id"), ["config", "lsn", "id"])
-        results = done.select("dlq_id", F.col("error").isNull().alias("ok"), "error", F.lit(False).alias("fatal")).unionByName(entries.where("reason IS NOT NULL").select("dlq_id", F.lit(False).alias("ok"), F.col("reason").alias("error"), F.lit(True).alias("fatal")))
-        after = D.settle(self.dlq.read(), results, most_retries, self.clock())
+        results = done.groupBy("dlq_id").agg(F.max("error").alias("error")).select("dlq_id", F.col("error").isNull().alias("ok"), "error", F.lit(False).alias("fatal"))
+        results = results.unionByName(entries.where("reason IS NOT NULL").select("dlq_id", F.lit(False).alias("ok"), F.col("reason").alias("error"), F.lit(True).alias("fatal"))).persist()
+        tally = results.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed")).first()
         # A document written later than the failed event wins by (lsn, seq), so a replay never takes it back.
-        self.store.apply(A.fine(done.select(*A.ACTION_COLUMNS)), batch + 1)
-        self.dlq.write(after)
+        self.store.apply_replay(A.fine(acts))
+        self.dlq.write(D.settle(self.dlq.read(), results, most_retries, self.clock()))
+        results.unpersist()
+        self._fs.delete(self._path(folder), True)
+        self.replayed, self.replay_failed = self.replayed + tally.ok, self.replay_failed + tally.failed
+        return tally.ok
+
+    def drain(self, stalls: int = 2) -> None:
+        """Replay until nothing retryable is left or ``stalls`` passes in a row had no success."""
+        idle = 0
+        while idle < stalls and not D.retryable(self.dlq.read(), self.configs, 1).isEmpty():
+            idle = 0 if self.replay(self.source(), self.id_column, self.most_retries) else idle + 1
+
+    def purge(self, hours: int = 72) -> None:
+        self.dlq.write(D.purge(self.dlq.read(), self.clock(), hours))
 
 
-# ---------------------------------------------------------------- transactions across micro-batches
+# ---------------------------------------------------------------- transactions by Spark's state store
 
 OUT = "xid long, seq long, payload string, ack_lsn long, commit_us long"
 
 
 def buffer_transactions(messages: DataFrame, timeout: str | None = None) -> DataFrame:
-    """Rows (xid, seq, payload, is_commit, ack_lsn, commit_us) of a stream held back until their transaction commits.
+    """Rows (xid, seq, payload, is_commit, ack_lsn, commit_us) of a stream whose transactions mix, held back by xid until their
+    commit. A transaction's state goes with its commit; rows must not come in a later micro-batch than their commit.
 
-    Rows and commits may come in any order and in any micro-batch; late rows of a committed transaction pass at once. The
-    state of a transaction that never commits goes when it times out (only under a continuous trigger: with a timeout, Spark
-    goes on making batches).
+    With a timeout, state is kept that long after the last row: late rows of a committed transaction pass at once in that time,
+    and transactions that never commit are forgotten (under a continuous trigger only: Spark goes on making batches).
     """
     wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -127,20 +249,12 @@ def buffer_transactions(messages: DataFrame, timeout: str | None = None) -> Data
             out.insert(0, "xid", key[0])
             yield out.assign(ack_lsn=ack, commit_us=commit)
             seqs, payloads = [], []
+        if ack is not None and wait is None:
+            if state.exists:
+                state.remove()
+            return
         state.update((seqs, payloads, ack, commit))
         if wait is not None:
             state.setTimeoutDuration(wait)
 
     return messages.groupBy("xid").applyInPandasWithState(run, OUT, "seqs array<long>, payloads array<string>, ack long, commit long", "append", GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def eager_sub_batches(changes: DataFrame, size: int) -> DataFrame:
-    """Large transactions handed out in chunks before their commit: visible early, but checkpointed only at the commit, so a
-    crash replays the transaction. Rows keep their own position; chunk_no tells the chunk."""
-    return X.sub_batches(changes, size)
-
-
-def foreach_batch(fn: Callable[[DataFrame, int], Any], stream: DataFrame, checkpoint: str):
-    query = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
