@@ -28,7 +28,8 @@ def parse_id(text: Column | str, id_type: Column | str) -> Column:
     """The canonical id text of a typed id; null where it can't be parsed. Blanks are not trimmed away."""
     t, kind = _col(text), F.lit(id_type) if isinstance(id_type, str) and id_type in ID_TYPES else _col(id_type)
     digits = F.when(t.rlike(r"^\+?[0-9]+$"), F.regexp_replace(t, r"^\+", "").try_cast("decimal(38,0)"))
-    uint = F.when(digits <= F.lit(UINT_MAX).cast("decimal(38,0)"), digits.cast("string"))
+    large = F.when(digits <= F.lit(UINT_MAX).cast("decimal(38,0)"), digits.cast("string"))
+    uint = F.when(t.rlike(r"^\+?[0-9]{1,18}$"), t.try_cast("bigint").cast("string")).otherwise(large)  # most ids need no decimals
     whole = F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")).cast("string")
     bare = F.regexp_replace(F.regexp_replace(t, r"^urn:uuid:", ""), r"^\{(.*)\}$", "$1")
     packed = F.lower(F.regexp_replace(bare, "-", ""))
