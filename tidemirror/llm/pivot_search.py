@@ -11,8 +11,9 @@ whatever they are, so recall is 1.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without id, take no part; shorter
 vectors count as filled up with zeros; an id given several times is one query (of its smallest vector) and several
-candidates, none of them its own; with fewer than k others all are returned; ties go to the smaller id; an empty table
-gives no rows; other columns are ignored.
+candidates, none of them its own; with fewer than k others all are returned; ties go to the smaller id; components so large
+that a product could leave the range of a 64-bit integer are an error; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, stored, table
 
 K = 10
 SCALE = 1024
@@ -99,6 +100,8 @@ def geometry(vectors: DataFrame, vec: str) -> Geometry | None:
     if not least["n"]:
         return None
     n, dim, most = least["n"], max(1, least["dim"]), float(least["most"])
+    if most >= 2.0**62:  # by Cauchy and Schwarz no inner product is larger than the largest squared norm
+        raise ValueError("vectors too large: inner products may not fit 64 bits")
     rows = bounded_sample(vectors, "_id", SAMPLE_ROWS).orderBy("_id").select(vec).collect() if n > 1 else vectors.select(vec).collect()
     sample = np.zeros((max(1, len(rows)), dim))
     for i, r in enumerate(rows):
@@ -143,7 +146,15 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
                 pivot, ring, dist = geo.place(matrix(b.column(1), geo.dim))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(dist)], ["_id", "_v", "pivot", "ring", "dist"])
 
-    indexed = vectors.select("_id", F.col(vec).alias("_v")).mapInArrow(index, "_id long, _v array<bigint>, pivot int, ring int, dist double")
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        geo = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(1), geo.dim)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(geo.distances(x, np.zeros(len(x))).argmin(axis=1).astype(np.int32))], ["_id", "_v", "pivot"])
+
+    # Written once: the directory and both passes read it.
+    indexed = stored(vectors.select("_id", F.col(vec).alias("_v")).mapInArrow(index, "_id long, _v array<bigint>, pivot int, ring int, dist double")).df
     # The directory has at most MAX_PIVOTS * MAX_RINGS rows.
     cells = indexed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).orderBy("pivot", "ring").toPandas()
     g.cells = {c: cells[c].to_numpy() for c in cells}
@@ -180,8 +191,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
                     sub.append(one)
                 rows, cols, sub = np.concatenate(rows), np.concatenate(cols), np.concatenate(sub)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(c["pivot"][cols].astype(np.int32)), pa.array(c["ring"][cols].astype(np.int32)), pa.array(sub.astype(np.int32))],
-                    ["query_id", "_q", "bound", "pivot", "ring", "sub"],
+                    [b.column(0).take(pa.array(rows)), b.column(3).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(c["pivot"][cols].astype(np.int32)), pa.array(c["ring"][cols].astype(np.int32)), pa.array(sub.astype(np.int32))],
+                    ["query_id", "chunk", "bound", "pivot", "ring", "sub"],
                 )
 
         return run
@@ -190,33 +201,41 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
         geo = shared.value
         for b in batches:
             for r in range(b.num_rows):
-                held, asked = b.column(0).slice(r, 1).flatten(), b.column(1).slice(r, 1).flatten()
+                held, asked, chunk = (b.column(i).slice(r, 1).flatten() for i in range(3))
+                place = {q: i for i, q in enumerate(chunk.field(0).to_pylist())}
+                at = np.array([place[q] for q in asked.field(0).to_pylist()])
                 ids = held.field(0).to_numpy(zero_copy_only=False)
-                x, q = matrix(held.field(1), geo.dim), matrix(asked.field(1), geo.dim)
+                x, q = matrix(held.field(1), geo.dim), matrix(chunk.field(1), geo.dim)[at]
                 if not geo.exact:
                     x, q = x.astype(np.int64), q.astype(np.int64)
                 s = q @ x.T
                 out = []
-                for i, (query, bound) in enumerate(zip(asked.field(0).to_pylist(), asked.field(2).to_pylist(), strict=True)):
+                for i, (query, bound) in enumerate(zip(asked.field(0).to_pylist(), asked.field(1).to_pylist(), strict=True)):
                     ok = np.flatnonzero((ids != query) & (s[i] >= bound))
-                    at = ok[best(s[i][ok], ids[ok], k)]
-                    out.append((np.full(len(at), query), ids[at], s[i][at].astype(np.int64)))
+                    top = ok[best(s[i][ok], ids[ok], k)]
+                    out.append((np.full(len(top), query), ids[top], s[i][top].astype(np.int64)))
                 q_, v_, s_ = (np.concatenate(z) for z in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(q_, pa.int64()), pa.array(v_, pa.int64()), pa.array(s_, pa.int64())], ["query_id", "vec_id", "score"])
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def answer(asked: DataFrame, first: bool) -> DataFrame:
-        wanted = asked.select("_id", "_v", "bound").mapInArrow(visits(first), "query_id long, _q array<bigint>, bound double, pivot int, ring int, sub int")
-        chunks = wanted.groupBy("pivot", "ring", "sub", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "_q", "bound")).alias("asked"))
-        pairs = blocks.join(chunks, ["pivot", "ring", "sub"]).select("held", "asked")
+        wanted = asked.select("_id", "_v", "bound", "chunk").mapInArrow(visits(first), "query_id long, chunk int, bound double, pivot int, ring int, sub int")
+        # A chunk's queries go to a block together: the visits name them, their vectors come as one matrix for each pair.
+        visited = wanted.groupBy("pivot", "ring", "sub", "chunk").agg(F.collect_list(F.struct("query_id", "bound")).alias("asked"))
+        pairs = visited.join(chunks, "chunk").join(blocks, ["pivot", "ring", "sub"]).select("held", "asked", "vectors")
         found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
         return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-    n_chunks = max(1, -(-queries.count() // QUERY_CHUNK))
+    near = stored(queries.select("_id", F.col("_v")).mapInArrow(nearest, "_id long, _v array<bigint>, pivot int")).df
+    # Queries of one pivot share the annuli they visit, so chunks are ranges of pivots; a crowded pivot gets chunks of its own.
+    counts = near.groupBy("pivot").agg(F.count("*").alias("m"))
+    ranges = F.broadcast(counts.select("pivot", F.ceil(F.col("m") / QUERY_CHUNK).cast("int").alias("parts"), F.coalesce(F.sum(F.ceil(F.col("m") / QUERY_CHUNK)).over(Window.orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("base")))  # MAX_PIVOTS rows
+    queries = near.join(ranges, "pivot").withColumn("chunk", F.col("base") + F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).select("_id", "_v", "chunk")
+    chunks = queries.groupBy("chunk").agg(F.collect_list(F.struct("_id", "_v")).alias("vectors"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a row here is a block of vectors
-    near = answer(queries.withColumn("bound", F.lit(float("-inf"))), True)
-    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").cast("double").alias("bound"))
+    found = answer(queries.withColumn("bound", F.lit(float("-inf"))), True)
+    bounds = found.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").cast("double").alias("bound"))
     asked = queries.join(bounds, "_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     return answer(asked, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
