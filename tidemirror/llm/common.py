@@ -138,13 +138,15 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", ro
     return dealt.join(each, [key, "_salt"], how).drop("_salt")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` rows (all, if fewer), chosen by a hash of the key, so the same on every run."""
-    total = df.count()
-    if total <= rows:
+def bounded_sample(df: DataFrame, key: str, rows: int, text: str | None = None, characters: int = 0, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows (all, if fewer) of about ``characters`` characters of text in all, if a text column is named; chosen
+    by a hash of the key, so the same on every run. Rows come whole."""
+    size = F.lit(0) if text is None else F.coalesce(F.sum(F.length(text)), F.lit(0))
+    total = df.agg(F.count("*").alias("n"), size.alias("c")).first()
+    share = min(1.0, rows / max(1, total["n"]), characters / total["c"] if text is not None and total["c"] else 1.0)
+    if share == 1.0:
         return df
-    share = int(rows / total * 10_000_000)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000_000)) < share)
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000_000)) < int(share * 10_000_000))
 
 
 # ---------------------------------------------------------------- numpy helpers, run inside tasks

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, blocks, table, text_batches
+from .common import as_bytes, blocks, table, text_batches
 
 BUCKET_BITS = 15
 DIM = 16
-#: Labelled texts to learn from, at most about, and characters taken of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 1_500
+#: Labelled texts to learn from, at most about, and about so many characters in all; every language has its share of both.
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 24_000_000
 EPOCHS, RATE = 4, 0.3
 REJECT_SHARE, REJECT_MOST = 0.0005, 0.5
 UNKNOWN = "und"
@@ -127,11 +127,21 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     return model
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text holds a letter (of the Unicode categories L*)."""
+    return isinstance(text, str) and any(map(str.isalpha, text))
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Train on about SAMPLE_ROWS rows with text and language."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.substring(text, 1, SAMPLE_CHARS).alias("_t"), F.col(lang).alias("_l"))
-    got = bounded_sample(rows, key, SAMPLE_ROWS).toPandas()
-    got = got[got["_t"].str.contains(r"[^\W\d_]", regex=True)].sort_values([key, "_t"], kind="stable")
+    """Train on whole texts of a bounded sample of the rows with text and language. Each language gives up to an equal part of
+    it, so that rare ones are learned at every size of the table."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), F.col(lang).alias("_l"))
+    sizes = rows.groupBy("_l").agg(F.count("*").alias("n"), F.sum(F.length("_t")).alias("c"))
+    many = max(1, sizes.count())
+    share = F.least(F.lit(1.0), F.lit(SAMPLE_ROWS / many) / F.col("n"), F.lit(SAMPLE_CHARS / many) / F.greatest("c", F.lit(1)))
+    parts = sizes.select("_l", (share * 10_000_000).cast("long").alias("_share"))
+    got = rows.join(parts, "_l").where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10_000_000)) < F.col("_share")).select(key, "_t", "_l").toPandas()
+    got = got[got["_t"].map(lettered).astype(bool)].sort_values([key, "_t"], kind="stable")
     return train(got["_t"].tolist(), got["_l"].tolist())
 
 
@@ -144,13 +154,13 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        lettered = texts.str.contains(r"[^\W\d_]", regex=True).fillna(False).to_numpy(bool)
+        has = texts.map(lettered).to_numpy(bool)
         lang = np.full(len(texts), UNKNOWN, object)
         score = np.zeros(len(texts))
-        if m.langs and lettered.any():
-            p = m.probabilities(as_bytes([t.lower() for t in texts[lettered]]))
-            lang[lettered] = np.array(m.langs, object)[p.argmax(axis=1)]
-            score[lettered] = p.max(axis=1)
+        if m.langs and has.any():
+            p = m.probabilities(as_bytes([t.lower() for t in texts[has]]))
+            lang[has] = np.array(m.langs, object)[p.argmax(axis=1)]
+            score[has] = p.max(axis=1)
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": (lang == UNKNOWN) | (score < m.threshold)})
 
     own = ("lang_pred", "score", "rejected")  # columns of these names are replaced

@@ -26,8 +26,8 @@ PASSAGE_WORDS = 64
 BUCKETS = 1024
 STATS = 10
 HIDDEN, GATE = 24, 12
-#: Labelled documents to learn from, at most about, and characters taken of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 12_000
+#: Labelled documents to learn from, at most about, and about so many characters in all. Their texts are taken whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 12_000_000
 EPOCHS, RATE, BATCH = 12, 0.004, 32
 THRESHOLD = 0.3
 
@@ -169,9 +169,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Train on about SAMPLE_ROWS rows with a text and a label."""
-    rows = labelled.where(F.col(label).isNotNull()).select(key, F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("_t"), F.col(label).cast("double").alias("_y"))
-    got = bounded_sample(rows, key, SAMPLE_ROWS).toPandas().sort_values([key, "_t"], kind="stable")
+    """Train on whole texts of about SAMPLE_ROWS labelled rows."""
+    rows = labelled.where(F.col(label).isNotNull()).select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(label).cast("double").alias("_y"))
+    got = bounded_sample(rows, key, SAMPLE_ROWS, "_t", SAMPLE_CHARS).toPandas().sort_values([key, "_t"], kind="stable")
     return train(as_bytes(got["_t"]), got["_y"].to_numpy())
 
 
