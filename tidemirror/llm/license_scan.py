@@ -36,6 +36,12 @@ NOTICES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
 ]
 
 
@@ -44,20 +50,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), lambda w: w != "")
 
 
-def templates(spark: SparkSession, k: int = K) -> DataFrame:
-    """(template, label, exact, size, tpos, tgram): the k-grams of all templates."""
+def template_grams(k: int = K) -> list[tuple[int, str, bool, int, int, str]]:
+    """(template, label, exact, size, tpos, tgram): the k-grams of all templates. k is at most the words of the shortest phrase,
+    which could not be found otherwise."""
+    if not 1 <= k <= min(len(text.split()) for text, _ in PHRASES):
+        raise ValueError(f"k-grams of {k} words miss a phrase")
     rows = [(i, label, True, text.split()) for i, (text, label) in enumerate(PHRASES)]
     rows += [(len(PHRASES) + i, label, False, text.split()) for i, (label, text) in enumerate(NOTICES)]
-    grams = [(i, label, exact, len(w) - k + 1, p, " ".join(w[p : p + k])) for i, label, exact, w in rows for p in range(len(w) - k + 1)]
-    return spark.createDataFrame(grams, "template int, label string, exact boolean, size int, tpos int, tgram string").withColumn("h", F.xxhash64("tgram"))
+    return [(i, label, exact, len(w) - k + 1, p, " ".join(w[p : p + k])) for i, label, exact, w in rows for p in range(len(w) - k + 1)]
+
+
+def templates(spark: SparkSession, k: int = K) -> DataFrame:
+    return spark.createDataFrame(template_grams(k), "template int, label string, exact boolean, size int, tpos int, tgram string").withColumn("h", F.xxhash64("tgram"))
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K) -> DataFrame:
     """Spans: doc_id, _rk, template, label, exact, first, last (word positions), votes, cover."""
     keyed = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("_rk"), words(F.col(text)).alias("w"))
     w = F.col("w")
-    rolling = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(F.size(w), F.lit(1))).alias("c"))
-    grams = keyed.select("doc_id", "_rk", F.posexplode(rolling).alias("pos", "g")).select("doc_id", "_rk", "pos", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("gram"))
+    rolling = F.arrays_zip(*[(F.slice(w, i + 1, F.greatest(F.size(w), F.lit(1))) if i else w).alias(f"w{i}") for i in range(k)])
+    grams = keyed.select("doc_id", "_rk", F.posexplode(rolling).alias("pos", "g")).select("doc_id", "_rk", "pos", F.concat_ws(" ", *[f"g.w{i}" for i in range(k)]).alias("gram"))
     grams = grams.withColumn("h", F.xxhash64("gram"))
     known = F.broadcast(templates(df.sparkSession, k))  # a fixed table of some 200 rows
     hits = grams.join(known, (grams.h == known.h) & (grams.gram == known.tgram)).drop("h", "gram", "tgram")
@@ -91,3 +103,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "d.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+ORACLE_OP9 = f"""
+WITH tpl(template, label, exact, size, tpos, tgram) AS (VALUES {", ".join(f"({i}, '{label}', {exact}, {size}, {p}, '{gram}')" for i, label, exact, size, p, gram in template_grams())}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, p - 1 AS pos, array_to_string(w[p : p + {K - 1}], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, len(w) - {K - 2})) AS p) u),
+v AS (SELECT doc_id, template, label, exact, size, pos - tpos AS diagonal, min(pos) AS f, max(pos) AS l, list(DISTINCT tpos) AS held FROM g JOIN tpl ON gram = tgram GROUP BY ALL),
+a AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {DIAGONAL_GAP} THEN 1 ELSE 0 END AS apart FROM v),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM a),
+m AS (SELECT doc_id, template, label, exact, size, run, min(f) AS f, len(list_distinct(flatten(list(held)))) AS votes FROM n GROUP BY ALL),
+k AS (SELECT *, votes / size::DOUBLE AS cover FROM m WHERE CASE WHEN exact THEN votes = size ELSE votes / size::DOUBLE >= {MIN_COVER} END),
+o AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(f) FILTER (exact) AS f, max(f) FILTER (exact) AS l, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base, string_agg(DISTINCT label, ',' ORDER BY label) AS every, max(cover) AS score FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, f AS first_word, l AS last_word, coalesce(base, '') AS base_labels, coalesce(every, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
