@@ -201,3 +201,18 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return overlaps(docs, items).drop("_rk")
+
+
+#: All alignments of all texts and items with as many equal words as an overlap needs, without seeds; on each the stretches
+#: between any two matches.
+ORACLE_OP6 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+iw AS (SELECT item_id, len(w) AS n, least({MIN_MATCH}, ceil({ITEM_SHARE} * len(w))) AS need, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM i WHERE len(w) >= {MIN_WORDS}),
+m AS (SELECT doc_id, item_id, n, need, p - q AS diagonal, list(p ORDER BY p) AS ps FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= need),
+s AS (SELECT doc_id, item_id, n, need, diagonal, ps[x] AS a, ps[y] + 1 AS z, y - x + 1 AS k FROM m, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS x) u, LATERAL (SELECT unnest(range(x, len(ps) + 1)) AS y) v
+ WHERE y - x + 1 >= need AND 5 * (y - x + 1) >= 4 * (ps[y] + 1 - ps[x])),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, z - a, diagonal, a) AS o FROM s)
+SELECT doc_id, item_id, a::INTEGER AS start, z::INTEGER AS stop, k::INTEGER AS matches, n::INTEGER AS item_words, k / (z - a)::DOUBLE AS similarity FROM r WHERE o = 1
+"""
