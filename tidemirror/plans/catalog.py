@@ -148,24 +148,22 @@ def _as_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as binary messages: a layout message, then begin, row and commit of every event."""
     e = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("user_id").cast("string").alias("u"), "event_type")
 
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for i, us, u, t in zip(b["event_id"].tolist(), b["us"].tolist(), b["u"], b["event_type"], strict=True):
-                op = {"signup": "insert", "error": "delete"}.get(t, "update")
-                if i % 1000 == 0:
-                    rows.append((i * 10, W.encode_relation(1, "public", "events", [("user_id", True, 20), ("event_type", False, 25)])))
-                rows.append((i * 10 + 1, W.encode_begin(i, us - S.PG_EPOCH_MICROS, i)))
-                rows.append((i * 10 + 2, W.encode_change(op, 1, [u, t], [u, None] if op == "delete" else None)))
-                if i % 7:
-                    rows.append((i * 10 + 3, W.encode_commit(i, i + 1, us - S.PG_EPOCH_MICROS)))
-                else:
-                    rows.append((i * 10 + 4, b"I\x00"))
-            yield pd.DataFrame(rows, columns=["seq", "data"])
-
-    return e.mapInPandas(run, "seq long, data binary")
+    number = lambda c, digits: F.unhex(F.lpad(F.hex(c.cast("bigint")), digits, "0"))
+    value = lambda c: F.concat(F.lit(b"t"), number(F.octet_length(c), 8), c.cast("binary"))
+    i, us = F.col("event_id"), F.col("us") - S.PG_EPOCH_MICROS
+    pair, op = F.concat(F.lit(b"\0\2"), value(F.col("u"))), F.col("event_type")
+    layout = F.lit(W.encode_relation(1, "public", "events", [("user_id", True, 20), ("event_type", False, 25)]))
+    change = (
+        F.when(op == "error", F.concat(F.lit(b"D\0\0\0\1O"), pair, F.lit(b"n")))
+        .when(op == "signup", F.concat(F.lit(b"I\0\0\0\1N"), pair, value(op)))
+        .otherwise(F.concat(F.lit(b"U\0\0\0\1N"), pair, value(op)))
+    )
+    end = F.when(i % 7 != 0, F.struct((i * 10 + 3).alias("seq"), F.concat(F.lit(b"C\0"), number(i, 16), number(i + 1, 16), number(us, 16)).alias("data"))).otherwise(F.struct((i * 10 + 4).alias("seq"), F.lit(b"I\0").alias("data")))
+    messages = F.array(
+        F.when(i % 1000 == 0, F.struct((i * 10).alias("seq"), layout.alias("data"))),
+        F.struct((i * 10 + 1).alias("seq"), F.concat(F.lit(b"B"), number(i, 16), number(us, 16), number(i, 8)).alias("data")), F.struct((i * 10 + 2).alias("seq"), change.alias("data")), end,
+    )
+    return e.select(F.explode(messages).alias("m")).where("m IS NOT NULL").select("m.seq", "m.data")
 
 
 @query(f"""SELECT event_id * 10 + 2 AS seq, {EVENT_OP} AS tag, 1::BIGINT AS relation_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS new_id,

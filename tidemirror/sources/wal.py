@@ -8,9 +8,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemirror.functions.scalars import format_lsn
 
@@ -136,18 +138,36 @@ def message(data: bytes | None) -> dict:
         return {"tag": "error", "error": str(e)}
 
 
+def _marks(messages: DataFrame) -> DataFrame:
+    """Begins and commits, whose fields have fixed places, read by Spark's own functions."""
+
+    def number(at: int, size: int, signed: bool = False) -> Column:
+        return F.conv(F.hex(F.substring("data", at, size)), 16, -10 if signed else 10).try_cast("bigint")
+
+    begin, none = F.col("_tag") == "B", F.lit(None)
+    fields = {
+        "tag": F.when(begin, "begin").otherwise("commit"), "xid": F.when(begin, number(18, 4)), "lsn": F.when(begin, number(2, 8)).otherwise(number(3, 8)),
+        "end_lsn": F.when(~begin, number(11, 8)), "commit_us": F.when(begin, number(10, 8, True)).otherwise(number(19, 8, True)),
+    }
+    types = dict(zip(FIELDS, StructType.fromDDL(MESSAGE_SCHEMA).fields, strict=True))
+    return messages.select("seq", *[fields.get(c, none).cast(types[c].dataType).alias(c) for c in FIELDS[1:]])
+
+
 def decode(df: DataFrame, data: str = "data", seq: str = "seq") -> DataFrame:
-    """Typed messages of a table (seq, data)."""
+    """Typed messages of a table (seq, data). Python reads the messages of varying length only, in Arrow batches."""
+    kinds = to_arrow_schema(StructType.fromDDL(MESSAGE_SCHEMA))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"seq": s} | message(None if d is None else bytes(d)) for s, d in zip(batch["seq"].tolist(), batch["data"], strict=True)]
-            out = pd.DataFrame(rows, columns=FIELDS)
-            for c in ("xid", "lsn", "end_lsn", "commit_us", "relation_id"):
-                out[c] = out[c].astype("Int64")
-            yield out.astype(object).where(out.notna(), None)
-
-    return df.select(F.col(seq).cast("long").alias("seq"), F.col(data).alias("data")).mapInPandas(run, MESSAGE_SCHEMA)
+            rows = [message(d) for d in batch.column(1).to_pylist()]
+            columns = [batch.column(0), *[pa.array([r.get(f.name) for r in rows], f.type) for f in list(kinds)[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    size = F.length(data)
+    tag = F.decode(F.substring(data, 1, 1), "ISO-8859-1")
+    messages = df.select(F.col(seq).cast("long").alias("seq"), F.col(data).alias("data"), tag.alias("_tag"))
+    fixed = F.coalesce(((F.col("_tag") == "B") & (size >= 21)) | ((F.col("_tag") == "C") & (size >= 26)), F.lit(False))
+    return _marks(messages.where(fixed)).unionByName(messages.where(~fixed).select("seq", "data").mapInArrow(run, MESSAGE_SCHEMA))
 
 
 def relation_versions(messages: DataFrame) -> DataFrame:
