@@ -125,3 +125,11 @@ def test_snapshots(spark):
     for bound in (10, 1):
         assert {r.id for r in SN.rows_by_id(df, "id", ids, broadcast_bound=bound).collect()} == {3, 5}
     assert SN.chunks(df, "id", 3).groupBy("chunk").agg(F.count("*").alias("n")).count() == 3
+
+
+def test_sub_batches_of_a_large_transaction_in_segments(spark):
+    from tidemirror.operators import transactions as X
+
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 1 ELSE id END AS xid", "id * 3 AS seq")
+    got = {(r.xid, r.seq): r.chunk_no for r in X.sub_batches(rows, 7, segment=50).collect()}
+    assert got == {(1 if i < 900 else i, i * 3): i // 7 if i < 900 else 0 for i in range(1000)}

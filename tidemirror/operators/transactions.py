@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Positions of the log are joined to intervals by buckets of so many.
 INTERVAL_BUCKET = 100_000
+#: Tasks over which the rows of one relation are dealt to find their layouts.
+LAYOUT_PARTS = 16
 
 
 def assemble(rows: DataFrame, commits: DataFrame) -> DataFrame:
@@ -46,10 +48,17 @@ def split_oversized(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return rows.join(large.select("xid"), "xid", "left_anti"), large
 
 
-def sub_batches(rows: DataFrame, size: int, order: list[str] | None = None, xid: str = "xid") -> DataFrame:
-    """Number the chunks of each transaction: chunk_no changes every ``size`` events."""
-    place = F.row_number().over(Window.partitionBy(xid).orderBy(*(order or ["seq"]))) - 1
-    return rows.withColumn("chunk_no", F.floor(place / size).cast("long"))
+def sub_batches(rows: DataFrame, size: int, order: list[str] | None = None, xid: str = "xid", segment: int = INTERVAL_BUCKET) -> DataFrame:
+    """Number the chunks of each transaction: chunk_no changes every ``size`` events. Transactions of more than ``segment`` rows
+    are numbered in segments of their first order column, a number, shifted by the rows of the segments before."""
+    order = order or ["seq"]
+    large = rows.groupBy(xid).agg(F.count("*").alias("_n")).where(F.col("_n") > segment).select(xid, F.lit(True).alias("_large"))
+    placed = rows.join(large, xid, "left").withColumn("_seg", F.when(F.col("_large"), F.floor(F.col(order[0]) / segment)).otherwise(F.lit(0)))
+    before = Window.partitionBy(xid).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.where("_large").groupBy(xid, "_seg").agg(F.count("*").alias("_n")).select(xid, "_seg", F.sum("_n").over(before).alias("_base"))
+    at = F.row_number().over(Window.partitionBy(xid, "_seg").orderBy(*order)) - 1
+    numbered = placed.withColumn("_at", at).join(base, [xid, "_seg"], "left")
+    return numbered.withColumn("chunk_no", F.floor((F.col("_at") + F.coalesce("_base", F.lit(0))) / size).cast("long")).select(*rows.columns, "chunk_no")
 
 
 def sub_batch_sizes(rows: DataFrame, commits: DataFrame, size: int, xid: str = "xid") -> DataFrame:
@@ -65,11 +74,14 @@ def with_relation(events: DataFrame, relations: DataFrame) -> DataFrame:
     """Each row with the latest layout of its relation at or before it; rows of unknown relations keep nulls.
 
     Layout changes are few, so their validity intervals are made by a window over the layouts alone and broadcast if small
-    (Spark checks their size); a window over the events would put a much used table on one task."""
+    (Spark checks their size); a window over the events would put a much used table on one task. Where they aren't broadcast,
+    the rows of one relation are dealt over LAYOUT_PARTS tasks, each of which gets that relation's layouts."""
     until = F.lead("seq").over(Window.partitionBy("relation_id").orderBy("seq"))
-    r = relations.select(F.col("seq").alias("_from"), until.alias("_until"), F.col("relation_id").alias("_rid"), *[c for c in relations.columns if c not in ("seq", "relation_id", *events.columns)])
-    on = (events["relation_id"] == r["_rid"]) & (events["seq"] >= r["_from"]) & (F.col("_until").isNull() | (events["seq"] < F.col("_until")))
-    return events.join(r, on, "left").drop("_from", "_until", "_rid")
+    valid = relations.withColumn("_until", until)
+    r = valid.select(F.explode(F.sequence(F.lit(0), F.lit(LAYOUT_PARTS - 1))).alias("_part"), F.col("seq").alias("_from"), "_until", F.col("relation_id").alias("_rid"), *[c for c in relations.columns if c not in ("seq", "relation_id", *events.columns)])
+    e = events.withColumn("_epart", F.pmod(F.xxhash64("seq"), F.lit(LAYOUT_PARTS)).cast("int"))
+    on = (e["relation_id"] == r["_rid"]) & (F.col("_epart") == F.col("_part")) & (e["seq"] >= r["_from"]) & (F.col("_until").isNull() | (e["seq"] < F.col("_until")))
+    return e.join(r, on, "left").drop("_from", "_until", "_rid", "_part", "_epart")
 
 
 def schema_changes(relations: DataFrame, watched: DataFrame | None = None, row_events: DataFrame | None = None) -> DataFrame:
