@@ -199,6 +199,13 @@ def mixed_batches(actions: DataFrame) -> DataFrame:
     return counts.where((F.col("metrics") > 1) | (F.col("schemas") > 1)).withColumn("problem", F.when(F.col("metrics") > 1, "mixed distance metrics in batch").otherwise("mixed schemas in batch"))
 
 
+def has_mixed(actions: DataFrame) -> bool:
+    """Whether any batch is mixed; one aggregation of a least and a greatest value."""
+    m, s = known_metric("distance_metric"), F.col("attr_schema")
+    differ = F.coalesce(F.min(m) != F.max(m), F.lit(False)) | F.coalesce(F.min(s) != F.max(s), F.lit(False))
+    return not actions.where(F.col("action") == "upsert").groupBy("namespace", "batch_id").agg(differ.alias("mixed")).where("mixed").isEmpty()
+
+
 def uniform(actions: DataFrame) -> DataFrame:
     """The actions of batches that aren't mixed."""
     return actions.join(mixed_batches(actions).select("namespace", "batch_id"), ["namespace", "batch_id"], "left_anti")

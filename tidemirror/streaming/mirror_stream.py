@@ -153,11 +153,15 @@ class Mirror:
         routes = R.skip_applied(R.route(kept, live), before, "ack_lsn").observe(seen, F.count_if(F.col("problem").isNotNull()).alias("bad"))
         # User code runs once: its actions are written, and all that follows reads them.
         folder = f"{self.path}/actions/{batch_id}"
-        A.checked(self.transform(routes.where(F.col("problem").isNull()).drop("problem"))).write.mode("overwrite").parquet(folder)
-        acts = A.refuse_mixed(self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder))
+        told = Observation()
+        made = A.checked(self.transform(routes.where(F.col("problem").isNull()).drop("problem"))).observe(told, F.count_if(F.col("error").isNotNull()).alias("failed"))
+        made.write.mode("overwrite").parquet(folder)
+        acts, failed = self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder), bool(told.get["failed"])
+        if A.has_mixed(A.fine(acts)):
+            acts, failed = A.refuse_mixed(acts), True
         self.store.apply(A.fine(acts), batch_id)
         letters = []
-        if not A.failed(acts).isEmpty():
+        if failed:
             routed = routes.where(F.col("problem").isNull()).select("config", "lsn", "seq", "id_type", "op")
             letters.append(D.entries(A.failed(acts).join(routed, ["config", "lsn", "seq"]), self.clock()))
         if seen.get["bad"]:
