@@ -50,14 +50,16 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = int(base[-1])
     x = np.zeros((n, BUCKETS + STATS), np.float32)
     whose = np.repeat(np.arange(len(texts)), per)
-    if not len(start):
-        return x, whose
-    # Passage of each byte: that of the last word that starts at or before it.
-    byte_word = np.cumsum(np.bincount(start, minlength=len(buf))) - 1
-    byte_passage = word_passage[np.maximum(byte_word, 0)]
+    # Passage of each byte: that of the text's last word that starts at or before it, else the text's first.
+    text = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    byte_passage = base[text]
+    if len(start):
+        byte_word = np.cumsum(np.bincount(start, minlength=len(buf))) - 1
+        byte_passage = np.maximum(byte_passage, np.where(byte_word < 0, 0, word_passage[np.maximum(byte_word, 0)]))
     b = buf.astype(np.uint32)
     gram = (((b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(0x9E3779B1)) >> np.uint32(22)).astype(np.int64)
-    counts = np.bincount(byte_passage[:-2] * BUCKETS + gram, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    own = text[:-2] == text[2:]  # no gram reaches into the next text, so a score depends on its own text only
+    counts = np.bincount((byte_passage[:-2] * BUCKETS + gram)[own], minlength=n * BUCKETS).reshape(n, BUCKETS)
     total = np.maximum(1, np.bincount(byte_passage, minlength=n))[:, None]
     x[:, :BUCKETS] = np.sqrt(counts / total) * 4
     kinds = np.bincount(byte_passage * 7 + _KIND[buf], minlength=n * 7).reshape(n, 7) / total
