@@ -116,18 +116,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_ROWS = 20_000
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, total: int, rows: int) -> DataFrame:
     """(key, _parts) of the keys that hold more than ``rows`` of ``total`` rows, from their counts (key, _n). At most
     BROADCAST_ROWS keys: in a table so large that there could be more, the bound on rows rises with the table."""
     most = max(rows, total // BROADCAST_ROWS)
     return F.broadcast(counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = HOT_ROWS, like: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, like: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left.join(right, key, how) for a right side with one row for each key: the left rows of a hot key are dealt over several
-    tasks, each of which gets that key's right row. Keys are counted in ``like``, a stored table that has as many rows of each
+    tasks (of ``rows`` rows, HOT_ROWS if not said), each of which gets that key's right row. Keys are counted in ``like``, a stored table that has as many rows of each
     key as left, or come counted (key, _n)."""
-    like = left if like is None else like
+    rows, like = HOT_ROWS if rows is None else rows, left if like is None else like
     total = rows_of(like)
     if total <= rows:
         return left.join(right, key, how)
