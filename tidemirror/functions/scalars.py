@@ -27,10 +27,13 @@ def _col(c: Column | str) -> Column:
 def parse_id(text: Column | str, id_type: Column | str) -> Column:
     """The canonical id text of a typed id; null where it can't be parsed. Blanks are not trimmed away."""
     t, kind = _col(text), F.lit(id_type) if isinstance(id_type, str) and id_type in ID_TYPES else _col(id_type)
+    # A cast to bigint reads what these two characters leave: no blanks, nothing but digits between. Most ids need no more.
+    first, last = F.ascii(t), F.ascii(F.right(t, F.lit(1)))
+    digit = lambda c: c.between(48, 57)
     digits = F.when(t.rlike(r"^\+?[0-9]+$"), F.regexp_replace(t, r"^\+", "").try_cast("decimal(38,0)"))
     large = F.when(digits <= F.lit(UINT_MAX).cast("decimal(38,0)"), digits.cast("string"))
-    uint = F.when(t.rlike(r"^\+?[0-9]{1,18}$"), t.try_cast("bigint").cast("string")).otherwise(large)  # most ids need no decimals
-    whole = F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")).cast("string")
+    uint = F.when(F.length(t) > 18, large).when((digit(first) | (first == 43)) & digit(last), t.try_cast("bigint").cast("string"))
+    whole = F.when((digit(first) | first.isin(43, 45)) & digit(last), t.try_cast("bigint").cast("string"))
     bare = F.regexp_replace(F.regexp_replace(t, r"^urn:uuid:", ""), r"^\{(.*)\}$", "$1")
     packed = F.lower(F.regexp_replace(bare, "-", ""))
     uuid = F.when(bare.rlike(_UUID_PLAIN) | bare.rlike(_UUID_HYPHENS), F.concat_ws("-", F.substring(packed, 1, 8), F.substring(packed, 9, 4), F.substring(packed, 13, 4), F.substring(packed, 17, 4), F.substring(packed, 21, 12)))

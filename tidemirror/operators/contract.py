@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemirror.functions.scalars import action_problem, id_type_compatible, parse_id
+from tidemirror.functions.tables import small
 from tidemirror.operators.actions import row_to_event
 from tidemirror.sources.snapshot import sample_row
 
@@ -76,10 +77,10 @@ def dry_run(sample: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> D
 
 def without_configs(table: DataFrame, gone: DataFrame, column: str = "config") -> DataFrame:
     """A state table without the rows of removed configs. Doing it again changes nothing."""
-    return table.join(gone.select(F.col("name").alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
+    return table.join(small(gone.select(F.col("name").alias("_gone"))), F.col(column) == F.col("_gone"), "left_anti")
 
 
 def purge_config(mirror: DataFrame, states: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The mirror without the namespaces of removed configs, and all state tables without their rows."""
-    kept = mirror.join(gone.select(F.col("namespace").alias("_gone")), F.col("namespace") == F.col("_gone"), "left_anti")
+    kept = mirror.join(small(gone.select(F.col("namespace").alias("_gone"))), F.col("namespace") == F.col("_gone"), "left_anti")
     return kept, {name: without_configs(table, gone) for name, table in states.items()}

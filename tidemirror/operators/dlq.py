@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemirror.functions.scalars import error_kind, id_tag, untag_id
+from tidemirror.functions.tables import small
 
 DLQ_SCHEMA = "dlq_id string, config string, lsn long, doc_id string, op string, error string, kind string, retry_count int, created_ms long, last_retry_ms long, permanent_ms long"
 DLQ_COLUMNS = [c.split()[0] for c in DLQ_SCHEMA.split(", ")]
@@ -43,7 +44,7 @@ def listing(dlq: DataFrame, n: int, config: str | None = None) -> DataFrame:
 def retryable(dlq: DataFrame, configs: DataFrame, n: int) -> DataFrame:
     """The oldest n retryable entries of configs that aren't tombstoned."""
     live = configs.where(F.col("tombstone_applied_at").isNull()).select(F.col("name").alias("config"))
-    return dlq.where(F.col("kind") == RETRYABLE).join(live, "config").select(*dlq.columns).orderBy("created_ms", "dlq_id").limit(n)
+    return dlq.where(F.col("kind") == RETRYABLE).join(small(live), "config").select(*dlq.columns).orderBy("created_ms", "dlq_id").limit(n)
 
 
 def orphans(dlq: DataFrame, configs: DataFrame, transforms: list[str] | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def orphans(dlq: DataFrame, configs: DataFrame, transforms: list[str] | None = N
         .when(parsed.isNull(), "doc_id deserialization failed")
         .when(F.col("op").isNull(), "missing operation (legacy entry)")
     )
-    return dlq.join(live, "config", "left").withColumn("reason", reason).withColumn("_id", parsed).select(*dlq.columns, "namespace", F.col("_id.id_type").alias("id_type"), F.col("_id.id").alias("id"), "reason").drop("_known")
+    return dlq.join(small(live), "config", "left").withColumn("reason", reason).withColumn("_id", parsed).select(*dlq.columns, "namespace", F.col("_id.id_type").alias("id_type"), F.col("_id.id").alias("id"), "reason").drop("_known")
 
 
 def replay_events(sound: DataFrame, source: DataFrame, id_column: str) -> DataFrame:

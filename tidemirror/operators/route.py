@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemirror.functions.scalars import parse_id
+from tidemirror.functions.tables import join_few_keys
 
 
 def active(configs: DataFrame) -> DataFrame:
@@ -42,9 +43,9 @@ def route(changes: DataFrame, configs: DataFrame) -> DataFrame:
     """Every change once for each config of its table, with config, namespace, id_type, id and problem. Each id is read and
     parsed once.
 
-    Configs are a small table kept by hand; Spark broadcasts it as long as it is under its size threshold."""
+    Configs are counted, and broadcast as long as they are few, so the log is not shuffled."""
     c = configs.select(F.col("name").alias("config"), "namespace", "src_schema", "src_table", "id_column", "id_type")
-    joined = changes.join(c, ["src_schema", "src_table"]).withColumn("_raw", raw_id(F.col("id_column"))).withColumn("_id", parse_id("_raw", F.col("id_type")))
+    joined = join_few_keys(changes, c, ["src_schema", "src_table"]).withColumn("_raw", raw_id(F.col("id_column"))).withColumn("_id", parse_id("_raw", F.col("id_type")))
     out = joined.withColumn("problem", _problem(F.col("id_column"), F.col("_raw"), F.col("_id")))
     return out.withColumn("id", F.when(F.col("problem").isNull(), F.col("_id"))).drop("id_column", "_raw", "_id")
 
@@ -61,7 +62,7 @@ def rejected(changes: DataFrame, configs: DataFrame) -> DataFrame:
 def skip_applied(routed_changes: DataFrame, checkpoints: DataFrame, position: str = "lsn") -> DataFrame:
     """Drop what a config's checkpoint covers; a config without checkpoint keeps all."""
     cp = checkpoints.select("config", F.col("lsn").alias("_cp"))
-    return routed_changes.join(cp, "config", "left").where(F.col(position) > F.coalesce("_cp", F.lit(-1))).drop("_cp")
+    return join_few_keys(routed_changes, cp, ["config"], "left").where(F.col(position) > F.coalesce("_cp", F.lit(-1))).drop("_cp")
 
 
 def routed_counts(routed_changes: DataFrame) -> DataFrame:

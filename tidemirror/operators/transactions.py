@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemirror.functions.tables import join_few_keys
+
 #: Positions of the log are joined to intervals by buckets of so many.
 INTERVAL_BUCKET = 100_000
 #: Tasks over which the rows of one relation are dealt to find their layouts.
@@ -94,7 +96,7 @@ def schema_changes(relations: DataFrame, watched: DataFrame | None = None, row_e
     before = F.lag("columns").over(Window.partitionBy("relation_id").orderBy("seq"))
     out = relations.withColumn("before", before).withColumn("changed", F.col("before").isNotNull() & (F.col("before") != F.col("columns")))
     if watched is not None:
-        out = out.join(watched.select("src_schema", "src_table", F.col("columns").alias("watched")), ["src_schema", "src_table"], "left")
+        out = join_few_keys(out, watched.select("src_schema", "src_table", F.col("columns").alias("watched")), ["src_schema", "src_table"], "left")
     else:
         out = out.withColumn("watched", F.lit(None).cast("array<string>"))
 
