@@ -20,6 +20,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import table, text_batches
 
 BLANK = "▁"
-#: Cuts a worker remembers before it starts anew.
-CACHE = 300_000
+#: Cuts of the young generation that a worker remembers; when it is full it becomes the old one, whose cuts go unless they
+#: are met again.
+CACHE = 60_000
 #: Pairs of tokens a worker remembers.
 PAIRS = 2_000_000
 MODEL = "piece_bpe_32k.model"
@@ -95,18 +97,22 @@ class Codec:
                 self.id[name] = i
                 self.score[name] = struct.unpack("<f", entry[2])[0] if 2 in entry else 0.0
         self.automaton = ahocorasick.Automaton()
+        self.sizes = [len(name) for name in self.piece]
+        #: For each piece: whether it stays whole behind another piece (by its id), or at the start of a cut (-1).
+        self.after: dict[int, dict[int, bool]] = {i: {} for i in self.id.values()}
+        self.n_after = 0
         for name, i in self.id.items():
-            self.automaton.add_word(name, i)
+            self.automaton.add_word(name, (i, len(name), self.after[i]))
         self.automaton.make_automaton()
-        self.sizes = [len(name) for name in self.piece]
-        self.id_pairs: dict[int, bool] = {}
         self.neighbours = {name[i : i + 2] for name in self.id for i in range(len(name) - 1)}
         if any(BLANK in name.lstrip(BLANK) for name in self.id):
             raise ValueError("a piece holds a blank inside; texts can't be cut at blanks")
         inside = {c for name in self.id if len(name) > 1 for c in name}
-        self.line_cuts = "\n" not in inside
+        #: Cuts begin at runs of blanks; where no piece holds a line's end, runs of these are cuts of their own.
+        self.cut_pattern = re.compile("▁+[^▁\n]*|\n+|[^▁\n]+" if "\n" not in inside else "▁+[^▁]*")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cuts: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     # ------------------------------------------------------------ encoding
 
@@ -153,26 +159,19 @@ class Codec:
 
     def piece_ids(self, text: str) -> list[int] | None:
         """As tokens, by ids; None if a prefix has no last token among the pieces."""
-        n, size_of, pairs = len(text), self.sizes, self.id_pairs
+        n = len(text)
         last = [-1] * (n + 1)
-        for end, piece in self.automaton.iter(text):  # longest first at each end
-            if last[end + 1] >= 0:
-                continue
-            at = end + 1 - size_of[piece]
-            if at:
-                before = last[at]
-                if before < 0:
-                    continue
-                known = pairs.get(before << 20 | piece)
-                if known is None:
-                    if len(pairs) > PAIRS:
-                        pairs.clear()
-                    known = pairs[before << 20 | piece] = self.merge(self.piece[before] + self.piece[piece]) == [self.piece[before], self.piece[piece]]
-            else:
-                known = self._whole(self.piece[piece])
-            if known:
-                last[end + 1] = piece
-        out, at = [], n
+        for end, (piece, size, after) in self.automaton.iter(text):  # longest first at each end
+            end += 1
+            if last[end] < 0:
+                before = last[end - size]
+                if before >= 0 or end == size:
+                    known = after.get(before)
+                    if known is None:
+                        known = self._pair(before, piece, after)
+                    if known:
+                        last[end] = piece
+        out, at, size_of = [], n, self.sizes
         while at > 0:
             piece = last[at]
             if piece < 0:
@@ -182,6 +181,16 @@ class Codec:
         out.reverse()
         return out
 
+    def _pair(self, before: int, piece: int, after: dict[int, bool]) -> bool:
+        if self.n_after >= PAIRS:
+            for known in self.after.values():
+                known.clear()
+            self.n_after = 0
+        self.n_after += 1
+        name = self.piece[piece]
+        after[before] = known = self._whole(name) if before < 0 else self.merge(self.piece[before] + name) == [self.piece[before], name]
+        return known
+
     def _whole(self, piece: str) -> bool:
         """Whether a piece on its own stays whole."""
         key = ("", piece)
@@ -239,41 +248,46 @@ class Codec:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def split(self, text: str) -> Iterator[str]:
+    def split(self, text: str) -> list[str]:
         """The cuts of a text, blanks written as the model writes them."""
-        if not text:
-            return
-        text = BLANK + text.replace(" ", BLANK)
-        cuts = re.findall("▁+[^▁]*", text)
-        if not self.line_cuts or "\n" not in text:
-            yield from cuts
-            return
-        for cut in cuts:
-            if "\n" in cut:
-                yield from (x for x in re.split("(\n)", cut) if x)
-            else:
-                yield cut
+        return self.cut_pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
     def known(self, cut: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, what they decode to) of a cut."""
         got = self.cuts.get(cut)
         if got is None:
+            got = self.older.get(cut)
+            if got is None:
+                got = self._coded(cut)
+                if len(cut) >= 256:
+                    return got
             if len(self.cuts) >= CACHE:
-                self.cuts.clear()
-            parts = self.sections(cut)
-            if len(parts) > 1:
-                each = [self.known(p) for p in parts]
-                got = ",".join([x[0] for x in each]), sum([x[1] for x in each]), "".join([x[2] for x in each])
-            else:
-                ids = self.cut_ids(cut)
-                got = ",".join(map(str, ids)), len(ids), self.surface(ids)
-                if len(cut) < 256:
-                    self.cuts[cut] = got
+                self.older, self.cuts = self.cuts, {}
+            self.cuts[cut] = got
         return got
 
+    def _coded(self, cut: str) -> tuple[str, int, str]:
+        parts = self.sections(cut)
+        if len(parts) > 1:
+            ids, sizes, surfaces = zip(*map(self.known, parts), strict=True)
+            return ",".join(ids), sum(sizes), "".join(surfaces)
+        ids = self.cut_ids(cut)
+        return ",".join(map(str, ids)), len(ids), self.surface(ids)
+
+    def coded(self, text: str) -> tuple[str, int, str]:
+        """The same of a whole text."""
+        cuts = self.split(text)
+        if not cuts:
+            return "", 0, ""
+        get, known = self.cuts.get, self.known
+        ids, sizes, surfaces = zip(*[get(cut) or known(cut) for cut in cuts], strict=True)
+        return ",".join(ids), sum(sizes), self.spaced("".join(surfaces))
+
     def sections(self, cut: str) -> list[str]:
         """A cut, cut again between neighbours that no piece holds: no merge can cross there."""
         near, at, out = self.neighbours, 0, []
+        if all(map(near.__contains__, map(add, cut, cut[1:]))):
+            return [cut]
         for i in range(1, len(cut)):
             if cut[i - 1 : i + 1] not in near:
                 out.append(cut[at:i])
@@ -376,10 +390,8 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
         for batch in batches:
             rows = []
             for t in batch[text]:
-                got = [c.known(cut) for cut in c.split(t)] if t else []
-                ids = hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest()
-                back = hashlib.sha256(c.spaced("".join([x[2] for x in got])).encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((sum([x[1] for x in got]), ids, back))
+                ids, n, back = c.coded(t or "")
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
