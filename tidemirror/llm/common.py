@@ -63,10 +63,11 @@ def stored(df: DataFrame) -> Stored:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path, seen = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Stored(_counted(spark.read.schema(df.schema).parquet(path), seen.get.get("n", 0)), path)
+    return Stored(counted(spark.read.schema(df.schema).parquet(path), seen.get.get("n", 0)), path)
 
 
-def _counted(df: DataFrame, rows: int) -> DataFrame:
+def counted(df: DataFrame, rows: int) -> DataFrame:
+    """The table with its known number of rows."""
     df.n_rows = rows
     return df
 
@@ -125,8 +126,8 @@ def hot_keys(counts: DataFrame, key: str, total: int, rows: int) -> DataFrame:
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, like: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """left.join(right, key, how) for a right side with one row for each key: the left rows of a hot key are dealt over several
-    tasks (of ``rows`` rows, HOT_ROWS if not said), each of which gets that key's right row. Keys are counted in ``like``, a stored table that has as many rows of each
-    key as left, or come counted (key, _n)."""
+    tasks (of ``rows`` rows, HOT_ROWS if not said), each of which gets that key's right row. Keys are counted in ``like``, a
+    stored table that has as many rows of each key as left, or come counted (key, _n)."""
     rows, like = HOT_ROWS if rows is None else rows, left if like is None else like
     total = rows_of(like)
     if total <= rows:
@@ -250,5 +251,5 @@ def stored_components(edges: DataFrame) -> Stored:
         current.drop()
         same, digest, current = digest == digest_after, digest_after, after
         if same:
-            current.df = _counted(current.df.select(F.col("a").alias("node"), F.col("b").alias("label")), rows_of(current.df))
+            current.df = counted(current.df.select(F.col("a").alias("node"), F.col("b").alias("label")), rows_of(current.df))
             return current

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, table, text_batches
+from .common import Scratch, as_bytes, blocks, counted, rows_of, small, table, text_batches
 
 BUCKET_BITS = 15
 DIM = 16
@@ -136,11 +136,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Train on whole texts of a bounded sample of the rows with text and language. Each language gives up to an equal part of
     it, so that rare ones are learned at every size of the table."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    sizes = rows.groupBy("_l").agg(F.count("*").alias("n"), F.sum(F.length("_t")).alias("c"))
-    many = max(1, sizes.count())
-    share = F.least(F.lit(1.0), F.lit(SAMPLE_ROWS / many) / F.col("n"), F.lit(SAMPLE_CHARS / many) / F.greatest("c", F.lit(1)))
-    parts = sizes.select("_l", (share * 10_000_000).cast("long").alias("_share"))
-    got = rows.join(parts, "_l").where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10_000_000)) < F.col("_share")).select(key, "_t", "_l").toPandas()
+    with Scratch() as work:
+        sizes = work.keep(rows.groupBy("_l").agg(F.count("*").alias("n"), F.sum(F.length("_t")).alias("c")))
+        many = max(1, rows_of(sizes))
+        share = F.least(F.lit(1.0), F.lit(SAMPLE_ROWS / many) / F.col("n"), F.lit(SAMPLE_CHARS / many) / F.greatest("c", F.lit(1)))
+        parts = small(counted(sizes.select("_l", (share * 10_000_000).cast("long").alias("_share")), many))  # texts are not shuffled
+        got = rows.join(parts, "_l").where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(10_000_000)) < F.col("_share")).select(key, "_t", "_l").toPandas()
     got = got[got["_t"].map(lettered).astype(bool)].sort_values([key, "_t"], kind="stable")
     return train(got["_t"].tolist(), got["_l"].tolist())
 
