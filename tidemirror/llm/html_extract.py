@@ -10,8 +10,9 @@ The trees are fitted on pages made up from the words of a bounded sample of the
 (menus, adverts, notices, sidebars, forms, comments and footers around and inside an article), so their labels are exact.
 
 Defined results: a null or empty page has empty text; a page without any element is one block of text; unclosed and stray
-tags are closed as browsers do for paragraphs and list items; very long pages are extracted whole; repeated rows are
-answered alike; an empty table gives no rows; other columns are ignored.
+tags are closed as browsers do for paragraphs, list items and cells; quotes are read as browsers do, so a stray one is part of
+a name or value; very long pages are extracted whole, in time linear in the page; repeated rows are answered alike; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, table, text_batches
 
-#: Pages whose words are used, and pages made up from them.
-SAMPLE_PAGES, MADE_PAGES = 200, 700
+#: Pages whose words are used (at most about so many, of about so many characters), and pages made up from them.
+SAMPLE_PAGES, SAMPLE_BYTES, MADE_PAGES = 200, 8_000_000, 700
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
 
 # Elements of HTML by kind.
@@ -46,8 +47,11 @@ FURNITURE = frozenset(
 CONTENT = frozenset("article articlebody body content entry main maincontent post story text page hentry blog".split())
 TAGS = "article aside blockquote div dl fieldset figure footer form h1 h2 h3 header li main nav ol p pre section table td ul body html".split()
 TOKEN_BUCKETS = 16
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# The parts of a tag: what stands between attributes, an attribute's name, the sign before its value, a value without quotes.
+_TAG_NAME, _GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s/>]*", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+# Elements that an element of the same group ends, unless one of SCOPE stands between them.
+_GROUP = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_SCOPE = frozenset("ul ol dl table menu".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*")
 
 
@@ -73,86 +77,137 @@ BREAK = object()
 FIELD = object()
 
 
+def attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """The attributes of the tag whose name ends at ``at``, and where the tag ends. As in browsers, a quote belongs to a value
+    only where the value begins with it; a value whose quote is never closed ends with the tag."""
+    found, n = [], len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return found, n
+        if page[at] == ">":
+            return found, at + 1
+        m = _NAME.match(page, at)
+        name, at = m[0].lower(), m.end()
+        m = _EQUALS.match(page, at)
+        if not m:
+            found.append((name, ""))
+            continue
+        at = m.end()
+        quote = page[at : at + 1]
+        if quote in ("'", '"'):
+            end = page.find(quote, at + 1)
+            if end >= 0:
+                found.append((name, page[at + 1 : end]))
+                at = end + 1
+                continue
+            end = page.find(">", at)
+            end = n if end < 0 else end
+            found.append((name, page[at + 1 : end]))
+            at = end
+        else:
+            m = _BARE.match(page, at)
+            found.append((name, m[0]))
+            at = m.end()
+
+
 def parse(page: str) -> Node:
-    """The tree of a page: structural elements as nodes, inline elements dissolved into their text."""
+    """The tree of a page: structural elements as nodes, inline elements dissolved into their text. Linear in the page."""
     root = Node("html", [], None)
     stack = [root]  # open structural nodes
-    inline: list[str] = []  # open inline elements
-    at = 0
+    # Of each open node: where the nearest open element of each group stands that a new one of the group would end.
+    reach = [(-1,) * 6]
+    opened: Counter = Counter()  # open structural nodes by tag
+    inline: Counter = Counter()  # open inline elements by tag
+    at, begin, n = 0, 0, len(page)
     closing: dict[str, re.Pattern] = {}
 
-    def text(piece: str) -> None:
-        if piece:
-            piece = html.unescape(piece)
-            stack[-1].items.append(Link(piece) if "a" in inline else piece)
+    def text(end: int) -> None:
+        if end > begin:
+            piece = html.unescape(page[begin:end])
+            stack[-1].items.append(Link(piece) if inline["a"] else piece)
+
+    def close(i: int) -> None:
+        """Close the node at a place of the stack and all above it."""
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:], reach[i:]
 
     while True:
-        m = _TAG.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
+        head = page[start + 1 : start + 3]
+        if head[:1] in ("!", "?") or (head[:1] == "/" and not head[1:].isalpha()):
+            text(start)
+            mark, skip = ("-->", 2) if page.startswith("<!--", start) else ("]]>", 9) if page.startswith("<![CDATA[", start) else (">", 1)
+            end = page.find(mark, start + skip)
+            at = begin = n if end < 0 else end + len(mark)
             continue
-        if m[2]:
-            tag = m[2].lower()
+        m = _TAG_NAME.match(page, start + (2 if head[:1] == "/" else 1))
+        if not m:  # a "<" in the text
+            at = start + 1
+            continue
+        text(start)
+        tag, at = m[0].lower(), m.end()
+        if page[at : at + 1] == ">":
+            rest, at = [], at + 1
+        else:
+            rest, at = attributes(page, at)
+        begin = at
+        if head[:1] == "/":
             if tag in INLINE:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag)]
+                if inline[tag]:
+                    inline[tag] -= 1
                 elif len(stack) > 1 and stack[-1].tag == tag:
-                    stack.pop()
+                    close(len(stack) - 1)
             elif tag == "br":
                 stack[-1].items.append(BREAK)
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        inline.clear()
-                        break
-            continue
-        if not m[3]:
+            elif opened[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
+                inline.clear()
             continue
-        tag, rest = m[3].lower(), m[4]
         if tag in VOID:
             stack[-1].items.append(FIELD if tag == "input" else BREAK)
             continue
         if tag in RAW:
-            if not rest.rstrip().endswith("/"):
+            if page[at - 2 : at] != "/>":
                 end = closing.get(tag) or closing.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I))
                 e = end.search(page, at)
-                at = e.end() if e else len(page)
+                at = begin = e.end() if e else n
             if tag in ("textarea", "select"):
                 stack[-1].items.append(FIELD)
             continue
         if tag in ("html", "head"):
             continue
-        tokens = [w.lower() for a in _ATTR.finditer(rest) for w in _WORDS.findall(a[2] or a[3] or a[4] or "")] if rest else []
+        tokens = [w.lower() for name, value in rest if name in ("class", "id", "role") for w in _WORDS.findall(value)] if rest else []
         if tag in INLINE and not tokens:
-            inline.append(tag)
+            inline[tag] += 1
             continue
         if tag == "button":
             stack[-1].items.append(FIELD)
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    inline.clear()
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in same:
-                    del stack[i:]
-                    inline.clear()
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table", "menu"):
-                    break
+        group = _GROUP.get(tag)
+        ends = reach[-1][0 if tag in CLOSES_P else group] if tag in CLOSES_P or group is not None else -1
+        if ends > 0:
+            close(ends)
+            inline.clear()
         if tag not in INLINE:
-            inline = [x for x in inline if x == "a"]
+            links = inline["a"]
+            inline.clear()
+            inline["a"] = links
+        below = reach[-1]
         stack.append(Node(tag, tokens, stack[-1]))
-    text(page[at:])
+        opened[tag] += 1
+        here = len(stack) - 1
+        if tag not in INLINE:  # paragraphs are ended through inline elements only, the other groups through all but SCOPE
+            below = (-1, -1, -1, -1, -1, -1) if tag in _SCOPE else (-1, *below[1:])
+            if group is not None:
+                below = (*below[:group], here, *below[group + 1 :])
+        reach.append(below)
+    text(n)
     return root
 
 
@@ -358,8 +413,7 @@ _MARK = re.compile(r" data-main\b")
 def fit_on(texts: list[str], seed: int = 3) -> Boosted:
     """Trees for pages made up from these texts."""
     rng = np.random.default_rng(seed)
-    words = " ".join(texts).split()
-    words = [w for w in words if len(w) < 40][:200_000] or "the text of a page without any word in its sample".split()
+    words = " ".join(texts).split() or "the text of a page without any word in its sample".split()
     xs, ys = [], []
     for _ in range(MADE_PAGES):
         page = made_page(rng, words)
@@ -427,8 +481,9 @@ def extract_pages(pages: list[str | None], model: Boosted) -> list[str]:
 
 
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html") -> Boosted:
-    rows = pages.where(F.col(page).isNotNull()).select(key, F.substring(page, 1, 20_000).alias("_h"))
-    got = bounded_sample(rows, key, SAMPLE_PAGES).toPandas().sort_values([key, "_h"], kind="stable")
+    """Trees for pages made up from whole pages of a sample of about SAMPLE_PAGES pages, and about SAMPLE_BYTES characters."""
+    rows = pages.where(F.col(page).isNotNull()).select(key, F.col(page).alias("_h"))
+    got = bounded_sample(rows, key, SAMPLE_PAGES, "_h", SAMPLE_BYTES).toPandas().sort_values([key, "_h"], kind="stable")
     texts = []
     for h in got["_h"]:
         root = parse(h)
