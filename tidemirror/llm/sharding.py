@@ -5,7 +5,8 @@ highest score. A shard's scores don't depend on the other shards, so one more sh
 shard's share of the records follows its weight. This is the law ``key``: the key and the shards decide, nothing else.
 
 Slots number the rows of a shard from 0 without gaps. They are numbered inside small sub-buckets of a shard and shifted by
-the counts of the sub-buckets before, so no task ever holds a whole shard.
+the counts of the sub-buckets before, so no task ever holds a whole shard, nor all rows of one key: equal rows are dealt over
+the sub-buckets too. The assignment is written once, so hashes are computed once and both passes see the same rows.
 
 Defined results: a null key hashes as the word ``null``; a null text counts 0 bytes and has crc32 0 (that of the empty
 text); repeated rows each get a slot; an empty table gives no rows; other columns of the input are ignored.
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import rows_of, stored, table
 
 N_SHARDS = 40
 #: Bytes a record takes besides its text.
@@ -59,13 +60,15 @@ def _grown(key: Column, shard: Column, weights: Sequence[float], weight: float =
 
 
 def number_slots(df: DataFrame, shard: str, key: str, order: Sequence[str], shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """Add slot: 0, 1, ... within each shard."""
-    subs = max(1, -(-df.count() // (shards * slot_rows)))
-    split = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)).cast("int"))
+    """Add slot: 0, 1, ... within each shard, by the given order in a shard of up to ``slot_rows`` rows on average."""
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id())).df
+    subs = max(1, -(-rows_of(placed) // (shards * slot_rows)))
+    # A key's rows may be a third of all, so their places are hashed with them.
+    split = placed.withColumn("_sub", F.pmod(F.xxhash64(*order, "_at"), F.lit(subs)).cast("int"))
     ahead = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = split.groupBy(shard, "_sub").agg(F.count("*").alias("_n"))
     base = counts.select(shard, "_sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(shard, "_sub").orderBy(*order)
+    within = Window.partitionBy(shard, "_sub").orderBy(*order, "_at")
     numbered = split.withColumn("_at", F.row_number().over(within) - 1)
     return numbered.join(base, [shard, "_sub"]).withColumn("slot", (F.col("_base") + F.col("_at")).cast("long")).drop("_sub", "_at", "_base")
 
@@ -74,3 +77,15 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = number_slots(assign(docs, "doc_id", N_SHARDS), "shard", "doc_id", ["doc_id", "size", "text_crc32"], N_SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: With equal weights the highest score is the greatest hash; crc32 byte by byte over its table, which a recursion makes.
+ORACLE_OP8 = f"""
+WITH RECURSIVE poly(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM poly WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS name, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, octet_length(b) + {OVERHEAD} AS size, list_max(list_transform(range(0, {N_SHARDS}), lambda i: {{'u': md5(name || ':' || i)[1:12], 's': -i}})) AS held, md5(name || ':{N_SHARDS}')[1:12] AS new,
+ xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, (-held.s)::INTEGER AS shard, row_number() OVER (PARTITION BY held.s ORDER BY doc_id, size, text_crc32) - 1 AS slot,
+ CASE WHEN new > held.u THEN {N_SHARDS} ELSE -held.s END::INTEGER AS grown_shard FROM s
+"""
