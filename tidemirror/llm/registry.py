@@ -16,4 +16,12 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
 }
-ORACLES: dict[str, str] = {"op1_html_extract": html_extract.ORACLE_OP1, "op2_pivot_topk": pivot_search.ORACLE_OP2, "op7_jaccard_rtree": jaccard_join.ORACLE_OP7}
+ORACLES: dict[str, str] = {
+    "op1_html_extract": html_extract.ORACLE_OP1,
+    "op2_pivot_topk": pivot_search.ORACLE_OP2,
+    "op5_suffix_dedup": suffix_dedup.ORACLE_OP5,
+    "op6_spaced_seeds": decontaminate.ORACLE_OP6,
+    "op7_jaccard_rtree": jaccard_join.ORACLE_OP7,
+    "op8_rendezvous_shards": sharding.ORACLE_OP8,
+    "op9_license_scan": license_scan.ORACLE_OP9,
+}

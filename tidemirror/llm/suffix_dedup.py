@@ -6,9 +6,10 @@ A passage is a window of ``WINDOW`` bytes. Its suffixes are compared where they
    equal offsets. An anchor stands for the run of windows that have it. Windows whose anchor hash occurs once are unique.
 2. Runs that are equal as a whole (same anchor hash, same bytes from the first window's start to the last one's end) are
    counted by hash: all their windows repeat, and only the first of them is looked at further.
-3. Runs that share an anchor but differ are brought together. In a group, the windows that may repeat are put into suffix
-   order; the previous and next smaller positions in that order give each window's longest previous (and next) factor: a
-   match of ``WINDOW`` bytes with an earlier (later) place.
+3. Runs that share an anchor but differ are brought together. A group's text is put into suffix order (by prefix doubling),
+   the ranks of the doublings give the common prefix of neighbours in that order, and the previous and next smaller places
+   in it give each window's longest previous factor: its longest match with any earlier place. The same over falling places
+   gives the longest match with a later one. A match of ``WINDOW`` or more covers as many bytes as it is long.
 4. An anchor with too many different runs for one task is split: each run is cut, at offsets fixed from the anchor, into
    shorter runs, keyed by all the bytes their windows share, and these go through steps 2 and 3 anew, down to runs of one
    window, which have nothing left to differ in. So no group is ever larger than a task can hold, and none is capped.
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, as_bytes, blocks, cut, mix, span_hashes, stored, table, text_batches, word_table, words_of
+from .common import _BYTE, BROADCAST_ROWS, Scratch, _powers, as_bytes, blocks, mix, rows_of, span_hashes, stored, table, text_batches, word_table, words_of
 
 WINDOW, GRAM = 400, 64
 #: Different runs of one anchor, and about as many of all anchors, that one task puts into suffix order.
@@ -44,6 +45,8 @@ GROUP_RUNS = 1_000
 #: Windows of a run after the first, second and third split.
 SPLITS = (24, 4, 1)
 PIECE = 1 << 21
+#: Bytes of runs that a task hands on at once.
+FRAME_BYTES = 1 << 22
 _POSITION = np.uint64((1 << 28) - 1)
 _ROW = "h long, c1 long, c2 long, doc_id long, _rk long, at long"  # at: start * 1024 + windows
 
@@ -193,61 +196,126 @@ def anchor_of(piece: bytes, shape: Shape = Shape()) -> int:
 # ---------------------------------------------------------------- suffix order in a group
 
 
-def factors(position: list[int], lcp: list[int]) -> tuple[list[int], list[int]]:
-    """Longest previous and longest next factor of each entry of a suffix array.
+#: Symbols in the first key of a suffix of bytes, 9 bits each (0 is the end).
+PACKED = 7
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks from 1, and the highest."""
+    order = np.argsort(key)
+    in_order = key[order]
+    new = np.ones(len(key), np.int64)
+    new[1:] = in_order[1:] != in_order[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, int(rank[order[-1]])
+
+
+@dataclass
+class Suffixes:
+    """The suffixes of several pieces: each ends with its piece. ``levels`` holds (h, rank of the first h symbols); the last h is
+    a window or more, so suffixes that share less than that are in their order."""
+
+    end: np.ndarray  # where the piece of a place ends
+    first: np.ndarray  # packed symbols, or the symbols themselves
+    packed: int
+    levels: list[tuple[int, np.ndarray]]
+
+    @classmethod
+    def of(cls, pieces: list[bytes], shape: Shape) -> tuple[Suffixes, np.ndarray]:
+        """The suffixes, and the place where each piece begins."""
+        size = np.array([len(p) // shape.step for p in pieces])
+        packed = PACKED if shape.step == 1 else 1
+        begin = np.concatenate(([0], np.cumsum(size + packed - 1)[:-1]))
+        total = int(begin[-1] + size[-1] + packed - 1)
+        if shape.step == 1:
+            pad = b"\0" * (packed - 1)
+            symbols = np.frombuffer(pad.join(pieces) + pad, np.uint8).astype(np.int64) + 1
+            inside = np.zeros(total + 1, np.int64)
+            np.add.at(inside, begin, 1)
+            np.add.at(inside, begin + size, -1)
+            symbols *= np.cumsum(inside[:-1])  # 0 between pieces
+            symbols = np.concatenate([symbols, np.zeros(packed, np.int64)])
+            first = np.zeros(total, np.int64)
+            for j in range(packed):
+                first = (first << 9) | symbols[j : j + total]
+        else:
+            first = np.frombuffer(b"".join(pieces), np.int64)
+        end = np.repeat(begin + size, size + packed - 1)
+        rank, highest = _ranked(first)
+        levels, h, left = [(packed, rank.astype(np.int32))], packed, end - np.arange(total)
+        while h < shape.places and highest < total:
+            # As many ranks as fit one key: three for places of up to 2 million, so that lengths triple.
+            bits = highest.bit_length()
+            times = max(2, min(63 // bits, -(-shape.places // h)))
+            key = rank
+            for j in range(1, times):
+                rest = np.zeros(total, np.int64)
+                rest[: total - j * h] = rank[j * h :]
+                key = key << bits | np.where(left > j * h, rest, 0)
+            rank, highest = _ranked(key)
+            h *= times
+            levels.append((h, rank.astype(np.int32)))
+        return cls(end, first, packed, levels), begin
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes a and b, in symbols."""
+        last = len(self.end) - 1
+        got = np.zeros(len(a), np.int64)
+        above = 2 * self.levels[-1][0]
+        for h, rank in reversed(self.levels):
+            for _ in range(above // h - 1):  # less than the level above is left
+                got += h * (rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)])
+            above = h
+        if self.packed > 1:
+            differ = self.first[np.minimum(a + got, last)] ^ self.first[np.minimum(b + got, last)]
+            for j in range(1, self.packed):
+                got += differ < 1 << 9 * (self.packed - j)
+        return np.minimum(got, np.minimum(self.end[a] - a, self.end[b] - b))
+
+
+def _nearest_smaller(place: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each entry of a suffix order its common prefix with the nearest entry before it that has a smaller place (0, if there
+    is none, or less than ``least`` in common). lcp[i]: common prefix of entries i - 1 and i."""
+    linked = lcp >= least
+    linked[:1] = False
+    near, common = np.where(linked, np.arange(len(place)) - 1, -1), np.where(linked, lcp, 0)
+    # All entries between an entry and its candidate have larger places, so the candidate's candidate is the next to try.
+    todo = np.flatnonzero(linked)
+    while len(todo):
+        todo = todo[(near[todo] >= 0) & (place[near[todo]] > place[todo])]
+        to = near[todo]
+        common[todo] = np.minimum(common[todo], common[to])
+        near[todo] = near[to]
+    common[near < 0] = 0
+    return common
+
+
+def factors(position: np.ndarray, lcp: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of each entry of a suffix array, where they are ``least`` long (else 0).
 
     position: the text place of each entry, in suffix order; lcp[i]: common prefix of entries i - 1 and i. The longest match
     with a smaller place is with the previous or the next smaller place in suffix order; with a larger place likewise.
     """
-    n = len(position)
-    before, after = [0] * n, [0] * n
-    for sign, out in ((1, before), (-1, after)):
-        for order in (range(n), range(n - 1, -1, -1)):
-            stack: list[list[int]] = []  # [place, entry, least lcp between it and the one below]
-            last = None
-            for i in order:
-                common = 0 if last is None else lcp[max(i, last)]
-                last = i
-                place = sign * position[i]
-                while stack and stack[-1][0] >= place:
-                    common = min(common, stack.pop()[2])
-                if stack and common > out[i]:
-                    out[i] = common
-                stack.append([place, i, common])
-    return before, after
-
-
-def repeated_windows(pieces: list[bytes], counts: list[int], order: list[int], shape: Shape = Shape()) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each run (its bytes, windows, and rank among the texts' places): flags of windows with an earlier, a later equal."""
-    joined = b"".join(pieces)
-    buf = np.frombuffer(joined, np.uint8)
+    position, lcp = np.asarray(position, np.int64), np.asarray(lcp, np.int64)
+    back = np.concatenate(([0], lcp[:0:-1]))
+    return tuple(np.maximum(_nearest_smaller(p, lcp, least), _nearest_smaller(p[::-1], back, least)[::-1]) for p in (position, -position))
+
+
+def repeated_windows(pieces: list[bytes], counts: list[int], shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, offset, longest match with an earlier, with a later place) of every window of some runs, given by their bytes and
+    windows, in the order of the texts' places."""
+    suffixes, begin = Suffixes.of(pieces, shape)
     n = np.array(counts)
-    base = np.concatenate(([0], np.cumsum([len(p) for p in pieces])[:-1]))
     run = np.repeat(np.arange(len(n)), n)
     offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    window = shape.window
-    start = base[run] + offset * shape.step
-    h = span_hashes(buf, start, start + window)
-    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-    may = np.flatnonzero(times[inverse] > 1)  # windows of a hash of their own are unique
-    earlier, later = np.zeros(len(run), bool), np.zeros(len(run), bool)
-    if len(may):
-        place = np.array(order)[run[may]] * 1024 + offset[may]
-        keys = [joined[s : s + window] for s in start[may].tolist()]
-        suffix = sorted(range(len(may)), key=keys.__getitem__)
-        lcp = [0] + [window if keys[a] == keys[b] else 0 for a, b in zip(suffix, suffix[1:], strict=False)]
-        before, after = factors([int(place[i]) for i in suffix], lcp)
-        suffix_ = np.array(suffix)
-        earlier[may[suffix_[np.array(before) >= window]]] = True
-        later[may[suffix_[np.array(after) >= window]]] = True
-    at = np.cumsum(n)[:-1]
-    return np.split(earlier, at), np.split(later, at)
-
-
-def spans_of(flags: np.ndarray, start: int, shape: Shape = Shape()) -> list[tuple[int, int]]:
-    """The places that flagged windows cover."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).view(np.int8)))
-    return [(start + int(a), start + int(b) - 1 + shape.places) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
+    start = begin[run] + offset
+    order = np.argsort(suffixes.levels[-1][1][start], kind="stable")
+    at = start[order]
+    lcp = np.concatenate(([0], suffixes.common(at[:-1], at[1:])))
+    before, after = np.empty(len(run), np.int64), np.empty(len(run), np.int64)
+    before[order], after[order] = factors(order, lcp, shape.places)  # windows are numbered by place
+    return run, offset, before, after
 
 
 # ---------------------------------------------------------------- the jobs
@@ -259,34 +327,32 @@ def _same(a: str, b: str):
 
 def repeated_spans(docs: DataFrame, keep: str = "first", shape: Shape = Shape()) -> DataFrame:
     """doc_id, _rk, start, end of repeated bytes (of words, if the shape is of words), for texts with the columns doc_id, _rk
-    and text. Spans may overlap."""
+    and text, as a stored table. Spans may overlap."""
     text_batches(docs.sparkSession)
     first_only = keep == "first"
-    level, found = stored(all_runs(docs, shape)), []
-    for depth in range(len(SPLITS) + 1):
-        rows = level.df
-        # Partial aggregation makes one row for each key and task, however hot a key is.
-        place = [F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "_rk", "at", "doc_id"] + (["piece"] if depth else [])
-        kinds = stored(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")))
-        found.append(cut(_copies(rows, kinds.df, first_only, shape)))
-        differing = stored(_differing(kinds.df))
-        level.drop()
-        kinds.drop()
-        size = SPLITS[depth] if depth < len(SPLITS) else None
-        if differing.df.isEmpty():
-            break
-        fetched = stored(_pieces_of_texts(docs, differing.df, size, shape) if not depth else _pieces_of_runs(differing.df, size, shape))
-        differing.drop()
-        found.append(cut(_in_suffix_order(fetched.df.where("bin IS NOT NULL"), first_only, shape)))
-        level = fetched
-        level.df = fetched.df.where("bin IS NULL").select("h", "c1", "c2", "doc_id", "_rk", "at", "piece")
-        if level.df.isEmpty():
-            break
-    level.drop()
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return out
+    with Scratch() as work:
+        rows, found = work.keep(all_runs(docs, shape)), []
+        level = rows
+        for depth in range(len(SPLITS) + 1):
+            # Partial aggregation makes one row for each key and task, however hot a key is.
+            place = [F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), "_rk", "at", "doc_id"] + (["piece"] if depth else [])
+            kinds = work.keep(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")))
+            found.append(work.keep(_copies(rows, kinds, first_only, shape)))
+            differing = work.keep(_differing(kinds))
+            work.drop(level, kinds)
+            size = SPLITS[depth] if depth < len(SPLITS) else None
+            if not rows_of(differing):
+                break
+            level = work.keep(_pieces_of_texts(docs, differing, size, shape) if not depth else _pieces_of_runs(differing, size, shape))
+            work.drop(differing)
+            found.append(work.keep(_in_suffix_order(level.where("bin IS NOT NULL"), first_only, shape)))
+            rows = level.where("bin IS NULL").select("h", "c1", "c2", "doc_id", "_rk", "at", "piece")
+            if rows.isEmpty():
+                break
+        out = found[0]
+        for other in found[1:]:
+            out = out.unionByName(other)
+        return stored(out.distinct()).df
 
 
 def _copies(rows: DataFrame, kinds: DataFrame, first_only: bool, shape: Shape) -> DataFrame:
@@ -308,38 +374,54 @@ def _differing(kinds: DataFrame) -> DataFrame:
 _FETCHED = "bin long, h long, c1 long, c2 long, doc_id long, _rk long, at long, order long, piece binary"
 
 
-def _placed(rows: list[tuple], bins: int, size: int | None, most: int, shape: Shape) -> pd.DataFrame:
-    """Runs (h, kinds, doc_id, _rk, at, order, bytes) as rows of their bin, or, of groups too large, split."""
-    out = []
+def _placed(rows: Iterator[tuple], bins: int, size: int | None, most: int, shape: Shape) -> Iterator[pd.DataFrame]:
+    """Runs (h, kinds, doc_id, _rk, at, order, bytes) as rows of their bin, or, of groups too large, split; in frames of about
+    FRAME_BYTES."""
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["bin", "h", "c1", "c2", "doc_id", "_rk", "at", "order", "piece"]).astype({c: "Int64" for c in ("bin", "c1", "c2", "doc_id", "order")})
+
+    out: list[tuple] = []
+    held = 0
     for h, kinds, doc, rk, at, order, piece in rows:
         if size is None or kinds <= most:
             out.append((h % bins, h, None, None, doc, rk, at, order, piece))
+            held += len(piece)
         else:
-            out.extend((None, h_, c1, c2, doc, rk, at_, None, own) for h_, c1, c2, at_, own in sub_rows(piece, h, at // 1024, at % 1024, size, shape))
-    return pd.DataFrame(out, columns=["bin", "h", "c1", "c2", "doc_id", "_rk", "at", "order", "piece"]).astype({c: "Int64" for c in ("bin", "c1", "c2", "doc_id", "order")})
+            parts = sub_rows(piece, h, at // 1024, at % 1024, size, shape)
+            out.extend((None, h_, c1, c2, doc, rk, at_, None, own) for h_, c1, c2, at_, own in parts)
+            held += sum(len(own) for *_, own in parts)
+        if held >= FRAME_BYTES:
+            yield frame(out)
+            out, held = [], 0
+    if out:
+        yield frame(out)
 
 
 def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None, shape: Shape) -> DataFrame:
-    bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
+    bins, most = max(1, rows_of(runs_) // GROUP_RUNS), GROUP_RUNS
     listed = runs_.groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("h", "kinds", "at", "order")).alias("runs"))
+    if rows_of(runs_) <= BROADCAST_ROWS // 2:
+        listed = F.broadcast(listed)
     both = docs.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc_id", "d._rk", "text", "runs").dropDuplicates(["doc_id", "_rk"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, rk, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rk"], shape.read(batch["text"]), batch["runs"], strict=True):
-                rows.extend((r["h"], r["kinds"], doc, rk, r["at"], r["order"], text[r["at"] // 1024 * shape.step : (r["at"] // 1024 + r["at"] % 1024 - 1 + shape.places) * shape.step]) for r in own)
-            yield _placed(rows, bins, size, most, shape)
+            rows = (
+                (r["h"], r["kinds"], doc, rk, r["at"], r["order"], text[r["at"] // 1024 * shape.step : (r["at"] // 1024 + r["at"] % 1024 - 1 + shape.places) * shape.step])
+                for doc, rk, text, own in zip(batch["doc_id"].astype("Int64"), batch["_rk"], shape.read(batch["text"]), batch["runs"], strict=True) for r in own
+            )
+            yield from _placed(rows, bins, size, most, shape)
 
     return both.mapInPandas(run, _FETCHED)
 
 
 def _pieces_of_runs(runs_: DataFrame, size: int | None, shape: Shape) -> DataFrame:
-    bins, most = max(1, runs_.count() // GROUP_RUNS), GROUP_RUNS
+    bins, most = max(1, rows_of(runs_) // GROUP_RUNS), GROUP_RUNS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _placed(list(zip(batch["h"], batch["kinds"], batch["doc_id"].astype("Int64"), batch["_rk"], batch["at"], batch["order"], batch["piece"], strict=True)), bins, size, most, shape)
+            yield from _placed(zip(batch["h"], batch["kinds"], batch["doc_id"].astype("Int64"), batch["_rk"], batch["at"], batch["order"], batch["piece"], strict=True), bins, size, most, shape)
 
     return runs_.select("h", "kinds", "doc_id", "_rk", "at", "order", "piece").mapInPandas(run, _FETCHED)
 
@@ -347,11 +429,16 @@ def _pieces_of_runs(runs_: DataFrame, size: int | None, shape: Shape) -> DataFra
 def _in_suffix_order(groups: DataFrame, first_only: bool, shape: Shape) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "_rk", "at"], kind="stable")
-        earlier, later = repeated_windows(list(pdf["piece"]), (pdf["at"] % 1024).tolist(), list(range(len(pdf))), shape)
-        out = []
-        for doc, rk, at, e, x in zip(pdf["doc_id"].astype("Int64"), pdf["_rk"], pdf["at"], earlier, later, strict=True):
-            out.extend((doc, rk, a, b) for a, b in spans_of(e if first_only else e | x, at // 1024, shape))
-        return pd.DataFrame(out, columns=["doc_id", "_rk", "start", "end"]).astype({"doc_id": "Int64"})
+        at = pdf["at"].to_numpy()
+        run_, offset, before, after = repeated_windows(list(pdf["piece"]), (at % 1024).tolist(), shape)
+        longest = before if first_only else np.maximum(before, after)
+        hit = np.flatnonzero(longest >= shape.places)
+        start = at[run_[hit]] // 1024 + offset[hit]
+        # Matches that overlap in one run make one span.
+        end = start + longest[hit]
+        new = np.flatnonzero(np.concatenate(([True], (run_[hit][1:] != run_[hit][:-1]) | (start[1:] > start[:-1] + 1)))) if len(hit) else np.zeros(0, np.int64)
+        rows = pdf[["doc_id", "_rk"]].astype({"doc_id": "Int64"}).iloc[run_[hit][new]]
+        return rows.assign(start=start[new], end=np.maximum.reduceat(end, new) if len(new) else end)
 
     return groups.groupBy("bin").applyInPandas(run, "doc_id long, _rk long, start long, end long")
 
@@ -373,7 +460,9 @@ def with_spans(docs: DataFrame, keep: str, window: int = WINDOW, words: int | No
     found = repeated_spans(texts, keep, bytes_shape(window)).withColumn("worded", F.lit(False))
     if words is not None:
         found = found.unionByName(repeated_spans(texts, keep, words_shape(words)).withColumn("worded", F.lit(True)))
-    listed = found.distinct().groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
+    listed = found.groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
+    if found.count() <= BROADCAST_ROWS:  # texts are shuffled for more spans only
+        listed = F.broadcast(listed)
     return docs.alias("d").join(listed.alias("s"), _same("d", "s"), "left").select("d.*", "spans")
 
 
@@ -420,6 +509,7 @@ def dedup_texts(df: DataFrame, keep: str = "first", window: int = WINDOW, words:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of each text without its repeated bytes; n_kept and text are what is left (without halves of characters)."""
     docs = keyed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     both = with_spans(docs, "none")
 
@@ -428,15 +518,29 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for text, own in zip(as_bytes(batch["text"]), batch["spans"], strict=True):
                 spans = [] if own is None else merged(own, len(text))
-                at, kept, gone = 0, hashlib.sha256(), 0
+                at, kept = 0, []
                 for a, b in spans:
-                    kept.update(text[at:a])
-                    gone += b - a
+                    kept.append(text[at:a])
                     at = b
-                kept.update(text[at:])
-                out.append((len(text), gone, len(spans), kept.hexdigest()))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept.append(text[at:])
+                left = b"".join(kept)
+                out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(left), "".join(k.decode("utf-8", "ignore") for k in kept)))
+            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"])
             frame.insert(0, "doc_id", batch["doc_id"].array)
             yield frame
 
-    return both.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", "spans").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string")
+
+
+#: Every window of every text by its digest; covered bytes as islands, kept bytes as the gaps between them.
+ORACLE_OP5 = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i : i + {WINDOW - 1}]) AS h FROM d, LATERAL (SELECT unnest(range(1, octet_length(b) - {WINDOW - 2})) AS i) u),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) x WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) x GROUP BY doc_id, k),
+o AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY doc_id),
+p AS (SELECT doc_id, b, a, z, list_transform(range(0, coalesce(len(a), 0) + 1), lambda k: hex(b[CASE WHEN k = 0 THEN 1 ELSE z[k] END : CASE WHEN k = coalesce(len(a), 0) THEN octet_length(b) ELSE a[k + 1] - 1 END])) AS kept FROM d LEFT JOIN o USING (doc_id))
+SELECT doc_id, octet_length(b) AS n_bytes, octet_length(b) - len(array_to_string(kept, '')) // 2 AS n_removed, coalesce(len(a), 0) AS n_spans, sha256(unhex(array_to_string(kept, ''))) AS kept_sha256, len(array_to_string(kept, '')) // 2 AS n_kept,
+ decode(unhex(array_to_string(list_transform(kept, lambda h: regexp_replace(regexp_replace(h, '^([89AB][0-9A-F])+', ''), '^((?:[0-9A-F]{{2}})*?)(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){{0,2}})$', '\\1')), ''))) AS text FROM p
+"""
