@@ -10,18 +10,23 @@ folder and reads them again for the next one. All stages but the last return the
    copy stays.
 4. decontamination: documents that overlap a benchmark item go.
 5. tokenize: texts are encoded and decoded; one row per document with its number of ids and digests.
+
+Defined results: columns other than those of ``documents`` are left out, whatever their names; null and empty texts and texts
+without a letter go in the first stage; rows without doc_id are documents like others, in 2. they give way to documents with
+one; of repeated rows, and of rows that share a doc_id in one component, one stays in 2. (a tie of ids goes to the smaller
+text hash); lang, source and n_chars may be null, n_chars is counted anew in 3. for texts that are not null; a text that is cut
+to nothing stays as the empty text and has no ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemirror.llm import decontaminate, jaccard_join, langid, sp_codec, suffix_dedup
-from tidemirror.llm.common import table
+from tidemirror.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -64,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, before)  # a stage's input has served once its output stands
+        before = f"{folder}/{name}"
     return docs
