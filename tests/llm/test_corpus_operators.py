@@ -40,6 +40,12 @@ def test_top_k_of_few_and_none(spark, sf_dir):
     assert pivot_search.search(spark, none, none, 10).count() == 0
 
 
+def test_vectors_too_large_for_64_bits(spark):
+    v = spark.createDataFrame([(0, [2**31, 1]), (100, [5, 2**31])], "_id long, _v array<long>")
+    with pytest.raises(ValueError, match="64 bits"):
+        pivot_search.search(spark, v, v.where("_id % 100 = 0"), 10)
+
+
 # ---------------------------------------------------------------- op5
 
 
@@ -154,6 +160,33 @@ def test_factors_against_definition():
             assert after[n] == max((common(i, j) for j in range(i + 1, len(text))), default=0)
 
 
+@pytest.mark.parametrize("step", [1, 8])
+def test_suffix_order_and_match_lengths_against_definition(step):
+    rng = random.Random(6)
+    shape = suffix_dedup.Shape(window=4 * step, gram=2 * step, step=step)
+    for _ in range(25):
+        # Pieces share parts, and end where other pieces go on; zero bytes are symbols like others.
+        pieces = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(4, 30))) for _ in range(rng.randint(1, 5))]
+        pieces += [pieces[0][2:9] + b"a", pieces[0]] if len(pieces[0]) > 10 else []
+        if step == 8:
+            pieces = [b"".join(bytes([x]) * 8 for x in p) for p in pieces]
+        counts = [len(p) // step - shape.places + 1 for p in pieces]
+        words = [[p[i : i + step] for i in range(0, len(p), step)] for p in pieces]
+        places = [(r, o) for r, n in enumerate(counts) for o in range(n)]
+
+        def common(x, y):
+            a, b = words[x[0]][x[1] :], words[y[0]][y[1] :]
+            return next((i for i, (u, v) in enumerate(zip(a, b, strict=False)) if u != v), min(len(a), len(b)))
+
+        run, offset, before, after = suffix_dedup.repeated_windows(pieces, counts, shape)
+        assert list(zip(run.tolist(), offset.tolist(), strict=True)) == places
+        for i, place in enumerate(places):
+            for got, others in ((before[i], places[:i]), (after[i], places[i + 1 :])):
+                want = max((common(place, other) for other in others), default=0)
+                # A match of a window or more is found; its length is true up to twice the last doubling.
+                assert (got >= shape.places) == (want >= shape.places) and got <= want and (got == want or want < shape.places or want >= 4)
+
+
 def test_texts_without_repeats_and_odd_rows(spark, odd_documents):
     empty = odd_documents.limit(0)
     assert suffix_dedup.dedup_texts(empty).count() == 0
@@ -216,6 +249,42 @@ def test_failing_stretches_hide_no_passing_ones(spark):
     assert {i: m for i, (_, _, m) in got.items()} == want and {1, 2, 3} <= set(want) and 4 not in want
 
 
+def test_overlaps_equal_brute_force_and_items_without_id_count(spark):
+    rng = random.Random(77)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz")
+    items = [(i if i % 4 else None, [word() for _ in range(rng.randint(5, 40))]) for i in range(14)]
+    docs = []
+    for d in range(60):
+        t = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            w = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(w) // 4)):
+                w[rng.randrange(len(w))] = word()
+            t += w[rng.randint(0, 6) : len(w) - rng.randint(0, 6)] + [word() for _ in range(rng.randint(0, 9))]
+        docs.append((d, t))
+    want = set()
+    for d, w in docs:
+        for i, x in items:
+            best = (0, 0.0)
+            need = min(12, -(-4 * len(x) // 5))
+            for g in range(-len(x) + 1, len(w)) if len(x) >= decontaminate.MIN_WORDS else []:
+                lo, hi = max(0, g), min(len(w), g + len(x))
+                same = [0, *itertools.accumulate(int(w[p] == x[p - g]) for p in range(lo, hi))]
+                for a in range(hi - lo):
+                    for b in range(a + 1, hi - lo + 1):
+                        m = same[b] - same[a]
+                        if m >= need and 5 * m >= 4 * (b - a):
+                            best = max(best, (m, m / (b - a)))
+            if best[0]:
+                want.add((d, i, best[0], round(best[1], 9)))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for bound in (500_000, 0):
+        assert {(r.doc_id, r.item_id, r.matches, round(r.similarity, 9)) for r in decontaminate.overlaps(frame, tests, bound=bound).collect()} == want
+    assert any(i is None for _, i, _, _ in want)
+    assert {r.doc_id for r in decontaminate.clean(frame, tests).collect()} == {d for d, _ in docs} - {d for d, _, _, _ in want}
+
+
 def test_every_passing_overlap_holds_a_seed():
     masks, bits = [int(m, 2) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS)) - 1
     # Most matches of a row of n words without a seed, by its last words.
@@ -328,6 +397,30 @@ def test_one_of_each(spark, odd_documents):
     assert jaccard_join.one_of_each(odd_documents.limit(0)).count() == 0
 
 
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """One hub links a group; hot keys are dealt over tasks; small bins make many trees."""
+    from tidemirror.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "BIN_PAIRS", 7)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(base if i % 3 == 0 else [*base[: i % 110], f"q{i}", *base[i % 110 + 1 :]])) for i in range(150)]
+    docs += [(200 + i, " ".join(rng.choice(base) for _ in range(60))) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _components(docs)
+
+
+def test_join_of_hot_keys(spark):
+    from tidemirror.llm import common
+
+    left = spark.createDataFrame([(1 if i < 900 else i, i) for i in range(1000)], "k long, v long")
+    right = spark.createDataFrame([(i, i * 2) for i in range(0, 1000)], "k long, w long")
+    got = common.join_hot(left, right, "k", rows=50)
+    assert sorted(map(tuple, got.select("k", "v", "w").collect())) == sorted((1 if i < 900 else i, i, 2 if i < 900 else 2 * i) for i in range(1000))
+    assert common.join_hot(left, right.where("k <> 1"), "k", "left", rows=50).where("w IS NULL").count() == 900
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -57,6 +57,33 @@ def test_pages_query(spark, sf_dir):
     assert got[3] == ("", 0) and got[0][1] == len(got[0][0]) and len(got) == len(PAGES)
 
 
+def test_quotes_are_read_as_browsers_do(trees):
+    texts = lambda page: " ".join("".join(x for n in html_extract.nodes_of(html_extract.parse(page)) for x in [*n.items, " "] if isinstance(x, str)).split())
+    assert texts("<article class=a'><p>one</p></article>") == "one"
+    assert texts("<p title='it>Hello there</p><p>two</p>") == "Hello there two"
+    assert texts("<p title='a > b' id=\"c'd\">x</p><p a\"b>y</p>") == "x y"
+    assert texts("1 < 2 <p>3 <4 &lt;") == "1 < 2 3 <4 <" and texts("a<!-- x > y -->b<? z ?>c</ d>e") == "abce"
+    assert texts("<p ") == "" and texts("<") == "<" and texts("</p") == ""
+
+
+@pytest.mark.parametrize("piece", ['<p title="x ', "<b>", "<b>x", "<div>", "<div></p></span>", "<p title='>", "< ", "<!-- ", "<li><span class=x>", "<a href='x>"])
+def test_a_megabyte_of_odd_tags_is_read_in_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 6  # under 2 s on an idle machine
+
+
+def test_pages_long_repeated_and_none(spark, sf_dir, trees):
+    long_ = "<body><nav><ul>" + "<li><a href=/>x</a></li>" * 2000 + "</ul></nav><article>" + "<p>Some words of the text.</p>" * 20000 + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", long_), (2, "u", PAGES[0][0]), (2, "u", PAGES[0][0])], "page_id long, url string, html string")
+    got = html_extract.extract(pages, trees).collect()
+    assert next(r.text for r in got if r.page_id == 1) == " ".join(["Some words of the text."] * 20000)
+    assert len(got) == 3 and len({r.text for r in got if r.page_id == 2}) == 1
+    assert html_extract.op1_html_extract(spark, sf_dir(pages=pages.limit(0))).count() == 0
+
+
 # ---------------------------------------------------------------- op3, op4
 
 LANGS = {"en": "the of and to in that is was for with".split(), "fr": "le la les des que dans est pour une sur".split()}
@@ -85,6 +112,60 @@ def test_long_text_in_windows_equals_whole(monkeypatch):
     assert np.allclose(model.probabilities([text]), whole, atol=1e-3)
 
 
+def test_letters_decide_about_unknown(spark):
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, lang, t in _texts(200)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "__ 12"), (3, "ª"), (4, "12 ä")], "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] in LANGS and got[4][0] in LANGS
+
+
+def test_rare_languages_are_learned_and_texts_come_whole(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 200)
+    rows = [(i, "the of and to in that is was", "en") for i in range(3000)] + [(5000 + i, "xx " * 3000 + "le la les des que dans est", "fr") for i in range(12)]
+    seen = []
+    real = langid.train
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append((texts, labels)) or real(texts, labels))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts, labels = seen[0]
+    assert labels.count("fr") == 12 and 50 < labels.count("en") < 160 and all(t.endswith("dans est") for t, x in zip(texts, labels, strict=True) if x == "fr")
+
+
+def test_queries_of_empty_tables_and_long_texts(spark, sf_dir, odd_documents):
+    docs = odd_documents.select("doc_id", "text", "lang")
+    folder = sf_dir(documents=docs.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert langid.op4_language_id(spark, folder).count() == 0 and quality_mil.op3_quality_mil(spark, folder).count() == 0
+    assert sharding.op8_rendezvous_shards(spark, folder).count() == 0 and license_scan.op9_license_scan(spark, folder).count() == 0 and sp_codec.op10_sentencepiece_codec(spark, folder).count() == 0
+
+
+def test_very_long_texts(spark, library):
+    long_ = "under the mit license " + "le chat est sur la table " * 120_000 + "cc by nc"
+    df = spark.createDataFrame([(1, long_), (1, long_)], "doc_id long, text string")
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, lang, t in _texts(200)], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in langid.identify(df, model).collect()} == {"fr"}
+    found = license_scan.scan(df.limit(1)).where("exact").collect()
+    assert {(r.label, r["first"]) for r in found} == {("mit", 1 - 1), ("cc-by-nc", 4 + 6 * 120_000)}
+    assert [r.n_tokens for r in sp_codec.digests(df).collect()] == [len(library.encode(long_))] * 2
+
+
+def _plain_score(model, text):
+    """The score of one text, passage by passage, without any running sums."""
+    p, words = model.p, text.split()
+    bags = [" ".join(words[i : i + quality_mil.PASSAGE_WORDS]) + " " for i in range(0, max(1, len(words)), quality_mil.PASSAGE_WORDS)]
+    h = np.stack([np.tanh(quality_mil.passages([b[:-1].encode()])[0][0] @ p["W"] + p["b"]) for b in bags])
+    a = np.array([(np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"])))) @ p["w"] for x in h])
+    alpha = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    return 1 / (1 + np.exp(-((alpha[:, None] * h).sum(axis=0) @ p["c"] + p["d"][0])))
+
+
+def test_quality_scores_against_brute_force(spark, monkeypatch):
+    rows = [(i, t if i % 2 else re.sub(" ", "### ", t), i % 2) for i, _, t in _texts(120)]
+    model = quality_mil.train([t.encode() for _, t, _ in rows], np.array([float(y) for _, _, y in rows]))
+    texts = [" ".join(t for _, t, _ in rows[i : i + 9]) for i in range(0, 60, 5)] + [rows[0][1]]
+    got = model.scores([t.encode() for t in texts])
+    # The plain way sees passages without the blank or the words behind them, which shifts a few 3-grams.
+    assert np.allclose(got, [_plain_score(model, t) for t in texts], atol=0.05)
+    assert np.allclose(model.scores([t.encode() for t in texts for _ in range(2)])[::2], got, atol=1e-5)
+
+
 def test_nothing_to_learn(spark, odd_documents):
     empty = odd_documents.limit(0)
     assert langid.identify(odd_documents, langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
@@ -128,9 +209,38 @@ def test_growth_moves_rows_only_into_the_new_shard(spark):
     assert slots.groupBy("shard").agg((F.max("slot") + 1 == F.count_distinct("slot")).alias("ok")).where("NOT ok").count() == 0
 
 
+def test_shards_against_brute_force(spark):
+    rows = [(i, "ab" * (i % 7)) for i in range(300)] + [(None, None)]
+    weights = [1.0, 2.5, 1.0, 0.5]
+    got = {r.doc_id: r for r in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 4, weights).collect()}
+
+    def score(key, shard, w):
+        return -w / np.log((int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+
+    for i, t in rows:
+        key = "null" if i is None else str(i)
+        s = [score(key, k, w) for k, w in enumerate([*weights, 1.0])]
+        assert got[i].shard == int(np.argmax(s[:4])) and got[i].grown_shard == int(np.argmax(s)) and (got[i].size, got[i].text_crc32) == (len(t or "") + 16, zlib.crc32((t or "").encode()))
+
+
+def test_slots_of_a_key_with_very_many_rows(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    slots = sharding.number_slots(sharding.assign(df, "doc_id", 4), "shard", "doc_id", ["doc_id", "size"], 4, slot_rows=100)
+    per = slots.groupBy("shard").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("n"), F.count("*").alias("m")).collect()
+    assert all((r.lo, r.hi, r.n) == (0, r.m - 1, r.m) for r in per) and sum(r.m for r in per) == 6000
+
+
 # ---------------------------------------------------------------- op9
 
 
+def test_other_grams(spark):
+    df = spark.createDataFrame([(1, "x under the mit license y"), (2, "cc by nc")], "doc_id long, text string")
+    for k in (2, 3):
+        assert {(r.doc_id, r.label, r["first"]) for r in license_scan.scan(df, k=k).where("exact").collect()} == {(1, "mit", 1), (2, "cc-by-nc", 0)}
+    with pytest.raises(ValueError):
+        license_scan.scan(df, k=4)
+
+
 def _base(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)

@@ -401,8 +401,6 @@ def _placed(rows: Iterator[tuple], bins: int, size: int | None, most: int, shape
 def _pieces_of_texts(docs: DataFrame, runs_: DataFrame, size: int | None, shape: Shape) -> DataFrame:
     bins, most = max(1, rows_of(runs_) // GROUP_RUNS), GROUP_RUNS
     listed = runs_.groupBy("doc_id", "_rk").agg(F.collect_list(F.struct("h", "kinds", "at", "order")).alias("runs"))
-    if rows_of(runs_) <= BROADCAST_ROWS // 2:
-        listed = F.broadcast(listed)
     both = docs.alias("d").join(listed.alias("l"), _same("d", "l")).select("d.doc_id", "d._rk", "text", "runs").dropDuplicates(["doc_id", "_rk"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
