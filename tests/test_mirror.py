@@ -479,4 +479,4 @@ def test_queries_grow_with_the_vectors(spark, tmp_path, name):
     rows = [(i, [float(i % 97 + 1), float(i % 89), 1.0]) for i in range(320)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    assert len(got) == 70 and {r.query_id for r in got} == set(range(0, 320, 50))
+    assert len(got) == 175 and {r.query_id for r in got} == set(range(0, 320, 50))
