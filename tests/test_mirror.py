@@ -251,8 +251,7 @@ def files(log, folder, borders):
         log.where((F.col("lsn") > lo) & (F.col("lsn") <= hi)).coalesce(1).write.mode("append").parquet(folder)
 
 
-@pytest.mark.parametrize("eager", [False, True])
-@pytest.mark.parametrize("seed", [7, 17])
+@pytest.mark.parametrize(("eager", "seed"), [(False, 7), (True, 17)])
 def test_stream_in_any_cut_equals_one_batch(spark, tmp_path, eager, seed):
     rng = random.Random(seed)
     log = changes(spark, 80, seed=seed).persist()
