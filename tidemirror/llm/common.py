@@ -63,7 +63,8 @@ def stored(df: DataFrame) -> Stored:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path, seen = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Stored(counted(spark.read.schema(df.schema).parquet(path), seen.get.get("n", 0)), path)
+    out, rows = spark.read.schema(df.schema).parquet(path), seen.get.get("n")
+    return Stored(counted(out, out.count() if rows is None else rows), path)
 
 
 def counted(df: DataFrame, rows: int) -> DataFrame:
