@@ -156,7 +156,7 @@ class Mirror:
         told = Observation()
         made = A.checked(self.transform(routes.where(F.col("problem").isNull()).drop("problem"))).observe(told, F.count_if(F.col("error").isNotNull()).alias("failed"))
         made.write.mode("overwrite").parquet(folder)
-        acts, failed = self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder), bool(told.get["failed"])
+        acts, failed = self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder), bool(told.get.get("failed", 1))
         if A.has_mixed(A.fine(acts)):
             acts, failed = A.refuse_mixed(acts), True
         self.store.apply(A.fine(acts), batch_id)
@@ -164,7 +164,7 @@ class Mirror:
         if failed:
             routed = routes.where(F.col("problem").isNull()).select("config", "lsn", "seq", "id_type", "op")
             letters.append(D.entries(A.failed(acts).join(routed, ["config", "lsn", "seq"]), self.clock()))
-        if seen.get["bad"]:
+        if seen.get.get("bad", 1):
             wrong = routes.where(F.col("problem").isNotNull()).withColumn("error", F.col("problem"))
             letters.append(D.entries(wrong, self.clock()).withColumns({"kind": F.lit(D.PERMANENT), "permanent_ms": F.lit(self.clock()).cast("long")}))
         for new in letters:
