@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, langid, license_scan, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup
+from . import decontaminate, html_extract, jaccard_join, langid, license_scan, periodic_runs, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup, vector_codes
 
 QUERIES = {
     "op2_pivot_topk": pivot_search.op2_pivot_topk,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_html_extract": html_extract.ORACLE_OP1,
@@ -24,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_rtree": jaccard_join.ORACLE_OP7,
     "op8_rendezvous_shards": sharding.ORACLE_OP8,
     "op9_license_scan": license_scan.ORACLE_OP9,
+    "op11_vector_codes": vector_codes.ORACLE_OP11,
 }
