@@ -355,6 +355,15 @@ def first_pairs(shared: DataFrame, work: Scratch) -> DataFrame:
     return votes.groupBy("node").agg(F.max(F.struct("v", "hub"))["hub"].alias("b")).select(F.col("node").alias("a"), "b")
 
 
+def named_rows(rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, _rk, n_shingles, label, component_id of every row (doc_id, _rk, n, node), given the nodes' components."""
+    named = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    by_node = named.join(ids, "label").select("node", "label", "component_id")
+    out = join_hot(rows, by_node, "node", "left")
+    return out.select("doc_id", "_rk", F.col("n").alias("n_shingles"), "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def labelled(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Stored:
     """doc_id, _rk, n_shingles, label (a node of the component) and component_id of every row of df (doc_id, text)."""
     text_batches(df.sparkSession)
@@ -395,11 +404,7 @@ def labelled(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Stored:
             pairs = work.keep(pairs)
             if rows_of(pairs):  # best ones may all be tried, others not
                 test(pairs)
-        named = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
-        ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        by_node = named.join(ids, "label").select("node", "label", "component_id")
-        out = join_hot(rows, by_node, "node", "left")
-        return stored(out.select("doc_id", "_rk", F.col("n").alias("n_shingles"), "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+        return stored(named_rows(rows, reps, labels))
 
 
 def join_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

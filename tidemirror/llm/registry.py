@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, langid, license_scan, periodic_runs, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup, vector_codes
+from . import decontaminate, html_extract, jaccard_join, langid, license_scan, minhash_join, periodic_runs, pivot_search, quality_mil, sharding, sp_codec, suffix_dedup, vector_codes
 
 QUERIES = {
     "op2_pivot_topk": pivot_search.op2_pivot_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_sentencepiece_codec": sp_codec.op10_sentencepiece_codec,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_minhash_join": minhash_join.op12_minhash_join,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op8_rendezvous_shards": sharding.ORACLE_OP8,
     "op9_license_scan": license_scan.ORACLE_OP9,
     "op11_vector_codes": vector_codes.ORACLE_OP11,
+    "op12_minhash_join": minhash_join.ORACLE_OP12,
 }
