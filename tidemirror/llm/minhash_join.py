@@ -66,7 +66,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def matrix(rows) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), COORDINATES)
+    """Signatures of 32 bits a coordinate, which match where the whole ones do."""
+    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), COORDINATES)
+
+
+def bits(first: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(first, np.int64)[:, None].view(np.uint8), axis=1, bitorder="little").astype(bool)
 
 
 def postings(sig: np.ndarray) -> np.ndarray:
@@ -106,25 +111,28 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def posted(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(key, node): every node under its rarest coordinate-value pairs."""
+    """node, n, short (the signature by 32 bits a coordinate), first (a bit for each of its rarest postings), keys (those)."""
     shared = reps.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                keys, own = prefixes(matrix(batch["sig"]), shared.value)
-                yield pd.DataFrame({"key": keys[own].view(np.int64), "node": np.repeat(batch["node"].to_numpy(np.int64), PREFIX)})
+                sig = np.frombuffer(b"".join(batch["sig"]), np.uint64).reshape(len(batch), COORDINATES)
+                keys, own = prefixes(sig, shared.value)
+                short = [s.tobytes() for s in (sig >> np.uint64(20)).astype(np.uint32)]
+                first = np.packbits(own, axis=1, bitorder="little").view(np.int64)[:, 0]
+                yield batch[["node", "n"]].assign(short=short, first=first, keys=list(keys[own].view(np.int64).reshape(len(batch), PREFIX)))
 
-    return reps.select("node", "sig").mapInPandas(run, "key long, node long")
+    return reps.select("node", "n", "sig").mapInPandas(run, "node long, n long, short binary, first long, keys array<bigint>")
 
 
-def matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) with enough matches."""
 
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series((matrix(x) == matrix(y)).sum(axis=1) >= MATCHES if len(x) else np.zeros(0, bool))
 
-    of = lambda c: reps.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}"))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("short").alias(f"s{c}"))
     both = join_hot(pairs.join(of("a"), "a"), of("b"), "b", like=pairs)
     return both.where(F.pandas_udf(enough, "boolean")("sa", "sb")).select("a", "b")
 
@@ -133,12 +141,12 @@ def met(key: int, sig: np.ndarray, own: np.ndarray, label: np.ndarray, homes: in
     """(guest, home, matches) of the pairs of a list that have enough matches, different labels, and their first common posting
     here. The first ``homes`` rows are at home, the others are guests."""
     place = key & (COORDINATES - 1)
-    short = sig[:, :HALF].astype(np.uint32)
+    half = np.ascontiguousarray(sig[:, :HALF])
     found = []
     for g in range(homes, len(sig)):
         at = np.flatnonzero(label[:homes] != label[g])
         # What is left can bring COORDINATES - HALF more.
-        at = at[(short[at] == short[g]).sum(axis=1) >= MATCHES - (COORDINATES - HALF)]
+        at = at[(half[at] == half[g]).sum(axis=1) >= MATCHES - (COORDINATES - HALF)]
         same = sig[at] == sig[g]
         n = same.sum(axis=1)
         both = same & own[at] & own[g]
@@ -159,43 +167,39 @@ def dealt(mixed: DataFrame, weight: str, home: int, guests: int) -> DataFrame:
     return parts.select(*mixed.columns, F.explode(F.when(F.col("label") != F.col("main"), F.concat(stays, visits)).otherwise(stays)).alias("at")).select(*mixed.columns, "at.*")
 
 
-def each_list(pdf: pd.DataFrame, counts: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+def each_list(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
     """The lists of a group: their rows (those at home first), and their pairs."""
     for (key, _, _), own in pdf.groupby(["key", "piece", "lot"], sort=False):
         homes = int((~own["visits"]).sum())
         if homes and homes < len(own):
             own = own.sort_values("visits", kind="stable")
-            sig = matrix(own["sig"])
-            _, first = prefixes(sig, counts)
-            x, y, n = met(int(key), sig, first, own["label"].to_numpy(), homes)
+            x, y, n = met(int(key), matrix(own["short"]), bits(own["first"].to_numpy()), own["label"].to_numpy(), homes)
             if len(x):
                 yield own, x, y, n
 
 
-def live(mixed: DataFrame, reps: DataFrame, sketch: np.ndarray) -> DataFrame:
+def live(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node) of the nodes that have a pair in a list."""
-    shared = mixed.sparkSession.sparkContext.broadcast(sketch)
     placed = dealt(mixed.withColumn("one", F.lit(1)), "one", LIST_NODES, GUESTS).drop("one")
     bins = max(1, rows_of(mixed) // BIN_ROWS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [own[["key", "node"]].iloc[np.unique(np.concatenate([x, y]))] for own, x, y, _ in each_list(pdf, shared.value)]
+        out = [own[["key", "node"]].iloc[np.unique(np.concatenate([x, y]))] for own, x, y, _ in each_list(pdf)]
         return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"key": [], "node": []}, dtype="int64")
 
-    rows = placed.withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins))).join(reps.select("node", "sig"), "node")
+    rows = placed.withColumn("bin", F.pmod(F.xxhash64("key", "piece", "lot"), F.lit(bins))).join(nodes.select("node", "short", "first"), "node")
     return rows.groupBy("bin").applyInPandas(run, "key long, node long").distinct()
 
 
-def confirmed(mixed: DataFrame, reps: DataFrame, sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def confirmed(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) that are needed to join what is near in the mixed lists."""
-    shared = mixed.sparkSession.sparkContext.broadcast(sketch)
-    weighed = mixed.join(reps.select("node", "n", "sig"), "node")
+    weighed = mixed.join(nodes.select("node", "n", "short", "first"), "node")
     placed = dealt(weighed, "n", LIST_SHINGLES, LIST_SHINGLES)
     bins = max(1, (weighed.agg(F.sum("n")).first()[0] or 0) // LIST_SHINGLES)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
-        for own, x, y, n in each_list(pdf, shared.value):
+        for own, x, y, n in each_list(pdf):
             node, label, s = own["node"].to_numpy(), own["label"].to_numpy(), own["s"].to_numpy()
             root = {int(v): int(v) for v in label}
 
@@ -225,13 +229,14 @@ def labelled(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Stored:
     with Scratch() as work:
         profile = work.keep(profiles(docs, k))
         rows = profile.where("part IS NULL").select("doc_id", "_rk", "n", "node")
-        one = F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n", "sig")
-        reps = work.keep(profile.where("n > 0").groupBy("node").agg(F.min(one).alias("r")).select("node", "r.*").drop("_"))
-        sketch = sketch_of(profile)
-        keys = work.keep(posted(reps, sketch))
+        # Equal sets have equal signatures.
+        one, sig = F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "_rk", "n"), F.min("sig").alias("sig")
+        reps = work.keep(profile.where("n > 0").groupBy("node").agg(F.min(one).alias("r"), sig).select("node", "r.*", "sig").drop("_"))
+        nodes = work.keep(posted(reps, sketch_of(profile)))
+        keys = work.keep(nodes.select(F.explode("keys").alias("key"), "node"))
         shared = shared_keys(keys, work)
         work.drop(keys)
-        pairs = work.keep(matching(first_pairs(shared, work), reps))
+        pairs = work.keep(matching(first_pairs(shared, work), nodes))
         sets = work.keep(fetch(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k))
         links = work.keep(verified(pairs, sets, percent))
         work.drop(sets, pairs)
@@ -244,12 +249,12 @@ def labelled(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Stored:
         labels = joined(links)
         mixed = work.keep(mixed_blocks(shared, labels).select("key", "node", "label", "main"))
         work.drop(shared)
-        left = work.keep(live(mixed, reps, sketch))
+        left = work.keep(live(mixed, nodes))
         work.drop(mixed)
         if rows_of(left):
             again = work.keep(mixed_blocks(left, labels).select("key", "node", "label", "main"))
             sets = work.keep(fetch(docs, reps, left.select("node").distinct(), k))
-            labels = joined(links.unionByName(work.keep(confirmed(again, reps, sets, sketch, percent))))
+            labels = joined(links.unionByName(work.keep(confirmed(again, nodes, sets, percent))))
             work.drop(sets, again)
         return stored(named_rows(rows, reps, labels))
 
