@@ -309,7 +309,7 @@ def test_crashes_at_every_step(spark, tmp_path, step):
         return A.passthrough(routed).withColumn("error", F.when(F.col("id") == "7", "not seven"))
 
     m = Mirror(spark, str(tmp_path / "m"), configs(spark), picky, buckets=4, clock=lambda: 1)
-    place, name = {"store": (m.store, "apply"), "dlq": (m.dlq, "write"), "checkpoints": (m.checkpoints, "write"), "end": (m, "apply")}[step]
+    place, name = {"store": (m.store, "apply"), "dlq": (m.dlq, "append"), "checkpoints": (m.checkpoints, "write"), "end": (m, "apply")}[step]
     real, calls = getattr(place, name), []
 
     def crashing(*args):

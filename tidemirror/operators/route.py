@@ -50,9 +50,14 @@ def route(changes: DataFrame, configs: DataFrame) -> DataFrame:
     return out.withColumn("id", F.when(F.col("problem").isNull(), F.col("_id"))).drop("id_column", "_raw", "_id")
 
 
+def skip_problem(routes: DataFrame) -> DataFrame:
+    """Routed changes that have a usable id."""
+    return routes.where(F.col("problem").isNull()).drop("problem")
+
+
 def routed(changes: DataFrame, configs: DataFrame) -> DataFrame:
     """The changes that have a usable id; the others are left to rejected()."""
-    return route(changes, configs).where(F.col("problem").isNull()).drop("problem")
+    return skip_problem(route(changes, configs))
 
 
 def rejected(changes: DataFrame, configs: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def start_lsn(checkpoints: DataFrame, progress: DataFrame | None = None) -> Data
 
 def advance(checkpoints: DataFrame, configs: DataFrame, routed: DataFrame, batch: DataFrame, now_ms: int, succeeded: DataFrame | None = None) -> DataFrame:
     """Checkpoints after a batch: every config moves to the batch's last ack position (also one without an event), unless it
-    is already there; events_processed grows by what was sent for it.
+    is already there; events_processed grows by what was sent for it. A config that was sent events and has no position yet (of
+    a transaction that is applied before its commit) is kept at -1, where nothing is acknowledged.
 
     batch: the transactions (ack_lsn); routed: the batch's events by config; succeeded: the configs whose sends succeeded.
     """
@@ -35,6 +36,6 @@ def advance(checkpoints: DataFrame, configs: DataFrame, routed: DataFrame, batch
     rows = configs.select(F.col("name").alias("config")).crossJoin(F.broadcast(top)).join(old, "config", "left").join(counts, "config", "left")
     moved = F.col("_top").isNotNull() & (F.col("_old").isNull() | (F.col("_top") > F.col("_old")))
     return rows.select(
-        "config", F.when(moved, F.col("_top")).otherwise(F.col("_old")).alias("lsn"), (F.coalesce("events_processed", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("events_processed"),
-        F.when(moved, F.lit(now_ms)).otherwise(F.col("updated_ms")).cast("long").alias("updated_ms"),
+        "config", F.coalesce(F.when(moved, F.col("_top")).otherwise(F.col("_old")), F.when(F.col("_n") > 0, F.lit(-1))).cast("long").alias("lsn"), (F.coalesce("events_processed", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("events_processed"),
+        F.when(moved | F.col("_old").isNull(), F.lit(now_ms)).otherwise(F.col("updated_ms")).cast("long").alias("updated_ms"),
     ).where(F.col("lsn").isNotNull())
