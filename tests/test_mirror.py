@@ -155,7 +155,12 @@ def test_queries_over_a_namespace(spark):
     assert [(r.id, r.dist) for r in MR.vector_top_k(v, q, 2, "cosine_distance").orderBy("rank").collect()] == [(1, 0.0), (3, 0.0)]
     assert [(r.id, r.dist) for r in MR.vector_top_k(v, q, 3, "euclidean_squared").orderBy("rank").collect()] == [(1, 0.0), (3, 1.0), (2, 2.0)]
     with pytest.raises(ValueError):
-        MR.distance("dot", F.col("vector"), F.col("vector"))
+        MR.vector_top_k(v, q, 1, "dot")
+    odd = v.unionByName(spark.createDataFrame([(4, None), (5, [None, 1.0]), (6, [1.0]), (0, [2.0, 0.0]), (7, [0.0, 0.0])], "id long, vector array<float>"))
+    assert [r.id for r in MR.vector_top_k(odd, q, 9, "cosine_distance").orderBy("rank").collect()] == [0, 1, 3, 2, 7]
+    names = v.select(F.concat(F.lit("v"), "id").alias("id"), "vector")
+    assert [r.id for r in MR.vector_top_k(names, q, 2, "cosine_distance").orderBy("rank").collect()] == ["v1", "v3"]
+    assert MR.vector_top_k(v, q.limit(0), 2, "cosine_distance").count() == 0
 
 
 def test_backfill(spark):
@@ -237,6 +242,12 @@ def test_latency_and_observation(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], "g string, v double")
     r = M.latency_summary(df, "v", ["g"]).first()
     assert (r.n, r.mean, r.p50, r.p95, r.p99, r.p99_9) == (100, 50.5, 51.0, 95.0, 99.0, 100.0)
+    rng = np.random.default_rng(3)
+    mixed = {"x": np.exp(rng.normal(0, 5, 4000)), "y": np.repeat([1.0, -1e300, 1e300, 0.0], 50), "z": np.array([7.5]), None: np.array([1.0, 2.0])}
+    many = spark.createDataFrame([(g, float(v)) for g, vs in mixed.items() for v in vs] + [("x", None)], "g string, v double")
+    for m in M.latency_summary(many, "v", ["g"]).collect():
+        vs = np.sort(mixed[m.g])
+        assert m.n == len(vs) and [m.p50, m.p95, m.p99, m.p99_9] == [vs[int(p * (len(vs) - 1) + 0.5)] for p in (0.5, 0.95, 0.99, 0.999)]
     near = M.latency_summary(df, "v", ["g"], exact=False).first()
     assert abs(near.p95 - r.p95) <= 1
     seen_df, seen = M.observed(changes(spark, 40), "t")
@@ -456,12 +467,13 @@ def test_state_table(spark, tmp_path):
 
 @pytest.mark.parametrize("metric", ["cosine_distance", "euclidean_squared"])
 def test_vector_top_k_of_many_queries(spark, metric, monkeypatch):
-    monkeypatch.setattr(MR, "VECTOR_BLOCK", 60)
+    monkeypatch.setattr(MR, "VECTOR_ROWS", 60)
+    monkeypatch.setattr(MR, "QUERY_ROWS", 33)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 6))
     v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vector array<double>")
     q = v.where("id % 2 = 0").selectExpr("id AS query_id", "vector AS query")
-    got = MR.vector_top_k(v, q, 3, metric, broadcast_bound=30).collect()
+    got = MR.vector_top_k(v, q, 3, metric, query_bytes=6 * 8 * 70).collect()
     if metric == "cosine_distance":
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         far = 1 - unit @ unit.T

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MIRROR_SCHEMA = "namespace string, id string, document string, vector array<float>, distance_metric string, lsn long, seq long, deleted boolean"
 MIRROR_COLUMNS = [c.split()[0] for c in MIRROR_SCHEMA.split(", ")]
@@ -172,25 +178,100 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
-#: Vectors that meet a block of queries in one piece.
-VECTOR_BLOCK = 10_000
-
-
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_bound: int = 1_000) -> DataFrame:
-    """Exact top k of each query (query_id, query) among vectors (id, vector). Up to ``broadcast_bound`` queries are broadcast;
-    more are dealt by hash into blocks of about so many, which are joined to blocks of vectors. Every row meets each query
-    once and only k rows of a query leave a task."""
-    vectors, queries = vectors.select("id", "vector"), queries.select("query_id", "query")
-    n = queries.count()
-    if n <= broadcast_bound:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        query_blocks, vector_blocks = -(-n // broadcast_bound), -(-max(1, vectors.count()) // VECTOR_BLOCK)
-        dealt = lambda by, blocks: F.pmod(F.xxhash64(*by), F.lit(blocks))
-        every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        q = queries.withColumn("_q", dealt(["query_id", "query"], query_blocks)).withColumn("_v", every(vector_blocks))
-        v = vectors.withColumn("_v", dealt(["id", "vector"], vector_blocks)).withColumn("_q", every(query_blocks))
-        pairs = v.join(q, ["_q", "_v"])
-    scored = pairs.withColumn("dist", distance(metric, F.col("vector"), F.col("query")))
+#: Bytes of query vectors that are broadcast at once, and vectors and queries whose distances a task holds at once.
+QUERY_BYTES, VECTOR_ROWS, QUERY_ROWS = 64 << 20, 2_048, 1_024
+
+
+class Nearest:
+    """The k nearest vectors of every query that a task has seen, by (distance, id)."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = queries, k, metric
+        self.square = (queries * queries).sum(axis=1)
+        self.query, self.dist = np.zeros(0, np.int64), np.zeros(0)
+        self.ids: np.ndarray | None = None
+        self.worst = np.full(len(queries), np.inf)  # the k-th distance, once there is one
+
+    def exact(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Distances row by row: equal vectors have equal ones, wherever they stand."""
+        if self.metric == "euclidean_squared":
+            return ((x - q) ** 2).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1.0 - (x * q).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (q * q).sum(axis=1))
+
+    def about(self, x: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Distances by a matrix product, and how far they may be off."""
+        dot, square = x @ self.q[at].T, (x * x).sum(axis=1)[:, None]
+        if self.metric == "euclidean_squared":
+            far = square + self.square[at] - 2 * dot
+            return far, 1e-9 * (square + self.square[at])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = 1.0 - dot / np.sqrt(square * self.square[at])
+        return far, np.full(far.shape, 1e-9)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for begin in range(0, len(self.q), QUERY_ROWS):
+            at = slice(begin, begin + QUERY_ROWS)
+            far, off = self.about(x, at)
+            far = np.where(np.isnan(far), np.inf, far)
+            least = np.partition(far + off, self.k - 1, axis=0)[self.k - 1] if len(x) > self.k else np.inf
+            row, query = np.nonzero(far - off <= np.minimum(self.worst[at], least))
+            query += begin
+            self.keep(query, self.exact(x[row], self.q[query]), ids[row])
+
+    def keep(self, query: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        query, dist = np.concatenate([self.query, query]), np.concatenate([self.dist, dist])
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, dist, query))  # no distance (nan) comes last
+        query, dist, ids = query[order], dist[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < self.k
+        self.query, self.dist, self.ids = query[top], dist[top], ids[top]
+        full = self.query[place[top] == self.k - 1]
+        far = self.dist[place[top] == self.k - 1]
+        self.worst[full] = np.where(np.isnan(far), np.inf, far)
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, query_bytes: int | None = None) -> DataFrame:
+    """Exact top k of each query (query_id, query) among vectors (id, vector); vectors or queries that are null, hold nulls or
+    are of another length than the first query take no part, and those without a distance come last.
+
+    Queries are counted and broadcast as a matrix of at most QUERY_BYTES; more are dealt by hash into passes of about so many,
+    each of which scans the vectors once. A task multiplies blocks of vectors with the matrix and keeps k rows of each query;
+    only those are shuffled."""
+    if metric not in ("cosine_distance", "euclidean_squared"):
+        raise ValueError(f"unknown metric {metric}")
+    whole = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
+    asked, held = queries.select("query_id", "query").where(whole("query")), vectors.select("id", "vector").where(whole("vector"))
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, dist double"
+    size = asked.agg(F.count("*").alias("n"), F.first(F.size("query")).alias("dim")).first()
+    dim = size["dim"] or 0
+    passes = max(1, -(-size["n"] * max(1, dim) * 8 // (QUERY_BYTES if query_bytes is None else query_bytes)))
+    found = [_one_pass(held, asked.where((F.size("query") == dim) & (F.pmod(F.xxhash64("query_id", "query"), F.lit(passes)) == n)), k, metric, dim, out) for n in range(passes)]
     order = Window.partitionBy("query_id").orderBy("dist", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+
+
+def _one_pass(vectors: DataFrame, queries: DataFrame, k: int, metric: str, dim: int, out: str) -> DataFrame:
+    spark = vectors.sparkSession
+    rows = queries.collect()  # at most about QUERY_BYTES, see above
+    names = [r["query_id"] for r in rows]
+    shared = spark.sparkContext.broadcast(np.array([r["query"] for r in rows], np.float64).reshape(len(rows), dim))
+    asked = spark.sparkContext.broadcast(names)
+    kinds = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(shared.value):
+            return
+        best = Nearest(shared.value, k, metric)
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_ROWS):
+                part = batch.slice(at, VECTOR_ROWS)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if ids.dtype == object else ids
+                best.add(ids, part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim))
+        if best.ids is not None:
+            columns = [[asked.value[i] for i in best.query], best.ids.tolist(), best.dist]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    return vectors.where(F.size("vector") == dim).select("id", "vector").mapInArrow(run, out)

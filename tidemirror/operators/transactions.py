@@ -24,23 +24,25 @@ def transactions(rows: DataFrame, commits: DataFrame) -> DataFrame:
     return commits.select("xid", "ack_lsn", "commit_us").join(counts, "xid", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long"))
 
 
-def assemble_stream(messages: DataFrame, bucket: int = INTERVAL_BUCKET) -> DataFrame:
-    """Row messages of a raw log (no xid of their own) with the transaction they stand in: between a begin and the commit
-    that follows it. Only the marker rows are put in order, a window over segments of the log joined at their edges; rows
-    meet their interval by position bucket."""
-    marks = messages.where(F.col("tag").isin("begin", "commit")).select("seq", "tag", "xid", "end_lsn", "commit_us")
-    segment = F.floor(F.col("seq") / F.lit(bucket * 100))
-    within = Window.partitionBy("_s").orderBy("seq")
-    cut_up = marks.withColumn("_s", segment).withColumn("_next", F.lead(F.struct("seq", "tag", "end_lsn", "commit_us")).over(within))
-    # The last begin of a segment finds its commit among the first marks of the later segments.
-    firsts = cut_up.groupBy("_s").agg(F.min(F.struct("seq", "tag", "end_lsn", "commit_us")).alias("_f"))
-    across = Window.partitionBy(F.lit(1)).orderBy("_s")  # one row for each segment
-    heads = firsts.select("_s", F.lead("_f").over(across).alias("_after"))
-    paired = cut_up.join(heads, "_s", "left").withColumn("_end", F.coalesce("_next", "_after"))
-    spans = paired.where((F.col("tag") == "begin") & (F.col("_end.tag") == "commit")).select("xid", F.col("seq").alias("begin_seq"), F.col("_end.seq").alias("commit_seq"), F.col("_end.end_lsn").alias("ack_lsn"), F.col("_end.commit_us").alias("commit_us"))
-    spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("begin_seq") / bucket), F.floor(F.col("commit_seq") / bucket))))
-    rows = messages.where(F.col("tag").isin("insert", "update", "delete")).drop("xid", "lsn", "end_lsn", "commit_us").withColumn("_b", F.floor(F.col("seq") / bucket))
-    return rows.join(spans, (rows["_b"] == spans["_b"]) & (F.col("seq") > F.col("begin_seq")) & (F.col("seq") < F.col("commit_seq"))).drop("_b", "begin_seq", "commit_seq")
+def assemble_stream(messages: DataFrame, segment: int = INTERVAL_BUCKET) -> DataFrame:
+    """Row messages of a raw log (no xid of their own) with the transaction they stand in: the mark before a row is a begin, the
+    one behind it a commit.
+
+    The log is cut into segments of positions and each is put in order once; marks are filled forward and backward inside it.
+    What a segment hands to the next ones (its first and last mark) is one row for each segment."""
+    mark = F.when(F.col("tag").isin("begin", "commit"), F.struct("tag", "xid", "end_lsn", "commit_us"))
+    cut_up = messages.withColumn("_s", F.floor(F.col("seq") / segment)).withColumn("_m", mark)
+    before = lambda *order: Window.partitionBy("_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    filled = cut_up.withColumn("_prev", F.last("_m", True).over(before("seq"))).withColumn("_next", F.last("_m", True).over(before(F.desc("seq"))))
+    rows = filled.where(F.col("tag").isin("insert", "update", "delete"))
+    place = F.when(F.col("_m").isNotNull(), F.col("seq"))
+    ends = cut_up.groupBy("_s").agg(F.min_by("_m", place).alias("_head"), F.max_by("_m", place).alias("_tail"))
+    along = lambda *order: Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  # one row for each segment
+    carried = ends.select("_s", F.last("_tail", True).over(along("_s")).alias("_in"), F.last("_head", True).over(along(F.desc("_s"))).alias("_out"))
+    placed = rows.join(carried, "_s").withColumn("_prev", F.coalesce("_prev", "_in")).withColumn("_next", F.coalesce("_next", "_out"))
+    inside = placed.where((F.col("_prev.tag") == "begin") & (F.col("_next.tag") == "commit"))
+    fields = {"xid": F.col("_prev.xid"), "ack_lsn": F.col("_next.end_lsn"), "commit_us": F.col("_next.commit_us")}
+    return inside.withColumns(fields).drop("_s", "_m", "_prev", "_next", "_in", "_out", "lsn", "end_lsn")
 
 
 def split_oversized(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ from tidemirror.operators import mirror as MR
 from tidemirror.operators import route as R
 from tidemirror.operators import state as ST
 from tidemirror.operators import transactions as X
+from tidemirror.operators.letters import DeadLetters
 from tidemirror.sources import snapshot as SN
 from tidemirror.sources import wal as W
 from tidemirror.sources.changelog import as_changes, with_commits
+from tidemirror.sources.ordered_log import append_log
 from tidemirror.streaming.mirror_stream import OUT, Mirror, StateTable, buffer_transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,10 +178,25 @@ def wal_decode(spark, sf_dir):
     return m.select("seq", "tag", "relation_id", F.try_element_at("cols", F.lit(1))["text"].alias("new_id"), F.try_element_at("old_cols", F.lit(1))["text"].alias("old_id"), "error")
 
 
-@query("""SELECT event_id * 10 + 1 AS seq, 'begin' AS type, '{"type":"begin","xid":' || event_id || ',"lsn":"0/' || upper(to_hex(event_id)) || '"}' AS line FROM events
-  UNION ALL SELECT event_id * 10 + 2, 'insert', '{"type":"insert","table":"public.events","new":[{"name":"user_id","value":"' || user_id || '"},{"name":"event_type","value":"signup"}]}' FROM events WHERE event_type = 'signup'""")
+@query("""WITH m AS (SELECT event_id AS i, event_type AS t, CAST(user_id AS VARCHAR) AS u FROM events),
+pair AS (SELECT *, '[{"name":"user_id","value":"' || u || '"},{"name":"event_type","value":"' AS head FROM m)
+SELECT i * 10 AS seq, 'relation' AS type, '{"type":"relation","table":"public.events","columns":["user_id","event_type"]}' AS line FROM m WHERE i % 1000 = 0
+UNION ALL SELECT i * 10 + 1, 'begin', '{"type":"begin","xid":' || i || ',"lsn":"0/' || upper(to_hex(i)) || '"}' FROM m
+UNION ALL SELECT i * 10 + 2, 'insert', '{"type":"insert","table":"public.events","new":' || head || t || '"}]}' FROM pair WHERE t = 'signup'
+UNION ALL SELECT i * 10 + 2, 'update', '{"type":"update","table":"public.events","new":' || head || t || '"}]}' FROM pair WHERE t NOT IN ('signup', 'error')
+UNION ALL SELECT i * 10 + 2, 'delete', '{"type":"delete","table":"public.events","old":' || head || 'NULL"}]}' FROM pair WHERE t = 'error'
+UNION ALL SELECT i * 10 + 3, 'commit', '{"type":"commit","lsn":"0/' || upper(to_hex(i + 1)) || '"}' FROM m WHERE i % 7 <> 0
+UNION ALL SELECT i * 10 + 4, 'error', '{"type":"error","error":"need 4 bytes, 1 remaining"}' FROM m WHERE i % 7 = 0
+UNION ALL SELECT i * 10 + 5, 'truncate', '{"type":"truncate","tables":[1,2]}' FROM m WHERE i % 500 = 1
+UNION ALL SELECT i * 10 + 6, 'other', '{"type":"other","tag":77}' FROM m WHERE i % 500 = 2
+UNION ALL SELECT i * 10 + 7, 'insert', '{"type":"insert","table":"?","new":[{"name":"?","value":"(unchanged)"},{"name":"?","value":"(binary: 3 bytes)"}]}' FROM m WHERE i % 500 = 3""")
 def change_feed_view(spark, sf_dir):
-    return W.inspection_view(W.decode(_as_wal(spark, sf_dir))).where("type IN ('begin', 'insert')")
+    """Every kind of line: beside the events' messages some truncates, unknown messages and rows of an unknown table."""
+    i = F.col("event_id")
+    odd = F.when(i % 500 == 1, F.struct((i * 10 + 5).alias("seq"), F.unhex(F.lit("5400000002000000000100000002")).alias("data"))).when(i % 500 == 2, F.struct((i * 10 + 6).alias("seq"), F.lit(b"Mxy").alias("data")))
+    odd = odd.when(i % 500 == 3, F.struct((i * 10 + 7).alias("seq"), F.concat(F.lit(b"I"), F.unhex(F.lit("00000009")), F.lit(b"N"), F.unhex(F.lit("0002")), F.lit(b"u"), F.lit(b"b"), F.unhex(F.lit("00000003010203"))).alias("data")))
+    more = table(spark, sf_dir, "events").select(odd.alias("m")).where("m IS NOT NULL").select("m.seq", "m.data")
+    return W.inspection_view(W.decode(_as_wal(spark, sf_dir).unionByName(more)))
 
 
 @query("SELECT event_id * 10 + 2 AS seq, event_id AS xid, event_id + 1 AS ack_lsn FROM events WHERE event_id % 7 <> 0")
@@ -672,34 +691,38 @@ def pipeline_metrics(spark, sf_dir):
 
 
 def _mirrored(spark: SparkSession, log: DataFrame, **options) -> Mirror:
-    """A mirror of the users config, fed by a log that is written as files and read in micro-batches. The files' borders fall
+    """A mirror of the users config, fed by a log of ordered segments that is read in micro-batches. The segments' borders fall
     where they like, so transactions are cut by them."""
     folder = shared_folder(spark)
-    log.repartitionByRange(5, "lsn", "seq").sortWithinPartitions("lsn", "seq").write.parquet(f"{folder}/log")
+    append_log(log, f"{folder}/log", 5)
     mirror = Mirror(spark, f"{folder}/m", options.pop("configs", one(spark, "users")), buckets=8, **options)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
-    mirror.run(stream, f"{folder}/q")
+    mirror.run_log(f"{folder}/log", f"{folder}/q", 2, schema=log.schema)
     return mirror
 
 
 def _shown(mirror: Mirror) -> DataFrame:
-    return mirror.store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+    """The documents, and on each row how many events the checkpoints count."""
+    rows = mirror.store.read().select("namespace", "id", F.get_json_object("document", "$.event_type").alias("event_type"), F.get_json_object("document", "$.k").alias("k"), "lsn")
+    return rows.crossJoin(F.broadcast(mirror.checkpoints.read().agg(F.sum("events_processed").alias("events_processed"))))  # one row
 
 
-@query(ORACLES["mirror_latest"])
+STREAM_SQL = ORACLES["mirror_latest"].replace(", lsn FROM r", ", lsn, (SELECT count(*) FROM ev) AS events_processed FROM r")
+
+
+@query(STREAM_SQL)
 def stream_mirror(spark, sf_dir):
     """Events as files, read by a stream in micro-batches into the versioned mirror."""
     return _shown(_mirrored(spark, with_commits(event_changes(spark, sf_dir))))
 
 
-@query(ORACLES["mirror_latest"])
+@query(STREAM_SQL)
 def stream_mirror_cuts(spark, sf_dir):
     """Transactions of 70 events, so that all borders of micro-batches fall inside one; the log's last is closed by its commit."""
     log = event_changes(spark, sf_dir).withColumn("xid", F.floor(F.col("lsn") / 70)).withColumn("ack_lsn", F.col("xid") * 70 + 69)
     return _shown(_mirrored(spark, with_commits(log)))
 
 
-@query(ORACLES["mirror_latest"])
+@query(STREAM_SQL)
 def stream_mirror_eager(spark, sf_dir):
     """One transaction of all events, applied before its commit in parts."""
     log = event_changes(spark, sf_dir)
@@ -717,7 +740,7 @@ def stream_oversized(spark, sf_dir):
     return mirror.checkpoints.read().select("config", "lsn", "events_processed").crossJoin(mirror.dlq.read().agg(F.count("*").alias("dead_letters")))
 
 
-@query(ORACLES["mirror_latest"])
+@query(STREAM_SQL)
 def stream_layouts(spark, sf_dir):
     """Rows by place: a layout row before every 1000th event turns the columns round, and is remembered across micro-batches."""
     log = event_changes(spark, sf_dir)
@@ -732,6 +755,122 @@ def stream_layouts(spark, sf_dir):
     return _shown(_mirrored(spark, rows.unionByName(layouts).unionByName(commits)))
 
 
+@query(STREAM_SQL)
+def stream_late_segments(spark, sf_dir):
+    """The log's segments come in an order of their own: the last ones first, one in the middle at the very end. Nothing behind a
+    segment that is missing is read before it is there."""
+    folder = shared_folder(spark)
+    append_log(with_commits(event_changes(spark, sf_dir)), f"{folder}/all", 6)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(place(f"{folder}/all"))) if n.startswith("segment="))
+    fs.mkdirs(place(f"{folder}/log"))
+    mirror = Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
+    for wave in (names[4:] + names[:1], names[1:2], names[3:4], names[2:3]):
+        for n in wave:
+            fs.rename(place(f"{folder}/all/{n}"), place(f"{folder}/log/{n}"))
+        mirror.run_log(f"{folder}/log", f"{folder}/q", on_gap="wait")
+    return _shown(mirror)
+
+
+@query(STREAM_SQL)
+def stream_restart(spark, sf_dir):
+    """The driver is lost three times behind a step of a micro-batch: behind the mirror's new version, the checkpoints, and the whole
+    batch before Spark has noted it. Each time the query starts anew and runs that batch again."""
+    folder = shared_folder(spark)
+    append_log(with_commits(event_changes(spark, sf_dir)), f"{folder}/log", 4)
+    for place, name in ((lambda m: m.store, "apply"), (lambda m: m.checkpoints, "write"), (lambda m: m, "apply"), (None, None)):
+        mirror = Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
+        if place is not None:
+            step, real = place(mirror), getattr(place(mirror), name)
+
+            def lost(*args, real=real):
+                real(*args)
+                raise RuntimeError("the driver is lost")
+
+            setattr(step, name, lost)
+        try:
+            mirror.run_log(f"{folder}/log", f"{folder}/q", 1)
+        except StreamingQueryException:
+            continue
+    return _shown(mirror)
+
+
+@query(f"WITH {EV} SELECT count(*) AS events, count(DISTINCT xid) AS transactions, count(*) AS processed, 0::BIGINT AS failed, 0::BIGINT AS late, max(ack_lsn) AS done, (1800000000000000 - (max(commit_us) + 946684800000000)) // 1000 AS lag_ms, 3::BIGINT AS batches FROM ev")
+def stream_metrics(spark, sf_dir):
+    """What the mirror notes for each micro-batch, summed up; the lag is that of the last one."""
+    m = _mirrored(spark, with_commits(event_changes(spark, sf_dir)), clock=lambda: 1_800_000_000_000).metrics()
+    return m.agg(*[F.sum(c).alias(c) for c in ("events", "transactions", "processed", "failed", "late")], F.max("done").alias("done"), F.max_by("lag_ms", "batch_id").alias("lag_ms"), F.count("*").alias("batches"))
+
+
+@query(f"WITH {EV} SELECT 'users' AS config, max(ack_lsn) AS lsn, count(*) AS events_processed, 0::BIGINT AS dead_letters FROM (SELECT *, lsn % 400 AS p FROM ev) x")
+def stream_eager_limit(spark, sf_dir):
+    """Transactions of 400 events over micro-batches, eager and with a limit of 10: a limit can't drop what was applied in parts,
+    so it doesn't hold, and every event is applied and counted."""
+    log = event_changes(spark, sf_dir).withColumn("xid", F.floor(F.col("lsn") / 400)).withColumn("ack_lsn", F.least(F.col("xid") * 400 + 399, F.lit(10**15)))
+    top = log.agg(F.max("lsn").alias("_top"))
+    log = log.crossJoin(F.broadcast(top)).withColumn("ack_lsn", F.least("ack_lsn", F.floor(F.col("_top") / 10) * 10 + 9)).drop("_top")
+    mirror = _mirrored(spark, with_commits(log), most_events=10, eager=True)
+    return mirror.checkpoints.read().select("config", "lsn", "events_processed").crossJoin(mirror.dlq.read().agg(F.count("*").alias("dead_letters")))
+
+
+def _not_now(routed: DataFrame) -> DataFrame:
+    """A transform that fails for every fifth user, but not when a dead letter is replayed."""
+    return A.passthrough(routed).withColumn("error", F.when((F.col("id").cast("long") % 5 == 0) & (F.col("seq") >= 0), "not now"))
+
+
+@query(f"WITH {EV} SELECT 0::BIGINT AS dead_letters, count(*) FILTER (CAST(user_id AS BIGINT) % 5 = 0) AS replayed, 0::BIGINT AS replay_failed, count(*) FILTER (CAST(user_id AS BIGINT) % 5 <> 0) AS events_processed FROM ev")
+def stream_replay(spark, sf_dir):
+    """Dead letters are replayed behind every second micro-batch, and drained at the end."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    mirror = _mirrored(spark, with_commits(event_changes(spark, sf_dir)), transform=_not_now, source=lambda: users, id_column="user_id", replay_every=2)
+    mirror.drain()
+    counts = spark.createDataFrame([(mirror.replayed, mirror.replay_failed)], "replayed long, replay_failed long")
+    return mirror.dlq.read().agg(F.count("*").alias("dead_letters")).crossJoin(counts).crossJoin(mirror.checkpoints.read().select("events_processed"))
+
+
+@query(f"WITH {DLQ_SQL}, f AS (SELECT * FROM dlq WHERE NOT (lsn % 3 = 0) AND NOT (kind = 'permanent' AND permanent_ms < 600000000 - 72 * 3600000)) SELECT dlq_id, kind, CASE WHEN lsn % 3 = 1 AND kind = 'retryable' AND retry_count + 1 < 3 THEN retry_count + 1 ELSE retry_count END AS retry_count FROM f WHERE lsn % 3 = 2 UNION ALL SELECT dlq_id, CASE WHEN retry_count + 1 >= 3 THEN 'permanent' ELSE kind END, CASE WHEN retry_count + 1 >= 3 THEN retry_count ELSE retry_count + 1 END FROM f WHERE lsn % 3 = 1")
+def dead_letter_log(spark, sf_dir):
+    """Entries of four micro-batches (one of them written twice), then outcomes of a replay, a purge, and a compaction."""
+    log = DeadLetters(spark, f"{shared_folder(spark)}/dlq")
+    d = dead_letters(spark, sf_dir)
+    for n in (0, 1, 2, 2, 3):
+        log.append(d.where(F.col("lsn") % 4 == n), n)
+    log.purge(600_000_000)
+    held = log.read()
+    log.settle(held.where("lsn % 3 < 2").select("dlq_id", (F.col("lsn") % 3 == 0).alias("ok"), F.lit("no row").alias("error"), F.lit(False).alias("fatal")), 3, 9)
+    log.append(d.where("lsn % 4 = 3"), 3)  # the last micro-batch is run again: what was replayed stays gone
+    log.compact(3, after=2)
+    return log.read().select("dlq_id", "kind", "retry_count")
+
+
+@query(f"""WITH {EV}, s AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events), c AS (SELECT user_id AS id, op, k, lsn FROM ev WHERE ack_lsn > 5000),
+u AS (SELECT id, 'upsert' AS op, NULL AS k, 5000 AS lsn, -1 AS seq FROM s UNION ALL SELECT id, op, k, lsn, lsn FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lsn DESC, seq DESC) AS n FROM u)
+SELECT id, k, lsn, (SELECT count(*) FROM c) AS events_processed, (SELECT count(*) FROM s) AS copied, 6::BIGINT AS still_open FROM r WHERE n = 1 AND op <> 'delete'""")
+def mirror_backfill(spark, sf_dir):
+    """A table is copied in eight ranges, the run is ended when two have been, the next one copies those still open; then the log
+    is streamed from its beginning, of which the config takes what lies behind its watermark."""
+    folder = shared_folder(spark)
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    append_log(with_commits(event_changes(spark, sf_dir)), f"{folder}/log", 3)
+    make = lambda: Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
+    still = make().backfill({"users": users}, 5000, pieces=8, at_once=2, waves=1)
+    mirror = make()
+    mirror.backfill({"users": users}, 9000, pieces=8, at_once=3)
+    mirror.run_log(f"{folder}/log", f"{folder}/q")
+    rows = mirror.store.read().select("id", F.get_json_object("document", "$.k").alias("k"), "lsn")
+    copied = mirror.ranges.read().agg(F.sum("n_rows").alias("copied"))  # one row, as is the next
+    return rows.crossJoin(mirror.checkpoints.read().select("events_processed")).crossJoin(copied).withColumn("still_open", F.lit(still).cast("long"))
+
+
+@query(f"WITH {EV} SELECT lsn, CASE WHEN op = 'delete' THEN 'delete' ELSE 'upsert' END AS action, user_id AS id, CASE WHEN op <> 'delete' THEN op END AS op FROM ev")
+def process_transform(spark, sf_dir):
+    """User code in a process of its own that answers a JSON line of events with a JSON line of actions."""
+    script = "import json, sys\nfor line in sys.stdin:\n    print(json.dumps([{'action': 'delete' if e['operation'] == 'delete' else 'upsert', 'id': e['id'], 'document': {'op': e['operation']}} for e in json.loads(line)]), flush=True)"
+    acts = A.transform(R.routed(event_changes(spark, sf_dir), one(spark, "users")), {"users": A.command([sys.executable, "-c", script])})
+    return acts.select("lsn", "action", "id", F.when(F.col("action") == "upsert", F.get_json_object("document", "$.op")).alias("op"))
+
+
 @query("SELECT event_id AS seq, event_id // 10 AS xid, event_type AS payload, (event_id // 10) * 10 + 9 AS ack_lsn FROM events WHERE event_id // 10 % 5 <> 3")
 def buffered_transactions(spark, sf_dir):
     """Rows and commits of a stream, mixed over micro-batches; every fifth transaction never commits."""

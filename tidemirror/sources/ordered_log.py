@@ -84,11 +84,11 @@ class LogReader(DataSourceStreamReader):
         self.schema, self.options = schema, options
         self.path = options["path"]
         self.most = int(options.get("segments_per_batch", 1 << 30))
-        self.begin = tuple(json.loads(options["from"])) if "from" in options else START
-        self.at: Position = self.begin
+        # After a restart; a first micro-batch that is run again still begins at the log's start.
+        self.at: Position = tuple(json.loads(options["from"])) if "from" in options else START
 
     def initialOffset(self) -> dict:
-        return {"ack_lsn": self.begin[0], "seq": self.begin[1]}
+        return {"ack_lsn": START[0], "seq": START[1]}
 
     def latestOffset(self) -> dict:
         fs, path = file_system(self.path)
@@ -152,7 +152,7 @@ def last_offset(spark: SparkSession, checkpoint: str) -> Position | None:
     return offset["ack_lsn"], offset["seq"]
 
 
-def read_log(spark: SparkSession, path: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "wait", schema: str = SCHEMA) -> DataFrame:
+def read_log(spark: SparkSession, path: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "wait", schema: str | StructType = SCHEMA) -> DataFrame:
     """The log as a stream, for a query with this checkpoint folder."""
     spark.dataSource.register(OrderedLog)
     reader = spark.readStream.format("ordered_log").schema(schema).option("path", path).option("on_gap", on_gap)

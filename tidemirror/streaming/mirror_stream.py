@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemirror.functions.scalars import PG_EPOCH_MICROS
 from tidemirror.operators import actions as A
@@ -202,7 +203,8 @@ class Mirror:
         changes.write.mode("overwrite").parquet(inbox)
         changes = self.spark.read.schema(changes.schema).parquet(inbox)
         if "cols" in changes.columns:
-            changes = self.named(changes, self._held(self._border(batch_id), batch_id))
+            self.named(changes, self._held(self._border(batch_id), batch_id)).write.mode("overwrite").parquet(f"{inbox}-named")
+            changes = self.spark.read.schema(CHANGE_SCHEMA).parquet(f"{inbox}-named")
         changes = changes.select(*COLUMNS)
         late = self._late(changes, batch_id)
         kept, done, numbers = self.whole(changes, batch_id)
@@ -232,10 +234,10 @@ class Mirror:
         # Dropped transactions are acknowledged too.
         position = self.spark.createDataFrame([(done,)], "ack_lsn long")
         self.checkpoints.write(S.advance(before, live, A.fine(acts), position, began))
-        lag = None if numbers["us"] is None else began - (numbers["us"] + PG_EPOCH_MICROS) // 1000
+        lag = None if numbers["us"] is None else (began * 1000 - numbers["us"] - PG_EPOCH_MICROS) // 1000
         row = (batch_id, numbers["events"], numbers["transactions"], tally.processed, tally.failed, tally.requests, int(late is not None and late.count()), done, lag, self.clock() - began)
         self.spark.createDataFrame([row], METRIC_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/metrics/batch-{batch_id:020d}")
-        for used in (folder, inbox):
+        for used in (folder, inbox, f"{inbox}-named"):
             self._fs.delete(self._path(used), True)
         self.passes += 1
         if self.source is not None and self.replay_every and self.passes % self.replay_every == 0:
@@ -264,7 +266,7 @@ class Mirror:
                 query.stop()
         return query
 
-    def run_log(self, log: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "fail", available_now: bool = True, schema: str = CHANGE_SCHEMA):
+    def run_log(self, log: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "fail", available_now: bool = True, schema: str | StructType = CHANGE_SCHEMA):
         """The continuous mirror of a log of ordered segments: rows come in log order, whatever came first to the folder."""
         return self.run(read_log(self.spark, log, checkpoint, segments_per_batch, on_gap, schema), checkpoint, available_now)
 
