@@ -205,7 +205,7 @@ def test_growth_moves_rows_only_into_the_new_shard(spark):
     assert 1400 < moved.where("now = 10").count() < 2250
     heavy = sharding.assign(df, "doc_id", 3, [1.0, 1.0, 2.0]).groupBy("shard").count().collect()
     assert 9300 < next(r["count"] for r in heavy if r.shard == 2) < 10700
-    slots = sharding.number_slots(before.drop("grown_shard"), "shard", "doc_id", ["doc_id"], 10, slot_rows=100)
+    slots = sharding.number_slots(before.drop("grown_shard"), "shard", ["doc_id"], task_rows=100)
     assert slots.groupBy("shard").agg((F.max("slot") + 1 == F.count_distinct("slot")).alias("ok")).where("NOT ok").count() == 0
 
 
@@ -225,11 +225,25 @@ def test_shards_against_brute_force(spark):
 
 def test_slots_of_a_key_with_very_many_rows(spark):
     df = spark.range(6000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
-    slots = sharding.number_slots(sharding.assign(df, "doc_id", 4), "shard", "doc_id", ["doc_id", "size"], 4, slot_rows=100)
+    slots = sharding.number_slots(sharding.assign(df, "doc_id", 4), "shard", ["doc_id", "size"], task_rows=100)
     per = slots.groupBy("shard").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("n"), F.count("*").alias("m")).collect()
     assert all((r.lo, r.hi, r.n) == (0, r.m - 1, r.m) for r in per) and sum(r.m for r in per) == 6000
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_slots_depend_on_the_rows_alone(spark, parts):
+    rows = [(i * 7 % 400, "x" * (i % 9)) for i in range(900)] + [(None, "n"), (None, None)] * 3 + [(5, "hot")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assigned = sharding.assign(df, "doc_id", 4)
+    for task_rows in (50, 10**6):
+        got = sharding.number_slots(assigned, "shard", ["doc_id", "size", "text_crc32"], task_rows=task_rows).collect()
+        by = {}
+        for r in assigned.collect():
+            by.setdefault(r.shard, []).append((r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
+        want = sorted((s, n, *row) for s, own in by.items() for n, row in enumerate(sorted(own)))
+        assert sorted((r.shard, r.slot, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == want
+
+
 # ---------------------------------------------------------------- op9
 
 
@@ -297,3 +311,52 @@ def test_token_digests(spark, sf_dir, odd_documents, library):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
     round_trip = sp_codec.decode(sp_codec.encode(odd_documents)).select("text", "decoded").collect()
     assert all((r.text or "") == r.decoded for r in round_trip)
+
+
+def test_language_scores_equal_plain_scoring():
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(1 << langid.BUCKET_BITS, 3)).astype(np.float32), rng.normal(size=3), 0.1)
+    texts = ["", "a", "ab", "Straße und Wörter", "日本語 text", "x" * 50, " \n "]
+    got = model.probabilities([t.encode() for t in texts])
+    shift, mask = 32 - langid.BUCKET_BITS, 0xFFFFFFFF
+    for t, p in zip(texts, got, strict=True):
+        b = b"    " + t.encode() + b"    "
+        total, count = np.zeros(3), 0
+        for i in range(len(t.encode()) + 4):
+            three = b[i] | b[i + 1] << 8 | b[i + 2] << 16
+            four = three | b[i + 3] << 24
+            total += model.weights[(three * 0x9E3779B1 & mask) >> shift].astype(float) + model.weights[(four * 0x85EBCA77 + 0x27D4EB2F & mask) >> shift]
+            count += 2
+        e = np.exp(total / count + model.bias)
+        assert np.allclose(p, e / e.sum(), atol=1e-5)
+
+
+def test_language_rows_equal_plain_scoring(spark, odd_documents):
+    model = langid.fit(spark.createDataFrame([(i, t, lang) for i, lang, t in _texts(200)], "doc_id long, text string, lang string"))
+    for r in langid.identify(odd_documents, model).collect():
+        if not langid.lettered(r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            p = model.probabilities([r.text.lower().encode()])[0]
+            assert r.lang_pred == model.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-6 and r.rejected == (r.score < model.threshold)
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ("<p>a</p><![CDATA[ x > <p>kept</p>", ["a", "kept"]),
+        ("<p>one</p><svg x=1><p>after</p>", ["one", "after"]), ("<p>one</p><svg><title>no</title><path/></svg><p>after</p>", ["one", "after"]), ("<p>one</p><svg><g><p>out</p></svg><p>after</p>", ["one", "out", "after"]),
+        ("<p>one</p><object data=x><p>after</p>", ["one", "after"]), ("<p>one</p><object>no</object><p>after</p>", ["one", "after"]),
+        ("<p>one</p><canvas><p>after</p>", ["one", "after"]), ("<p>one</p><canvas>no</canvas><p>after</p>", ["one", "after"]),
+        ("<p>one</p><math><p>after</p>", ["one", "after"]), ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so", "x", "=", "1", "holds"]),
+    ],
+)
+def test_text_behind_unclosed_elements_is_read(page, kept):
+    def words(node):
+        out = []
+        for item in node.items:
+            out += words(item) if isinstance(item, html_extract.Node) else str(getattr(item, "text", item)).split() if isinstance(item, str) else []
+        return out
+
+    got = " ".join(words(html_extract.parse(page)))
+    assert "no" not in got.split() and got.replace(" ", "") == "".join(kept)

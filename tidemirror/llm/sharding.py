@@ -4,9 +4,9 @@ Every record scores each shard by ``-weight / ln(u)``, u in (0, 1) from a hash o
 highest score. A shard's scores don't depend on the other shards, so one more shard takes records only into itself, and a
 shard's share of the records follows its weight. This is the law ``key``: the key and the shards decide, nothing else.
 
-Slots number the rows of a shard from 0 without gaps. They are numbered inside small sub-buckets of a shard and shifted by
-the counts of the sub-buckets before, so no task ever holds a whole shard, nor all rows of one key: equal rows are dealt over
-the sub-buckets too. The assignment is written once, so hashes are computed once and both passes see the same rows.
+Slots number the rows of a shard from 0 without gaps, in the order of their columns, so they depend on the rows alone: not on
+the table's size or its files. Equal rows are counted first; what is left is dealt by ranges of (shard, order), numbered inside
+each range and shifted by the counts of the ranges before. So no task ever holds a whole shard, nor all rows of one key.
 
 Defined results: a null key hashes as the word ``null``; a null text counts 0 bytes and has crc32 0 (that of the empty
 text); repeated rows each get a slot; an empty table gives no rows; other columns of the input are ignored.
@@ -24,7 +24,7 @@ from .common import rows_of, stored, table
 N_SHARDS = 40
 #: Bytes a record takes besides its text.
 OVERHEAD = 16
-#: About as many rows are numbered by one task.
+#: About so many rows are numbered by one task.
 SLOT_ROWS = 20_000
 
 
@@ -59,23 +59,33 @@ def _grown(key: Column, shard: Column, weights: Sequence[float], weight: float =
     return F.when(new > _score(key, shard, held), F.lit(len(weights))).otherwise(shard).cast("int")
 
 
-def number_slots(df: DataFrame, shard: str, key: str, order: Sequence[str], shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """Add slot: 0, 1, ... within each shard, by the given order in a shard of up to ``slot_rows`` rows on average."""
-    placed = stored(df.withColumn("_at", F.monotonically_increasing_id())).df
-    subs = max(1, -(-rows_of(placed) // (shards * slot_rows)))
-    # A key's rows may be a third of all, so their places are hashed with them.
-    split = placed.withColumn("_sub", F.pmod(F.xxhash64(*order, "_at"), F.lit(subs)).cast("int"))
-    ahead = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    counts = split.groupBy(shard, "_sub").agg(F.count("*").alias("_n"))
-    base = counts.select(shard, "_sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(shard, "_sub").orderBy(*order, "_at")
-    numbered = split.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(base, [shard, "_sub"]).withColumn("slot", (F.col("_base") + F.col("_at")).cast("long")).drop("_sub", "_at", "_base")
+def number_slots(df: DataFrame, shard: str, order: Sequence[str], task_rows: int | None = None) -> DataFrame:
+    """Add slot: 0, 1, ... within each shard, in the given order (rows that agree in it, by their other columns)."""
+    task_rows = SLOT_ROWS if task_rows is None else task_rows
+    order = [*order, *[c for c in df.columns if c not in order]]
+    each = stored(df.groupBy(*df.columns).agg(F.count("*").alias("_n")))
+    parts = max(1, -(-rows_of(each.df) // task_rows))
+    # Ranges of (shard, order) of about equal size; each is written once, so it stays as it is.
+    ranged = stored(each.df.repartitionByRange(parts, shard, *order).withColumn("_part", F.spark_partition_id())).df
+    each.drop()
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(shard, "_part").agg(F.sum("_n").alias("_m"))
+    base = sums.select(shard, "_part", F.coalesce(F.sum("_m").over(before.partitionBy(shard).orderBy("_part")), F.lit(0)).alias("_base"))  # few rows
+    within = F.coalesce(F.sum("_n").over(before.partitionBy(shard, "_part").orderBy(*order)), F.lit(0))
+    placed = ranged.withColumn("_at", within).join(base, [shard, "_part"]).withColumn("_at", F.col("_at") + F.col("_base"))
+    # Equal rows come back, those of very many copies in pieces dealt over tasks.
+    few, many = placed.where(F.col("_n") <= task_rows), placed.where(F.col("_n") > task_rows)
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(task_rows).cast("long")))
+    pieces = many.withColumn("_piece", piece).repartition(shard, "_at", "_piece")
+    rows = few.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).unionByName(
+        pieces.withColumn("_i", F.explode(F.sequence(F.col("_piece"), F.least(F.col("_piece") + task_rows, F.col("_n")) - 1))).drop("_piece")
+    )
+    return rows.select(*df.columns, (F.col("_at") + F.col("_i")).cast("long").alias("slot"))
 
 
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = number_slots(assign(docs, "doc_id", N_SHARDS), "shard", "doc_id", ["doc_id", "size", "text_crc32"], N_SHARDS)
+    rows = number_slots(assign(docs, "doc_id", N_SHARDS), "shard", ["doc_id", "size", "text_crc32"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
