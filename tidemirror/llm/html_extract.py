@@ -37,8 +37,13 @@ TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe select".split())
+# Elements whose content isn't shown if they are closed, and start tags that end an svg.
+HIDDEN = frozenset("svg object canvas".split())
+BREAKOUT = "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+# Elements of formulas, whose text is text.
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd maction semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Attribute tokens that tell page furniture, and main text.
 FURNITURE = frozenset(
@@ -53,6 +58,7 @@ _TAG_NAME, _GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s
 _GROUP = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
 _SCOPE = frozenset("ul ol dl table menu".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*")
+_BREAKOUT = re.compile(rf"<(?:{'|'.join(BREAKOUT)})(?=[\s/>])", re.I)
 
 
 class Node:
@@ -121,6 +127,7 @@ def parse(page: str) -> Node:
     inline: Counter = Counter()  # open inline elements by tag
     at, begin, n = 0, 0, len(page)
     closing: dict[str, re.Pattern] = {}
+    ends_at: dict[str, int | None] = {}  # of hidden elements: None if there is no end any more
 
     def text(end: int) -> None:
         if end > begin:
@@ -140,7 +147,8 @@ def parse(page: str) -> Node:
         head = page[start + 1 : start + 3]
         if head[:1] in ("!", "?") or (head[:1] == "/" and not head[1:].isalpha()):
             text(start)
-            mark, skip = ("-->", 2) if page.startswith("<!--", start) else ("]]>", 9) if page.startswith("<![CDATA[", start) else (">", 1)
+            # All but comments end at the next ">", marked sections too.
+            mark, skip = ("-->", 2) if page.startswith("<!--", start) else (">", 1)
             end = page.find(mark, start + skip)
             at = begin = n if end < 0 else end + len(mark)
             continue
@@ -181,6 +189,15 @@ def parse(page: str) -> Node:
             if tag in ("textarea", "select"):
                 stack[-1].items.append(FIELD)
             continue
+        if tag in HIDDEN:
+            # Without an end nothing is hidden, and an svg ends where an element of the page begins.
+            if page[at - 2 : at] != "/>" and ends_at.get(tag, 0) is not None:
+                e = (closing.get(tag) or closing.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I))).search(page, at)
+                ends_at[tag] = e and e.end()
+                b = _BREAKOUT.search(page, at, e.start()) if e and tag == "svg" else None
+                if e:
+                    at = begin = b.start() if b else e.end()
+            continue
         if tag in ("html", "head"):
             continue
         tokens = [w.lower() for name, value in rest if name in ("class", "id", "role") for w in _WORDS.findall(value)] if rest else []
