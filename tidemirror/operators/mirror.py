@@ -64,6 +64,26 @@ def write_statistics(actions: DataFrame) -> DataFrame:
     return actions.groupBy("namespace").agg(F.count_distinct("batch_id").alias("calls"), of("upsert"), of("delete"), of("skip"))
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file and put it in place by one rename; False if the place is taken."""
+    folder, name = path.rsplit("/", 1)
+    temporary, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder}/.{name}.tmp", path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return fs.rename(temporary, at)
+
+
 class MirrorStore:
     """Versioned Parquet. A version rewrites only the touched buckets of (namespace, id); a manifest, put in place by one
     rename, lists each bucket's version. Applying a batch id a second time does nothing. Replays are numbered apart from
@@ -88,18 +108,10 @@ class MirrorStore:
         return self._load(best)
 
     def _load(self, version: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.path}/manifest-{version}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(read_text(self.spark, f"{self.path}/manifest-{version}.json"))
 
     def _commit(self, manifest: dict) -> None:
-        temporary = self._path(f"{self.path}/.manifest-{manifest['version']}.tmp")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not self._fs.rename(temporary, self._path(f"{self.path}/manifest-{manifest['version']}.json")):
+        if not write_text(self.spark, f"{self.path}/manifest-{manifest['version']}.json", json.dumps(manifest)):
             raise RuntimeError("another writer committed this version")
         self._forget(manifest["version"] - KEPT_VERSIONS)
 

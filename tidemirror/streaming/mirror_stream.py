@@ -15,6 +15,7 @@ the checkpoints wait for the commit, so that a restart repeats the transaction.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -33,7 +34,7 @@ from tidemirror.operators import route as R
 from tidemirror.operators import state as S
 from tidemirror.operators import transactions as X
 from tidemirror.operators.letters import DeadLetters
-from tidemirror.operators.mirror import MirrorStore
+from tidemirror.operators.mirror import MirrorStore, read_text, write_text
 from tidemirror.sources.changelog import COLUMNS
 from tidemirror.sources.changelog import SCHEMA as CHANGE_SCHEMA
 from tidemirror.sources.ordered_log import read_log
@@ -41,7 +42,6 @@ from tidemirror.sources.ordered_log import read_log
 #: Rows by place: values in the order of the table's layout; a layout row holds the columns' names and their types.
 PLACED_SCHEMA = "lsn long, seq long, xid long, ack_lsn long, commit_us long, relation_id long, src_schema string, src_table string, op string, cols array<string>, old_cols array<string>, unchanged array<string>"
 RELATION_SCHEMA = "seq long, xid long, relation_id long, src_schema string, src_table string, columns array<struct<name: string, type: string>>"
-BORDER_SCHEMA = "batch_id long, done long, open_ack long, first long, open_events long"
 SIGNAL_SCHEMA = "seq long, relation_id long, src_schema string, src_table string, breaking boolean, unsafe boolean"
 METRIC_SCHEMA = "batch_id long, events long, transactions long, processed long, failed long, requests long, late long, done long, lag_ms long, took_ms long"
 #: Versions of a small table that readers may still hold.
@@ -96,13 +96,14 @@ class Mirror:
         self.store = MirrorStore(spark, f"{path}/mirror", buckets)
         self.checkpoints = StateTable(spark, f"{path}/checkpoints", S.CHECKPOINT_SCHEMA)
         self.dlq = DeadLetters(spark, f"{path}/dlq")
-        self.borders = StateTable(spark, f"{path}/borders", BORDER_SCHEMA)
         self.relations = StateTable(spark, f"{path}/relations", RELATION_SCHEMA)
         self.signals = StateTable(spark, f"{path}/signals", SIGNAL_SCHEMA)
         self.ranges = StateTable(spark, f"{path}/ranges", B.RANGE_SCHEMA)
         self.passes = self.replayed = self.replay_failed = 0
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in ("borders", "metrics"):
+            self._fs.mkdirs(self._path(f"{self.path}/{name}"))
 
     # ------------------------------------------------------------ layouts
 
@@ -129,8 +130,25 @@ class Mirror:
     # ------------------------------------------------------------ transactions across micro-batches
 
     def _border(self, batch_id: int) -> dict:
-        rows = self.borders.read().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).collect()
-        return rows[0].asDict() if rows else {"batch_id": -1, "done": None, "open_ack": None, "first": batch_id, "open_events": 0}
+        """Where the micro-batch before ended: done, open_ack, first (the micro-batch in which the open transaction began), and
+        open_events. A few numbers in a file of their own for each micro-batch."""
+        older = [b for b in self._numbered("borders") if b < batch_id]
+        if not older:
+            return {"done": None, "open_ack": None, "first": batch_id, "open_events": 0}
+        return json.loads(read_text(self.spark, f"{self.path}/borders/{max(older)}"))
+
+    def _keep_border(self, batch_id: int, border: dict) -> None:
+        known = sorted(self._numbered("borders"))
+        for b in known:
+            # The one before is needed if this micro-batch is run again.
+            if b >= batch_id or (b < batch_id - 1 and b != max((k for k in known if k < batch_id), default=None)):
+                self._fs.delete(self._path(f"{self.path}/borders/{b}"), False)
+        write_text(self.spark, f"{self.path}/borders/{batch_id}", json.dumps(border))
+
+    def _numbered(self, name: str) -> list[int]:
+        folder = self._path(f"{self.path}/{name}")
+        found = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return [int(n) for n in found if n.isdigit()]
 
     def _held(self, before: dict, batch_id: int) -> DataFrame | None:
         """The open transaction's rows of earlier micro-batches."""
@@ -170,16 +188,14 @@ class Mirror:
                 rows = rows.where(F.col("ack_lsn") != open_ack)
             if self.most_events is not None and before["open_ack"] is not None and (before["open_events"] or 0) + (numbers["more"] or 0) > self.most_events:
                 rows = rows.where(F.col("ack_lsn") != before["open_ack"])
-        now = self.spark.createDataFrame([(batch_id, done, open_ack, first, counted)], BORDER_SCHEMA)
-        self.borders.write(self.borders.read().where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).unionByName(now))
+        self._keep_border(batch_id, {"done": done, "open_ack": open_ack, "first": first, "open_events": counted})
         for b in self._kept_open():
             if b < before["first"]:  # Spark has committed the batches that used it
                 self._fs.delete(self._path(f"{self.path}/open/{b}"), True)
         return rows, done, numbers
 
     def _kept_open(self) -> list[int]:
-        folder = self._path(f"{self.path}/open")
-        return [int(s.getPath().getName()) for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return self._numbered("open")
 
     def _late(self, changes: DataFrame, batch_id: int) -> DataFrame | None:
         """Rows at or below what was done before, if there are any and they aren't to be skipped."""
@@ -217,7 +233,8 @@ class Mirror:
         made = A.checked(self.transform(routes.where(F.col("problem").isNull()).drop("problem")))
         made.write.mode("overwrite").parquet(folder)
         acts = self.spark.read.schema(A.ACTION_SCHEMA).parquet(folder)
-        if A.has_mixed(A.fine(acts)):
+        known = acts.agg(F.count("distance_metric").alias("m"), F.count("attr_schema").alias("s")).first()
+        if known.m + known.s and A.has_mixed(A.fine(acts)):
             acts = A.refuse_mixed(acts)
         tally = acts.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_distinct("namespace", "batch_id").alias("requests")).first()
         self.store.apply(A.fine(acts), batch_id)
@@ -236,7 +253,10 @@ class Mirror:
         self.checkpoints.write(S.advance(before, live, A.fine(acts), position, began))
         lag = None if numbers["us"] is None else (began * 1000 - numbers["us"] - PG_EPOCH_MICROS) // 1000
         row = (batch_id, numbers["events"], numbers["transactions"], tally.processed, tally.failed, tally.requests, int(late is not None and late.count()), done, lag, self.clock() - began)
-        self.spark.createDataFrame([row], METRIC_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/metrics/batch-{batch_id:020d}")
+        names = [c.split()[0] for c in METRIC_SCHEMA.split(", ")]
+        at = f"{self.path}/metrics/batch-{batch_id:020d}.json"
+        self._fs.delete(self._path(at), False)
+        write_text(self.spark, at, json.dumps(dict(zip(names, row, strict=True))) + "\n")
         for used in (folder, inbox, f"{inbox}-named"):
             self._fs.delete(self._path(used), True)
         self.passes += 1
@@ -251,7 +271,7 @@ class Mirror:
         """One row for each micro-batch: events, transactions, processed, failed, requests, late, done, lag_ms, took_ms."""
         folder = self._path(f"{self.path}/metrics")
         known = self._fs.exists(folder) and len(self._fs.listStatus(folder))
-        return self.spark.read.schema(METRIC_SCHEMA).parquet(f"{self.path}/metrics/*") if known else self.spark.createDataFrame([], METRIC_SCHEMA)
+        return self.spark.read.schema(METRIC_SCHEMA).json(f"{self.path}/metrics") if known else self.spark.createDataFrame([], METRIC_SCHEMA)
 
     def run(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
         """Start the continuous mirror; with available_now it ends when all that is there has been read. Dead letters are
