@@ -40,6 +40,45 @@ def test_top_k_of_few_and_none(spark, sf_dir):
     assert pivot_search.search(spark, none, none, 10).count() == 0
 
 
+def _clusters(spark, groups=12, size=60, dim=8):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 400, (groups, dim))
+    x = np.rint(middle[np.arange(groups * size) % groups] + rng.normal(0, 4, (groups * size, dim))).astype(int)
+    x[500:560] = x[500]  # a crowded place, with ties
+    return x, spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "_id long, _v array<long>").repartition(3)
+
+
+@pytest.mark.parametrize(("block", "chunk", "ring"), [(4096, 256, 32), (16, 3, 4)])
+def test_annuli_close_and_results_stay_exact(spark, monkeypatch, block, chunk, ring):
+    monkeypatch.setattr(pivot_search, "BLOCK_ROWS", block)
+    monkeypatch.setattr(pivot_search, "QUERY_CHUNK", chunk)
+    monkeypatch.setattr(pivot_search, "RING_ROWS", ring)
+    x, v = _clusters(spark)
+    waves = []
+    got = pivot_search.search(spark, v, v.where("_id % 20 = 0"), 10, waves=waves).collect()
+    asked = range(0, len(x), 20)
+    want = set()
+    for q in asked:
+        s = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:10]
+        want |= {(q, n + 1, int(i), int(s[i])) for n, i in enumerate(order)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    # Waves expand, the last one finds nothing open, and most rows are never scored.
+    assert len(waves) >= 2 and waves[-1] == {"pairs": 0, "scored": 0}
+    assert sum(w["scored"] for w in waves) < 0.6 * len(x) * len(asked)
+
+
+def test_rings_and_crowded_pivots(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "RING_ROWS", 4)
+    x, v = _clusters(spark)
+    g = pivot_search.geometry(v, "_v")
+    pivot, ring, dist = g.place(x.astype(float))
+    assert len(g.pivots) > 4 and max(ring) > 1
+    for p in set(pivot):  # annuli of a pivot are ranges of distance
+        own = sorted(zip(dist[pivot == p], ring[pivot == p], strict=True))
+        assert [r for _, r in own] == sorted(r for _, r in own)
+
+
 def test_vectors_too_large_for_64_bits(spark):
     v = spark.createDataFrame([(0, [2**31, 1]), (100, [5, 2**31])], "_id long, _v array<long>")
     with pytest.raises(ValueError, match="64 bits"):

@@ -3,11 +3,13 @@
 With M the largest squared norm, a vector x gets one more coordinate sqrt(M - |x|^2) and a query gets 0 there. Then
 ``|q - x|^2 = |q|^2 + M - 2 q.x``: the highest inner products are the nearest points. Every vector is keyed by its nearest
 pivot and its distance to it; a pivot's distances are cut into annuli, and an annulus into blocks of bounded size. A query
-first searches the annuli nearest to it (by their least possible distance) that hold k others; its k-th score there is a
-bound. Then it expands to exactly those annuli whose triangle-inequality bound still reaches that score.
+sorts the annuli by the highest score that the triangle inequality lets them hold and expands over them in waves, each some
+times wider than the one before. After each wave its k-th score so far is its bound: annuli that can't reach it are closed,
+and a query stops when the next annulus is closed. So the number of waves grows with the logarithm of the table.
 
-Pivots and annulus borders come from a bounded sample and only steer the work: every vector is indexed, results are exact
-whatever they are, so recall is 1.
+Numbers of pivots and annuli grow with the table up to a bound. Both come from a bounded sample and only steer the work:
+every vector is indexed, results are exact whatever they are, so recall is 1. How many rows are scored depends on the data:
+vectors in clusters close most annuli, directions spread evenly over many dimensions close none.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without id, take no part; shorter
 vectors count as filled up with zeros; an id given several times is one query (of its smallest vector) and several
@@ -18,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +29,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, stored, table
+from .common import Scratch, bounded_sample, rows_of, stored, table
 
 K = 10
 SCALE = 1024
 QUERY_EVERY = 100
 #: Vectors that pivots and annuli are chosen from, and vectors of a block.
 SAMPLE_ROWS, BLOCK_ROWS = 4_000, 4_096
-MAX_PIVOTS, MAX_RINGS = 64, 64
+MAX_PIVOTS, MAX_RINGS = 256, 64
+#: Rows of an annulus, as long as there are fewer than MAX_RINGS.
+RING_ROWS = 32
+#: Rows that a query's first wave reaches, in k, and how many times wider each further wave is.
+FIRST_WAVE, WIDER = 3, 16
 QUERY_CHUNK = 256
+#: Rows of an Arrow batch where a row is a block of vectors.
+BLOCK_BATCH = 8
 
 
 def integer_vector(v: Column, scale: int = SCALE) -> Column:
@@ -76,11 +85,14 @@ class Geometry:
 
     def reach(self, q: np.ndarray) -> np.ndarray:
         """The highest score that each annulus can hold for each query, by the triangle inequality."""
-        d = self.distances(q, np.zeros(len(q)))[:, self.cells["pivot"]]
-        low = np.maximum(0, np.maximum(d - self.cells["far"], self.cells["near"] - d))
+        d = self.distances(q, np.zeros(len(q)))
+        # Every vector is nearest to its own pivot, so it is at least half as far as that pivot is farther than the nearest one.
+        half = (d - d.min(axis=1, keepdims=True)) / 2
+        half, d = half[:, self.cells["pivot"]], d[:, self.cells["pivot"]]
+        low = np.maximum(half, np.maximum(d - self.cells["far"], self.cells["near"] - d))
         q2 = (q * q).sum(axis=1)[:, None]
         bound = (q2 + self.most - low**2) / 2
-        return bound + 1e-9 * (q2 + self.most) + 1e-6  # more than rounding can take away
+        return bound + 1e-6 * (q2 + self.most) + 1e-6  # more than rounding can take away, roots of tiny differences included
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -107,8 +119,8 @@ def geometry(vectors: DataFrame, vec: str) -> Geometry | None:
     for i, r in enumerate(rows):
         sample[i, : len(r[0])] = r[0]
     full = np.hstack([sample, np.sqrt(np.maximum(most - (sample**2).sum(axis=1), 0))[:, None]])
-    p = int(min(MAX_PIVOTS, max(4, n // 20_000), len(full)))
-    rings = int(min(MAX_RINGS, max(1, n // (p * 2_000))))
+    p = int(min(MAX_PIVOTS, max(4, n**0.5 / 2), len(full)))
+    rings = int(min(MAX_RINGS, max(1, n // (p * RING_ROWS))))
     rng = np.random.default_rng(17)
     pivots = full[rng.choice(len(full), p, replace=False)]
     for _ in range(5):  # a few steps of k-means
@@ -131,8 +143,14 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, vec: str = "_v") -> DataFrame:
-    """query_id, rank, vec_id, score for queries and vectors with the columns _id and _v."""
+def wave_edge(seen: np.ndarray, wave: int, k: int) -> int:
+    """How many annuli, in their order, come before a wave: those that hold the rows which earlier waves reach."""
+    return 0 if wave == 0 else min(len(seen), int(np.searchsorted(seen, FIRST_WAVE * k * WIDER ** (wave - 1))) + 1)
+
+
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, vec: str = "_v", waves: list[dict] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for queries and vectors with the columns _id and _v. ``waves`` gets a line for each wave:
+    pairs of chunks and blocks, and rows scored."""
     out_schema = "query_id long, rank int, vec_id long, score long"
     g = geometry(vectors, vec)
     if g is None:
@@ -153,47 +171,42 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
                 x = matrix(b.column(1), geo.dim)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(geo.distances(x, np.zeros(len(x))).argmin(axis=1).astype(np.int32))], ["_id", "_v", "pivot"])
 
-    # Written once: the directory and both passes read it.
-    indexed = stored(vectors.select("_id", F.col(vec).alias("_v")).mapInArrow(index, "_id long, _v array<bigint>, pivot int, ring int, dist double")).df
-    # The directory has at most MAX_PIVOTS * MAX_RINGS rows.
-    cells = indexed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).orderBy("pivot", "ring").toPandas()
-    g.cells = {c: cells[c].to_numpy() for c in cells}
-    g.cells["subs"] = -(-g.cells["n"] // BLOCK_ROWS)
-    shared = spark.sparkContext.broadcast(g)
-    subs = F.broadcast(spark.createDataFrame([(int(p), int(r), int(s)) for p, r, s in zip(g.cells["pivot"], g.cells["ring"], g.cells["subs"], strict=True)], "pivot int, ring int, subs int"))
-    placed = indexed.join(subs, ["pivot", "ring"]).withColumn("sub", F.pmod(F.xxhash64("_id"), F.col("subs")).cast("int"))
-    blocks = placed.groupBy("pivot", "ring", "sub").agg(F.collect_list(F.struct("_id", "_v")).alias("held"))
-
-    def visits(first: bool):
-        """Annuli of each query: the nearest that hold k others, or all that can hold its bound."""
+    def visits(wave: int):
+        """The blocks of a wave's open annuli, with the places of the queries (in their chunk) that ask for them. A chunk with
+        open annuli beyond an empty wave names block -1, which there isn't."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             geo = shared.value
             c = geo.cells
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                reach = geo.reach(matrix(b.column(1), geo.dim))
-                rows, cols, sub = [], [], []
-                for i in range(len(ids)):
-                    if first:
+                for r in range(b.num_rows):
+                    held = b.column(1).slice(r, 1).flatten()
+                    reach = geo.reach(matrix(held.field(1), geo.dim))
+                    bounds = held.field(2).to_numpy(zero_copy_only=False)
+                    rows, cells, later = [], [], False
+                    for i in range(len(bounds)):
                         order = np.argsort(-reach[i], kind="stable")
-                        seen = np.cumsum(np.minimum(c["n"][order], BLOCK_ROWS // 2))
-                        at = order[: int(np.searchsorted(seen, 2 * k + 2)) + 1]
-                        one = ids[i] % c["subs"][at]
-                    else:
-                        open_ = np.flatnonzero(reach[i] >= b.column(2)[i].as_py())
-                        at = np.repeat(open_, c["subs"][open_])
-                        one = np.arange(len(at)) - np.repeat(np.cumsum(c["subs"][open_]) - c["subs"][open_], c["subs"][open_])
-                    rows.append(np.full(len(at), i))
-                    cols.append(at)
-                    sub.append(one)
-                rows, cols, sub = np.concatenate(rows), np.concatenate(cols), np.concatenate(sub)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), b.column(3).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(c["pivot"][cols].astype(np.int32)), pa.array(c["ring"][cols].astype(np.int32)), pa.array(sub.astype(np.int32))],
-                    ["query_id", "chunk", "bound", "pivot", "ring", "sub"],
-                )
+                        seen = np.cumsum(c["n"][order])
+                        start, end = wave_edge(seen, wave, k), wave_edge(seen, wave + 1, k)
+                        open_ = int((reach[i] >= bounds[i]).sum())
+                        at = order[start : min(end, open_)]
+                        later = later or open_ > max(start, end)
+                        rows.append(np.full(len(at), i))
+                        cells.append(at)
+                    rows, cells = np.concatenate(rows), np.concatenate(cells)
+                    by_cell = np.argsort(cells, kind="stable")
+                    rows, cells = rows[by_cell], cells[by_cell]
+                    at, first = np.unique(cells, return_index=True)
+                    asked = np.split(rows, first[1:]) if len(at) else []
+                    out = [(int(c["pivot"][x]), int(c["ring"][x]), s, a.tolist(), int(c["n"][x]) * len(a) if s == 0 else 0) for x, a in zip(at, asked, strict=True) for s in range(int(c["subs"][x]))]
+                    if not out and later:
+                        out = [(-1, -1, -1, [], 0)]
+                    if out:
+                        pivot, ring, sub, places, n = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([b.column(0)[r].as_py()] * len(out), pa.int32()), pa.array(pivot, pa.int32()), pa.array(ring, pa.int32()), pa.array(sub, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(n, pa.int64())],
+                            ["chunk", "pivot", "ring", "sub", "places", "n"],
+                        )
 
         return run
 
@@ -201,16 +214,16 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
         geo = shared.value
         for b in batches:
             for r in range(b.num_rows):
-                held, asked, chunk = (b.column(i).slice(r, 1).flatten() for i in range(3))
-                place = {q: i for i, q in enumerate(chunk.field(0).to_pylist())}
-                at = np.array([place[q] for q in asked.field(0).to_pylist()])
+                held, places, chunk = (b.column(i).slice(r, 1).flatten() for i in range(3))
+                at = places.to_numpy()
+                asked, bounds = chunk.field(0).to_numpy(zero_copy_only=False)[at], chunk.field(2).to_numpy(zero_copy_only=False)[at]
                 ids = held.field(0).to_numpy(zero_copy_only=False)
                 x, q = matrix(held.field(1), geo.dim), matrix(chunk.field(1), geo.dim)[at]
                 if not geo.exact:
                     x, q = x.astype(np.int64), q.astype(np.int64)
                 s = q @ x.T
                 out = []
-                for i, (query, bound) in enumerate(zip(asked.field(0).to_pylist(), asked.field(1).to_pylist(), strict=True)):
+                for i, (query, bound) in enumerate(zip(asked, bounds, strict=True)):
                     ok = np.flatnonzero((ids != query) & (s[i] >= bound))
                     top = ok[best(s[i][ok], ids[ok], k)]
                     out.append((np.full(len(top), query), ids[top], s[i][top].astype(np.int64)))
@@ -218,26 +231,56 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
                 yield pa.RecordBatch.from_arrays([pa.array(q_, pa.int64()), pa.array(v_, pa.int64()), pa.array(s_, pa.int64())], ["query_id", "vec_id", "score"])
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def answer(asked: DataFrame, first: bool) -> DataFrame:
-        wanted = asked.select("_id", "_v", "bound", "chunk").mapInArrow(visits(first), "query_id long, chunk int, bound double, pivot int, ring int, sub int")
-        # A chunk's queries go to a block together: the visits name them, their vectors come as one matrix for each pair.
-        visited = wanted.groupBy("pivot", "ring", "sub", "chunk").agg(F.collect_list(F.struct("query_id", "bound")).alias("asked"))
-        pairs = visited.join(chunks, "chunk").join(blocks, ["pivot", "ring", "sub"]).select("held", "asked", "vectors")
-        found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
-        return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-
-    near = stored(queries.select("_id", F.col("_v")).mapInArrow(nearest, "_id long, _v array<bigint>, pivot int")).df
-    # Queries of one pivot share the annuli they visit, so chunks are ranges of pivots; a crowded pivot gets chunks of its own.
-    counts = near.groupBy("pivot").agg(F.count("*").alias("m"))
-    ranges = F.broadcast(counts.select("pivot", F.ceil(F.col("m") / QUERY_CHUNK).cast("int").alias("parts"), F.coalesce(F.sum(F.ceil(F.col("m") / QUERY_CHUNK)).over(Window.orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("base")))  # MAX_PIVOTS rows
-    queries = near.join(ranges, "pivot").withColumn("chunk", F.col("base") + F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).select("_id", "_v", "chunk")
-    chunks = queries.groupBy("chunk").agg(F.collect_list(F.struct("_id", "_v")).alias("vectors"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a row here is a block of vectors
-    found = answer(queries.withColumn("bound", F.lit(float("-inf"))), True)
-    bounds = found.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").cast("double").alias("bound"))
-    asked = queries.join(bounds, "_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    return answer(asked, False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with Scratch() as scratch:
+        # Written once: the directory and all waves read it.
+        indexed = scratch.keep(vectors.select("_id", F.col(vec).alias("_v")).mapInArrow(index, "_id long, _v array<bigint>, pivot int, ring int, dist double"))
+        # The directory has at most MAX_PIVOTS * MAX_RINGS rows.
+        cells = indexed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).orderBy("pivot", "ring").toPandas()
+        g.cells = {c: cells[c].to_numpy() for c in cells}
+        g.cells["subs"] = -(-g.cells["n"] // BLOCK_ROWS)
+        near = scratch.keep(queries.select("_id", F.col("_v")).mapInArrow(nearest, "_id long, _v array<bigint>, pivot int"))
+        shared = spark.sparkContext.broadcast(g)
+        subs = F.broadcast(spark.createDataFrame([(int(p), int(r), int(s)) for p, r, s in zip(g.cells["pivot"], g.cells["ring"], g.cells["subs"], strict=True)], "pivot int, ring int, subs int"))
+        placed = indexed.join(subs, ["pivot", "ring"]).withColumn("sub", F.pmod(F.xxhash64("_id"), F.col("subs")).cast("int"))
+        blocks = placed.groupBy("pivot", "ring", "sub").agg(F.collect_list(F.struct("_id", "_v")).alias("held"))
+        # Queries of one pivot share the annuli they visit, so chunks are ranges of pivots; a crowded pivot gets chunks of its own.
+        counts = {r["pivot"]: r["count"] for r in near.groupBy("pivot").count().collect()}  # at most MAX_PIVOTS rows
+        ranges, chunk, filled = [], 0, 0
+        for p in sorted(counts):
+            if filled and filled + counts[p] > QUERY_CHUNK:
+                chunk, filled = chunk + 1, 0
+            parts = -(-counts[p] // QUERY_CHUNK)
+            ranges.append((p, chunk, parts))
+            chunk, filled = (chunk + parts, 0) if parts > 1 else (chunk, filled + counts[p])
+        ranges = F.broadcast(spark.createDataFrame(ranges, "pivot int, base int, parts int"))
+        queries = near.join(ranges, "pivot").withColumn("chunk", F.col("base") + F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).select("_id", "_v", "chunk")
+        top = None
+        try:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_BATCH))
+            for wave in itertools.count():
+                # Each query's k-th score so far bounds it.
+                asked = queries.withColumn("bound", F.lit(float("-inf")))
+                if top is not None:
+                    bounds = top.df.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").cast("double").alias("bound"))
+                    asked = queries.join(bounds, "_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+                chunks = scratch.keep(asked.groupBy("chunk").agg(F.collect_list(F.struct("_id", "_v", "bound")).alias("vectors")))
+                wanted = scratch.keep(chunks.mapInArrow(visits(wave), "chunk int, pivot int, ring int, sub int, places array<int>, n long"))
+                if waves is not None:
+                    waves.append({"pairs": rows_of(wanted), "scored": wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]})
+                if rows_of(wanted) == 0:
+                    break
+                pairs = wanted.join(chunks, "chunk").join(blocks, ["pivot", "ring", "sub"]).select("held", "places", "vectors")
+                found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+                found = found if top is None else found.unionByName(top.df.drop("rank"))
+                after = stored(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k))
+                if top is not None:
+                    top.drop()
+                top = after
+                scratch.drop(chunks, wanted)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    return spark.createDataFrame([], out_schema) if top is None else top.df.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
