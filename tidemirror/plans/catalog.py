@@ -26,7 +26,8 @@ from tidemirror.sources import snapshot as SN
 from tidemirror.sources import wal as W
 from tidemirror.sources.changelog import as_changes, with_commits
 from tidemirror.sources.ordered_log import append_log
-from tidemirror.streaming.mirror_stream import OUT, Mirror, StateTable, buffer_transactions
+from tidemirror.streaming.buffering import OUT, buffer_transactions
+from tidemirror.streaming.mirror_stream import Mirror, StateTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
