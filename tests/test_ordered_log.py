@@ -38,6 +38,36 @@ def test_appended_segments_cover_all_rows_in_order(spark, tmp_path):
     assert len(L.segments_in(*L.file_system(path))) == 5
 
 
+def test_only_routed_tables_and_later_segments_are_read(spark, tmp_path):
+    log, path = changes(spark, 80, seed=3), str(tmp_path / "log")
+    odd = log.withColumns({"src_table": F.lit("a/b=c d"), "seq": F.col("seq") + 1000})
+    L.append_log(with_commits(log.unionByName(odd)), path, 4)
+    assert L.routed_tables(configs(spark)) == ["public.t"] and L.routed_tables(configs(spark).limit(0)) == []
+    every = L.log_changes(spark, path)
+    assert every.count() == 180 and every.columns == log.columns
+    mine = L.log_changes(spark, path, ["public.t"], (39, 2**62))
+    want = {r.lsn for r in log.where("ack_lsn > 39").collect()}
+    assert {r.lsn for r in mine.where("op <> 'commit'").collect()} == want and mine.where("op = 'commit'").count() == 10
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan.split("PushedFilters")[0] and "of#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert L.log_changes(spark, path, ["public.a/b=c d"]).where("op <> 'commit'").count() == 80
+    reader = L.LogReader(None, {"path": path, "tables": '["public.a/b=c d"]'})
+    files = [str(p) for p in (tmp_path / "log").rglob("*.parquet")]
+    taken = [f for f in files if reader.wanted(f)]
+    assert taken and len(taken) < len(files) and not any("of=public.t/" in f for f in taken)
+
+
+def test_the_stream_opens_routed_tables_only(spark, tmp_path):
+    log = changes(spark, 60, seed=4).persist()
+    odd = log.withColumns({"src_table": F.lit("u"), "seq": F.col("seq") + 1000})
+    L.append_log(with_commits(log.unionByName(odd)), str(tmp_path / "log"), 3)
+    m = Mirror(spark, str(tmp_path / "m"), configs(spark), buckets=2)
+    q = m.run_log(str(tmp_path / "log"), str(tmp_path / "q"), routed_only=True)
+    cp = m.checkpoints.read().first()
+    assert shown(m.store.read()) == expected(log.collect()) and (cp.lsn, cp.events_processed) == (59, 60)
+    assert m.metrics().agg(F.sum("events")).first()[0] == 60 and q.exception() is None
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_segments_in_any_order_of_time_give_the_same_mirror(spark, tmp_path, seed):
     """Segments come one by one in random order; each time the query is started and ended."""

@@ -25,7 +25,7 @@ from tidemirror.operators.letters import DeadLetters
 from tidemirror.sources import snapshot as SN
 from tidemirror.sources import wal as W
 from tidemirror.sources.changelog import as_changes, with_commits
-from tidemirror.sources.ordered_log import append_log
+from tidemirror.sources.ordered_log import append_log, log_changes, routed_tables
 from tidemirror.streaming.buffering import OUT, buffer_transactions
 from tidemirror.streaming.mirror_stream import Mirror, StateTable
 
@@ -756,6 +756,31 @@ def stream_layouts(spark, sf_dir):
     return _shown(_mirrored(spark, rows.unionByName(layouts).unionByName(commits)))
 
 
+def _two_tables(spark, sf_dir):
+    """Transactions that hold each event twice: as a row of the routed table and of one that no config routes."""
+    log = event_changes(spark, sf_dir)
+    return with_commits(log.unionByName(log.withColumns({"src_table": F.lit("unrouted"), "seq": F.col("seq") + F.lit(2**40)})))
+
+
+@query(STREAM_SQL)
+def stream_routed_tables(spark, sf_dir):
+    """A log of two tables, whose stream opens the files of the routed one only."""
+    folder = shared_folder(spark)
+    append_log(_two_tables(spark, sf_dir), f"{folder}/log", 3)
+    mirror = Mirror(spark, f"{folder}/m", one(spark, "users"), buckets=8)
+    mirror.run_log(f"{folder}/log", f"{folder}/q", routed_only=True)
+    return _shown(mirror)
+
+
+@query(f"WITH {EV} SELECT 'events' AS src_table, op, count(*) AS n, min(lsn) AS first_lsn FROM ev WHERE ack_lsn > 999 GROUP BY op")
+def pruned_log(spark, sf_dir):
+    """The log as a table from a position on: other tables and segments that end before are pruned by their folders."""
+    path = f"{shared_folder(spark)}/log"
+    append_log(_two_tables(spark, sf_dir), path, 4)
+    rows = log_changes(spark, path, routed_tables(R.active(one(spark, "users"))), (999, 2**62))
+    return rows.where("op <> 'commit'").groupBy("src_table", "op").agg(F.count("*").alias("n"), F.min("lsn").alias("first_lsn"))
+
+
 @query(STREAM_SQL)
 def stream_late_segments(spark, sf_dir):
     """The log's segments come in an order of their own: the last ones first, one in the middle at the very end. Nothing behind a

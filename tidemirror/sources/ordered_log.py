@@ -10,7 +10,9 @@ positions of the log:
 * segments that overlap stop the query: no row is delivered twice or passed over;
 * after a restart reading goes on behind the last offset in Spark's own offset log.
 
-One task reads one segment, in Arrow batches, and only the names of segments are listed on the driver.
+One task reads one segment, in Arrow batches, and only the names of segments are listed on the driver. Within a segment the
+rows of each source table have a folder of their own (``of=<schema>.<table>``), rows without a table (commits) one more. So a
+reader that is told the routed tables opens only their files, as a stream (option ``tables``) and as a table (``log_changes``).
 """
 
 from __future__ import annotations
@@ -18,19 +20,23 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from urllib.parse import unquote
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidemirror.sources.changelog import SCHEMA
 
+#: The folder of a table's rows in a segment; rows without a table are in Spark's folder for null.
+OF = re.compile(r"/of=([^/]+)/")
+NO_TABLE = "__HIVE_DEFAULT_PARTITION__"
 NAME = re.compile(r"segment=(\d+)\.(\d+)-(\d+)\.(\d+)$")
 Position = tuple[int, int]
 START: Position = (0, 0)
@@ -84,6 +90,7 @@ class LogReader(DataSourceStreamReader):
         self.schema, self.options = schema, options
         self.path = options["path"]
         self.most = int(options.get("segments_per_batch", 1 << 30))
+        self.tables = {*json.loads(options["tables"]), NO_TABLE} if "tables" in options else None
         # After a restart; a first micro-batch that is run again still begins at the log's start.
         self.at: Position = tuple(json.loads(options["from"])) if "from" in options else START
 
@@ -114,13 +121,18 @@ class LogReader(DataSourceStreamReader):
 
         fs, folder = file_system(partition.folder)
         want = to_arrow_schema(self.schema)
-        for info in fs.get_file_info(pafs.FileSelector(folder)):
-            if info.path.endswith(".parquet"):
+        for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
+            if info.path.endswith(".parquet") and self.wanted(info.path):
                 with pq.ParquetFile(info.path, filesystem=fs) as file:
                     for batch in file.iter_batches(8_192, columns=want.names):
                         yield pa.RecordBatch.from_arrays([batch.column(n).cast(want.field(n).type) for n in want.names], schema=want)
 
 
+    def wanted(self, path: str) -> bool:
+        of = OF.search(path)
+        return self.tables is None or of is None or unquote(of.group(1)) in self.tables
+
+
 class OrderedLog(DataSource):
     """``spark.readStream.format("ordered_log").option("path", ...)``"""
 
@@ -152,12 +164,15 @@ def last_offset(spark: SparkSession, checkpoint: str) -> Position | None:
     return offset["ack_lsn"], offset["seq"]
 
 
-def read_log(spark: SparkSession, path: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "wait", schema: str | StructType = SCHEMA) -> DataFrame:
-    """The log as a stream, for a query with this checkpoint folder."""
+def read_log(spark: SparkSession, path: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "wait", schema: str | StructType = SCHEMA, tables: list[str] | None = None) -> DataFrame:
+    """The log as a stream, for a query with this checkpoint folder; with ``tables`` only those tables' rows, and rows without
+    a table."""
     spark.dataSource.register(OrderedLog)
     reader = spark.readStream.format("ordered_log").schema(schema).option("path", path).option("on_gap", on_gap)
     if segments_per_batch:
         reader = reader.option("segments_per_batch", segments_per_batch)
+    if tables is not None:
+        reader = reader.option("tables", json.dumps(tables))
     at = last_offset(spark, checkpoint)
     return (reader if at is None else reader.option("from", json.dumps(at))).load()
 
@@ -166,6 +181,27 @@ def position_text(at: Position) -> str:
     return f"{at[0]:020d}.{at[1]:020d}"
 
 
+def table_name() -> Column:
+    """schema.table of a change; null if it has no table."""
+    return F.when(F.col("src_table").isNotNull(), F.concat_ws(".", "src_schema", "src_table"))
+
+
+def routed_tables(configs: DataFrame) -> list[str]:
+    """The tables that configs route, by name. Configs are kept by hand, so these are few."""
+    return [r["t"] for r in configs.select(table_name().alias("t")).where("t IS NOT NULL").distinct().orderBy("t").collect()]
+
+
+def log_changes(spark: SparkSession, path: str, tables: list[str] | None = None, after: Position | None = None) -> DataFrame:
+    """The log as a table. Segments that end at or before ``after``, and tables that aren't named, are pruned by their folders."""
+    rows = spark.read.schema(f"{SCHEMA}, segment string, of string").option("basePath", path).parquet(path)
+    if tables is not None:
+        rows = rows.where(F.col("of").isNull() | F.col("of").isin(tables))
+    if after is not None:
+        behind = (F.col("ack_lsn") > after[0]) | ((F.col("ack_lsn") == after[0]) & (F.col("seq") > after[1]))
+        rows = rows.where(F.substring_index("segment", "-", -1) > position_text(after)).where(behind)
+    return rows.drop("segment", "of")
+
+
 def append_log(changes: DataFrame, path: str, segments: int = 1, after: Position | None = None) -> None:
     """Append changes, all behind the log's end (or behind ``after``), as segments of about equal size.
 
@@ -177,9 +213,9 @@ def append_log(changes: DataFrame, path: str, segments: int = 1, after: Position
     if after is None:
         ends = [tuple(map(int, m.groups()[2:])) for m in (NAME.search(s.getPath().getName()) for s in fs.listStatus(place(path))) if m]
         after = max(ends, default=START)
-    parts = changes.repartitionByRange(segments, "ack_lsn", "seq").sortWithinPartitions("ack_lsn", "seq").withColumn("_part", F.spark_partition_id())
+    parts = changes.repartitionByRange(segments, "ack_lsn", "seq").sortWithinPartitions("ack_lsn", "seq").withColumns({"_part": F.spark_partition_id(), "of": table_name()})
     beside = f"{path}/.writing-{uuid.uuid4().hex}"
-    parts.write.partitionBy("_part").parquet(beside)
+    parts.write.partitionBy("_part", "of").parquet(beside)
     ends = spark.read.parquet(beside).groupBy("_part").agg(F.min(F.struct("ack_lsn", "seq")).alias("first"), F.max(F.struct("ack_lsn", "seq")).alias("last")).orderBy("first").collect()  # one row for each segment
     if ends and tuple(ends[0]["first"]) <= after:
         fs.delete(place(beside), True)

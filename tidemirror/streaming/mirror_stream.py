@@ -35,7 +35,7 @@ from tidemirror.operators.letters import DeadLetters
 from tidemirror.operators.mirror import MirrorStore, read_text, write_text
 from tidemirror.sources.changelog import COLUMNS
 from tidemirror.sources.changelog import SCHEMA as CHANGE_SCHEMA
-from tidemirror.sources.ordered_log import read_log
+from tidemirror.sources.ordered_log import read_log, routed_tables
 
 #: Rows by place: values in the order of the table's layout; a layout row holds the columns' names and their types.
 PLACED_SCHEMA = "lsn long, seq long, xid long, ack_lsn long, commit_us long, relation_id long, src_schema string, src_table string, op string, cols array<string>, old_cols array<string>, unchanged array<string>"
@@ -284,9 +284,11 @@ class Mirror:
                 query.stop()
         return query
 
-    def run_log(self, log: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "fail", available_now: bool = True, schema: str | StructType = CHANGE_SCHEMA):
-        """The continuous mirror of a log of ordered segments: rows come in log order, whatever came first to the folder."""
-        return self.run(read_log(self.spark, log, checkpoint, segments_per_batch, on_gap, schema), checkpoint, available_now)
+    def run_log(self, log: str, checkpoint: str, segments_per_batch: int | None = None, on_gap: str = "fail", available_now: bool = True, schema: str | StructType = CHANGE_SCHEMA, routed_only: bool = False):
+        """The continuous mirror of a log of ordered segments: rows come in log order, whatever came first to the folder. With
+        ``routed_only`` files of tables that no config routes aren't opened; their events don't count for ``most_events`` then."""
+        tables = routed_tables(R.active(self.configs)) if routed_only else None
+        return self.run(read_log(self.spark, log, checkpoint, segments_per_batch, on_gap, schema, tables), checkpoint, available_now)
 
     # ------------------------------------------------------------ backfill
 
