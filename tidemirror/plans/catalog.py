@@ -25,7 +25,7 @@ from tidemirror.operators.letters import DeadLetters
 from tidemirror.sources import snapshot as SN
 from tidemirror.sources import wal as W
 from tidemirror.sources.changelog import as_changes, with_commits
-from tidemirror.sources.ordered_log import append_log, log_changes, routed_tables
+from tidemirror.sources.ordered_log import append_log, log_changes, read_log, routed_tables
 from tidemirror.streaming.buffering import OUT, buffer_transactions
 from tidemirror.streaming.mirror_stream import Mirror, StateTable
 
@@ -899,15 +899,21 @@ def process_transform(spark, sf_dir):
 
 @query("SELECT event_id AS seq, event_id // 10 AS xid, event_type AS payload, (event_id // 10) * 10 + 9 AS ack_lsn FROM events WHERE event_id // 10 % 5 <> 3")
 def buffered_transactions(spark, sf_dir):
-    """Rows and commits of a stream, mixed over micro-batches; every fifth transaction never commits."""
+    """Rows and commits of a stream, mixed over micro-batches; every fifth transaction never commits. They come from an ordered
+    log, since a commit must not be read before its rows: a row's position is (its number, 1), its transaction's commit is next."""
     e, folder = table(spark, sf_dir, "events"), shared_folder(spark)
     xid, none = F.floor(F.col("event_id") / 10), F.lit(None).cast("long")
-    rows = e.select(xid.alias("xid"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"), F.lit(False).alias("is_commit"), none.alias("ack_lsn"), none.alias("commit_us"))
-    commits = rows.where("xid % 5 <> 3").groupBy("xid").agg(F.max("seq").alias("seq")).select("xid", "seq", F.lit(None).cast("string").alias("payload"), F.lit(True).alias("is_commit"), (F.col("xid") * 10 + 9).alias("ack_lsn"), F.lit(0).cast("long").alias("commit_us"))
-    rows.unionByName(commits).repartitionByRange(3, "seq", "is_commit").write.parquet(f"{folder}/log")
-    stream = spark.readStream.schema("xid long, seq long, payload string, is_commit boolean, ack_lsn long, commit_us long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
-    query_ = buffer_transactions(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/q").trigger(availableNow=True).start(f"{folder}/out")
-    query_.awaitTermination()
+    base = {"seq": F.lit(1).cast("long"), "src_schema": F.lit(None).cast("string"), "src_table": F.lit(None).cast("string")}
+    rows = e.select(xid.alias("xid"), F.col("event_id").alias("ack_lsn"), F.col("event_type").alias("payload"), F.lit(False).alias("is_commit"), none.alias("end_lsn"), none.alias("commit_us")).withColumns(base)
+    commits = rows.where("xid % 5 <> 3").groupBy("xid").agg(F.max("ack_lsn").alias("ack_lsn")).withColumns({**base, "seq": F.lit(2).cast("long"), "is_commit": F.lit(True), "end_lsn": F.col("xid") * 10 + 9, "commit_us": F.lit(0).cast("long")})
+    append_log(rows.unionByName(commits, allowMissingColumns=True), f"{folder}/log", 3)
+    placed = read_log(spark, f"{folder}/log", f"{folder}/q", 1, schema="xid long, ack_lsn long, seq long, payload string, is_commit boolean, end_lsn long, commit_us long")
+    stream = placed.select("xid", F.col("ack_lsn").alias("seq"), "payload", "is_commit", F.col("end_lsn").alias("ack_lsn"), "commit_us")
+    query_ = buffer_transactions(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/q").start(f"{folder}/out")
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
     return spark.read.schema(OUT).parquet(f"{folder}/out").select("seq", "xid", "payload", "ack_lsn")
 
 
