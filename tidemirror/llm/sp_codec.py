@@ -31,7 +31,7 @@ from .common import table, text_batches
 BLANK = "▁"
 #: Cuts of the young generation that a worker remembers; when it is full it becomes the old one, whose cuts go unless they
 #: are met again.
-CACHE = 60_000
+CACHE = 200_000
 #: Pairs of tokens a worker remembers.
 PAIRS = 2_000_000
 MODEL = "piece_bpe_32k.model"
