@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -90,6 +91,18 @@ def test_layouts(spark):
     assert {r.seq for r in X.schema_changes(relations).where("breaking").collect()} == {20, 30, 40}
 
 
+def test_many_layouts_are_filled_forward(spark):
+    """Rows and layouts meet in one order, not pair by pair (no join), whatever rows have no relation or come before any layout."""
+    rng = random.Random(5)
+    layouts = [(s, r, f"{r}@{s}") for r in (1, 2) for s in sorted(rng.sample(range(400), 60))] + [(3, None, "none")]
+    rows = [(s, rng.choice([1, 2, 9, None])) for s in rng.choices(range(400), k=500)]
+    events = spark.createDataFrame(rows, "seq long, relation_id long")
+    got = X.with_relation(events, spark.createDataFrame(layouts, "seq int, relation_id int, name string"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == ["seq", "relation_id", "name"]
+    want = [(s, r, max(((a, n) for a, k, n in layouts if k == r and k is not None and a <= s), default=(0, None))[1]) for s, r in rows]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_routing(spark):
     cfg = spark.createDataFrame([("u", "nu", "public", "t", "id", "int", None, None), ("v", "nv", "public", "t", "name", "string", None, None), ("w", "nw", "public", "other", "id", "int", None, None), ("x", "nx", "public", "t", "id", "int", None, 5)], CONFIG)
     changes = log(spark, [
