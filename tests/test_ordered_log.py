@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -38,6 +39,24 @@ def test_appended_segments_cover_all_rows_in_order(spark, tmp_path):
     assert len(L.segments_in(*L.file_system(path))) == 5
 
 
+def test_a_large_segment_has_many_files_and_tasks(spark, tmp_path, monkeypatch):
+    log, path = with_commits(changes(spark, 400, seed=6)), str(tmp_path / "log")
+    monkeypatch.setattr(L, "PIECE_ROWS", 25)
+    L.append_log(log, path, 2)
+    found = L.segments_in(*L.file_system(path))
+    assert len(found) == 2 and L.chain(found, L.START) == (found, None)
+    files = [f for f in (tmp_path / "log").rglob("*.parquet")]
+    rows = [pq.ParquetFile(f).read(["ack_lsn", "seq"]).to_pylist() for f in files]
+    assert max(map(len, rows)) < 100 and sum(map(len, rows)) == 500 and all(r == sorted(r, key=lambda x: (x["ack_lsn"], x["seq"])) for r in rows)
+    reader = L.LogReader(None, {"path": path})
+    (a, s), (b, t) = L.START, found[-1][1]
+    parts = lambda: reader.partitions({"ack_lsn": a, "seq": s}, {"ack_lsn": b, "seq": t})
+    assert len(parts()) == 1  # small files are read together
+    monkeypatch.setattr(L, "READ_BYTES", 1)
+    assert sorted(p for f in parts() for p in f.paths) == sorted(map(str, files)) and len(parts()) == len(files) > 8
+    assert L.packed([[("a", 3), ("b", 1)], [], [("c", 1)]]) == [["a"], ["b"], ["c"]] and L.packed([]) == []
+
+
 def test_only_routed_tables_and_later_segments_are_read(spark, tmp_path):
     log, path = changes(spark, 80, seed=3), str(tmp_path / "log")
     odd = log.withColumns({"src_table": F.lit("a/b=c d"), "seq": F.col("seq") + 1000})
