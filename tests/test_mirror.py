@@ -380,6 +380,17 @@ def test_replay_every_so_many_batches_and_drain_at_the_start(spark, tmp_path):
     assert {r.retry_count for r in n.dlq.read().collect()} == {2}
 
 
+def test_a_drain_replays_all_dead_letters_in_one_pass(spark, tmp_path, monkeypatch):
+    ids, passes = spark.range(1, 10_502, numPartitions=2), []
+    m = Mirror(spark, str(tmp_path / "m"), configs(spark), buckets=2, clock=lambda: 1, source=lambda: ids)
+    rows = ids.select(F.lit("c").alias("config"), F.col("id").alias("lsn"), F.col("id").alias("seq"), F.col("id").cast("string").alias("id"), F.lit("int").alias("id_type"), F.lit("update").alias("op"), F.lit("e").alias("error"))
+    m.dlq.append(D.entries(rows, 1), 0)
+    real = m.replay
+    monkeypatch.setattr(m, "replay", lambda *args: passes.append(real(*args)) or passes[-1])
+    m.drain()
+    assert passes == [10_501] and m.dlq.read().isEmpty() and m.store.read().count() == 10_501
+
+
 def test_ids_that_cannot_be_read_are_permanent_dead_letters(spark, tmp_path):
     log = changes(spark, 8, seed=1).withColumn("new", F.when(F.col("lsn") == 2, F.create_map(F.lit("id"), F.lit("x"))).otherwise(F.col("new"))).withColumn("op", F.when(F.col("lsn") == 2, "insert").otherwise(F.col("op")))
     m = Mirror(spark, str(tmp_path / "m"), configs(spark), buckets=2, clock=lambda: 5)
