@@ -146,3 +146,27 @@ def test_sub_batches_of_a_large_transaction_in_segments(spark):
     rows = spark.range(1000).selectExpr("CASE WHEN id < 900 THEN 1 ELSE id END AS xid", "id * 3 AS seq")
     got = {(r.xid, r.seq): r.chunk_no for r in X.sub_batches(rows, 7, segment=50).collect()}
     assert got == {(1 if i < 900 else i, i * 3): i // 7 if i < 900 else 0 for i in range(1000)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_layouts_are_looked_up(spark, monkeypatch, few):
+    """Rows of few layouts aren't put in order; positions stay whole beside nulls, and either way gives the same."""
+    if not few:
+        monkeypatch.setattr(X, "SMALL_ROWS", 2)
+    big = 2**62
+    layouts = [(big, 1, "a"), (big + 1, 1, "b"), (big + 3, 1, "c"), (5, 2, "d"), (None, 2, "none"), (7, None, "none")]
+    rows = [(big + i, 1) for i in range(-1, 5)] + [(4, 2), (5, 2), (None, 2), (9, None), (9, 3)]
+    got = X.with_relation(spark.createDataFrame(rows, "seq long, relation_id long"), spark.createDataFrame(layouts, "seq long, relation_id long, name string"))
+    assert ("Window" in got._jdf.queryExecution().executedPlan().toString()) != few
+    want = [(s, r, max(((a, n) for a, k, n in layouts if None not in (a, k, s, r) and k == r and a <= s), default=(0, None))[1]) for s, r in rows]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    none = X.with_relation(spark.createDataFrame(rows, "seq long, relation_id long"), spark.createDataFrame([], "seq long, relation_id long, name string"))
+    assert {r.name for r in none.collect()} == {None} and none.count() == len(rows)
+
+
+def test_a_table_of_one_row_group_is_dealt_before_it_is_worked_on(spark, tmp_path):
+    from tidemirror.plans import catalog
+
+    spark.range(1000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "'{}' AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for made in (catalog._as_wal(spark, str(tmp_path)), catalog.event_changes(spark, str(tmp_path), deal=True)):
+        assert "Exchange hashpartitioning(event_id" in made._jdf.queryExecution().executedPlan().toString()

@@ -179,11 +179,17 @@ def _readable(columns: Column, cols: Column) -> Column:
     return F.transform(cols, lambda v, i: F.struct(F.coalesce(F.try_element_at(columns, i + 1)["name"], F.lit("?")).alias("name"), text(v).alias("value")))
 
 
-def inspection_view(messages: DataFrame) -> DataFrame:
-    """(seq, type, line): one JSON line for each message, with the table layout valid at it."""
+def layouts(df: DataFrame, data: str = "data", seq: str = "seq") -> DataFrame:
+    """The layouts of a table (seq, data) of messages; only their messages are decoded."""
+    return relation_versions(decode(df.where(F.substring(data, 1, 1) == F.lit(b"R")), data, seq))
+
+
+def inspection_view(messages: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(seq, type, line): one JSON line for each message, with the table layout valid at it (``versions``: the messages' layouts,
+    if they are at hand)."""
     from tidemirror.operators.transactions import with_relation
 
-    joined = with_relation(messages.drop("src_schema", "src_table", "columns"), relation_versions(messages))
+    joined = with_relation(messages.drop("src_schema", "src_table", "columns"), relation_versions(messages) if versions is None else versions)
     table = F.coalesce(F.concat_ws(".", F.col("src_schema"), F.col("src_table")), F.lit("?"))
     table = F.when(F.col("src_table").isNull(), F.lit("?")).otherwise(table)
     t = F.col("tag")
