@@ -221,3 +221,23 @@ def test_metrics_have_lags(spark, tmp_path):
     m.apply(with_commits(log), 0)
     r = m.metrics().first()
     assert (r.lag_ms, r.processed, r.failed, r.requests) == (4_000, 5, 3, 2)
+
+
+def test_the_mirror_reads_the_files_of_the_log(spark, tmp_path):
+    """The stream brings names of files; rows are read off the log by Spark, and aren't written a second time."""
+    log, path = with_commits(changes(spark, 60, seed=2)), str(tmp_path / "log")
+    L.append_log(log, path, 3)
+    seen = []
+
+    class Watched(Mirror):
+        def apply(self, rows, batch_id, *stored):
+            seen.append((stored, rows.inputFiles()))
+            super().apply(rows, batch_id, *stored)
+
+    mirror = Watched(spark, str(tmp_path / "m"), configs(spark), buckets=4)
+    mirror.run_log(path, str(tmp_path / "q"), 2)
+    assert [s for s, _ in seen] == [(True,), (True,)] and not (tmp_path / "m" / "batch").exists()
+    files = [f for _, own in seen for f in own]
+    assert len(files) == len(set(files)) == len(list((tmp_path / "log").rglob("*.parquet")))
+    assert shown(mirror.store.read()) == expected(log.where("op <> 'commit'").collect())
+    assert L.rows_of_files(spark, [], path).count() == 0
