@@ -4,6 +4,9 @@ Rows are kept in sorted pieces of bounded size. A micro-batch only adds pieces,
 however many batches its transaction goes; a piece's number and first position are one small entry of a list. With the commit
 the pieces are merged in order of position, each read when its first row is due: a transaction that came in order needs one
 piece in memory at a time, however large it is.
+
+A call to the state costs much more than a row. So transactions are dealt into buckets, each a key of the state: what begins
+and ends in one micro-batch never reaches the state, and one call tells which transactions of a bucket are open.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "xid long, seq long, payload string, ack_lsn long, commit_us long"
 #: Rows of a piece, and pieces of one micro-batch that wait in memory before they go to the state.
 PIECE_ROWS, PIECES = 1_000, 64
+#: Keys of the state over which transactions are dealt (without a timeout), and the bucket of rows without an xid.
+BUCKETS, NO_XID = 1_024, -1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Piece = tuple[list[int], list[str | None]]
 
@@ -49,6 +55,8 @@ def merged(starts: list[tuple[int, int]], piece) -> Iterator[tuple[int, str | No
 
 
 class OpenTransactions(StatefulProcessor):
+    """One transaction, with timers: the key is its xid."""
+
     def __init__(self, wait_ms: int | None):
         self.wait_ms = wait_ms
 
@@ -121,6 +129,70 @@ class OpenTransactions(StatefulProcessor):
         pass
 
 
+class OpenBuckets(StatefulProcessor):
+    """The transactions of a bucket. ``open`` holds the first positions of the stored pieces of each that is open."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "xid long", "firsts array<long>")
+        self.pieces = handle.getMapState("pieces", "xid long, number long", "seqs array<long>, payloads array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        starts = {int(x[0]): [int(s) for s in v[0]] for x, v in self.open.iterator()}
+        marks: dict[int, tuple[int, int]] = {}
+        held, n = [], 0
+        for frame in rows:
+            if key[0] == NO_XID:
+                frame = frame.assign(xid=0)
+            ends = frame[frame["is_commit"]]
+            for xid, ack, us in zip(ends["xid"].tolist(), ends["ack_lsn"].tolist(), ends["commit_us"].tolist(), strict=True):
+                marks.setdefault(int(xid), (int(ack), int(us)))
+            held.append(frame.loc[~frame["is_commit"], ["xid", "seq", "payload"]])
+            n += len(held[-1])
+            if n >= PIECES * PIECE_ROWS:
+                self.keep(pd.concat(held), starts)
+                held, n = [], 0
+        if n:
+            fresh = pd.concat(held)
+            closed = fresh["xid"].isin(list(marks.keys() - starts.keys()))
+            self.keep(fresh[~closed], starts)
+            own = fresh[closed].sort_values(["xid", "seq"], kind="stable")
+            for i in range(0, len(own), PIECE_ROWS):
+                part = own.iloc[i : i + PIECE_ROWS]
+                yield self.frame(key, part["xid"].tolist(), part["seq"].tolist(), part["payload"].tolist(), [marks[x] for x in part["xid"].tolist()])
+        for xid in sorted(marks.keys() & starts.keys()):
+            yield from self.stored(key, xid, starts[xid], marks[xid])
+            for number in range(len(starts[xid])):
+                self.pieces.removeKey((xid, number))
+            self.open.removeKey((xid,))
+
+    def keep(self, rows: pd.DataFrame, starts: dict[int, list[int]]) -> None:
+        """Store rows as pieces of their transactions."""
+        for xid, own in rows.groupby("xid", sort=False):
+            firsts = starts.setdefault(int(xid), [])
+            for piece in cut(own):
+                self.pieces.updateValue((int(xid), len(firsts)), piece)
+                firsts.append(piece[0][0])
+            self.open.updateValue((int(xid),), (firsts,))
+
+    def stored(self, key: tuple, xid: int, firsts: list[int], mark: tuple[int, int]) -> Iterator[pd.DataFrame]:
+        seqs, payloads = [], []
+        for seq, payload in merged([(s, i) for i, s in enumerate(firsts)], lambda number: tuple(self.pieces.getValue((xid, number)))):
+            seqs.append(seq)
+            payloads.append(payload)
+            if len(seqs) == PIECE_ROWS:
+                yield self.frame(key, [xid] * len(seqs), seqs, payloads, [mark] * len(seqs))
+                seqs, payloads = [], []
+        if seqs:
+            yield self.frame(key, [xid] * len(seqs), seqs, payloads, [mark] * len(seqs))
+
+    def frame(self, key: tuple, xids: list[int], seqs: list[int], payloads: list, marks: list[tuple[int, int]]) -> pd.DataFrame:
+        xid = pd.array([None] * len(xids) if key[0] == NO_XID else xids, "Int64")
+        return pd.DataFrame({"xid": xid, "seq": seqs, "payload": [None if pd.isna(p) else p for p in payloads], "ack_lsn": [m[0] for m in marks], "commit_us": [m[1] for m in marks]})
+
+    def close(self) -> None:
+        pass
+
+
 def buffer_transactions(messages: DataFrame, timeout: str | None = None) -> DataFrame:
     """Rows (xid, seq, payload, is_commit, ack_lsn, commit_us) of a stream whose transactions mix, held back by xid until their
     commit and then given in order of seq. A transaction's state goes with its commit; rows must not come in a later
@@ -130,5 +202,11 @@ def buffer_transactions(messages: DataFrame, timeout: str | None = None) -> Data
     and transactions that never commit are forgotten (under a continuous trigger only: Spark goes on making batches).
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    wait = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return messages.groupBy("xid").transformWithStateInPandas(OpenTransactions(wait), OUT, "Append", "None" if wait is None else "ProcessingTime")
+    # Nulls would make pandas read positions as floats.
+    whole = {c: F.when(~F.col("is_commit"), F.coalesce(c, F.lit(0))).otherwise(F.col(c)).cast("long") for c in ("ack_lsn", "commit_us")}
+    messages = messages.withColumns(whole)
+    if timeout is None:
+        bucket = F.when(F.col("xid").isNull(), NO_XID).otherwise(F.pmod(F.xxhash64("xid"), F.lit(BUCKETS)).cast("int"))
+        return messages.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(OpenBuckets(), OUT, "Append", "None")
+    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    return messages.groupBy("xid").transformWithStateInPandas(OpenTransactions(wait), OUT, "Append", "ProcessingTime")
