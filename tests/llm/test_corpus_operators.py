@@ -324,6 +324,20 @@ def test_overlaps_equal_brute_force_and_items_without_id_count(spark):
     assert {r.doc_id for r in decontaminate.clean(frame, tests).collect()} == {d for d, _ in docs} - {d for d, _, _, _ in want}
 
 
+def test_overlaps_are_verified_once(spark, monkeypatch, capsys):
+    frame = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(30)))], "doc_id long, text string")
+    keep, plans = decontaminate.stored, []
+
+    def planned(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return keep(df)
+
+    monkeypatch.setattr(decontaminate, "stored", planned)
+    assert decontaminate.overlaps(frame, frame.withColumnRenamed("doc_id", "item_id")).count() == 1
+    assert [p.count("ArrowEvalPython [") for p in plans] == [1]  # each one is a Python worker more for a task
+
+
 def test_every_passing_overlap_holds_a_seed():
     masks, bits = [int(m, 2) for m in decontaminate.MASKS], max(map(len, decontaminate.MASKS)) - 1
     # Most matches of a row of n words without a seed, by its last words.

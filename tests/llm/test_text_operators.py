@@ -104,6 +104,16 @@ def test_language_id(spark, sf_dir, odd_documents):
     assert [odd[i].lang_pred for i in (3, 4, 5, 10)] == ["und"] * 4 and all(odd[i].rejected for i in (3, 4, 5, 10)) and odd[7].lang_pred in LANGS
 
 
+def test_language_bags_lie_in_large_arrays():
+    texts = [t for _, _, t in _texts(600)] + ["", "Ä"]
+    bags = langid.Bags(texts)
+    assert len(bags.parts) == -(-len(texts) // langid.Bags.TEXTS)
+    for i, t in enumerate(texts):
+        three, four = langid.subwords(np.frombuffer(b"    " + t.lower().encode() + b"    ", np.uint8))
+        ids, n = np.unique(np.concatenate((three, four)), return_counts=True)
+        assert np.array_equal(bags[i][0], ids) and np.array_equal(bags[i][1], (n / n.sum()).astype(np.float32))
+
+
 def test_long_text_in_windows_equals_whole(monkeypatch):
     model = langid.train([t for _, _, t in _texts(200)], [lang for _, lang, _ in _texts(200)])
     text = (" ".join(LANGS["fr"]) * 400).encode()

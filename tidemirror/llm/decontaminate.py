@@ -182,7 +182,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
         weight = tests.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
         same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a._rk") == F.col("t._rk"))
         both = aligned.alias("a").join(texts.select("doc_id", "_rk", "words").alias("t"), same).select("a.doc_id", "a._rk", "_ik", "diagonals", "words")
-        check = F.pandas_udf(verify, "start int, stop int, matches int, item_words int, similarity double")
+        # Else the filter on its result would have Spark verify twice, with a second Python worker for each task.
+        check = F.pandas_udf(verify, "start int, stop int, matches int, item_words int, similarity double").asNondeterministic()
         checked = both.join(small(bodies, bound) if weight <= BODY_BOUND else bodies, "_ik").withColumn("_v", check("words", "item", "diagonals"))
         enough: Column = F.col("matches") >= F.least(F.lit(MIN_MATCH), F.ceil(F.lit(ITEM_SHARE) * F.col("item_words")))
         return stored(checked.select("doc_id", "_rk", "item_id", "_v.*").where(enough & (F.col("similarity") >= MIN_SIMILARITY))).df

@@ -75,6 +75,30 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
+class Bags:
+    """Each text's buckets and their shares. They lie in a few large arrays, which the process gives back when they have served;
+    many thousand small ones would stay in its heap."""
+
+    TEXTS = 256
+
+    def __init__(self, texts: list[str]) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for first in range(0, len(texts), self.TEXTS):
+            found = [self._bag(t) for t in texts[first : first + self.TEXTS]]
+            self.parts.append((np.cumsum([0, *(len(ids) for ids, _ in found)]), *map(np.concatenate, zip(*found, strict=True))))
+
+    @staticmethod
+    def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+        three, four = subwords(np.frombuffer(_PAD + as_bytes([text.lower()])[0] + _PAD, np.uint8))
+        ids, n = np.unique(np.concatenate((three, four)), return_counts=True)
+        return ids.astype(np.uint16), (n / n.sum()).astype(np.float32)  # BUCKET_BITS are fewer than 16
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, ids, shares = self.parts[i // self.TEXTS]
+        a, b = at[i % self.TEXTS], at[i % self.TEXTS + 1]
+        return ids[a:b].copy(), shares[a:b].copy()
+
+
 def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     """Stochastic gradient descent over texts, one at a time."""
     langs = sorted(set(labels))
@@ -83,12 +107,8 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
         return Model([], np.zeros((size, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     y = np.array([langs.index(x) for x in labels])
-    bags = []
-    for t in as_bytes([t.lower() for t in texts]):
-        three, four = subwords(np.frombuffer(_PAD + t + _PAD, np.uint8))
-        ids, n = np.unique(np.concatenate((three, four)), return_counts=True)
-        bags.append((ids, (n / n.sum()).astype(np.float32)))
-    order = rng.permutation(len(bags))
+    bags = Bags(texts)
+    order = rng.permutation(len(texts))
     held, learn = order[: len(order) // 10], order[len(order) // 10 :]
     emb = rng.uniform(-0.5, 0.5, (size, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(langs)), np.float32)
