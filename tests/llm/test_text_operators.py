@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemirror.llm import html_extract, langid, license_scan, quality_mil, sharding, sp_codec
+from tidemirror.llm import common, html_extract, langid, license_scan, quality_mil, sharding, sp_codec
 
 # ---------------------------------------------------------------- op1
 
@@ -370,3 +370,53 @@ def test_text_behind_unclosed_elements_is_read(page, kept):
 
     got = " ".join(words(html_extract.parse(page)))
     assert "no" not in got.split() and got.replace(" ", "") == "".join(kept)
+
+
+def test_a_worker_forgets_the_tokenizer_for_other_operators():
+    path = sp_codec.model_path()
+    first = sp_codec.codec(path)
+    assert sp_codec.codec(path) is first
+    common.forget()
+    assert sp_codec.codec(path) is not first
+
+
+def test_language_tasks_drop_what_the_tokenizer_left_in_their_worker(spark):
+    def tokenize(batches):
+        for batch in batches:
+            sp_codec.codec(sp_codec.model_path())
+            yield batch.assign(text="plain words of a text", held=len(sp_codec._codecs))
+
+    def left(batches):
+        for batch in batches:
+            yield batch.assign(held=len(sp_codec._codecs))[["held"]]
+
+    # One task at a time, so one worker after another does all three.
+    one = spark.range(1).coalesce(1)
+    assert one.mapInPandas(tokenize, "id long, text string, held long").first()["held"] == 1
+    texts = one.selectExpr("'plain words of a text' AS text")
+    langid.identify(texts, langid.train(["plain words", "des mots"] * 20, ["en", "fr"] * 20)).collect()
+    assert one.mapInPandas(left, "held long").first()["held"] == 0
+
+
+def test_cuts_are_remembered_as_their_ids_alone():
+    c = sp_codec.Codec(sp_codec.model_path())
+    text = "some plain words, twice: some plain words"
+    ids, n, back = c.coded(text)
+    assert (ids, n, back) == (",".join(map(str, c.encode(text))), len(c.encode(text)), text)
+    assert c.cuts and all(isinstance(x, str) for x in c.cuts.values())
+    odd = "a \x00 b" + "�<0x41>" + sp_codec.BLANK + " 🙂"
+    ids, n, back = c.coded(odd)
+    assert (ids, n, back) == (",".join(map(str, c.encode(odd))), len(c.encode(odd)), c.decode(c.encode(odd)))
+
+
+def test_powers_of_long_texts_do_not_stay_in_the_worker():
+    n = 3 * common.POWERS
+    up, down = common._powers(n)
+    assert len(up) == len(down) == n and (up[1:5] * down[1:5] == 1).all() and (up[-1:] * down[-1:] == 1).all()
+    assert all(len(p) <= common.POWERS for p in common._pow)
+    words = [b"longer " * 200_000, b"x y z"]
+    for text in words:  # the same hashes whatever is remembered
+        buf = np.frombuffer(text, np.uint8)
+        at = np.arange(0, len(text) - 1, max(1, len(text) // 5))
+        one = [common.span_hashes(buf[a : a + 1], np.array([0]), np.array([1]))[0] for a in at]
+        assert common.span_hashes(buf, at, at + 1).tolist() == [int(x) for x in one]

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Stored, as_bytes, blocks, join_hot, mix, rows_of, small, span_hashes, stored, stored_components, table, text_batches, word_table, words_of
+from .common import Scratch, Stored, as_bytes, blocks, forget, join_hot, mix, rows_of, small, span_hashes, stored, stored_components, table, text_batches, word_table, words_of
 
 SHINGLE, PERCENT = 4, 85
 COARSE, FINE = 32, 256
@@ -48,7 +48,7 @@ BIN_ROWS, BIN_PAIRS = 20_000, 1_000
 #: Nodes whose repeated rows a task leaves out, remembered at once.
 SEEN = 200_000
 #: Pairs of points compared at once.
-CHUNK = 1 << 13
+CHUNK = 1 << 11
 _WORD = word_table(b" \t\n\x0b\x0c\r")
 _ODD = np.random.default_rng(9090).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,8 +92,10 @@ def point(s: np.ndarray, groups: int) -> bytes:
 def matrix(points) -> np.ndarray:
     """Points as rows of int32: the minima of two rows sum up to a bound on the overlap."""
     raw = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
-    over = np.ascontiguousarray(raw[:, -8:]).view(np.int64)
-    return np.concatenate([raw[:, :-8].astype(np.int32), over.astype(np.int32)], axis=1)
+    out = np.empty((len(raw), raw.shape[1] - 7), np.int32)
+    out[:, :-1] = raw[:, :-8]
+    out[:, -1:] = np.ascontiguousarray(raw[:, -8:]).view(np.int64)
+    return out
 
 
 def shared_at_most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,6 +115,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """A row for each text (n, node, coarse and fine point), and each task's part of the count sketch (part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "_rk", "n", "node", "coarse", "fine", "part", "counts"]
         for batch in batches:

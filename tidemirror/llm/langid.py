@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, blocks, counted, rows_of, small, table, text_batches
+from .common import Scratch, as_bytes, blocks, counted, forget, rows_of, small, table, text_batches
 
 BUCKET_BITS = 15
 DIM = 16
@@ -174,6 +174,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        forget()
         m = shared.value
         has = texts.map(lettered).to_numpy(bool)
         lang = np.full(len(texts), UNKNOWN, object)

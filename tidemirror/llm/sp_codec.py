@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import memory, table, text_batches
 
 BLANK = "▁"
 #: Cuts of the young generation that a worker remembers; when it is full it becomes the old one, whose cuts go unless they
@@ -111,8 +111,9 @@ class Codec:
         #: Cuts begin at runs of blanks; where no piece holds a line's end, runs of these are cuts of their own.
         self.cut_pattern = re.compile("▁+[^▁\n]*|\n+|[^▁\n]+" if "\n" not in inside else "▁+[^▁]*")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cuts: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        #: Ids joined by commas; with what they decode to, if that isn't the cut.
+        self.cuts: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     # ------------------------------------------------------------ encoding
 
@@ -252,8 +253,8 @@ class Codec:
         """The cuts of a text, blanks written as the model writes them."""
         return self.cut_pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def known(self, cut: str) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, what they decode to) of a cut."""
+    def known(self, cut: str) -> str | tuple[str, str]:
+        """Ids of a cut, joined by commas; with what they decode to, if that isn't the cut."""
         got = self.cuts.get(cut)
         if got is None:
             got = self.older.get(cut)
@@ -266,22 +267,30 @@ class Codec:
             self.cuts[cut] = got
         return got
 
-    def _coded(self, cut: str) -> tuple[str, int, str]:
+    def _coded(self, cut: str) -> str | tuple[str, str]:
         parts = self.sections(cut)
         if len(parts) > 1:
-            ids, sizes, surfaces = zip(*map(self.known, parts), strict=True)
-            return ",".join(ids), sum(sizes), "".join(surfaces)
-        ids = self.cut_ids(cut)
-        return ",".join(map(str, ids)), len(ids), self.surface(ids)
+            ids, surface = self._joined(parts, list(map(self.known, parts)))
+        else:
+            numbers = self.cut_ids(cut)
+            ids, surface = ",".join(map(str, numbers)), self.surface(numbers)
+        return ids if surface == cut else (ids, surface)
+
+    @staticmethod
+    def _joined(cuts: list[str], got: list[str | tuple[str, str]]) -> tuple[str, str]:
+        if tuple not in set(map(type, got)):
+            return ",".join(got), "".join(cuts)
+        both = [(x, cut) if isinstance(x, str) else x for cut, x in zip(cuts, got, strict=True)]
+        return ",".join(ids for ids, _ in both), "".join(surface for _, surface in both)
 
     def coded(self, text: str) -> tuple[str, int, str]:
-        """The same of a whole text."""
+        """(ids joined by commas, their number, what they decode to) of a whole text."""
         cuts = self.split(text)
         if not cuts:
             return "", 0, ""
         get, known = self.cuts.get, self.known
-        ids, sizes, surfaces = zip(*[get(cut) or known(cut) for cut in cuts], strict=True)
-        return ",".join(ids), sum(sizes), self.spaced("".join(surfaces))
+        ids, surface = self._joined(cuts, [get(cut) or known(cut) for cut in cuts])
+        return ids, ids.count(",") + 1, self.spaced(surface)
 
     def sections(self, cut: str) -> list[str]:
         """A cut, cut again between neighbours that no piece holds: no merge can cross there."""
@@ -345,7 +354,7 @@ def _characters(data: bytes) -> str:
         return "".join(out)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = memory()
 
 
 def codec(path: str) -> Codec:
